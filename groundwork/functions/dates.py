@@ -13,7 +13,7 @@ def parse_date_text(c: str | Column) -> Column:
     """
     s = F.trim(F.col(c) if isinstance(c, str) else c)
     s = F.regexp_replace(s, r"[ T]00:00(:00(\.0+)?)?$", "")
-    return F.coalesce(F.try_to_date(s, F.lit("yyyy-M-d")), F.try_to_date(s, F.lit("M/d/yyyy")))
+    return F.coalesce(F.try_to_date(s, "yyyy-M-d"), F.try_to_date(s, "M/d/yyyy"))
 
 
 def to_date(c: str | Column) -> Column:

@@ -156,3 +156,47 @@ def distance_to_rings(rings: str | Column, px: str | Column, py: str | Column) -
     rings, px, py = _c(rings), _c(px), _c(py)
     edge = F.array_min(F.transform(rings, lambda r: _ring_min_dist(r, px, py)))
     return F.when(point_in_rings(rings, px, py), F.lit(0.0)).otherwise(edge)
+
+
+# --- edge-list form (for exploding candidate pairs into plain arithmetic rows) -----------------
+
+
+def rings_edges(rings: str | Column) -> Column:
+    """All edges of all rings as ``array<struct<ax, ay, bx, by>>`` (computed once per polygon)."""
+
+    def ring_edges(r):
+        idx = F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1)))
+        idx = F.filter(idx, lambda i: i < F.size(r))
+        return F.transform(
+            idx,
+            lambda i: F.struct(
+                F.element_at(r, i)["x"].alias("ax"),
+                F.element_at(r, i)["y"].alias("ay"),
+                F.element_at(r, i + 1)["x"].alias("bx"),
+                F.element_at(r, i + 1)["y"].alias("by"),
+            ),
+        )
+
+    return F.flatten(F.transform(_c(rings), ring_edges))
+
+
+def edge_crossing(ax, ay, bx, by, px, py) -> Column:
+    """1 when a ray from (px, py) towards +x crosses edge (a, b), else 0 (even-odd rule)."""
+    ax, ay, bx, by, px, py = map(_c, (ax, ay, bx, by, px, py))
+    straddles = (ay > py) != (by > py)
+    x_at = ax + F.try_divide((bx - ax) * (py - ay), by - ay)
+    return F.when(straddles & (px < x_at), F.lit(1)).otherwise(F.lit(0))
+
+
+def edge_distance(ax, ay, bx, by, px, py) -> Column:
+    """Distance from (px, py) to the segment (a, b)."""
+    ax, ay, bx, by, px, py = map(_c, (ax, ay, bx, by, px, py))
+    dx = bx - ax
+    dy = by - ay
+    len2 = dx * dx + dy * dy
+    t = F.when(
+        len2 > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ax) * dx + (py - ay) * dy) / len2))
+    ).otherwise(F.lit(0.0))
+    qx = ax + t * dx
+    qy = ay + t * dy
+    return F.sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy))

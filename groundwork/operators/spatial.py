@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance_to_rings, point_in_rings, rings_bbox
+from ..functions.geometry import edge_crossing, edge_distance, rings_bbox, rings_edges
 from ..params import PROXIMITY_RADIUS_M
 
 
@@ -79,6 +79,24 @@ def point_pairs(
     return j.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
 
 
+def _polygon_side(polygons: DataFrame, grow: float, cell: float, salt: int) -> DataFrame:
+    """Polygons with bbox and edge list, exploded to every grid cell of the bbox grown by ``grow``."""
+    minx, miny, maxx, maxy = rings_bbox("rings")
+    b = polygons.select(
+        "geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"),
+        rings_edges("rings").alias("_edges"),
+    )
+    g = F.lit(float(grow))
+    return _explode_cells(b, F.col("_minx") - g, F.col("_miny") - g, F.col("_maxx") + g, F.col("_maxy") + g, cell, salt)
+
+
+def _edge_rows(j: DataFrame) -> DataFrame:
+    """One row per (candidate pair, polygon edge): crossing flag and distance, plain codegen arithmetic."""
+    e = j.withColumn("_e", F.explode("_edges")).drop("_edges")
+    args = (F.col("_e.ax"), F.col("_e.ay"), F.col("_e.bx"), F.col("_e.by"), F.col("_px"), F.col("_py"))
+    return e.withColumn("_cross", edge_crossing(*args)).withColumn("_d", edge_distance(*args)).drop("_e")
+
+
 def polygon_pairs(
     blocks: DataFrame,
     wells: DataFrame,
@@ -90,22 +108,26 @@ def polygon_pairs(
 ) -> DataFrame:
     """Pairs of block polygons (``geoid, rings``) and wells at most ``radius`` from the polygon (0 inside).
 
-    The exact point-to-polygon distance (ray-cast parity + nearest edge, as higher-order functions)
-    runs only on candidates whose bounding-box distance is already within the radius.
+    Candidates (same grid cell, bounding-box distance within the radius) are exploded into one row per
+    polygon edge; ray crossings and edge distances are plain arithmetic (whole-stage codegen), reduced
+    by a ``groupBy`` over (cell, block, well). That grouping is already clustered by the cell join, so
+    it adds no shuffle; partial aggregation folds the edge rows of a pair before anything moves.
     """
     cell = float(cell or radius)
-    minx, miny, maxx, maxy = rings_bbox("rings")
-    b = blocks.select("geoid", "rings", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"))
     r = F.lit(float(radius))
-    b = _explode_cells(b, F.col("_minx") - r, F.col("_miny") - r, F.col("_maxx") + r, F.col("_maxy") + r, cell, salt)
+    b = _polygon_side(blocks, radius, cell, salt)
     w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
     keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
     j = b.join(w, keys)
     bx = F.greatest(F.col("_minx") - F.col("_px"), F.lit(0.0), F.col("_px") - F.col("_maxx"))
     by = F.greatest(F.col("_miny") - F.col("_py"), F.lit(0.0), F.col("_py") - F.col("_maxy"))
     j = j.filter(bx * bx + by * by <= r * r)
-    j = j.withColumn("dist", distance_to_rings("rings", "_px", "_py")).filter(F.col("dist") <= r)
-    return j.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
+    extra = [c for c in well_cols if c not in (id_col, "x_m", "y_m")]
+    e = _edge_rows(j)
+    g = e.groupBy(*keys, "geoid", id_col, *extra).agg(F.sum("_cross").alias("_cross"), F.min("_d").alias("_d"))
+    g = g.withColumn("dist", F.when(F.col("_cross") % 2 == 1, F.lit(0.0)).otherwise(F.col("_d")))
+    g = g.filter(F.col("dist") <= r)
+    return g.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
 
 
 def points_in_polygons(
@@ -115,20 +137,21 @@ def points_in_polygons(
     cell: float = 1000.0,
     point_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs (polygon, point) where the point lies inside the polygon (D15): bbox cells equi-join +
-    bbox test + even-odd ray cast. Columns: ``geoid, <id_col>, <point_cols>``."""
-    minx, miny, maxx, maxy = rings_bbox("rings")
-    b = polygons.select("geoid", "rings", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"))
-    b = _explode_cells(b, F.col("_minx"), F.col("_miny"), F.col("_maxx"), F.col("_maxy"), float(cell), 1)
+    """Pairs (polygon, point) where the point lies inside the polygon (D15): bbox cells equi-join, bbox
+    test, then the even-odd ray cast as exploded edge rows summed per pair. Columns: ``geoid, <id_col>,
+    <point_cols>``."""
+    cell = float(cell)
+    b = _polygon_side(polygons, 0.0, cell, 1)
     extra = [c for c in point_cols if c not in (id_col, "x_m", "y_m")]
     p = points.filter(F.col("x_m").isNotNull() & F.col("y_m").isNotNull()).select(
         id_col, F.col("x_m").alias("_px"), F.col("y_m").alias("_py"), *extra
     )
-    p = _point_cells(p, "_px", "_py", float(cell), 1, id_col)
+    p = _point_cells(p, "_px", "_py", cell, 1, id_col)
     j = b.join(p, ["cx", "cy"])
     inside_box = (
         (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
         & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
     )
-    j = j.filter(inside_box).filter(point_in_rings("rings", "_px", "_py"))
-    return j.select("geoid", id_col, *extra)
+    e = _edge_rows(j.filter(inside_box))
+    g = e.groupBy("cx", "cy", "geoid", id_col, *extra).agg(F.sum("_cross").alias("_cross"))
+    return g.filter(F.col("_cross") % 2 == 1).select("geoid", id_col, *extra)

@@ -16,6 +16,7 @@ from .. import operators as op
 from ..functions.ids import sid_text
 from ..params import CHEMS4, CONTS11, MONITORING_CLASSES, ALL_SAMPLES_SINCE
 from ..sources import lookups, testdata as td
+from ..session import ensure_checkpoint_dir
 from ..sources.manifest import source_manifest_for_areas
 
 # Test-data parameters (dates in the tables run 1995-01-01 … 2001-08-01).
@@ -335,7 +336,11 @@ def q_blockgroup_site_counts(spark, d):
 
 
 def q_study_area(spark, d):
-    s = op.study_area(_site_counts(spark, d), STUDY_TOP_FRACTION_TEST, STUDY_MAX_DEPTH_TEST)
+    # The per-group counts feed both the rank histogram and the rows; checkpoint them once (reliable
+    # checkpoint in spark.checkpoint.dir) instead of running the spatial join twice.
+    ensure_checkpoint_dir(spark)
+    counts = _site_counts(spark, d).checkpoint(eager=True)
+    s = op.study_area(counts, STUDY_TOP_FRACTION_TEST, STUDY_MAX_DEPTH_TEST)
     return s.select("geoid", "sites", r6("pct_rank").alias("pct_rank"), r6("water_table_depth_m").alias("water_table_depth_m"))
 
 

@@ -129,14 +129,17 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blockgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_brand")
-    b = blocks(spark, sf_dir)
-    attrs = p.select(
+    """Block groups: the block squares plus water-table depth and disadvantaged-community flag (one scan)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    x = _coord(F.col("p_partkey"), 7919)
+    y = _coord(F.col("p_partkey"), 15485863)
+    h = (F.col("p_size") * 10).cast("double")
+    return p.select(
         F.col("p_partkey").cast("string").alias("geoid"),
+        square_rings(x, y, h).alias("rings"),
         (F.col("p_retailprice") % 10).alias("water_table_depth_m"),
         ((F.substring_index(F.col("p_brand"), "#", -1).cast("int") % 2) == 0).alias("is_dac"),
     )
-    return b.join(attrs, "geoid")
 
 
 def usts(spark: SparkSession, sf_dir: str) -> DataFrame:
