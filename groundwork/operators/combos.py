@@ -50,24 +50,39 @@ def mask_indexes(mask: Column, n: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _bit_set(mask, i))
 
 
-def combinations_table(spark: SparkSession, labels: Sequence[str], sizes: Sequence[int]) -> DataFrame:
-    """Every combination of ``labels`` with a size in ``sizes``: ``combo_mask, c_num, contaminants``."""
+def _combo_masks(sizes: Sequence[int], n: int) -> Column:
+    """Array of every mask over ``n`` labels whose bit count is in ``sizes`` (enumeration order)."""
+    sizes_arr = F.array(*[F.lit(int(s)) for s in sizes])
+    return F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << n) - 1).cast("bigint")),
+                    lambda c: F.array_contains(sizes_arr, F.bit_count(c)))
+
+
+def _describe(df: DataFrame, labels: Sequence[str]) -> DataFrame:
+    n = len(labels)
+    return df.withColumn("c_num", F.bit_count("combo_mask").cast("bigint")).withColumn(
+        "contaminants", combo_text(mask_members(F.col("combo_mask"), labels))
+    ).withColumn("idx", mask_indexes(F.col("combo_mask"), n))
+
+
+def combinations_table(spark: SparkSession, labels: Sequence[str], sizes: Sequence[int],
+                       groups: DataFrame | None = None) -> DataFrame:
+    """Every combination of ``labels`` with a size in ``sizes``: ``combo_mask, c_num, contaminants, idx``.
+
+    With ``groups`` (distinct group-key rows) the list is repeated per group by exploding a generated
+    array on each group row — no cross join.
+    """
     labels = _dedup(labels)
     n = len(labels)
     sizes = sorted({int(s) for s in sizes if 0 < int(s) <= n})
-    masks = spark.range(0, 1 << n).withColumnRenamed("id", "combo_mask")
-    masks = masks.withColumn("c_num", F.bit_count("combo_mask").cast("bigint")).filter(F.col("c_num").isin(sizes))
-    return masks.select(
-        "combo_mask",
-        "c_num",
-        combo_text(mask_members(F.col("combo_mask"), labels)).alias("contaminants"),
-        mask_indexes(F.col("combo_mask"), n).alias("idx"),
-    )
+    base = groups if groups is not None else spark.range(1).select()
+    out = base.select("*", F.explode(_combo_masks(sizes, n)).alias("combo_mask"))
+    return _describe(out, labels)
 
 
-def _expand_submasks(groups: DataFrame, n: int, sizes: Sequence[int], value_cols: Sequence[str]) -> DataFrame:
+def _expand_submasks(groups: DataFrame, n: int, sizes: Sequence[int], value_cols: Sequence[str],
+                     group_cols: Sequence[str] = ()) -> DataFrame:
     """For each (mask, values) row emit one row per sub-mask whose size is in ``sizes``, then sum values
-    per sub-mask."""
+    per (group, sub-mask)."""
     lo = min(sizes)
     sizes_arr = F.array(*[F.lit(int(s)) for s in sizes])
 
@@ -76,18 +91,20 @@ def _expand_submasks(groups: DataFrame, n: int, sizes: Sequence[int], value_cols
 
     subs = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("mask")), keep)
     exploded = groups.filter(F.bit_count("mask") >= lo).select(
-        F.explode(subs).alias("combo_mask"), *value_cols
+        *group_cols, F.explode(subs).alias("combo_mask"), *value_cols
     )
-    return exploded.groupBy("combo_mask").agg(*[F.sum(c).alias(c) for c in value_cols])
+    return exploded.groupBy(*group_cols, "combo_mask").agg(*[F.sum(c).alias(c) for c in value_cols])
 
 
-def well_masks(df: DataFrame, labels: Sequence[str], min_count: int = MIN_COUNT) -> DataFrame:
-    """Distinct qualifying-label masks: ``mask, wells, samples`` (≤ 2^n rows)."""
+def well_masks(df: DataFrame, labels: Sequence[str], min_count: int = MIN_COUNT,
+               group_cols: Sequence[str] = ()) -> DataFrame:
+    """Distinct qualifying-label masks per group: ``<group_cols>, mask, wells, samples`` (≤ 2^n rows per group)."""
     labels = _dedup(labels)
-    per_label = df.groupBy("wid", "parlabel").agg(F.count(F.lit(1)).alias("n"))
+    g = list(group_cols)
+    per_label = df.groupBy(*g, "wid", "parlabel").agg(F.count(F.lit(1)).alias("n"))
     bit = F.when(F.col("n") >= min_count, label_bit(labels)).otherwise(F.lit(0).cast("bigint"))
-    per_well = per_label.groupBy("wid").agg(F.bit_or(bit).alias("mask"), F.sum("n").alias("tot"))
-    return per_well.groupBy("mask").agg(F.count(F.lit(1)).alias("wells"), F.sum("tot").alias("samples"))
+    per_well = per_label.groupBy(*g, "wid").agg(F.bit_or(bit).alias("mask"), F.sum("n").alias("tot"))
+    return per_well.groupBy(*g, "mask").agg(F.count(F.lit(1)).alias("wells"), F.sum("tot").alias("samples"))
 
 
 def combo_stats(
@@ -95,20 +112,25 @@ def combo_stats(
     labels: Sequence[str],
     sizes: Sequence[int] = range(4, 12),
     min_count: int = MIN_COUNT,
+    group_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Per combination: wells where every member has ``>= min_count`` rows, and all rows of those wells
     (E13). ``df`` is the already filtered sample table (date, class, label filters applied).
+    ``group_cols`` (e.g. ``['area']``) mines every group separately in the same job.
 
-    Columns: ``contaminants`` (sorted text), ``wells``, ``samples``, ``c_num``.
+    Columns: ``<group_cols>, contaminants`` (sorted text), ``wells``, ``samples``, ``c_num``.
     """
     labels = _dedup(labels)
     spark = df.sparkSession
+    g = list(group_cols)
     sizes = sorted({int(s) for s in sizes if 0 < int(s) <= len(labels)})
-    groups = well_masks(df, labels, min_count)
-    sums = _expand_submasks(groups, len(labels), sizes, ["wells", "samples"])
-    combos = combinations_table(spark, labels, sizes)
-    out = combos.join(sums, "combo_mask", "left")
+    masks = well_masks(df, labels, min_count, g)
+    sums = _expand_submasks(masks, len(labels), sizes, ["wells", "samples"], g)
+    groups = masks.select(*g).distinct() if g else None
+    combos = combinations_table(spark, labels, sizes, groups)
+    out = combos.join(sums, [*g, "combo_mask"], "left")
     return out.select(
+        *g,
         "contaminants",
         F.coalesce(F.col("wells"), F.lit(0)).cast("bigint").alias("wells"),
         F.coalesce(F.col("samples"), F.lit(0)).cast("bigint").alias("samples"),
@@ -116,16 +138,17 @@ def combo_stats(
     )
 
 
-def combo_max(stats: DataFrame) -> DataFrame:
+def combo_max(stats: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Rows of each combination size holding both the size's maximum wells and maximum samples (D13);
     a size whose maxima sit on different rows yields nothing."""
-    g = stats.groupBy("c_num").agg(F.max("wells").alias("wells"), F.max("samples").alias("samples"))
-    return stats.join(g, ["c_num", "wells", "samples"], "inner").select("contaminants", "wells", "samples", "c_num")
+    g = list(group_cols)
+    m = stats.groupBy(*g, "c_num").agg(F.max("wells").alias("wells"), F.max("samples").alias("samples"))
+    return stats.join(m, [*g, "c_num", "wells", "samples"], "inner").select(*g, "contaminants", "wells", "samples", "c_num")
 
 
-def combo_groups(stats: DataFrame) -> DataFrame:
+def combo_groups(stats: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per size, the maximum of every column independently."""
-    return stats.groupBy("c_num").agg(
+    return stats.groupBy(*group_cols, "c_num").agg(
         F.max("contaminants").alias("contaminants"), F.max("wells").alias("wells"), F.max("samples").alias("samples")
     )
 

@@ -39,13 +39,27 @@ def detects(raw: DataFrame, since: str | None = None) -> DataFrame:
     return since_filter(raw.filter(cond), since)
 
 
-def _prefilter(df, labels, since, classes, require_dtw):
+def _prefilter(df, labels, since, classes, require_dtw, reuse=False):
     f = since_filter(df, since)
     if classes:
         f = monitoring_wells(f, classes)
     if require_dtw:
         f = f.filter(F.col("dtw").isNotNull())
-    return contaminant_filter(f, labels)
+    f = contaminant_filter(f, labels)
+    return reuse_once(f) if reuse else f
+
+
+def reuse_once(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (in ``spark.checkpoint.dir``) of an input read by two branches.
+
+    A screen reads its filtered input twice — once for the per-well label counts, once for the rows it
+    returns. Without this the whole upstream plan (scan, joins, de-duplication shuffle) runs twice; with
+    it the filtered rows are written once, lineage is cut, and a lost executor re-reads files.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def _label_stats(f: DataFrame) -> DataFrame:
@@ -60,11 +74,12 @@ def spec_wells(
     min_count: int = MIN_COUNT,
     require_dtw: bool = False,
     classes: Sequence[str] | None = None,
+    reuse: bool = False,
 ) -> DataFrame:
     """Strict screen (J4): after the date/class/DTW/label filters, a well passes iff it has every one of
     the ``len(labels)`` labels and each at least ``min_count`` times. Returns the filtered rows of
-    passing wells."""
-    f = _prefilter(df, labels, since, classes, require_dtw)
+    passing wells. ``reuse=True`` checkpoints the filtered input once (see ``reuse_once``)."""
+    f = _prefilter(df, labels, since, classes, require_dtw, reuse)
     passing = _label_stats(f).filter((F.col("n_labels") == len(labels)) & (F.col("min_n") >= min_count))
     return f.join(passing.select("wid"), "wid", "left_semi")
 
@@ -76,12 +91,13 @@ def spec_wells_relaxed(
     min_count: int = MIN_COUNT,
     since: str | None = None,
     classes: Sequence[str] | None = None,
+    reuse: bool = False,
 ) -> DataFrame:
     """Relaxed screen (J5): at least ``min_labels`` (default ``len(labels)/2``) distinct labels and every
     *present* label at least ``min_count`` times."""
     if min_labels is None:
         min_labels = len(labels) / 2
-    f = _prefilter(df, labels, since, classes, False)
+    f = _prefilter(df, labels, since, classes, False, reuse)
     passing = _label_stats(f).filter((F.col("n_labels") >= F.lit(float(min_labels))) & (F.col("min_n") >= min_count))
     return f.join(passing.select("wid"), "wid", "left_semi")
 
@@ -102,9 +118,12 @@ def visit_masks(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("wi
     return df.groupBy(*keys).agg(F.bit_or(label_bit(labels)).alias("mask"))
 
 
-def visits_with_all(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("wid", "logdate")) -> DataFrame:
+def visits_with_all(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("wid", "logdate"),
+                    reuse: bool = False) -> DataFrame:
     """Rows of the visits (well, date) whose label set contains every listed label."""
     labels = list(dict.fromkeys(labels))
+    if reuse:
+        df = reuse_once(df)
     full = (1 << len(labels)) - 1
     passing = visit_masks(df, labels, keys).filter(F.col("mask") == F.lit(full)).select(*keys)
     return df.join(passing, list(keys), "left_semi")

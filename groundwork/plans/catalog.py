@@ -153,19 +153,19 @@ def q_monitoring_wells(spark, d):
 
 
 def q_spec_wells_11(spark, d):
-    return _enriched_out(op.spec_wells(_enriched(spark, d), CONTS11, since=SINCE))
+    return _enriched_out(op.spec_wells(_enriched(spark, d), CONTS11, since=SINCE, reuse=True))
 
 
 def q_spec_wells_relaxed(spark, d):
-    return _enriched_out(op.spec_wells_relaxed(_enriched(spark, d), CONTS11, min_count=RELAXED_MIN_COUNT, since=SINCE))
+    return _enriched_out(op.spec_wells_relaxed(_enriched(spark, d), CONTS11, min_count=RELAXED_MIN_COUNT, since=SINCE, reuse=True))
 
 
 def q_spec_wells_mw4(spark, d):
-    return _enriched_out(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES))
+    return _enriched_out(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES, reuse=True))
 
 
 def q_spec_wells_dtw(spark, d):
-    df = op.spec_wells(_samples_dtw(spark, d), CHEMS4, since=SINCE, min_count=DTW_MIN_COUNT, require_dtw=True)
+    df = op.spec_wells(_samples_dtw(spark, d), CHEMS4, since=SINCE, min_count=DTW_MIN_COUNT, require_dtw=True, reuse=True)
     return df.select(*ENRICHED_COLS[:-1], r6("magnitude").alias("magnitude"), r6("dtw").alias("dtw"), "dtw_units")
 
 
@@ -190,7 +190,7 @@ def q_all_dtw(spark, d):
 
 
 def q_dtw_coverage(spark, d):
-    spec = op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE)
+    spec = op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, reuse=True)
     return op.dtw_coverage(op.attach_dtw(spec, _dtw(spark, d), "left"))
 
 
@@ -199,7 +199,7 @@ def _mcl_samples(spark, d):
 
 
 def q_visits_with_all(spark, d):
-    return op.visits_with_all(_mcl_samples(spark, d), VISIT_LABELS).select(*SAMPLE_COLS)
+    return op.visits_with_all(_mcl_samples(spark, d), VISIT_LABELS, reuse=True).select(*SAMPLE_COLS)
 
 
 def q_visit_combo_support(spark, d):
@@ -242,7 +242,7 @@ def q_top_labels(spark, d):
 
 
 def q_class_counts(spark, d):
-    return op.class_counts(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES))
+    return op.class_counts(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES, reuse=True))
 
 
 def q_stage_counts(spark, d):

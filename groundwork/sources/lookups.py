@@ -41,17 +41,36 @@ TEST_MCL_ROWS = [
 TEST_UNIT_ROWS = [("UG/L", 1.0), ("MG/L", 1000.0), ("NG/L", 0.001)]
 
 
+def _literal(v, dtype: T.DataType) -> str:
+    if v is None:
+        return f"CAST(NULL AS {dtype.simpleString()})"
+    if isinstance(dtype, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST('{v!r}' AS {dtype.simpleString()})"
+
+
+def local_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A small literal table as an inline ``VALUES`` relation: planned as a JVM ``LocalRelation`` with
+    exact size statistics (no Python worker, no RDD scan)."""
+    names = schema.fieldNames()
+    if not rows:
+        return spark.createDataFrame([], schema)
+    vals = ", ".join("(" + ", ".join(_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {vals} AS t({', '.join(names)})")
+    return df.select(*[df[n].cast(f.dataType).alias(n) for n, f in zip(names, schema.fields)])
+
+
 def mcl_table(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows if rows is not None else TEST_MCL_ROWS, MCL_SCHEMA)
+    return local_table(spark, rows if rows is not None else TEST_MCL_ROWS, MCL_SCHEMA)
 
 
 def flat_mcl_table(spark: SparkSession, labels, limit: float, units: str = "UG/L") -> DataFrame:
     """One limit for every label (used by the exceedance-only per-well score)."""
-    return spark.createDataFrame([(lab, lab, float(limit), "MCL", units) for lab in labels], MCL_SCHEMA)
+    return local_table(spark, [(lab, lab, float(limit), "MCL", units) for lab in labels], MCL_SCHEMA)
 
 
 def unit_table(spark: SparkSession, rows=None) -> DataFrame:
-    return spark.createDataFrame(rows if rows is not None else TEST_UNIT_ROWS, UNIT_SCHEMA)
+    return local_table(spark, rows if rows is not None else TEST_UNIT_ROWS, UNIT_SCHEMA)
 
 
 def read_mcl(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
