@@ -1,6 +1,6 @@
 """DataFrame -> DataFrame operators (usable with ``df.transform``)."""
 
-from .clean import clean_samples, dedup_locations, head_per_group, keep_first, require, union_all
+from .clean import clean_samples, dedup_locations, flag_first, head_per_group, keep_first, require, union_all
 from .combos import combinations_table, combo_groups, combo_max, combo_stats, visit_combo_best, visit_combo_support
 from .depth import all_dtw, attach_dtw, dtw_coverage, dtw_union
 from .enrich import (
@@ -26,4 +26,4 @@ from .screen import (
 )
 from .sites import blockgroup_site_counts, rank_fraction_desc, study_area, ust_union
 from .spatial import point_pairs, points_in_polygons, polygon_pairs
-from .stats import class_counts, label_counts, label_percent, stage_counts, top_labels
+from .stats import class_counts, label_counts, label_percent, stage_counts, stage_counts_flagged, top_labels

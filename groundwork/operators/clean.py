@@ -60,6 +60,31 @@ def keep_first(
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def flag_first(
+    df: DataFrame,
+    keys: Sequence[str],
+    sort_key: Column,
+    eligible: Column | None = None,
+    flag: str = "_kept",
+) -> DataFrame:
+    """Mark (instead of filter) the first row of every ``keys`` group: the eligible row with the smallest
+    ``sort_key`` (a struct giving a total order). Lets a report count every stage in one pass.
+
+    Skew-safe: the winning key per group is a ``min`` aggregate (partial per task, so a group holding a
+    third of all rows costs one partial row per task) joined back on the keys (null-safe), where AQE
+    can split a hot key's partition. Ineligible rows never win.
+    """
+    d = df.withColumn("_sk", sort_key).withColumn(
+        "_el", F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
+    )
+    win = d.filter(F.col("_el")).groupBy(*keys).agg(F.min("_sk").alias("_win"))
+    win = win.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_win")
+    cond = [d[k].eqNullSafe(win[f"_k_{k}"]) for k in keys]
+    out = d.join(win, cond, "left").drop(*[f"_k_{k}" for k in keys])
+    out = out.withColumn(flag, F.col("_el") & F.coalesce(F.col("_sk") == F.col("_win"), F.lit(False)))
+    return out.drop("_sk", "_el", "_win")
+
+
 def clean_samples(raw: DataFrame, order: Sequence[str] = DEFAULT_ORDER, with_ids: bool = True) -> DataFrame:
     """One row per sample id (well, date, label), keeping the largest value.
 

@@ -56,3 +56,36 @@ def stage_counts(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def stage_counts_flagged(
+    df: DataFrame,
+    stages: Sequence[tuple[str, Column]],
+    sid_cols: Sequence[str] = ("wid", "logdate", "parlabel"),
+) -> DataFrame:
+    """Rows, distinct sample ids and distinct wells per stage from ONE pass over flagged rows.
+
+    ``df`` holds one row per input row with a boolean condition per stage (row survives the stage).
+    Three plain aggregates, all with map-side partial aggregation: per sample id (rows, present), per
+    well (rows, sample ids, present), then the totals; a ``stack`` turns the single result row into
+    one row per stage. Same output as ``stage_counts`` when the stage joins do not fan out rows.
+    """
+    k = len(stages)
+    sid = list(sid_cols)
+    f = df.select(*sid, *[F.coalesce(c, F.lit(False)).alias(f"_s{i}") for i, (_, c) in enumerate(stages)])
+    l1 = f.groupBy(*sid).agg(
+        *[F.count_if(F.col(f"_s{i}")).alias(f"r{i}") for i in range(k)],
+        *[F.bool_or(F.col(f"_s{i}")).alias(f"p{i}") for i in range(k)],
+    )
+    l2 = l1.groupBy(sid[0]).agg(
+        *[F.sum(f"r{i}").alias(f"r{i}") for i in range(k)],
+        *[F.count_if(F.col(f"p{i}")).alias(f"s{i}") for i in range(k)],
+        *[F.bool_or(F.col(f"p{i}")).alias(f"w{i}") for i in range(k)],
+    )
+    l3 = l2.agg(
+        *[F.coalesce(F.sum(f"r{i}"), F.lit(0)).cast("bigint").alias(f"r{i}") for i in range(k)],
+        *[F.coalesce(F.sum(f"s{i}"), F.lit(0)).cast("bigint").alias(f"s{i}") for i in range(k)],
+        *[F.count_if(F.col(f"w{i}")).alias(f"w{i}") for i in range(k)],
+    )
+    parts = ", ".join(f"{i}, '{name}', r{i}, s{i}, w{i}" for i, (name, _) in enumerate(stages))
+    return l3.selectExpr(f"stack({k}, {parts}) AS (step, stage, rows, sids, wells)")

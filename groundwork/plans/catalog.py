@@ -246,16 +246,25 @@ def q_class_counts(spark, d):
 
 
 def q_stage_counts(spark, d):
+    """Stage report in one pass: every raw row carries one flag per stage it survives."""
     raw = _raw(spark, d)
-    clean = op.clean_samples(raw, order=ORDER, with_ids=False)
-    loc = op.join_locations(clean, _locations(spark, d))
-    mcl = op.join_mcl(loc, lookups.mcl_table(spark))
-    units = op.convert_units(mcl, lookups.unit_table(spark))
-    since = op.since_filter(units, SINCE)
-    labels = op.contaminant_filter(since, CONTS11)
-    return op.stage_counts(
-        [("raw", raw), ("clean", clean), ("locations", loc), ("mcl", mcl), ("units", units), ("since", since), ("labels", labels)]
-    )
+    required = F.col("wid").isNotNull() & F.col("logdate").isNotNull() & F.col("parlabel").isNotNull() & F.col("parval").isNotNull()
+    # keep-first order as one struct: largest value first, then the total ingest order
+    sort_key = F.struct(-F.col("parval"), *[F.col(c) for c in ORDER])
+    flagged = op.flag_first(raw, ["wid", "logdate", "parlabel"], sort_key, required)
+    loc = _locations(spark, d).select("wid", F.lit(True).alias("_loc"))
+    mcl = lookups.mcl_table(spark).select(F.col("chem_abrv").alias("parlabel"), F.lit(True).alias("_mcl"))
+    units = lookups.unit_table(spark).select(F.col("start_unit").alias("units"), F.lit(True).alias("_unit"))
+    flagged = flagged.join(loc, "wid", "left").join(F.broadcast(mcl), "parlabel", "left").join(F.broadcast(units), "units", "left")
+    clean = F.col("_kept")
+    in_loc = clean & F.col("_loc").isNotNull()
+    in_mcl = in_loc & F.col("_mcl").isNotNull()
+    in_units = in_mcl & F.col("_unit").isNotNull()
+    since = in_units & (F.col("logdate") >= F.lit(SINCE).cast("date"))
+    labels = since & F.col("parlabel").isin(CONTS11)
+    stages = [("raw", F.lit(True)), ("clean", clean), ("locations", in_loc), ("mcl", in_mcl), ("units", in_units),
+              ("since", since), ("labels", labels)]
+    return op.stage_counts_flagged(flagged, stages)
 
 
 def q_wqi_pivot(spark, d):
