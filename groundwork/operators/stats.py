@@ -89,3 +89,18 @@ def stage_counts_flagged(
     )
     parts = ", ".join(f"{i}, '{name}', r{i}, s{i}, w{i}" for i, (name, _) in enumerate(stages))
     return l3.selectExpr(f"stack({k}, {parts}) AS (step, stage, rows, sids, wells)")
+
+
+def label_lists(df: DataFrame, keys: Sequence[str] = ("wid",), col: str = "parlabel") -> DataFrame:
+    """Per group (well, or well+date): the label counter as ``map<label, count>`` and as sorted text
+    ``"A:3,B:1"`` (E3/E4). The group's list is never collected whole: rows are counted per (group,
+    label) first, so the collected entries per group are bounded by the label vocabulary."""
+    counts = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(col).alias("k"), F.col("_n").alias("v"))))
+    out = counts.groupBy(*keys).agg(entries.alias("_e"))
+    return out.select(
+        *keys,
+        F.map_from_entries("_e").alias("counter"),
+        F.array_join(F.transform("_e", lambda e: F.concat(e["k"], F.lit(":"), e["v"].cast("string"))), ",").alias("labels"),
+        F.size("_e").alias("n_labels"),
+    )

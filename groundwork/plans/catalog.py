@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import operators as op
-from ..functions.ids import sid_text
+from ..functions.dates import parse_date_text
+from ..functions.ids import make_wid, sid_text
 from ..params import CHEMS4, CONTS11, MONITORING_CLASSES, ALL_SAMPLES_SINCE
 from ..sources import lookups, testdata as td
 from ..session import ensure_checkpoint_dir
@@ -358,6 +359,52 @@ def q_source_manifest(spark, d):
     return source_manifest_for_areas(areas).select("area", "dataset", "file_name")
 
 
+def q_make_wid(spark, d):
+    """WID from facility id + point name with spaces (B3, B4) over the customer table."""
+    c = td.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    gid_ = F.concat(F.lit("T0 "), (F.col("c_custkey") % 97).cast("string"))
+    pt = F.when(F.col("c_custkey") % 13 == 0, F.lit(None)).otherwise(F.concat(F.lit("MW "), F.col("c_mktsegment")))
+    return c.select("c_custkey", make_wid(gid_, pt).alias("wid"), make_wid(gid_, pt, strip=False).alias("wid_raw"))
+
+
+def q_parse_logdate(spark, d):
+    """Per-row date rule (B8, Q23) over order dates rendered as ISO, US and ISO-with-midnight text."""
+    o = td.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    dt_ = F.col("o_orderdate").cast("date")
+    text = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.date_format(dt_, "yyyy-MM-dd"))
+        .when(F.col("o_orderkey") % 4 == 1, F.date_format(dt_, "M/d/yyyy"))
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(F.date_format(dt_, "yyyy-MM-dd"), F.lit(" 00:00:00")))
+        .otherwise(F.concat(F.date_format(dt_, "yyyy-MM-dd"), F.lit(" 10:30:00")))
+    )
+    return o.select("o_orderkey", parse_date_text(text).alias("logdate"))
+
+
+def q_exceedence_magnitude(spark, d):
+    df = op.exceedence_magnitude(_mcl_samples(spark, d))
+    return df.select("wid", "logdate", "parlabel", "parval", "exceedence", r6("magnitude").alias("magnitude"))
+
+
+def q_since_filter(spark, d):
+    return op.since_filter(_clean(spark, d), SINCE).select(*SAMPLE_COLS)
+
+
+def q_contaminant_filter(spark, d):
+    return op.contaminant_filter(_clean(spark, d), CHEMS4).select(*SAMPLE_COLS)
+
+
+def q_label_lists(spark, d):
+    df = op.contaminant_filter(op.since_filter(_enriched(spark, d), SINCE), CONTS11)
+    return op.label_lists(df).select("wid", "labels", "n_labels")
+
+
+def q_union_samples(spark, d):
+    raw = _raw(spark, d)
+    geo = raw.filter(F.col("source") == "geotracker").drop("area")
+    gama = raw.filter(F.col("source") == "gama")
+    return op.union_all(geo, gama).select(*SAMPLE_COLS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -466,6 +466,33 @@ WHERE pr <= {cat.STUDY_TOP_FRACTION_TEST!r} AND water_table_depth_m <= {cat.STUD
             "site_counts",
         ),
         "source_manifest": sql(_manifest_sql(), "raw"),
+        "make_wid": """
+SELECT c_custkey,
+       replace('T0 ' || CAST(c_custkey % 97 AS VARCHAR) || '-' || ('MW ' || c_mktsegment), ' ', '') AS wid,
+       'T0 ' || CAST(c_custkey % 97 AS VARCHAR) || '-' || ('MW ' || c_mktsegment) AS wid_raw
+FROM customer WHERE c_custkey % 13 <> 0
+UNION ALL
+SELECT c_custkey, NULL, NULL FROM customer WHERE c_custkey % 13 = 0""",
+        "parse_logdate": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS logdate FROM orders""",
+        "exceedence_magnitude": sql(
+            "SELECT wid, logdate, parlabel, parval, parval > comp_conc_val AS exceedence, "
+            "round_even(CASE WHEN comp_conc_val = 0 THEN NULL ELSE parval / comp_conc_val END - 1, 6) AS magnitude FROM mcl_samples",
+            "mcl_samples",
+        ),
+        "since_filter": sql(f"SELECT {SAMPLE_COLS} FROM clean WHERE logdate >= {SINCE}", "clean"),
+        "contaminant_filter": sql(f"SELECT {SAMPLE_COLS} FROM clean WHERE parlabel IN {_in(CHEMS4)}", "clean"),
+        "label_lists": sql(
+            "SELECT wid, string_agg(parlabel || ':' || CAST(n AS VARCHAR), ',' ORDER BY parlabel) AS labels, "
+            "CAST(count(*) AS INTEGER) AS n_labels FROM (SELECT wid, parlabel, count(*) AS n FROM enriched "
+            f"WHERE logdate >= {SINCE} AND parlabel IN {_in(CONTS11)} GROUP BY wid, parlabel) GROUP BY wid",
+            "enriched",
+        ),
+        "union_samples": sql(
+            "SELECT wid, logdate, parlabel, parval, parvq, repdl, units, source, "
+            "CASE WHEN source = 'gama' THEN area END AS area FROM raw",
+            "raw",
+        ),
     }
     return q
 
