@@ -42,11 +42,14 @@ def dtw_coverage(samples_dtw: DataFrame) -> DataFrame:
     wells_dtw, wells_pct`` (percent rounded half-even to 2 places).
     """
     has = F.col("dtw").isNotNull()
-    a = samples_dtw.agg(
-        F.count(F.lit(1)).alias("samples"),
-        F.count_if(has).alias("samples_dtw"),
-        F.countDistinct("wid").alias("wells"),
-        F.countDistinct(F.when(has, F.col("wid"))).alias("wells_dtw"),
+    # two plain aggregates (per well, then totals) instead of two DISTINCT aggregates: no row expansion,
+    # and a hot well costs one partial row per task
+    per_well = samples_dtw.groupBy("wid").agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("n_dtw"))
+    a = per_well.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("samples"),
+        F.coalesce(F.sum("n_dtw"), F.lit(0)).cast("bigint").alias("samples_dtw"),
+        F.count(F.lit(1)).alias("wells"),
+        F.count_if(F.col("n_dtw") > 0).alias("wells_dtw"),
     )
     return a.select(
         "samples",

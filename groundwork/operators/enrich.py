@@ -32,7 +32,7 @@ def join_mcl(samples: DataFrame, mcl: DataFrame, how: str = "inner") -> DataFram
         F.col("chem_abrv"), F.col("chem_name"), F.col("comp_conc_val"), F.col("comp_conc_type"),
         F.col("units").alias("mcl_units"),
     )
-    out = samples.join(bounded_broadcast(m), samples["parlabel"] == m["chem_abrv"], how)
+    out = samples.join(bounded_broadcast(m, source=mcl), samples["parlabel"] == m["chem_abrv"], how)
     return out.drop("chem_abrv")
 
 
@@ -45,7 +45,7 @@ def convert_units(samples: DataFrame, units: DataFrame, target_unit: str = TARGE
     ``enrich_samples`` undoes that.
     """
     u = units.select(F.col("start_unit"), F.col("coef"))
-    out = samples.join(bounded_broadcast(u), samples["units"] == u["start_unit"], "inner")
+    out = samples.join(bounded_broadcast(u, source=units), samples["units"] == u["start_unit"], "inner")
     conv = F.when(F.col("units") != F.col("mcl_units"), F.col("parval") * F.col("coef")).otherwise(F.col("parval"))
     return out.withColumn("parval", conv).withColumn("units", F.lit(target_unit))
 

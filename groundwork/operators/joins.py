@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 LOOKUP_MAX_ROWS = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after checking it has at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (the limit stops the scan early), so it stays cheap
-    even when a caller passes a large table by mistake; such a table is returned unhinted.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def known_rows(df: DataFrame) -> int | None:
+    """Row count recorded on tables built from literal rows (``lookups.local_table``), else None."""
+    return getattr(df, "_gw_rows", None)
+
+
+def is_small(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows: known for literal tables, otherwise checked by
+    reading at most ``max_rows + 1`` rows (the limit stops the scan early)."""
+    n = known_rows(df)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
+    return n <= max_rows
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS, source: DataFrame | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast only when it (or ``source``, the table it was projected from) has at
+    most ``max_rows`` rows; a larger table is returned unhinted and AQE plans the join."""
+    return F.broadcast(df) if is_small(source if source is not None else df, max_rows) else df

@@ -11,7 +11,11 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: str | list[str] | None = None) -> None:
+                partition_by: str | list[str] | None = None, sort_by: list[str] | None = None) -> None:
+    """Write ``df``; ``sort_by`` orders rows inside each output file (sorted by id, as the reference's
+    layers are, without a global sort: ``sortWithinPartitions`` adds no shuffle)."""
+    if sort_by:
+        df = df.sortWithinPartitions(*sort_by)
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
@@ -28,9 +32,9 @@ def write_by_area(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
 def write_wells_layer(wells: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Well layer (K2): id, magnitude and projected coordinates (EPSG:26911 metres)."""
     cols = [c for c in ("wid", "mag", "latitude", "longitude", "x_m", "y_m") if c in wells.columns]
-    write_table(wells.select(*cols), path, "parquet", mode)
+    write_table(wells.select(*cols), path, "parquet", mode, sort_by=["wid"])
 
 
 def write_block_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Scored blocks (K3)."""
-    write_table(scores, path, "parquet", mode)
+    write_table(scores, path, "parquet", mode, sort_by=["geoid"])

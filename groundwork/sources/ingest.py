@@ -43,8 +43,21 @@ LINES_SCHEMA = T.StructType(
 _BATCH = 50_000
 
 
-def _local_path(p: str) -> str:
-    return p[len("file:"):] if p.startswith("file:") else p
+def _open(path: str):
+    """Seekable binary handle for a local path or a filesystem URI (``hdfs://``, ``s3://``, …).
+
+    Remote files are opened through ``pyarrow.fs`` (random access, so the zip directory at the end of
+    the file is read without downloading the whole file first)."""
+    if path.startswith("file:"):
+        path = path[len("file:"):]
+        while path.startswith("//"):
+            path = path[1:]
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs as pafs
+
+    filesystem, inner = pafs.FileSystem.from_uri(path)
+    return filesystem.open_input_file(inner)
 
 
 def _unzip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +66,7 @@ def _unzip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path in pdf["path"]:
             rows: list[tuple] = []
             try:
-                with zipfile.ZipFile(_local_path(path)) as zf:
+                with _open(path) as fh_zip, zipfile.ZipFile(fh_zip) as zf:
                     for info in zf.infolist():
                         if info.is_dir():
                             continue

@@ -57,7 +57,9 @@ def local_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
     vals = ", ".join("(" + ", ".join(_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows)
     df = spark.sql(f"SELECT * FROM VALUES {vals} AS t({', '.join(names)})")
-    return df.select(*[df[n].cast(f.dataType).alias(n) for n, f in zip(names, schema.fields)])
+    df = df.select(*[df[n].cast(f.dataType).alias(n) for n, f in zip(names, schema.fields)])
+    df._gw_rows = len(rows)  # exact size, lets joins broadcast without a counting job
+    return df
 
 
 def mcl_table(spark: SparkSession, rows=None) -> DataFrame:
