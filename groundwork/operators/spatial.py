@@ -105,15 +105,47 @@ def polygon_pairs(
     salt: int = 1,
     well_cols: Sequence[str] = ("wid",),
     id_col: str = "wid",
+    strategy: str = "auto",
+    large_edges: int = 64,
 ) -> DataFrame:
     """Pairs of block polygons (``geoid, rings``) and wells at most ``radius`` from the polygon (0 inside).
 
-    Candidates (same grid cell, bounding-box distance within the radius) are exploded into one row per
-    polygon edge; ray crossings and edge distances are plain arithmetic (whole-stage codegen), reduced
-    by a ``groupBy`` over (cell, block, well). That grouping is already clustered by the cell join, so
-    it adds no shuffle; partial aggregation folds the edge rows of a pair before anything moves.
+    ``strategy``:
+
+    * ``'pair'`` — candidates are (block, well) pairs from the block's grid cells (bounding box grown by
+      the radius); each candidate is exploded into one row per polygon edge, and ray crossings plus edge
+      distances (plain codegen arithmetic) are reduced per pair. Best for small blocks with few edges.
+    * ``'edge'`` — every edge is gridded on its own (its bounding box grown by the radius), so a well
+      meets only the edges near it; the inside test joins wells inside the block's box with just the
+      edges in the well's horizontal band. Rows grow with edges *near* wells, not edges × wells in the
+      box: the strategy for large rural blocks with many vertices.
+    * ``'auto'`` — blocks wider or taller than the radius, or with more than ``large_edges`` edges, go
+      the edge way, the rest the pair way (one union).
     """
     cell = float(cell or radius)
+    if strategy == "pair":
+        return _polygon_pairs_by_pair(blocks, wells, radius, cell, salt, well_cols, id_col)
+    if strategy == "edge":
+        return _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col)
+    if strategy != "auto":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    minx, miny, maxx, maxy = rings_bbox("rings")
+    n_edges = F.size(F.flatten(F.col("rings"))) - F.size(F.col("rings"))
+    big = ((maxx - minx) > F.lit(radius)) | ((maxy - miny) > F.lit(radius)) | (n_edges > F.lit(large_edges))
+    tagged = blocks.withColumn("_big", big)
+    small, large = tagged.filter(~F.col("_big")).drop("_big"), tagged.filter(F.col("_big")).drop("_big")
+    # plan only the branches that have polygons (two early-stopping probes of the polygon table), so the
+    # well side is not computed for an empty branch
+    has_small, has_large = small.limit(1).count() > 0, large.limit(1).count() > 0
+    parts = []
+    if has_small or not has_large:
+        parts.append(_polygon_pairs_by_pair(small, wells, radius, cell, salt, well_cols, id_col))
+    if has_large:
+        parts.append(_polygon_pairs_by_edge(large, wells, radius, cell, salt, well_cols, id_col))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _polygon_pairs_by_pair(blocks, wells, radius, cell, salt, well_cols, id_col) -> DataFrame:
     r = F.lit(float(radius))
     b = _polygon_side(blocks, radius, cell, salt)
     w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
@@ -130,6 +162,53 @@ def polygon_pairs(
     return g.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
 
 
+def _edges_table(blocks: DataFrame) -> DataFrame:
+    """One row per polygon edge: ``geoid, ax, ay, bx, by`` plus the polygon's bounding box."""
+    minx, miny, maxx, maxy = rings_bbox("rings")
+    b = blocks.select(
+        "geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"),
+        F.explode(rings_edges("rings")).alias("_e"),
+    )
+    return b.select("geoid", "_minx", "_miny", "_maxx", "_maxy", *[F.col(f"_e.{c}").alias(c) for c in ("ax", "ay", "bx", "by")])
+
+
+def _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col) -> DataFrame:
+    r = F.lit(float(radius))
+    extra = [c for c in well_cols if c not in (id_col, "x_m", "y_m")]
+    edges = _edges_table(blocks)
+    w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
+    keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
+    args = (F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("_px"), F.col("_py"))
+
+    # distance: edges gridded over their own box grown by the radius
+    ge = _explode_cells(
+        edges.select("geoid", "ax", "ay", "bx", "by"),
+        F.least("ax", "bx") - r, F.least("ay", "by") - r, F.greatest("ax", "bx") + r, F.greatest("ay", "by") + r,
+        cell, salt,
+    )
+    near = ge.join(w, keys).withColumn("_d", edge_distance(*args)).filter(F.col("_d") <= r)
+    near = near.select("geoid", id_col, *extra, F.col("_d").alias("dist"))
+
+    # inside: wells inside the block's box, ray-cast against the edges of the well's horizontal band
+    boxes = edges.select("geoid", "_minx", "_miny", "_maxx", "_maxy").dropDuplicates(["geoid"])
+    bc = _explode_cells(boxes, F.col("_minx"), F.col("_miny"), F.col("_maxx"), F.col("_maxy"), cell, salt)
+    inbox = bc.join(w, keys).filter(
+        (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
+        & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
+    ).select("geoid", id_col, *extra, "_px", "_py", F.floor(F.col("_py") / F.lit(cell)).alias("_band"))
+    banded = edges.select(
+        "geoid", "ax", "ay", "bx", "by",
+        F.explode(F.sequence(F.floor(F.least("ay", "by") / F.lit(cell)), F.floor(F.greatest("ay", "by") / F.lit(cell)))).alias("_band"),
+    )
+    crossings = inbox.join(banded, ["geoid", "_band"]).withColumn("_cross", edge_crossing(*args))
+    inside = crossings.groupBy("geoid", id_col, *extra).agg(F.sum("_cross").alias("_cross"))
+    inside = inside.filter(F.col("_cross") % 2 == 1).select("geoid", id_col, *extra, F.lit(0.0).alias("dist"))
+
+    both = near.unionByName(inside)
+    out = both.groupBy("geoid", id_col, *extra).agg(F.min("dist").alias("dist"))
+    return out.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
+
+
 def points_in_polygons(
     polygons: DataFrame,
     points: DataFrame,

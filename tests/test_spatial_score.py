@@ -75,3 +75,36 @@ def test_every_block_scored_once_nonnegative(spark):
     s = cat.q_block_score_gmean(spark, SF001)
     assert s.count() == s.select("geoid").distinct().count() == td.block_points(spark, SF001).count()
     assert s.filter("score < 0").count() == 0
+
+
+def _ring(pts):
+    return [{"x": float(x), "y": float(y)} for x, y in pts]
+
+
+def test_polygon_strategies_agree(spark):
+    """'pair', 'edge' and 'auto' give the same pairs and distances, on small squares and on a large
+    many-vertex polygon with a hole."""
+    import math
+
+    polys = td.blocks(spark, SF001)
+    wells = cat._locations(spark, SF001)
+    res = {}
+    for strat in ("pair", "edge", "auto"):
+        res[strat] = rows(op.polygon_pairs(polys, wells, strategy=strat).select("geoid", "wid", F.bround("dist", 6).alias("d")))
+    assert res["pair"] == res["edge"] == res["auto"]
+
+    n = 200  # large circle-like polygon, radius 5 km, with a square hole
+    outer = [(10000 + 5000 * math.cos(2 * math.pi * k / n), 10000 + 5000 * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    outer.append(outer[0])
+    hole = [(9000, 9000), (11000, 9000), (11000, 11000), (9000, 11000), (9000, 9000)]
+    big = spark.createDataFrame([("big", [_ring(outer), _ring(hole)])], "geoid string, rings array<array<struct<x:double,y:double>>>")
+    pts = spark.createDataFrame(
+        [("center", 10000.0, 10000.0), ("ring", 13000.0, 10000.0), ("edge_out", 15500.0, 10000.0), ("far", 16500.0, 10000.0),
+         ("in_hole_near", 10900.0, 10000.0)], "wid string, x_m double, y_m double")
+    got = {s: {r.wid: round(r.dist, 3) for r in op.polygon_pairs(big, pts, strategy=s).collect()} for s in ("pair", "edge", "auto")}
+    assert got["pair"] == got["edge"] == got["auto"]
+    g = got["edge"]
+    assert g["ring"] == 0.0  # between hole and outer boundary: inside
+    assert g["in_hole_near"] == pytest.approx(100.0, abs=1e-3)  # in the hole, 100 m from its edge
+    assert g["center"] == pytest.approx(1000.0, abs=1e-3)  # inside the hole, 1 km from its edge
+    assert 499.0 < g["edge_out"] < 501.0 and "far" not in g
