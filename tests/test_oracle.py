@@ -47,6 +47,10 @@ def test_query_matches_oracle(spark, con, key):
     cur = con.execute(entry.oracle_sql()[key])
     o_cols, o_rows = [d[0] for d in cur.description], cur.fetchall()
     assert _canon(s_cols, s_rows) == _canon(o_cols, o_rows)
+    # plan hygiene: no nested-loop / Cartesian joins, no Python evaluation in any registered query
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "PythonUDF"):
+        assert bad not in plan, bad
 
 
 def test_entry_smoke(spark):
