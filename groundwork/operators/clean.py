@@ -98,16 +98,23 @@ def clean_samples(raw: DataFrame, order: Sequence[str] = DEFAULT_ORDER, with_ids
     return df
 
 
-def dedup_locations(loc: DataFrame, order: Sequence[str] = DEFAULT_ORDER, normalize_wid: bool = False) -> DataFrame:
+def dedup_locations(loc: DataFrame, order: Sequence[str] = DEFAULT_ORDER, normalize_wid: bool = False,
+                    source_order: Sequence[str] | None = None) -> DataFrame:
     """One row per well, first by provider rank then ingest order (F2).
 
-    ``normalize_wid`` strips spaces from every id (the reference strips only some providers, so ids
-    with spaces never join; pass True to fix that).
+    ``source_order`` (e.g. ``['gama', 'geotracker']``, the scoring job's precedence) ranks providers by
+    the ``source`` column instead of ``source_rank``. ``normalize_wid`` strips spaces from every id (the
+    reference strips only some providers, so ids with spaces never join; pass True to fix that).
     """
     df = loc
     if normalize_wid:
         df = df.withColumn("wid", F.replace(F.col("wid"), F.lit(" "), F.lit("")))
     df = require(df, LOCATION_REQUIRED)
+    if source_order:
+        rank = F.array_position(F.array(*[F.lit(x) for x in source_order]), F.col("source"))
+        df = df.withColumn("_src_rank", F.when(rank > 0, rank).otherwise(F.lit(len(source_order) + 1)))
+        order = ["_src_rank", *[o for o in order if o != "source_rank"]]
+        return keep_first(df, ["wid"], order).drop("_src_rank")
     return keep_first(df, ["wid"], order)
 
 

@@ -50,13 +50,21 @@ def land_stream(
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Start the landing stream: new zips → lines ``(path, member, line_no, line, error)`` appended to
-    ``bronze_path`` (partitioned by ``landed_on`` date). Returns the running query."""
+    """Start the landing stream: new zips → lines ``(path, member, line_no, line, error)`` added to
+    ``bronze_path`` (one partition per micro-batch, ``batch_id``). Returns the running query."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        # Idempotent per epoch: the batch owns the partition batch_id=<epoch>, written with dynamic
+        # partition overwrite, so a micro-batch re-run after a failure replaces its own output instead
+        # of appending the same lines twice.
         lines = batch.repartition(max(1, batch.rdd.getNumPartitions()), "path").mapInPandas(_unzip_batches, LINES_SCHEMA)
         lines = lines.withColumn("landed_on", F.current_date()).withColumn("batch_id", F.lit(epoch_id).cast("long"))
-        lines.write.mode("append").partitionBy("landed_on").parquet(bronze_path)
+        (
+            lines.write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id")
+            .parquet(bronze_path)
+        )
 
     w = (
         new_files_stream(spark, landing_root, glob, max_files_per_trigger)

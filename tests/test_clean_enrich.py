@@ -29,6 +29,14 @@ def test_sid_unique_after_clean(spark):
     assert out.count() == out.select("wid", "logdate", "parlabel").distinct().count()
 
 
+def test_location_source_order(spark):
+    loc = spark.createDataFrame(
+        [("W1", "E", 1.0, 1.0, "geotracker", 0, "e", 1), ("W1", "G", 2.0, 2.0, "gama", 1, "g", 1)],
+        "wid string, field_pt_class string, latitude double, longitude double, source string, source_rank int, path string, line_no long")
+    assert rows(op.dedup_locations(loc), "field_pt_class") == [("E",)]
+    assert rows(op.dedup_locations(loc, source_order=["gama", "geotracker"]), "field_pt_class") == [("G",)]  # D6
+
+
 def test_location_precedence_and_normalize(spark):
     loc = spark.createDataFrame(
         [("W1", "MW", 1.0, 1.0, 1, "g", 1), ("W1", "X", 2.0, 2.0, 0, "e", 5), ("G 1", "Y", 3.0, 3.0, 1, "g", 2)],
