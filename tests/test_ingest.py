@@ -85,3 +85,26 @@ def test_manifest_and_missing(spark, landing):
     miss = missing_sources(man, ingest.list_files(spark, landing))
     assert miss.filter("file_name in ('VenturaEDF.zip', 'KernEDF.zip')").count() == 0
     assert miss.count() == 24
+
+
+def test_plain_text_files_and_site_readers(spark, tmp_path):
+    d = tmp_path / "sites"
+    d.mkdir()
+    ust_h = "\t".join(providers.GEO_UST_COLS)
+    (d / "permitted_ust.txt").write_text(
+        ust_h + "\nF1\tGas Co\t1 Main St\tOxnard\t93030\tVentura\t34.2\t-119.2\nF2\tOil\tNA\tOxnard\t93030\tVentura\tabc\t-119.1\n"
+    )
+    cl_h = "\t".join(providers.CLEANUP_COLS)
+    (d / "sites.txt").write_text(cl_h + "\nT1\tShop\t12\tElm\tOxnard\t93030\tLUST\tOpen\n")
+    lines = ingest.land_text_lines(spark, str(d))
+    tanks = providers.geotracker_usts(ingest.parse_delimited(lines.filter(lines.path.endswith("/permitted_ust.txt")), providers.GEO_UST_COLS))
+    got = {r.Facility_I: r for r in tanks.collect()}
+    assert got["F1"].Open_USTs == 1.0 and got["F1"].Latitude == 34.2 and got["F1"].Address == "1 Main St"
+    assert got["F2"].Address is None and got["F2"].Latitude is None  # NA marker, bad number
+    sites = providers.cleanup_sites(ingest.parse_delimited(lines.filter(lines.path.endswith("/sites.txt")), providers.CLEANUP_COLS))
+    r = sites.first()
+    assert (r.GLOBAL_ID, r.CASE_TYPE, r.STATUS) == ("T1", "LUST", "Open")
+    # the federal tank layer arrives as a table; keep its listed columns, one record per address overall
+    epa = spark.createDataFrame([("E1", "1 Main St", "3")], "Facility_I string, Address string, Open_USTs string")
+    inv = op.ust_union(tanks, providers.usepa_usts(epa))
+    assert {(x.Address, x.Facility_I) for x in inv.collect()} == {("1 Main St", "E1"), (None, "F2")}
