@@ -35,8 +35,23 @@ SAMPLE_ORDER = ("source_rank", "path", "line_no", "line_part", "line_supp", "lin
 EXTENT_M = 20000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+          spread: bool = False) -> DataFrame:
+    """One test table, pruned to ``columns``.
+
+    The test tables are single Parquet files with one row group, which Spark cannot split: the whole
+    first stage (scan, adapter join, projection, partial de-duplication) would run in one task. When a
+    table that drives a stage (``spread=True``) scans into fewer partitions than the session's default
+    parallelism it is spread round-robin over the cores. Large inputs (many files / row groups) scan
+    into many partitions and are untouched, so this never adds a shuffle at scale.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    par = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < par:
+        df = df.repartition(par)
+    return df
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -53,11 +68,11 @@ def _coord(key: Column, mult: int) -> Column:
 
 
 def samples_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem", [
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
         "l_returnflag", "l_linestatus",
-    )
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    ], spread=True)
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     k = F.expr("o_custkey div 2")
     return j.select(
@@ -99,7 +114,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dtw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus"], spread=True)
     o = o.filter(F.col("o_orderstatus") == "F")
     return o.select(
         _wid("o_custkey").alias("wid"),
@@ -170,7 +185,7 @@ def usts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cleanups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
     o = o.filter(F.col("o_orderstatus") == "P")
     return o.select(
         F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("GLOBAL_ID"),
