@@ -97,13 +97,14 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame
 def land_lines(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame:
     """Every text line of every zip member under ``root``, with file path and 1-based line number.
 
-    Files are spread over tasks by path (one zip is unpacked by one task — zips are not splittable);
-    the lines leave the task in bounded batches. Land once and persist (``sinks.write_table``) when
+    One zip is unpacked by one task (zips are not splittable); tasks get files packed by size; the lines
+    leave the task in bounded batches. Land once and persist (``sinks.write_table``) when
     several providers/jobs read the same files.
     """
+    # The listing is already partitioned by file size (whole files, packed up to
+    # spark.sql.files.maxPartitionBytes per task), which balances the unzip work by bytes; a hash
+    # repartition by path could stack several large zips into one task.
     files = list_files(spark, root, glob).select("path")
-    n = max(1, files.rdd.getNumPartitions())
-    files = files.repartition(n, "path")
     return files.mapInPandas(_unzip_batches, LINES_SCHEMA)
 
 

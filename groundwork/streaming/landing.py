@@ -57,7 +57,7 @@ def land_stream(
         # Idempotent per epoch: the batch owns the partition batch_id=<epoch>, written with dynamic
         # partition overwrite, so a micro-batch re-run after a failure replaces its own output instead
         # of appending the same lines twice.
-        lines = batch.repartition(max(1, batch.rdd.getNumPartitions()), "path").mapInPandas(_unzip_batches, LINES_SCHEMA)
+        lines = batch.mapInPandas(_unzip_batches, LINES_SCHEMA)
         lines = lines.withColumn("landed_on", F.current_date()).withColumn("batch_id", F.lit(epoch_id).cast("long"))
         (
             lines.write.mode("overwrite")
