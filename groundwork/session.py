@@ -41,6 +41,63 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def scale_settings(input_bytes: float, total_cores: int, target_partition_bytes: int = 1 << 30) -> dict[str, str]:
+    """Settings sized for a big cluster run (e.g. 100 TB of samples on 1000 executors).
+
+    * scans: 512 MB splits (whole row groups; fewer, larger scan tasks);
+    * shuffles: enough partitions that each holds ~``target_partition_bytes`` (1 GB: fits a task's
+      execution memory; sorts spill beyond it) of a shuffle as large as the input (the keep-first
+      exchange carries every sample column), at least 3 waves of the cluster's cores and at most
+      100,000 (beyond that the map × reduce block count, not the data, dominates); AQE coalesces small
+      partitions and splits skewed ones. 100 TB on 4,000 cores → 100,000 partitions of ~1 GB;
+    * skew: a partition is skewed above 5x the median and 1 GB (AQE splits it for joins);
+    * broadcast: only tables under 64 MB broadcast automatically (lookups, per-well aggregates);
+      everything that grows with the samples is a sort-merge join.
+    """
+    parts = min(MAX_SHUFFLE_PARTITIONS, max(3 * total_cores, int(input_bytes // target_partition_bytes) + 1))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: float, total_cores: int | None = None,
+                         override: bool = False) -> dict[str, str]:
+    """Apply ``scale_settings`` to a session; values the cluster already set win unless ``override``."""
+    cores = total_cores or spark.sparkContext.defaultParallelism
+    applied = {}
+    for k, v in scale_settings(input_bytes, cores).items():
+        if override or spark.conf.get(k, None) in (None, _SPARK_DEFAULTS.get(k)):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
+
+
+# Spark's own defaults for the settings above (treated as "not set by the cluster").
+_SPARK_DEFAULTS = {
+    "spark.sql.files.maxPartitionBytes": "134217728b",
+    "spark.sql.shuffle.partitions": "200",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5.0",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
+}
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Set the job defaults on an existing session, leaving any value the cluster already set."""
     for k, v in _DEFAULTS.items():
