@@ -25,5 +25,5 @@ from .screen import (
     visits_with_all,
 )
 from .sites import blockgroup_site_counts, rank_fraction_desc, study_area, ust_union
-from .spatial import point_pairs, points_in_polygons, polygon_pairs
+from .spatial import point_pairs, points_in_polygons, polygon_pairs, proximity_pairs
 from .stats import class_counts, label_counts, label_lists, label_percent, stage_counts, stage_counts_flagged, top_labels

@@ -113,14 +113,22 @@ def combo_stats(
     sizes: Sequence[int] = range(4, 12),
     min_count: int = MIN_COUNT,
     group_cols: Sequence[str] = (),
+    since: str | None = None,
+    classes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Per combination: wells where every member has ``>= min_count`` rows, and all rows of those wells
-    (E13). ``df`` is the already filtered sample table (date, class, label filters applied).
-    ``group_cols`` (e.g. ``['area']``) mines every group separately in the same job.
+    (E13). ``df`` is the sample table; ``since`` / ``classes`` apply the date and well-class filters and
+    rows of other labels are dropped first (as the reference's pre-filters). ``group_cols`` (e.g.
+    ``['area']``) mines every group separately in the same job.
 
     Columns: ``<group_cols>, contaminants`` (sorted text), ``wells``, ``samples``, ``c_num``.
     """
     labels = _dedup(labels)
+    if since is not None:
+        df = df.filter(F.col("logdate") >= F.lit(since).cast("date"))
+    if classes:
+        df = df.filter(F.col("field_pt_class").isin(list(classes)))
+    df = df.filter(F.col("parlabel").isin(labels))
     spark = df.sparkSession
     g = list(group_cols)
     sizes = sorted({int(s) for s in sizes if 0 < int(s) <= len(labels)})

@@ -234,3 +234,17 @@ def points_in_polygons(
     e = _edge_rows(j.filter(inside_box))
     g = e.groupBy("cx", "cy", "geoid", id_col, *extra).agg(F.sum("_cross").alias("_cross"))
     return g.filter(F.col("_cross") % 2 == 1).select("geoid", id_col, *extra)
+
+
+def proximity_pairs(
+    blocks: DataFrame,
+    wells: DataFrame,
+    radius: float = PROXIMITY_RADIUS_M,
+    well_cols: Sequence[str] = ("wid",),
+    **kw,
+) -> DataFrame:
+    """(block, well, distance) for every well within ``radius`` of a block (D11): blocks given as points
+    (``x_m, y_m``) use ``point_pairs``, blocks given as polygons (``rings``) use ``polygon_pairs``."""
+    if "rings" in blocks.columns:
+        return polygon_pairs(blocks, wells, radius, well_cols=well_cols, **kw)
+    return point_pairs(blocks, wells, radius, well_cols=well_cols, **kw)

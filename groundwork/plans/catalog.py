@@ -17,6 +17,7 @@ from ..functions.dates import parse_date_text
 from ..functions.ids import make_wid, sid_text
 from ..params import CHEMS4, CONTS11, MONITORING_CLASSES, ALL_SAMPLES_SINCE
 from ..sources import lookups, testdata as td
+from ..operators.joins import bounded_broadcast
 from ..session import ensure_checkpoint_dir
 from ..sources.manifest import source_manifest_for_areas
 
@@ -256,7 +257,8 @@ def q_stage_counts(spark, d):
     loc = _locations(spark, d).select("wid", F.lit(True).alias("_loc"))
     mcl = lookups.mcl_table(spark).select(F.col("chem_abrv").alias("parlabel"), F.lit(True).alias("_mcl"))
     units = lookups.unit_table(spark).select(F.col("start_unit").alias("units"), F.lit(True).alias("_unit"))
-    flagged = flagged.join(loc, "wid", "left").join(F.broadcast(mcl), "parlabel", "left").join(F.broadcast(units), "units", "left")
+    flagged = flagged.join(loc, "wid", "left").join(bounded_broadcast(mcl), "parlabel", "left")
+    flagged = flagged.join(bounded_broadcast(units), "units", "left")
     clean = F.col("_kept")
     in_loc = clean & F.col("_loc").isNotNull()
     in_mcl = in_loc & F.col("_mcl").isNotNull()
