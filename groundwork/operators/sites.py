@@ -22,12 +22,18 @@ def ust_union(*providers: DataFrame, order=("source_rank", "line_no")) -> DataFr
 def blockgroup_site_counts(blockgroups: DataFrame, usts: DataFrame, cleanups: DataFrame, cell: float = 1000.0) -> DataFrame:
     """Tanks + cleanup sites inside each block group (E18); groups with none get 0.
 
-    Columns: every block-group column except the rings, plus ``usts, cleanups, sites``.
+    Both point sets go through ONE containment join (tagged by kind), so the block-group polygons are
+    exploded to grid cells once. Columns: every block-group column except the rings, plus ``usts,
+    cleanups, sites``.
     """
-    u = points_in_polygons(blockgroups, usts, "Facility_I", cell).groupBy("geoid").agg(F.count(F.lit(1)).alias("usts"))
-    c = points_in_polygons(blockgroups, cleanups, "GLOBAL_ID", cell).groupBy("geoid").agg(F.count(F.lit(1)).alias("cleanups"))
-    base = blockgroups.drop("rings")
-    out = base.join(u, "geoid", "left").join(c, "geoid", "left")
+    pts = usts.select(F.col("Facility_I").cast("string").alias("_pid"), "x_m", "y_m", F.lit("ust").alias("_kind")).unionByName(
+        cleanups.select(F.col("GLOBAL_ID").cast("string").alias("_pid"), "x_m", "y_m", F.lit("cleanup").alias("_kind"))
+    )
+    hits = points_in_polygons(blockgroups, pts, "_pid", cell, point_cols=("_kind",))
+    n = hits.groupBy("geoid").agg(
+        F.count_if(F.col("_kind") == "ust").alias("usts"), F.count_if(F.col("_kind") == "cleanup").alias("cleanups")
+    )
+    out = blockgroups.drop("rings").join(n, "geoid", "left")
     out = out.withColumn("usts", F.coalesce("usts", F.lit(0)).cast("bigint"))
     out = out.withColumn("cleanups", F.coalesce("cleanups", F.lit(0)).cast("bigint"))
     return out.withColumn("sites", F.col("usts") + F.col("cleanups"))
