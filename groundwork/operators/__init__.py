@@ -10,6 +10,7 @@ from .enrich import (
     exceedence_magnitude,
     join_locations,
     join_mcl,
+    restrict_to_listed,
     zscore_outliers,
 )
 from .joins import bounded_broadcast

@@ -70,15 +70,33 @@ def enrich_samples(
 
     ``dedup_after=True`` (the all-samples job, J3) keeps one row per sample id after the unit join.
     """
-    df = samples if locations is None else join_locations(samples, locations)
-    df = join_mcl(df, mcl)
+    # the broadcast lookups go first: they drop unlisted chemicals and units map-side, so the location
+    # join (the one that can shuffle) only moves rows that survive (inner joins commute)
+    df = join_mcl(samples, mcl)
     df = convert_units(df, units, target_unit)
+    if locations is not None:
+        df = join_locations(df, locations)
     if dedup_after:
         df = keep_first(df, ["wid", "logdate", "parlabel"], [*order, "start_unit", "coef"])
     df = df.drop("repdl", "mcl_units", "comp_conc_type", "start_unit", "coef")
     return exceedence_magnitude(df)
 
 
+def restrict_to_listed(raw: DataFrame, mcl: DataFrame, max_labels: int = 10_000) -> DataFrame:
+    """Keep only samples whose label has a limit, *before* de-duplication.
+
+    Legal because the label is part of the sample id: dropping other labels never changes which row is
+    kept for a listed one. A limit table of at most ``max_labels`` rows becomes a literal ``isin`` filter
+    (pushed to the scan when the label is a stored column); a larger one a broadcast-free semi-join.
+    """
+    from .joins import is_small
+
+    if is_small(mcl, max_labels):
+        labels = sorted({r[0] for r in mcl.select("chem_abrv").distinct().collect() if r[0] is not None})
+        return raw.filter(F.col("parlabel").isin(labels))
+    return raw.join(mcl.select(F.col("chem_abrv").alias("parlabel")).distinct(), "parlabel", "left_semi")
+
+
 def exceedance_ratios(samples: DataFrame, mcl: DataFrame) -> DataFrame:
     """Exceedances only, with ``mag = value / limit`` (B13, C6); no unit conversion, as in the scoring job."""
     df = join_mcl(samples, mcl)

@@ -64,10 +64,9 @@ def _locations(spark, d):
 
 
 def _enriched(spark, d, dedup_after=False):
-    return op.enrich_samples(
-        _clean(spark, d), _locations(spark, d), lookups.mcl_table(spark), lookups.unit_table(spark),
-        dedup_after=dedup_after, order=ORDER,
-    )
+    mcl = lookups.mcl_table(spark)
+    clean = op.clean_samples(op.restrict_to_listed(_raw(spark, d), mcl), order=ORDER, with_ids=False)
+    return op.enrich_samples(clean, _locations(spark, d), mcl, lookups.unit_table(spark), dedup_after=dedup_after, order=ORDER)
 
 
 def _dtw(spark, d):

@@ -83,7 +83,7 @@ def clean_enrich_job(samples_raw: DataFrame, locations: DataFrame, mcl: DataFram
                      out: str | None = None, dedup_after: bool = False, since: str | None = None,
                      labels: Sequence[str] | None = None) -> DataFrame:
     """J1 + J2 (+ J3 when ``dedup_after``/``since``/``labels`` are given): clean, enrich, write by area."""
-    clean = op.clean_samples(samples_raw, with_ids=False)
+    clean = op.clean_samples(op.restrict_to_listed(samples_raw, mcl), with_ids=False)
     df = op.enrich_samples(clean, locations, mcl, units, dedup_after=dedup_after)
     df = op.since_filter(df, since)
     if labels:
@@ -142,7 +142,7 @@ def score_job(samples_raw: DataFrame, locations: DataFrame, blocks: DataFrame, m
     ``blocks`` carries ``geoid`` and either ``rings`` in UTM metres (``geometry='polygon'``) or
     ``x_m, y_m`` (``'point'``). Returns (wells, scores).
     """
-    det = op.clean_samples(op.detects(samples_raw, since=since), with_ids=False)
+    det = op.clean_samples(op.detects(op.restrict_to_listed(samples_raw, mcl), since=since), with_ids=False)
     ratios = op.exceedance_ratios(det, mcl)
     if zscore is not None:
         ratios = op.zscore_outliers(ratios, "mag", zscore)

@@ -97,3 +97,16 @@ def test_dtw_union_first_reading(spark):
 def test_head_per_group(spark):
     s = _samples(spark, [("BZ", float(i), "UG/L") for i in range(8)])
     assert op.head_per_group(s, ["wid", "logdate"], 5).count() == 5
+
+
+def test_restrict_to_listed_is_result_preserving(spark):
+    from groundwork.sources import testdata as td
+
+    raw = td.samples_raw(spark, "/root/testdata/sf0.001")
+    mcl = lookups.mcl_table(spark, lookups.TEST_MCL_ROWS[:5])
+    units = lookups.unit_table(spark)
+    a = op.enrich_samples(op.clean_samples(raw, order=td.SAMPLE_ORDER), None, mcl, units)
+    b = op.enrich_samples(op.clean_samples(op.restrict_to_listed(raw, mcl), order=td.SAMPLE_ORDER), None, mcl, units)
+    cols = ("wid", "logdate", "parlabel", "parval", "line_no")
+    assert rows(a, *cols) == rows(b, *cols) and a.count() > 0
+    assert op.restrict_to_listed(raw, mcl).select("parlabel").distinct().count() == 5
