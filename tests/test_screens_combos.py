@@ -2,8 +2,6 @@ import datetime as dt
 import itertools
 from collections import Counter
 
-import pandas as pd
-from pyspark.sql import functions as F
 
 from groundwork import operators as op
 from tests.conftest import SF001, rows
