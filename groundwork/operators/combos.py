@@ -29,8 +29,14 @@ def _bit_set(mask: Column, i: Column) -> Column:
     return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
 
 
+MAX_COMBO_LABELS = 20  # 2^20 masks per group row; the combination count itself explodes beyond
+
+
 def _dedup(labels: Sequence[str]) -> list[str]:
-    return list(dict.fromkeys(labels))
+    out = list(dict.fromkeys(labels))
+    if len(out) > MAX_COMBO_LABELS:
+        raise ValueError(f"combination mining enumerates 2^n masks; at most {MAX_COMBO_LABELS} labels (got {len(out)})")
+    return out
 
 
 def combo_text(members: Column) -> Column:
