@@ -190,7 +190,8 @@ def _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col)
     near = near.select("geoid", id_col, *extra, F.col("_d").alias("dist"))
 
     # inside: wells inside the block's box, ray-cast against the edges of the well's horizontal band
-    boxes = edges.select("geoid", "_minx", "_miny", "_maxx", "_maxy").dropDuplicates(["geoid"])
+    minx, miny, maxx, maxy = rings_bbox("rings")
+    boxes = blocks.select("geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"))
     bc = _explode_cells(boxes, F.col("_minx"), F.col("_miny"), F.col("_maxx"), F.col("_maxy"), cell, salt)
     inbox = bc.join(w, keys).filter(
         (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
