@@ -30,7 +30,8 @@ def main() -> None:
     from groundwork.session import local_session
 
     n = int(cpus) if cpus.isdigit() else os.cpu_count() or 8
-    spark = local_session(cpus, shuffle_partitions=max(8, 2 * n), app="groundwork-bench")
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * n)))
+    spark = local_session(cpus, shuffle_partitions=parts, app="groundwork-bench")
 
     def run(name: str, d: str = sf_dir) -> float:
         t0 = time.perf_counter()
