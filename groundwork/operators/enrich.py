@@ -46,8 +46,12 @@ def convert_units(samples: DataFrame, units: DataFrame, target_unit: str = TARGE
     """
     u = units.select(F.col("start_unit"), F.col("coef"))
     out = samples.join(bounded_broadcast(u, source=units), samples["units"] == u["start_unit"], "inner")
-    conv = F.when(F.col("units") != F.col("mcl_units"), F.col("parval") * F.col("coef")).otherwise(F.col("parval"))
-    return out.withColumn("parval", conv).withColumn("units", F.lit(target_unit))
+    differs = F.col("units") != F.col("mcl_units")
+    conv = F.when(differs, F.col("parval") * F.col("coef")).otherwise(F.col("parval"))
+    # The factor converts the sample to the target unit, which only matches the limit when the limit is
+    # in that unit; a converted sample compared with a limit in another unit is off by the factor.
+    mismatch = F.coalesce(differs & (F.col("mcl_units") != F.lit(target_unit)), F.lit(False))
+    return out.withColumn("parval", conv).withColumn("unit_mismatch", mismatch).withColumn("units", F.lit(target_unit))
 
 
 def exceedence_magnitude(df: DataFrame, value: str = "parval", limit: str = "comp_conc_val") -> DataFrame:
@@ -65,10 +69,14 @@ def enrich_samples(
     dedup_after: bool = False,
     target_unit: str = TARGET_UNIT,
     order: Sequence[str] = DEFAULT_ORDER,
+    flag_unit_mismatch: bool = False,
 ) -> DataFrame:
     """Locations ⋈ limits ⋈ unit factors → converted value, exceedance flag and magnitude.
 
     ``dedup_after=True`` (the all-samples job, J3) keeps one row per sample id after the unit join.
+    ``flag_unit_mismatch=True`` keeps the ``unit_mismatch`` column: rows whose ratio is off because the
+    sample was converted to the target unit but the limit is stated in another unit (the reference
+    labels such rows with the target unit all the same).
     """
     # the broadcast lookups go first: they drop unlisted chemicals and units map-side, so the location
     # join (the one that can shuffle) only moves rows that survive (inner joins commute)
@@ -79,6 +87,8 @@ def enrich_samples(
     if dedup_after:
         df = keep_first(df, ["wid", "logdate", "parlabel"], [*order, "start_unit", "coef"])
     df = df.drop("repdl", "mcl_units", "comp_conc_type", "start_unit", "coef")
+    if not flag_unit_mismatch:
+        df = df.drop("unit_mismatch")
     return exceedence_magnitude(df)
 
 

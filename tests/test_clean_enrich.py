@@ -110,3 +110,14 @@ def test_restrict_to_listed_is_result_preserving(spark):
     cols = ("wid", "logdate", "parlabel", "parval", "line_no")
     assert rows(a, *cols) == rows(b, *cols) and a.count() > 0
     assert op.restrict_to_listed(raw, mcl).select("parlabel").distinct().count() == 5
+
+
+def test_unit_mismatch_flag(spark):
+    # limits: BZ 1.0 UG/L, NO3N 10.0 MG/L. A UG/L nitrate sample is not converted (units differ, factor 1)
+    # yet compared with an MG/L limit → flagged; same-unit and UG/L-limit rows are fine.
+    s = _samples(spark, [("BZ", 0.002, "MG/L"), ("NO3N", 12.0, "MG/L"), ("NO3N", 12.0, "UG/L")])
+    s = s.withColumn("logdate", F.date_add("logdate", F.col("line_no").cast("int")))
+    out = op.enrich_samples(s, None, lookups.mcl_table(spark, MCL), lookups.unit_table(spark, UNITS), flag_unit_mismatch=True)
+    got = sorted((r.parlabel, r.unit_mismatch) for r in out.collect())
+    assert got == [("BZ", False), ("NO3N", False), ("NO3N", True)]
+    assert "unit_mismatch" not in op.enrich_samples(s, None, lookups.mcl_table(spark, MCL), lookups.unit_table(spark, UNITS)).columns
