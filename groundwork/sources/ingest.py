@@ -7,8 +7,8 @@ not a readable zip (an HTML error page saved as ``.zip``) becomes one row with `
 of failing the job. Bytes that are not UTF-8 are kept backslash-escaped. Plain (unzipped) text files
 go through ``spark.read.text`` with a monotone per-file position instead.
 
-Stage 2 — ``parse_delimited``: split every line on the separator (no quote processing, so a stray
-``"`` stays literal text), map fields to columns *by the header of the line's own file* (a one-row-
+Stage 2 — ``parse_delimited``: split every line on the separator (quotes never span fields or lines:
+a field wrapped in ``"…"`` is unwrapped, a stray ``"`` stays literal text), map fields to columns *by the header of the line's own file* (a one-row-
 per-file header table joined back by path), turn the pandas default missing-value markers into NULL,
 and flag lines with more fields than their header (dropped, and listed by ``ingest_quarantine``).
 Short lines are kept with NULL for the missing fields.
@@ -71,7 +71,9 @@ def _unzip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if info.is_dir():
                             continue
                         with zf.open(info) as fh:
-                            text = io.TextIOWrapper(fh, encoding="utf-8", errors="backslashreplace", newline=None)
+                            # utf-8-sig drops a leading byte-order mark, which would otherwise hide the
+                            # first header name
+                            text = io.TextIOWrapper(fh, encoding="utf-8-sig", errors="backslashreplace", newline=None)
                             for i, line in enumerate(text, start=1):
                                 rows.append((path, info.filename, i, line.rstrip("\r\n"), None))
                                 if len(rows) >= _BATCH:
@@ -123,6 +125,14 @@ def land_text_lines(spark: SparkSession, root: str, glob: str = "*.txt") -> Data
     )
 
 
+def unquote(c: Column) -> Column:
+    """A field wrapped in double quotes loses them and ``""`` becomes ``"`` (what a default CSV read does);
+    a field with an unbalanced quote stays literal text."""
+    wrapped = c.startswith('"') & c.endswith('"') & (F.length(c) >= 2)
+    inner = F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.when(wrapped, inner).otherwise(c)
+
+
 def na_to_null(c: Column, markers: Sequence[str] = NA_MARKERS) -> Column:
     """pandas' default missing-value markers (``''``, ``NA``, ``N/A``, ``null``, ``NaN`` …) → NULL."""
     return F.when(c.isin(list(markers)), F.lit(None).cast("string")).otherwise(c)
@@ -146,14 +156,13 @@ def parse_delimited(lines: DataFrame, columns: Sequence[str], sep: str = "\t",
     ok = lines.filter(F.col("error").isNull() & F.col("line").isNotNull())
     pattern = re.escape(sep)
     body = ok.join(file_headers(ok), ["path", "member"], "inner").filter(F.col("line_no") > F.col("_hdr_line"))
-    body = body.withColumn("_hdr", F.split(F.col("_hdr_text"), pattern, -1)).withColumn(
-        "_f", F.split(F.col("line"), pattern, -1)
-    )
+    hdr = F.split(F.regexp_replace(F.col("_hdr_text"), "^\ufeff", ""), pattern, -1)
+    body = body.withColumn("_hdr", F.transform(hdr, unquote)).withColumn("_f", F.split(F.col("line"), pattern, -1))
     out = [F.col("path"), F.col("member"), F.col("line_no")]
     for name in columns:
         pos = F.array_position(F.col("_hdr"), F.lit(name))
         val = F.when(pos > 0, F.try_element_at(F.col("_f"), pos.cast("int")))
-        out.append(na_to_null(val, markers).alias(name))
+        out.append(na_to_null(unquote(val), markers).alias(name))
     out += [F.size("_f").alias("_n_fields"), F.size("_hdr").alias("_n_header")]
     return body.select(*out)
 

@@ -108,3 +108,14 @@ def test_plain_text_files_and_site_readers(spark, tmp_path):
     epa = spark.createDataFrame([("E1", "1 Main St", "3")], "Facility_I string, Address string, Open_USTs string")
     inv = op.ust_union(tanks, providers.usepa_usts(epa))
     assert {(x.Address, x.Facility_I) for x in inv.collect()} == {("1 Main St", "E1"), (None, "F2")}
+
+
+def test_bom_and_quoted_fields(spark, tmp_path):
+    d = tmp_path / "bom"
+    d.mkdir()
+    header = "\ufeff" + "\t".join(providers.EDF_SAMPLE_COLS)
+    body = 'T1\t"MW 1"\t"BZ"\t2.0\t=\t0.1\t"UG/L"\t2015-03-02\nT1\tMW2\t"say ""hi"""\t1.0\t=\t0.1\tUG/L\t2015-03-02\n'
+    _zip(d / "VenturaEDF.zip", "v.txt", (header + "\n" + body).encode("utf-8"))
+    parsed = ingest.parse_delimited(ingest.land_lines(spark, str(d)), providers.EDF_SAMPLE_COLS)
+    got = sorted((r.wid, r.parlabel, r.units) for r in providers.edf_samples(parsed).collect())
+    assert got == [("T1-MW1", "BZ", "UG/L"), ("T1-MW2", 'say "hi"', "UG/L")]
