@@ -37,6 +37,7 @@ LINES_SCHEMA = T.StructType(
         T.StructField("line_no", T.LongType()),
         T.StructField("line", T.StringType()),
         T.StructField("error", T.StringType()),
+        T.StructField("header", T.StringType()),
     ]
 )
 
@@ -74,13 +75,19 @@ def _unzip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             # utf-8-sig drops a leading byte-order mark, which would otherwise hide the
                             # first header name
                             text = io.TextIOWrapper(fh, encoding="utf-8-sig", errors="backslashreplace", newline=None)
+                            header = None
                             for i, line in enumerate(text, start=1):
-                                rows.append((path, info.filename, i, line.rstrip("\r\n"), None))
+                                line = line.rstrip("\r\n")
+                                if i == 1:
+                                    header = line
+                                # every row carries its member's header line, so parsing needs no
+                                # second pass over the lines (which would unzip every file twice)
+                                rows.append((path, info.filename, i, line, None, header))
                                 if len(rows) >= _BATCH:
                                     yield pd.DataFrame(rows, columns=LINES_SCHEMA.fieldNames())
                                     rows = []
             except (zipfile.BadZipFile, OSError, EOFError, RuntimeError) as e:
-                rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+                rows.append((path, None, None, None, f"{type(e).__name__}: {e}", None))
             if rows:
                 yield pd.DataFrame(rows, columns=LINES_SCHEMA.fieldNames())
 
@@ -150,14 +157,21 @@ def parse_delimited(lines: DataFrame, columns: Sequence[str], sep: str = "\t",
     """Split landed lines into the named text columns using each file's own header line.
 
     Returns ``path, member, line_no, <columns...>, _n_fields, _n_header`` for data lines (header lines
-    and unreadable files excluded). Columns absent from a file's header are NULL. The header table has
-    one row per file and joins back by path (AQE broadcasts it when the file count is small).
+    and unreadable files excluded). Columns absent from a file's header are NULL. Zip-landed lines carry
+    their header, so this is a single pass; plain-text lines get it from a one-row-per-file aggregate
+    joined back by path (AQE broadcasts it when the file count is small).
     """
     ok = lines.filter(F.col("error").isNull() & F.col("line").isNotNull())
     pattern = re.escape(sep)
-    body = ok.join(file_headers(ok), ["path", "member"], "inner").filter(F.col("line_no") > F.col("_hdr_line"))
-    hdr = F.split(F.regexp_replace(F.col("_hdr_text"), "^\ufeff", ""), pattern, -1)
-    body = body.withColumn("_hdr", F.transform(hdr, unquote)).withColumn("_f", F.split(F.col("line"), pattern, -1))
+    if "header" in ok.columns:
+        # zip landing: every row already carries its member's header (line 1) — one pass, no join
+        body = ok.filter(F.col("line_no") > 1).withColumn("_hdr_text", F.col("header")).drop("header")
+    else:
+        # plain text files: header = each file's first line, found by one aggregate and joined back
+        body = ok.join(file_headers(ok), ["path", "member"], "inner").filter(F.col("line_no") > F.col("_hdr_line"))
+    # header names: no byte-order mark, no quotes (plain string ops, stays in generated code)
+    hdr = F.split(F.regexp_replace(F.regexp_replace(F.col("_hdr_text"), "^\ufeff", ""), '"', ""), pattern, -1)
+    body = body.withColumn("_hdr", hdr).withColumn("_f", F.split(F.col("line"), pattern, -1))
     out = [F.col("path"), F.col("member"), F.col("line_no")]
     for name in columns:
         pos = F.array_position(F.col("_hdr"), F.lit(name))

@@ -78,3 +78,6 @@ def land_stream(
 def read_bronze(spark: SparkSession, bronze_path: str) -> DataFrame:
     """Landed lines, in the layout ``sources.ingest.parse_delimited`` expects."""
     return spark.read.parquet(bronze_path).select(*LINES_SCHEMA.fieldNames(), "landed_on", "batch_id")
+
+
+# (bronze rows keep the member header written by the unzip, so parsing bronze is one pass as well)
