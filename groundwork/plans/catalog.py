@@ -97,100 +97,121 @@ def _gmean_wells(spark, d):
 
 
 def q_clean_samples(spark, d):
+    """One row per sample id, largest value kept."""
     return _clean(spark, d).select(*SAMPLE_COLS)
 
 
 def q_make_ids(spark, d):
+    """Sample id text 'WID LOGDATE PARLABEL' over the clean samples."""
     return _clean(spark, d).select("wid", "logdate", "parlabel", sid_text().alias("sid"))
 
 
 def q_load_detects(spark, d):
+    """Detections only (null-safe qualifier, value > reporting limit) since the start date."""
     return op.detects(_raw(spark, d), since=SINCE).select(*SAMPLE_COLS)
 
 
 def q_head_per_group(spark, d):
+    """first five rows of every (well, date) in ingest order."""
     return op.head_per_group(_raw(spark, d), ["wid", "logdate"], 5, ORDER).select(*SAMPLE_COLS)
 
 
 def q_dedup_locations(spark, d):
+    """One location per well, provider rank then ingest order."""
     return _locations(spark, d).select("wid", "field_pt_class", "latitude", "longitude", "x_m", "y_m")
 
 
 def q_join_locations(spark, d):
+    """Clean samples ⋈ well locations."""
     return op.join_locations(_clean(spark, d), _locations(spark, d)).select(
         *SAMPLE_COLS, "field_pt_class", "latitude", "longitude"
     )
 
 
 def q_join_mcl(spark, d):
+    """Clean samples ⋈ contaminant limits (broadcast, size-checked)."""
     return op.join_mcl(_clean(spark, d), lookups.mcl_table(spark)).select(
         *SAMPLE_COLS, "chem_name", "comp_conc_val", "mcl_units"
     )
 
 
 def q_join_mcl_left(spark, d):
+    """D3: left variant — labels without a limit kept with NULL limit."""
     mcl = lookups.mcl_table(spark, lookups.TEST_MCL_ROWS[:MCL_LEFT_ROWS])
     return op.join_mcl(_clean(spark, d), mcl, how="left").select(*SAMPLE_COLS, "chem_name", "comp_conc_val", "mcl_units")
 
 
 def q_convert_units(spark, d):
+    """Unit factor join and conversion to the target unit."""
     df = op.join_mcl(_clean(spark, d), lookups.mcl_table(spark))
     df = op.convert_units(df, lookups.unit_table(spark))
     return df.select("wid", "logdate", "parlabel", r6("parval").alias("parval"), "units", "mcl_units", "coef")
 
 
 def q_enrich_samples(spark, d):
+    """Locations, limits, units, exceedance and magnitude."""
     return _enriched_out(_enriched(spark, d))
 
 
 def q_all_samples(spark, d):
+    """J2 with keep-first after the unit join, since 2000-01-01, eleven labels."""
     df = _enriched(spark, d, dedup_after=True)
     df = op.contaminant_filter(op.since_filter(df, ALL_SAMPLES_SINCE), CONTS11)
     return _enriched_out(df)
 
 
 def q_monitoring_wells(spark, d):
+    """C4: enriched samples of monitoring wells since the start date."""
     return _enriched_out(op.monitoring_wells(op.since_filter(_enriched(spark, d), SINCE)))
 
 
 def q_spec_wells_11(spark, d):
+    """Strict screen, all eleven labels at least four times each."""
     return _enriched_out(op.spec_wells(_enriched(spark, d), CONTS11, since=SINCE, reuse=True))
 
 
 def q_spec_wells_relaxed(spark, d):
+    """Relaxed screen, at least half the labels, every present label at least three times."""
     return _enriched_out(op.spec_wells_relaxed(_enriched(spark, d), CONTS11, min_count=RELAXED_MIN_COUNT, since=SINCE, reuse=True))
 
 
 def q_spec_wells_mw4(spark, d):
+    """J4 variant: four-chemical screen on monitoring wells."""
     return _enriched_out(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES, reuse=True))
 
 
 def q_spec_wells_dtw(spark, d):
+    """J4 variant: four-chemical screen on samples with a depth-to-water reading."""
     df = op.spec_wells(_samples_dtw(spark, d), CHEMS4, since=SINCE, min_count=DTW_MIN_COUNT, require_dtw=True, reuse=True)
     return df.select(*ENRICHED_COLS[:-1], r6("magnitude").alias("magnitude"), r6("dtw").alias("dtw"), "dtw_units")
 
 
 def q_dtw_union(spark, d):
+    """Provider readings unioned, one per (well, date)."""
     return _dtw(spark, d).select("wid", "logdate", r6("dtw").alias("dtw"), "dtw_units")
 
 
 def q_samples_dtw(spark, d):
+    """Enriched samples left-joined to the readings."""
     df = _samples_dtw(spark, d, "left")
     return df.select(*ENRICHED_COLS[:-1], r6("magnitude").alias("magnitude"), r6("dtw").alias("dtw"), "dtw_units")
 
 
 def q_join_dtw_inner(spark, d):
+    """Enriched samples inner-joined to the readings."""
     df = _samples_dtw(spark, d, "inner")
     return df.select("wid", "logdate", "parlabel", "parval", "units", "latitude", "longitude", r6("dtw").alias("dtw"), "dtw_units")
 
 
 def q_all_dtw(spark, d):
+    """Monitoring-well samples of the eleven labels with a reading."""
     cols = ["logdate", "parlabel", "parval", "parvq", "units", "latitude", "longitude", "chem_name", "dtw", "dtw_units"]
     df = op.all_dtw(_samples_dtw(spark, d), CONTS11, MONITORING_CLASSES, ["wid", *cols])
     return df.withColumn("dtw", r6("dtw"))
 
 
 def q_dtw_coverage(spark, d):
+    """Share of screened samples and wells with a reading."""
     spec = op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, reuse=True)
     return op.dtw_coverage(op.attach_dtw(spec, _dtw(spark, d), "left"))
 
@@ -200,14 +221,17 @@ def _mcl_samples(spark, d):
 
 
 def q_visits_with_all(spark, d):
+    """Rows of visits holding all three BTEX-style labels."""
     return op.visits_with_all(_mcl_samples(spark, d), VISIT_LABELS, reuse=True).select(*SAMPLE_COLS)
 
 
 def q_visit_combo_support(spark, d):
+    """Visits holding every member, for each 3-combination of the eleven labels."""
     return op.visit_combo_support(_mcl_samples(spark, d), CONTS11, VISIT_COMBO_SIZE).select("contaminants", "n")
 
 
 def q_visit_combo_best(spark, d):
+    """Best-supported 3-combination, ties by enumeration order."""
     return op.visit_combo_best(op.visit_combo_support(_mcl_samples(spark, d), CONTS11, VISIT_COMBO_SIZE))
 
 
@@ -218,31 +242,38 @@ def _combo_input(spark, d):
 
 
 def q_combo_stats(spark, d):
+    """Wells and samples for each of the 1,816 combinations (sizes 4–11)."""
     return op.combo_stats(_combo_input(spark, d), CONTS11, COMBO_SIZES)
 
 
 def q_combo_max(spark, d):
+    """Per combination size, the rows holding both maxima."""
     return op.combo_max(op.combo_stats(_combo_input(spark, d), CONTS11, COMBO_SIZES))
 
 
 def q_combo_groups(spark, d):
+    """Per combination size, the maximum of every column."""
     return op.combo_groups(op.combo_stats(_combo_input(spark, d), CONTS11, COMBO_SIZES))
 
 
 def q_label_counts(spark, d):
+    """Rows per label among the eleven labels."""
     return op.label_counts(op.contaminant_filter(_clean(spark, d), CONTS11))
 
 
 def q_label_percent(spark, d):
+    """Rows per label and percent share (half-even, 4 places)."""
     return op.label_percent(_enriched(spark, d))
 
 
 def q_top_labels(spark, d):
+    """Five most frequent labels (monitoring wells, since the start date)."""
     df = op.monitoring_wells(op.since_filter(_enriched(spark, d), SINCE))
     return op.top_labels(op.contaminant_filter(df, CONTS11), 5)
 
 
 def q_class_counts(spark, d):
+    """Well-class value counts of the monitoring-well screen."""
     return op.class_counts(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES, reuse=True))
 
 
@@ -270,6 +301,7 @@ def q_stage_counts(spark, d):
 
 
 def q_wqi_pivot(spark, d):
+    """(station, year) × label_unit mean value, complete rows only."""
     cols = [f"{lab}_{u}" for lab, *_rest, u in lookups.TEST_MCL_ROWS if lab in CHEMS4]
     cols = sorted(cols)
     p = op.wqi_pivot(op.contaminant_filter(_mcl_samples(spark, d), CHEMS4), cols, date_grain="year")
@@ -277,32 +309,38 @@ def q_wqi_pivot(spark, d):
 
 
 def q_well_mag_mean(spark, d):
+    """Mean magnitude per well with a location."""
     mags = op.well_magnitude(_enriched(spark, d), "mean", "magnitude")
     w = op.wells_with_mag(_locations(spark, d).select("wid"), mags)
     return w.select("wid", r6("mag").alias("mag"))
 
 
 def q_well_mag_gmean(spark, d):
+    """Geometric-mean exceedance ratio per well (detections, flat limit)."""
     return _gmean_wells(spark, d).select("wid", r6("mag").alias("mag"))
 
 
 def q_zscore_outliers(spark, d):
+    """C11: exceedance ratios within the z-score cut."""
     det = op.clean_samples(op.detects(_raw(spark, d), since=SINCE), order=ORDER, with_ids=False)
     ratios = op.exceedance_ratios(det, lookups.flat_mcl_table(spark, CONTS11, FLAT_LIMIT))
     return op.zscore_outliers(ratios, "mag", ZSCORE_MAX_TEST).select("wid", "logdate", "parlabel", r6("mag").alias("mag"))
 
 
 def q_project_utm(spark, d):
+    """Well coordinates projected to UTM zone 11 (GRS80)."""
     loc = _locations(spark, d).select("wid", "longitude", "latitude")
     p = op.project_utm(loc)
     return p.select("wid", F.bround("x_m", 3).alias("x_m"), F.bround("y_m", 3).alias("y_m"))
 
 
 def q_proximity_pairs(spark, d):
+    """(block, well, distance) within 1,000 m, blocks as points."""
     return op.point_pairs(td.block_points(spark, d), _locations(spark, d)).select("geoid", "wid", r6("dist").alias("dist"))
 
 
 def q_proximity_weight(spark, d):
+    """Distance-band weight of every (block, well) pair."""
     p = op.point_pairs(td.block_points(spark, d), _locations(spark, d))
     from ..functions.weights import band_weight
 
@@ -310,21 +348,25 @@ def q_proximity_weight(spark, d):
 
 
 def q_block_score_gmean(spark, d):
+    """Geometric-mean weighted score per block (points), 0 without wells."""
     s = op.block_score(td.block_points(spark, d), _gmean_wells(spark, d), "gmean", geometry="point")
     return s.select("geoid", r6("score").alias("score"))
 
 
 def q_block_score_mean(spark, d):
+    """Arithmetic-mean weighted score per block (points)."""
     s = op.block_score(td.block_points(spark, d), _gmean_wells(spark, d), "mean", geometry="point")
     return s.select("geoid", r6("score").alias("score"))
 
 
 def q_block_score_poly(spark, d):
+    """J11 with polygon blocks (point-to-polygon distance)."""
     s = op.block_score(td.blocks(spark, d), _gmean_wells(spark, d), "gmean", geometry="polygon")
     return s.select("geoid", r6("score").alias("score"))
 
 
 def q_polygon_pairs(spark, d):
+    """(block polygon, well, distance) within 1,000 m."""
     p = op.polygon_pairs(td.blocks(spark, d), _locations(spark, d))
     return p.select("geoid", "wid", r6("dist").alias("dist"))
 
@@ -335,6 +377,7 @@ def _usts(spark, d):
 
 
 def q_ust_union(spark, d):
+    """One tank record per address, most open tanks first."""
     return _usts(spark, d).select("Facility_I", "Name", "Address", "Open_USTs")
 
 
@@ -343,6 +386,7 @@ def _site_counts(spark, d):
 
 
 def q_blockgroup_site_counts(spark, d):
+    """Tanks and cleanup sites inside each block group."""
     return _site_counts(spark, d).select("geoid", "usts", "cleanups", "sites")
 
 
@@ -356,6 +400,7 @@ def q_study_area(spark, d):
 
 
 def q_source_manifest(spark, d):
+    """Expected provider files per area present in the samples."""
     areas = _raw(spark, d).select("area").distinct()
     return source_manifest_for_areas(areas).select("area", "dataset", "file_name")
 
@@ -382,24 +427,29 @@ def q_parse_logdate(spark, d):
 
 
 def q_exceedence_magnitude(spark, d):
+    """Exceedance flag and magnitude on the limit-joined samples."""
     df = op.exceedence_magnitude(_mcl_samples(spark, d))
     return df.select("wid", "logdate", "parlabel", "parval", "exceedence", r6("magnitude").alias("magnitude"))
 
 
 def q_since_filter(spark, d):
+    """Clean samples on or after the start date."""
     return op.since_filter(_clean(spark, d), SINCE).select(*SAMPLE_COLS)
 
 
 def q_contaminant_filter(spark, d):
+    """Clean samples of the four-chemical set."""
     return op.contaminant_filter(_clean(spark, d), CHEMS4).select(*SAMPLE_COLS)
 
 
 def q_label_lists(spark, d):
+    """Per-well label counter as sorted text."""
     df = op.contaminant_filter(op.since_filter(_enriched(spark, d), SINCE), CONTS11)
     return op.label_lists(df).select("wid", "labels", "n_labels")
 
 
 def q_union_samples(spark, d):
+    """H1: provider tables unioned by name (missing columns NULL)."""
     raw = _raw(spark, d)
     geo = raw.filter(F.col("source") == "geotracker").drop("area")
     gama = raw.filter(F.col("source") == "gama")
