@@ -391,6 +391,7 @@ def q_blockgroup_site_counts(spark, d):
 
 
 def q_study_area(spark, d):
+    """Top quarter of block groups by site count, shallow water table, disadvantaged community."""
     # The per-group counts feed both the rank histogram and the rows; checkpoint them once (reliable
     # checkpoint in spark.checkpoint.dir) instead of running the spatial join twice.
     ensure_checkpoint_dir(spark)
