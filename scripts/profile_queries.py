@@ -81,6 +81,12 @@ def main() -> None:
                 r = m.get("Shuffle Read Metrics") or {}
                 s["shuffle_read_mb"] += (r.get("Remote Bytes Read", 0) + r.get("Local Bytes Read", 0)) / 1e6
                 s["spill_mb"] += m.get("Disk Bytes Spilled", 0) / 1e6
+                info = ev.get("Task Info") or {}
+                st = s.setdefault("per_stage", {}).setdefault(ev["Stage ID"], [0, 0.0, 0.0])
+                st[0] += 1
+                dur = (info.get("Finish Time", 0) - info.get("Launch Time", 0)) / 1000
+                st[1] = max(st[1], dur)
+                st[2] += dur
     print("| query | wall sec | task sec | stages | tasks | input rows | shuffle write MB | shuffle read MB | spill MB |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
     for k in keys:
@@ -88,6 +94,11 @@ def main() -> None:
                           "shuffle_write_mb": 0, "shuffle_read_mb": 0, "spill_mb": 0})
         print(f"| {k} | {wall[k]:.2f} | {s['task_sec']:.1f} | {len(s['stages'])} | {s['tasks']} | {s['input_rows']:,} | "
               f"{s['shuffle_write_mb']:.1f} | {s['shuffle_read_mb']:.1f} | {s['spill_mb']:.1f} |")
+    if os.environ.get("PROFILE_STAGES"):
+        for k in keys:
+            per = stats.get(k, {}).get("per_stage", {})
+            top = sorted(per.items(), key=lambda kv: -kv[1][2])[:6]
+            print(f"{k}: " + "; ".join(f"stage {sid}: {n} tasks, sum {tot:.2f}s, max {mx:.2f}s" for sid, (n, mx, tot) in top))
     print(f"event log: {log_path}", file=sys.stderr)
 
 
