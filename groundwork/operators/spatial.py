@@ -1,7 +1,11 @@
 """Proximity and containment joins on a planar grid.
 
 Catalyst alone plans a distance predicate as a broadcast nested-loop join (every block × every well).
-Here both sides get grid-cell keys and meet in an ordinary equi-join:
+Here both sides get grid-cell keys and meet in an ordinary equi-join, planned as a shuffle (sort-merge)
+join on the cell: neither side has a provable broadcast bound at scale, a hot cell is split by AQE's
+skew-join handling, and the CPU-heavy work after the join (exact distances, edge rows) runs in as many
+tasks as there are cell partitions — a broadcast join would instead stream whichever side happened to
+be small, possibly as a single task.
 
 * the well (point) side gets exactly one cell, ``floor(x / cell), floor(y / cell)``;
 * the block side is exploded into every cell its bounding box, grown by the radius, touches.
@@ -72,7 +76,7 @@ def point_pairs(
     b = _explode_cells(b, F.col("_bx") - r, F.col("_by") - r, F.col("_bx") + r, F.col("_by") + r, cell, salt)
     w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
     keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
-    j = b.join(w, keys)
+    j = b.hint("merge").join(w, keys)
     dx = F.col("_px") - F.col("_bx")
     dy = F.col("_py") - F.col("_by")
     j = j.withColumn("dist", F.sqrt(dx * dx + dy * dy)).filter(F.col("dist") <= r)
@@ -150,7 +154,7 @@ def _polygon_pairs_by_pair(blocks, wells, radius, cell, salt, well_cols, id_col)
     b = _polygon_side(blocks, radius, cell, salt)
     w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
     keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
-    j = b.join(w, keys)
+    j = b.hint("merge").join(w, keys)
     bx = F.greatest(F.col("_minx") - F.col("_px"), F.lit(0.0), F.col("_px") - F.col("_maxx"))
     by = F.greatest(F.col("_miny") - F.col("_py"), F.lit(0.0), F.col("_py") - F.col("_maxy"))
     j = j.filter(bx * bx + by * by <= r * r)
@@ -186,14 +190,14 @@ def _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col)
         F.least("ax", "bx") - r, F.least("ay", "by") - r, F.greatest("ax", "bx") + r, F.greatest("ay", "by") + r,
         cell, salt,
     )
-    near = ge.join(w, keys).withColumn("_d", edge_distance(*args)).filter(F.col("_d") <= r)
+    near = ge.hint("merge").join(w, keys).withColumn("_d", edge_distance(*args)).filter(F.col("_d") <= r)
     near = near.select("geoid", id_col, *extra, F.col("_d").alias("dist"))
 
     # inside: wells inside the block's box, ray-cast against the edges of the well's horizontal band
     minx, miny, maxx, maxy = rings_bbox("rings")
     boxes = blocks.select("geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"))
     bc = _explode_cells(boxes, F.col("_minx"), F.col("_miny"), F.col("_maxx"), F.col("_maxy"), cell, salt)
-    inbox = bc.join(w, keys).filter(
+    inbox = bc.hint("merge").join(w, keys).filter(
         (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
         & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
     ).select("geoid", id_col, *extra, "_px", "_py", F.floor(F.col("_py") / F.lit(cell)).alias("_band"))
@@ -227,7 +231,7 @@ def points_in_polygons(
         id_col, F.col("x_m").alias("_px"), F.col("y_m").alias("_py"), *extra
     )
     p = _point_cells(p, "_px", "_py", cell, 1, id_col)
-    j = b.join(p, ["cx", "cy"])
+    j = b.hint("merge").join(p, ["cx", "cy"])
     inside_box = (
         (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
         & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
