@@ -90,3 +90,32 @@ def test_landing_batch_rerun_is_idempotent(spark, land, tmp_path):
     lines = lines.withColumn("landed_on", F.current_date()).withColumn("batch_id", F.lit(0).cast("long"))
     lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(bronze)
     assert read_bronze(spark, bronze).count() == n
+
+
+def test_scale_settings_bounds():
+    from groundwork.session import MAX_SHUFFLE_PARTITIONS, scale_settings
+
+    big = scale_settings(100e12, 4000)
+    assert int(big["spark.sql.shuffle.partitions"]) == min(MAX_SHUFFLE_PARTITIONS, int(100e12 // (1 << 30)) + 1)
+    small = scale_settings(1e9, 64)
+    assert int(small["spark.sql.shuffle.partitions"]) == 3 * 64  # at least three waves of cores
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_study_area_and_polygon_score_jobs(spark, tmp_path):
+    from groundwork import operators as op
+    from groundwork.plans import catalog as cat
+    from groundwork.sources import testdata as td
+
+    d, out = "/root/testdata/sf0.001", str(tmp_path / "sa")
+    u = td.usts(spark, d)
+    sa = jobs.study_area_job(td.blockgroups(spark, d), [u.filter("source_rank = 0"), u.filter("source_rank = 1")],
+                             td.cleanups(spark, d), out=out)
+    assert sa.count() > 0 and sa.filter("pct_rank > 0.25 or not is_dac or water_table_depth_m > 5").count() == 0
+    loc = cat._locations(spark, d)
+    mcl = lookups.flat_mcl_table(spark, cat.CONTS11, cat.FLAT_LIMIT)
+    # blocks in projected metres: reuse the adapter squares, wells projected from their lon/lat by the job
+    wells, scores = jobs.score_job(td.samples_raw(spark, d), loc, td.blocks(spark, d), mcl, since=cat.SINCE,
+                                   geometry="polygon", out=str(tmp_path / "score"))
+    assert scores.count() == td.blocks(spark, d).count()
+    assert wells.filter("x_m is null or y_m is null").count() == 0 and scores.filter("score < 0").count() == 0
