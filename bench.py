@@ -41,22 +41,32 @@ def main() -> None:
     names = keys or catalog.HEADLINE
     warm_dir = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
     warm = os.environ.get("BENCH_WARMUP", "1") != "0" and os.path.isdir(warm_dir)
+    errors = {}
     if warm:
         for name in names:
-            catalog.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+            try:
+                catalog.QUERIES[name](spark, warm_dir).write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001 - reported below, the bench still prints its line
+                errors[name] = f"warm-up: {type(e).__name__}: {str(e)[:200]}"
     times = {}
     for name in names:
-        times[name] = round(run(name), 3)
+        try:
+            times[name] = round(run(name), 3)
+        except Exception as e:  # noqa: BLE001
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     out = {
         "metric": "headline_jobs_total",
-        "value": round(sum(times.values()), 3),
+        "value": round(sum(t for t in times.values() if t is not None), 3),
         "unit": "sec",
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
         "warmup": warm_dir if warm else None,
     }
+    if errors:
+        out["errors"] = errors
     print(json.dumps(out), flush=True)
     spark.stop()
 
