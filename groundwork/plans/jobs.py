@@ -36,7 +36,8 @@ def _out(df: DataFrame, out: str | None, name: str, by_area: bool = False) -> Da
         sinks.write_by_area(df, path)
     else:
         sinks.write_table(df, path)
-    return df.sparkSession.read.parquet(path)
+    # read back with the known schema: an empty result leaves no data files to infer it from
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # --- loaders ---------------------------------------------------------------------------------------

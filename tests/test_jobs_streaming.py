@@ -119,3 +119,17 @@ def test_study_area_and_polygon_score_jobs(spark, tmp_path):
                                    geometry="polygon", out=str(tmp_path / "score"))
     assert scores.count() == td.blocks(spark, d).count()
     assert wells.filter("x_m is null or y_m is null").count() == 0 and scores.filter("score < 0").count() == 0
+
+
+def test_run_batch_script(spark, land, tmp_path):
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("run_batch", os.path.join(os.path.dirname(__file__), "..", "scripts", "run_batch.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    (tmp_path / "mcl.csv").write_text("chem_abrv,chem_name,comp_conc_val,comp_conc_type,units\nBZ,Benzene,1.0,MCL,UG/L\nBZME,Toluene,150,MCL,UG/L\n")
+    (tmp_path / "units.csv").write_text("start_unit,coef\nUG/L,1\nMG/L,1000\n")
+    s = mod.main(["--landing", str(land), "--mcl", str(tmp_path / "mcl.csv"), "--units", str(tmp_path / "units.csv"),
+                  "--out", str(tmp_path / "out"), "--since", "2015-01-01", "--elevation", str(land / "elevation")])
+    assert s["samples_enriched"] == 10  # BZ and BZME rows of T1-MW1 (8), T2 (1), G1 (1)
+    assert s["combo_stats"] >= 1
