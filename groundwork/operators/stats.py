@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import sid_text
 
 
 def label_counts(df: DataFrame, col: str = "parlabel") -> DataFrame:
@@ -38,20 +37,25 @@ def class_counts(df: DataFrame, col: str = "field_pt_class", distinct_on: str |
     return df.groupBy(col).agg(agg.alias("n"))
 
 
-def stage_counts(stages: Sequence[tuple[str, DataFrame]]) -> DataFrame:
+def stage_counts(stages: Sequence[tuple[str, DataFrame]],
+                 sid_cols: Sequence[str] = ("wid", "logdate", "parlabel")) -> DataFrame:
     """Rows, distinct sample ids and distinct wells after each named stage (E17), as one small table.
 
-    Each stage is one aggregate (partial per task); the union of the one-row results is the report.
+    Each stage is three plain aggregates (per sample id, per well, total) instead of DISTINCT
+    aggregates: no row expansion, and a hot id or well costs one partial row per task. The union of
+    the one-row results is the report. ``stage_counts_flagged`` does all stages in one pass.
     """
     parts = []
+    sid = list(sid_cols)
     for i, (name, df) in enumerate(stages):
-        parts.append(
-            df.agg(
-                F.count(F.lit(1)).alias("rows"),
-                F.countDistinct(sid_text()).alias("sids"),
-                F.countDistinct("wid").alias("wells"),
-            ).select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "rows", "sids", "wells")
+        per_sid = df.groupBy(*sid).agg(F.count(F.lit(1)).alias("_r"))
+        per_well = per_sid.groupBy(sid[0]).agg(F.sum("_r").alias("_r"), F.count(F.lit(1)).alias("_s"))
+        tot = per_well.agg(
+            F.coalesce(F.sum("_r"), F.lit(0)).cast("bigint").alias("rows"),
+            F.coalesce(F.sum("_s"), F.lit(0)).cast("bigint").alias("sids"),
+            F.count(F.lit(1)).alias("wells"),
         )
+        parts.append(tot.select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "rows", "sids", "wells"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

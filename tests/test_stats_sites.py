@@ -49,3 +49,16 @@ def test_stage_counts_monotone(spark):
     assert [s.stage for s in st][:2] == ["raw", "clean"]
     assert st[1].rows == st[1].sids  # SIDs unique after clean
     assert all(a.rows >= b.rows for a, b in zip(st[1:], st[2:]))
+
+
+def test_generic_stage_counts_equal_flagged(spark):
+    from groundwork.plans import catalog as cat
+
+    d = "/root/testdata/sf0.001"
+    raw = cat._raw(spark, d)
+    clean = cat._clean(spark, d)
+    loc = op.join_locations(clean, cat._locations(spark, d))
+    generic = {r.stage: (r.rows, r.sids, r.wells) for r in op.stage_counts([("raw", raw), ("clean", clean), ("locations", loc)]).collect()}
+    flagged = {r.stage: (r.rows, r.sids, r.wells) for r in cat.q_stage_counts(spark, d).collect()}
+    for k in generic:
+        assert generic[k] == flagged[k], k
