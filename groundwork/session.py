@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -106,6 +108,20 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per context), wherever the driver was started."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if getattr(sc, "_groundwork_shipped", False) or not root.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="gw-package-"), "groundwork.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(path)
+    sc._groundwork_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
