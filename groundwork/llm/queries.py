@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, sharding
+from . import chat, decontaminate, exact_dedup, licenses, lm_score, mixing, near_dedup, quality, secrets, sharding
 from .common import read
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    s = quality.score(docs, read(spark, sf_dir, "labels"))
+    return s.select(
+        "doc_id",
+        F.col("quality_held_out").alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.col("quality_predicted").alias("predicted"),
+    )
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 
@@ -31,14 +46,61 @@ def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "shard", "shard_depth", "shard_rows", "shard_bytes", "shard_fits")
 
 
+def op6_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    best = F.try_element_at("leaks", F.lit(1))
+    return d.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").alias("n_items"),
+        best["item_id"].alias("best_item"),
+        best["coverage"].alias("best_coverage"),
+        best["tiles"].alias("best_tiles"),
+        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("items"),
+        (F.size("leaks") == 0).alias("kept"),
+    )
+
+
+def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=3, percent=85, bands=32, rows=6)
+
+
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(read(spark, sf_dir, "documents"))
+
+
+def op9_license_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(read(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["name"])))
+    spans = F.transform("notices", lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select(
+        "doc_id",
+        "n_blocks",
+        F.size("notices").alias("n_notices"),
+        F.array_join(names, ",").alias("licenses"),
+        F.array_join(spans, ",").alias("spans"),
+        F.coalesce(F.aggregate("notices", F.lit(0), lambda a, x: a + x["saved"]), F.lit(0)).alias("bytes_saved"),
+    )
+
+
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations")
     return chat.preference_rows(turns, chat.swapped_replies(turns))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_exact_dedup": op3_exact_dedup,
-    "op4_source_mixing": op4_source_mixing,
-    "op5_extendible_sharding": op5_extendible_sharding,
-    "op10_preference_format": op10_preference_format,
+    f.__name__: f
+    for f in (
+        op1_quality_classifier,
+        op2_secret_scan,
+        op3_exact_dedup,
+        op4_source_mixing,
+        op5_extendible_sharding,
+        op6_benchmark_tiling,
+        op7_minmax_near_dedup,
+        op8_lattice_lm,
+        op9_license_compression,
+        op10_preference_format,
+    )
 }
