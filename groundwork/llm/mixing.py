@@ -58,8 +58,9 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with its columns and ``mix_size, mix_source_size, mix_target, mix_copies`` (0..max_repeats).
+    """``docs`` with its columns (or only those of ``carry``) and ``mix_size, mix_source_size, mix_target, mix_copies`` (0..max_repeats).
 
     Sizes are words; a null text has none and gets no copies, as nothing of it can be taken. A null
     source is a source of its own, the last. Null ids and repeated rows are ordinary items; equal sort
@@ -67,34 +68,36 @@ def mix(
     agree: the order comes from ids and ``seed`` alone. Columns of these four names are replaced.
     """
     spark = docs.sparkSession
-    out_cols = [c for c in docs.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_copies")]
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    cols = [c for c in (docs.columns if carry is None else carry) if c not in added]
     rows = docs.select(
-        *out_cols,
+        F.struct(*cols).alias("doc"),  # the input's columns stay apart from the names used below
+        F.col(source_col).alias("source"),
         word_count(text_or_empty(text_col)).alias("mix_size"),
         F.md5(F.concat(F.lit(seed + ":"), id_text(id_col))).alias("__key"),
     ).withColumn("__u", F.conv(F.substring("__key", 1, 13), 16, 10).cast("long"))
-    small = shared_table(rows.select(F.col(source_col).alias("source"), "mix_size", "__key", "__u"), "sizes")
+    small = shared_table(rows.select("source", "mix_size", "__key", "__u"), "sizes")
     sizes = small.groupBy("source").agg(F.count("*").alias("rows"), F.sum("mix_size").alias("source_size"))
     targets = shared_table(source_targets(sizes, weights, share, max_repeats), "targets")
 
-    def placed(df: DataFrame, source: str) -> DataFrame:
+    def placed(df: DataFrame) -> DataFrame:
         t = targets.withColumnRenamed("source", "__source").withColumnRenamed("source_size", "mix_source_size")
         buckets = F.greatest(F.ceil(F.col("rows") / BUCKET_ROWS), F.lit(1))
-        return df.join(t, df[source].eqNullSafe(F.col("__source"))).withColumn(
+        return df.join(t, df["source"].eqNullSafe(F.col("__source"))).withColumn(
             "__bucket", F.floor(F.col("__u") / SPACE * buckets)
         )
 
-    totals = placed(small, "source").groupBy("ord", "__bucket").agg(F.sum("mix_size").alias("bucket_size"))
+    totals = placed(small).groupBy("ord", "__bucket").agg(F.sum("mix_size").alias("bucket_size"))
     along = Window.partitionBy("ord").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = shared_table(
         totals.select("ord", "__bucket", F.coalesce(F.sum("bucket_size").over(along), F.lit(0)).alias("start")), "starts"
     )
 
-    def queued(df: DataFrame, source: str) -> DataFrame:
+    def queued(df: DataFrame) -> DataFrame:
         inside = Window.partitionBy("ord", "__bucket").orderBy("__u", "__key", "mix_size").rowsBetween(
             Window.unboundedPreceding, 0
         )
-        return placed(df, source).join(starts, ["ord", "__bucket"]).withColumn(
+        return placed(df).join(starts, ["ord", "__bucket"]).withColumn(
             "__cum", F.col("start") + F.sum("mix_size").over(inside)
         )
 
@@ -104,7 +107,7 @@ def mix(
         e = df.select(*keep, r).withColumn("__cum", F.col("__cum") + F.col("__repeat") * F.col("mix_source_size"))
         return e.withColumn("finish", F.try_divide(F.col("__cum").cast("double"), F.col("target")))
 
-    q = items(queued(small, "source"), ["ord", "mix_size", "mix_source_size", "target", "__cum"]).where("mix_size > 0")
+    q = items(queued(small), ["ord", "mix_size", "mix_source_size", "target", "__cum"]).where("mix_size > 0")
     n_rows = small.count()
     slots = float(max(1, n_rows // BUCKET_ROWS))
     q = q.withColumn("slot", F.floor(F.col("finish") * slots))
@@ -135,9 +138,9 @@ def mix(
             at = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["ord"]).alias("ord"), F.lit(last["__cum"]).cast("long").alias("__cum"))
             fits = fits | ((slot == crossing["slot"]) & (place <= at))
         taken = taken + F.when((F.col("mix_size") > 0) & fits, 1).otherwise(0)
-    full = queued(rows, source_col)
+    full = queued(rows)
     return full.select(
-        *out_cols, "mix_size", "mix_source_size", F.col("target").alias("mix_target"), taken.cast("int").alias("mix_copies")
+        "doc.*", "mix_size", "mix_source_size", F.col("target").alias("mix_target"), taken.cast("int").alias("mix_copies")
     )
 
 

@@ -31,7 +31,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mixing.mix(read(spark, sf_dir, "documents"))
+    m = mixing.mix(read(spark, sf_dir, "documents"), carry=["doc_id"])
     return m.select(
         "doc_id",
         F.col("mix_size").alias("size"),
@@ -42,7 +42,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sharding.shard(read(spark, sf_dir, "documents"))
+    s = sharding.shard(read(spark, sf_dir, "documents"), carry=["doc_id"])
     return s.select("doc_id", "shard", "shard_depth", "shard_rows", "shard_bytes", "shard_fits")
 
 

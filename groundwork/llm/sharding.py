@@ -69,17 +69,17 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
 
 
 def shard(
-    docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, limit: int = SHARD_BYTES, key_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
 ) -> DataFrame:
-    """``docs`` with ``shard`` (the prefix bits, 'all' at depth 0), ``shard_depth, shard_rows, shard_bytes, shard_fits``.
+    """``docs`` (its columns, or only those of ``carry``) with ``shard`` (the prefix bits, 'all' at depth 0), ``shard_depth, shard_rows, shard_bytes, shard_fits``.
 
     Bytes are the UTF-8 bytes of the text (null: 0). Rows with equal keys, null keys among them, share an
     address; where such rows alone exceed the limit, or one text does, the shard cannot be split further
     and ``shard_fits`` is false. An empty table has no shards. Columns of these names are replaced.
     """
     added = ("shard", "shard_depth", "shard_rows", "shard_bytes", "shard_fits")
-    cols = [c for c in docs.columns if c not in added]
-    rows = docs.select(*cols, key_hash(key_col).alias("__h"))
+    cols = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    rows = docs.select(F.struct(*cols).alias("doc"), key_hash(key_col).alias("__h"))
     sizes = docs.select(
         key_hash(key_col).alias("h"), F.octet_length(text_or_empty(text_col)).cast("long").alias("bytes")
     )
@@ -104,7 +104,7 @@ def shard(
         F.substring(F.lpad(F.bin("prefix"), BITS, "0"), -F.col("depth"), F.col("depth"))
     )
     return joined.select(
-        *cols,
+        "doc.*",
         bits.alias("shard"),
         F.col("depth").cast("int").alias("shard_depth"),
         F.col("__rows").alias("shard_rows"),
