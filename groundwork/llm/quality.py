@@ -31,12 +31,13 @@ from pyspark.sql import types as T
 
 from .common import id_text, in_arrow
 
-BUCKETS, DIM, MARK_DIM, NONZERO, WINDOW = 1 << 13, 32, 64, 4, 2
+BITS, DIM, MARK_DIM, NONZERO, WINDOW = 13, 32, 64, 4, 2
+BUCKETS = 1 << BITS
 SAMPLE = 20_000
 FEATURES = DIM + MARK_DIM + 1
 THRESHOLD = 0.7
 _CACHE_WORDS = 1 << 19
-_SLICE = 1 << 15
+_SLICE = 1 << 18
 _SAME, _SEEN, _LINE = 0, 1, 2  # rows of the marks in the second table
 
 
@@ -49,9 +50,16 @@ def index_vectors(dim: int, seed: int) -> np.ndarray:
     return out
 
 
+_KINDS = bytes(
+    ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("9") if 48 <= c <= 57 else c
+    for c in range(256)
+)
+_RUNS = re.compile(rb"([aA9])\1+")
+
+
 def shape(word: bytes) -> bytes:
-    word = re.sub(rb"[a-z\x80-\xff]+", b"a", word)
-    return re.sub(rb"[0-9]+", b"9", re.sub(rb"[A-Z]+", b"A", word))[:12]
+    """Runs of upper case, lower case (with all non-ASCII letters) and digits as one A, a, 9; the rest as it is."""
+    return _RUNS.sub(rb"\1", word.translate(_KINDS))[:12]
 
 
 _codes: dict[bytes, int] = {}
@@ -63,7 +71,7 @@ def _code(word: bytes) -> int:
         _codes.clear()
     w = xxhash.xxh3_64_intdigest(word.lower()) % BUCKETS
     s = 3 + xxhash.xxh3_64_intdigest(shape(word)) % (BUCKETS - 3)
-    _codes[word] = c = w * BUCKETS + s
+    _codes[word] = c = (w << BITS) + s
     return c
 
 
@@ -73,7 +81,7 @@ def word_codes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     if None in codes:
         codes = [_code(w) if c is None else c for w, c in zip(words, codes, strict=True)]
     c = np.array(codes, dtype=np.int64)
-    return c // BUCKETS, c % BUCKETS
+    return c >> BITS, c & (BUCKETS - 1)
 
 
 def repeated_lines(text: bytes) -> int:
@@ -105,55 +113,61 @@ def features(text: bytes, vectors: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return out
 
 
-def neighbour_sums(words: np.ndarray, ends: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """For each word the sum of the index vectors of up to ``WINDOW`` words on either side in its text."""
-    out = np.zeros((len(words), index.shape[1]), dtype=np.int32)
-    text = np.searchsorted(ends, np.arange(len(words)), side="right")
-    vec = index[words].astype(np.int32)
-    for d in range(1, WINDOW + 1):
-        near = (text[d:] == text[:-d])[:, None]
-        out[d:] += vec[:-d] * near
-        out[:-d] += vec[d:] * near
-    return out
+class NeighbourSums:
+    """Sums of neighbours' index vectors by word bucket, over up to ``WINDOW`` words on either side.
 
+    An index vector has few non-zero places, so each neighbour adds its signs at those places only. Texts
+    are joined by empty words (number ``BUCKETS``, signs 0) that no window reaches across.
+    """
 
-def _context(at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self) -> None:
         index = index_vectors(DIM, 41)
-        sums = np.zeros((BUCKETS, DIM), dtype=np.int64)
-        met = np.zeros(BUCKETS, dtype=bool)
-
-        def add(parts: list[np.ndarray]) -> None:
-            words = np.concatenate(parts)
-            near = neighbour_sums(words, np.cumsum([len(p) for p in parts]), index)
-            order = np.argsort(words, kind="stable")
-            own, first = np.unique(words[order], return_index=True)
-            sums[own] += np.add.reduceat(near[order], first, axis=0)
-            met[own] = True
-
-        for batch in batches:
-            parts, n = [], 0
-            for text in batch.column(at).cast(pa.binary()):
-                w = word_codes(text.as_py() or b"")[0]
-                if len(w):
-                    parts.append(w)
-                    n += len(w)
-                if n >= _SLICE:
-                    add(parts)
-                    parts, n = [], 0
-            if parts:
-                add(parts)
-        rows = np.flatnonzero(met)
-        columns = [pa.array(rows.astype(np.int32))] + [pa.array(sums[rows, d]) for d in range(DIM)]
-        yield pa.RecordBatch.from_arrays(columns, ["bucket", *(f"c{d}" for d in range(DIM))])
-
-    return run
+        row, place = np.nonzero(index)
+        self.place = np.vstack([place.reshape(BUCKETS, NONZERO), np.zeros((1, NONZERO), int)]).T.copy()
+        self.sign = np.hstack([index[row, place].reshape(BUCKETS, NONZERO).T, np.zeros((NONZERO, 1))]).astype(float)
+        self.sums = np.zeros((BUCKETS + 1) * DIM)
+        self.met = np.zeros(BUCKETS + 1, dtype=bool)
+
+    def add(self, texts: list[np.ndarray]) -> None:
+        gap = np.full(WINDOW, BUCKETS)
+        words = np.concatenate([x for t in texts for x in (t, gap)])
+        self.met[words] = True
+        for d in range(1, WINDOW + 1):
+            left, right = words[:-d], words[d:]
+            for own, near in ((left, right), (right, left)):
+                for k in range(NONZERO):
+                    at = own * DIM + self.place[k][near]
+                    self.sums += np.bincount(at, self.sign[k][near], len(self.sums))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets met and their sums (whole numbers)."""
+        met = np.flatnonzero(self.met[:BUCKETS])
+        return met, self.sums.reshape(-1, DIM)[met].astype(np.int64)
+
+
+def _context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = NeighbourSums()
+    texts, n = [], 0
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            w = word_codes(text.as_py() or b"")[0]
+            if len(w):
+                texts.append(w)
+                n += len(w)
+            if n >= _SLICE:
+                total.add(texts)
+                texts, n = [], 0
+    if texts:
+        total.add(texts)
+    met, sums = total.rows()
+    columns = [pa.array(met.astype(np.int32))] + [pa.array(sums[:, d]) for d in range(DIM)]
+    yield pa.RecordBatch.from_arrays(columns, ["bucket", *(f"c{d}" for d in range(DIM))])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Unit word vectors of all buckets, from neighbours over the whole corpus."""
     schema = ", ".join(["bucket int", *(f"c{d} long" for d in range(DIM))])
-    parts = in_arrow(docs.select(text_col), _context(0), schema)
+    parts = in_arrow(docs.select(text_col), _context, schema)
     total = parts.groupBy("bucket").agg(*(F.sum(f"c{d}").alias(f"c{d}") for d in range(DIM))).toPandas()
     out = np.zeros((BUCKETS, DIM))
     if len(total):
