@@ -7,7 +7,7 @@ import xxhash
 
 _CACHE_WORDS = 1 << 20
 _words: dict[bytes, int] = {}
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -49,7 +49,7 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
         return hashes
     m = multipliers(k, 17)
     width = min(k, n)
-    out = np.full(n - width + 1, np.uint64(width) * _STEP, dtype=np.uint64)
+    out = np.full(n - width + 1, width * _STEP % (1 << 64), dtype=np.uint64)
     for j in range(width):
         out += hashes[j : n - width + 1 + j] * m[j]
     return scramble(out)

@@ -209,7 +209,7 @@ def near_duplicates(
         .join(sets, "id")
     )
 
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
         found = block_links(frame["id"].tolist(), [np.asarray(s) for s in frame["items"]], percent, 100)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
