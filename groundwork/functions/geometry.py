@@ -84,6 +84,16 @@ def utm_xy(lon: str | Column, lat: str | Column, zone: int = 11, south: bool = F
     )
 
 
+def rings_utm(rings: str | Column, zone: int = 11, south: bool = False) -> Column:
+    """Rings given in degrees, projected vertex by vertex to UTM metres."""
+
+    def vertex(p):
+        x, y = utm_xy(p["x"], p["y"], zone, south)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(_c(rings), lambda ring: F.transform(ring, vertex))
+
+
 # --- polygons -----------------------------------------------------------------------------------
 
 

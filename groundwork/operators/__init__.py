@@ -1,7 +1,7 @@
 """DataFrame -> DataFrame operators (usable with ``df.transform``)."""
 
 from .clean import clean_samples, dedup_locations, flag_first, head_per_group, keep_first, require, union_all
-from .combos import combinations_table, combo_groups, combo_max, combo_stats, visit_combo_best, visit_combo_support
+from .combos import by_wells, combinations_table, combo_groups, combo_max, combo_stats, visit_combo_best, visit_combo_support
 from .depth import all_dtw, attach_dtw, dtw_coverage, dtw_union
 from .enrich import (
     convert_units,
@@ -13,7 +13,6 @@ from .enrich import (
     restrict_to_listed,
     zscore_outliers,
 )
-from .joins import bounded_broadcast
 from .pivot import wqi_pivot
 from .score import block_score, project_utm, weighted_pairs, well_magnitude, wells_with_mag
 from .screen import (

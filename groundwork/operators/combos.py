@@ -16,6 +16,7 @@ A combination passes a well iff every member has ``>= min_count`` rows, i.e. com
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +30,32 @@ def _bit_set(mask: Column, i: Column) -> Column:
     return F.call_function("shiftright", mask, i).bitwiseAND(F.lit(1)) == 1
 
 
-MAX_COMBO_LABELS = 20  # 2^20 masks per group row; the combination count itself explodes beyond
+MAX_COMBOS = 1 << 21  # limit on the output: combinations of up to the largest size asked for
 
 
-def _dedup(labels: Sequence[str]) -> list[str]:
+def _dedup(labels: Sequence[str], sizes: Sequence[int]) -> list[str]:
     out = list(dict.fromkeys(labels))
-    if len(out) > MAX_COMBO_LABELS:
-        raise ValueError(f"combination mining enumerates 2^n masks; at most {MAX_COMBO_LABELS} labels (got {len(out)})")
+    hi = min(len(out), max((int(s) for s in sizes), default=0))
+    if sum(math.comb(len(out), k) for k in range(hi + 1)) > MAX_COMBOS:
+        raise ValueError(f"more than {MAX_COMBOS} combinations of up to {hi} of {len(out)} labels")
     return out
 
 
+def _submasks(mask: Column, n: int, sizes: Sequence[int]) -> Column:
+    """Array of the sub-masks of ``mask`` whose bit count is in ``sizes``, built up bit by bit (no other masks
+    than those of at most the largest size are ever made)."""
+    hi = max(sizes)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _bit_set(mask, i))
+
+    def grow(acc, i):
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+        return F.concat(acc, F.transform(F.filter(acc, lambda m: F.bit_count(m) < hi), lambda m: m.bitwiseOR(bit)))
+
+    every = F.aggregate(bits, F.array(F.lit(0).cast("bigint")), grow)
+    wanted = F.array(*[F.lit(int(s)) for s in sizes])
+    return F.filter(every, lambda m: F.array_contains(wanted, F.bit_count(m)))
+
+
 def combo_text(members: Column) -> Column:
     """``"['A', 'B']"`` from an array of names, sorted (the reference's ``str(sorted(c))``)."""
     quoted = F.transform(F.array_sort(members), lambda x: F.concat(F.lit("'"), x, F.lit("'")))
@@ -56,13 +73,6 @@ def mask_indexes(mask: Column, n: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _bit_set(mask, i))
 
 
-def _combo_masks(sizes: Sequence[int], n: int) -> Column:
-    """Array of every mask over ``n`` labels whose bit count is in ``sizes`` (enumeration order)."""
-    sizes_arr = F.array(*[F.lit(int(s)) for s in sizes])
-    return F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << n) - 1).cast("bigint")),
-                    lambda c: F.array_contains(sizes_arr, F.bit_count(c)))
-
-
 def _describe(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     n = len(labels)
     return df.withColumn("c_num", F.bit_count("combo_mask").cast("bigint")).withColumn(
@@ -77,11 +87,12 @@ def combinations_table(spark: SparkSession, labels: Sequence[str], sizes: Sequen
     With ``groups`` (distinct group-key rows) the list is repeated per group by exploding a generated
     array on each group row — no cross join.
     """
-    labels = _dedup(labels)
+    labels = _dedup(labels, sizes)
     n = len(labels)
     sizes = sorted({int(s) for s in sizes if 0 < int(s) <= n})
     base = groups if groups is not None else spark.range(1).select()
-    out = base.select("*", F.explode(_combo_masks(sizes, n)).alias("combo_mask"))
+    full = F.lit((1 << n) - 1).cast("bigint")
+    out = base.select("*", F.explode(_submasks(full, n, sizes)).alias("combo_mask"))
     return _describe(out, labels)
 
 
@@ -89,27 +100,30 @@ def _expand_submasks(groups: DataFrame, n: int, sizes: Sequence[int], value_cols
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """For each (mask, values) row emit one row per sub-mask whose size is in ``sizes``, then sum values
     per (group, sub-mask)."""
-    lo = min(sizes)
-    sizes_arr = F.array(*[F.lit(int(s)) for s in sizes])
-
-    def keep(c):
-        return (c.bitwiseAND(F.col("mask")) == c) & F.array_contains(sizes_arr, F.bit_count(c))
-
-    subs = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("mask")), keep)
-    exploded = groups.filter(F.bit_count("mask") >= lo).select(
-        *group_cols, F.explode(subs).alias("combo_mask"), *value_cols
+    exploded = groups.filter(F.bit_count("mask") >= min(sizes)).select(
+        *group_cols, F.explode(_submasks(F.col("mask"), n, sizes)).alias("combo_mask"), *value_cols
     )
     return exploded.groupBy(*group_cols, "combo_mask").agg(*[F.sum(c).alias(c) for c in value_cols])
 
 
 def well_masks(df: DataFrame, labels: Sequence[str], min_count: int = MIN_COUNT,
-               group_cols: Sequence[str] = ()) -> DataFrame:
-    """Distinct qualifying-label masks per group: ``<group_cols>, mask, wells, samples`` (≤ 2^n rows per group)."""
-    labels = _dedup(labels)
+               group_cols: Sequence[str] = (), wells: DataFrame | None = None) -> DataFrame:
+    """Distinct qualifying-label masks per group: ``<group_cols>, mask, wells, samples`` (≤ 2^n rows per group).
+
+    One aggregate per well with a conditional count per label (partial per task, so a hot well costs one
+    row a task). ``wells`` (``wid``, one row per well) restricts to those wells, after the aggregate.
+    """
+    labels = list(dict.fromkeys(labels))
     g = list(group_cols)
-    per_label = df.groupBy(*g, "wid", "parlabel").agg(F.count(F.lit(1)).alias("n"))
-    bit = F.when(F.col("n") >= min_count, label_bit(labels)).otherwise(F.lit(0).cast("bigint"))
-    per_well = per_label.groupBy(*g, "wid").agg(F.bit_or(bit).alias("mask"), F.sum("n").alias("tot"))
+    counts = [F.count_if(F.col("parlabel") == x).alias(f"_n{i}") for i, x in enumerate(labels)]
+    per_well = df.groupBy(*g, "wid").agg(*counts)
+    if wells is not None:
+        per_well = per_well.join(wells.select("wid"), "wid")
+    mask, tot = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    for i in range(len(labels)):
+        mask = mask + F.when(F.col(f"_n{i}") >= min_count, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+        tot = tot + F.col(f"_n{i}")
+    per_well = per_well.select(*g, mask.alias("mask"), tot.alias("tot"))
     return per_well.groupBy(*g, "mask").agg(F.count(F.lit(1)).alias("wells"), F.sum("tot").alias("samples"))
 
 
@@ -121,24 +135,27 @@ def combo_stats(
     group_cols: Sequence[str] = (),
     since: str | None = None,
     classes: Sequence[str] | None = None,
+    wells: DataFrame | None = None,
 ) -> DataFrame:
     """Per combination: wells where every member has ``>= min_count`` rows, and all rows of those wells
     (E13). ``df`` is the sample table; ``since`` / ``classes`` apply the date and well-class filters and
-    rows of other labels are dropped first (as the reference's pre-filters). ``group_cols`` (e.g.
-    ``['area']``) mines every group separately in the same job.
+    rows of other labels are dropped first (as the reference's pre-filters). With ``wells`` (one row per
+    well: ``wid, field_pt_class``) the class filter and the inner join are made per well, after counting,
+    so ``df`` needs no location columns. ``group_cols`` (e.g. ``['area']``) mines every group separately.
 
     Columns: ``<group_cols>, contaminants`` (sorted text), ``wells``, ``samples``, ``c_num``.
     """
-    labels = _dedup(labels)
+    labels = _dedup(labels, sizes)
     if since is not None:
         df = df.filter(F.col("logdate") >= F.lit(since).cast("date"))
     if classes:
-        df = df.filter(F.col("field_pt_class").isin(list(classes)))
+        in_class = F.col("field_pt_class").isin(list(classes))
+        df, wells = (df.filter(in_class), None) if wells is None else (df, wells.filter(in_class))
     df = df.filter(F.col("parlabel").isin(labels))
     spark = df.sparkSession
     g = list(group_cols)
     sizes = sorted({int(s) for s in sizes if 0 < int(s) <= len(labels)})
-    masks = well_masks(df, labels, min_count, g)
+    masks = well_masks(df, labels, min_count, g, wells)
     sums = _expand_submasks(masks, len(labels), sizes, ["wells", "samples"], g)
     groups = masks.select(*g).distinct() if g else None
     combos = combinations_table(spark, labels, sizes, groups)
@@ -152,6 +169,12 @@ def combo_stats(
     )
 
 
+def by_wells(stats: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
+    """The combination table in the order of its wells, most first (G2); ties by combination. At most
+    ``MAX_COMBOS`` rows a group."""
+    return stats.orderBy(*group_cols, F.col("wells").desc(), "contaminants")
+
+
 def combo_max(stats: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Rows of each combination size holding both the size's maximum wells and maximum samples (D13);
     a size whose maxima sit on different rows yields nothing."""
@@ -172,7 +195,7 @@ def visit_combo_support(df: DataFrame, labels: Sequence[str], size: int) -> Data
 
     Columns: ``contaminants``, ``idx`` (index tuple, for ordering), ``n``.
     """
-    labels = _dedup(labels)
+    labels = _dedup(labels, [size])
     spark = df.sparkSession
     masks = visit_masks(df.filter(F.col("parlabel").isin(labels)), labels)
     groups = masks.groupBy("mask").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import TARGET_UNIT, ZSCORE_MAX
 from .clean import DEFAULT_ORDER, keep_first
-from .joins import bounded_broadcast
+from .joins import with_row_no
 
 LOCATION_COLS = ("wid", "field_pt_class", "latitude", "longitude")
 
@@ -19,8 +19,9 @@ def join_locations(samples: DataFrame, locations: DataFrame, how: str = "inner",
     """Attach the (de-duplicated) well location to every sample.
 
     ``locations`` has one row per well and grows with the data, so no broadcast hint: AQE turns the
-    sort-merge join into a broadcast join at run time when the well table is small, and splits a
-    skewed well's partition otherwise.
+    sort-merge join into a broadcast join at run time when the well table is small. A skewed well's
+    partition is split only if nothing above the join groups by the well without an exchange of its own:
+    per-well results are aggregated first and joined afterwards (see ``score.wells_with_mag``).
     """
     loc = locations.select(*[c for c in cols if c in locations.columns])
     return samples.join(loc, "wid", how)
@@ -28,11 +29,11 @@ def join_locations(samples: DataFrame, locations: DataFrame, how: str = "inner",
 
 def join_mcl(samples: DataFrame, mcl: DataFrame, how: str = "inner") -> DataFrame:
     """Attach the contaminant limit by label (D2 inner / D3 left); the limit's unit becomes ``mcl_units``."""
-    m = mcl.select(
+    m = with_row_no(mcl, "_mcl_row").select(
         F.col("chem_abrv"), F.col("chem_name"), F.col("comp_conc_val"), F.col("comp_conc_type"),
-        F.col("units").alias("mcl_units"),
+        F.col("units").alias("mcl_units"), "_mcl_row",
     )
-    out = samples.join(bounded_broadcast(m, source=mcl), samples["parlabel"] == m["chem_abrv"], how)
+    out = samples.join(m, samples["parlabel"] == m["chem_abrv"], how)
     return out.drop("chem_abrv")
 
 
@@ -44,8 +45,8 @@ def convert_units(samples: DataFrame, units: DataFrame, target_unit: str = TARGE
     holding one unit twice fans the row out, as in the reference; ``dedup_after`` in
     ``enrich_samples`` undoes that.
     """
-    u = units.select(F.col("start_unit"), F.col("coef"))
-    out = samples.join(bounded_broadcast(u, source=units), samples["units"] == u["start_unit"], "inner")
+    u = with_row_no(units, "_unit_row").select("start_unit", "coef", "_unit_row")
+    out = samples.join(u, samples["units"] == u["start_unit"], "inner")
     differs = F.col("units") != F.col("mcl_units")
     conv = F.when(differs, F.col("parval") * F.col("coef")).otherwise(F.col("parval"))
     # The factor converts the sample to the target unit, which only matches the limit when the limit is
@@ -70,10 +71,14 @@ def enrich_samples(
     target_unit: str = TARGET_UNIT,
     order: Sequence[str] = DEFAULT_ORDER,
     flag_unit_mismatch: bool = False,
+    keep_units: bool = False,
 ) -> DataFrame:
     """Locations ⋈ limits ⋈ unit factors → converted value, exceedance flag and magnitude.
 
-    ``dedup_after=True`` (the all-samples job, J3) keeps one row per sample id after the unit join.
+    ``dedup_after=True`` (the all-samples job, J3) keeps one row per sample id after the unit join: of
+    the rows a doubled lookup entry makes, the one of the entry that stands first in its table. A lookup
+    table without ``row_no`` has no such order; its values then break the tie.
+    ``keep_units=True`` keeps ``mcl_units``, the limit's own unit (the key of the water-quality pivot).
     ``flag_unit_mismatch=True`` keeps the ``unit_mismatch`` column: rows whose ratio is off because the
     sample was converted to the target unit but the limit is stated in another unit (the reference
     labels such rows with the target unit all the same).
@@ -82,28 +87,25 @@ def enrich_samples(
     # join (the one that can shuffle) only moves rows that survive (inner joins commute)
     df = join_mcl(samples, mcl)
     df = convert_units(df, units, target_unit)
-    if locations is not None:
-        df = join_locations(df, locations)
     if dedup_after:
-        df = keep_first(df, ["wid", "logdate", "parlabel"], [*order, "start_unit", "coef"])
-    df = df.drop("repdl", "mcl_units", "comp_conc_type", "start_unit", "coef")
+        ties = ["_mcl_row", "_unit_row", "comp_conc_val", "chem_name", "mcl_units", "comp_conc_type", "coef"]
+        df = keep_first(df, ["wid", "logdate", "parlabel"], [*order, *ties])
+    if locations is not None:  # one row per well, so the join commutes with keep-first
+        df = join_locations(df, locations)
+    df = df.drop("repdl", "comp_conc_type", "start_unit", "coef", "_mcl_row", "_unit_row")
+    if not keep_units:
+        df = df.drop("mcl_units")
     if not flag_unit_mismatch:
         df = df.drop("unit_mismatch")
     return exceedence_magnitude(df)
 
 
-def restrict_to_listed(raw: DataFrame, mcl: DataFrame, max_labels: int = 10_000) -> DataFrame:
+def restrict_to_listed(raw: DataFrame, mcl: DataFrame) -> DataFrame:
     """Keep only samples whose label has a limit, *before* de-duplication.
 
     Legal because the label is part of the sample id: dropping other labels never changes which row is
-    kept for a listed one. A limit table of at most ``max_labels`` rows becomes a literal ``isin`` filter
-    (pushed to the scan when the label is a stored column); a larger one a broadcast-free semi-join.
+    kept for a listed one.
     """
-    from .joins import is_small
-
-    if is_small(mcl, max_labels):
-        labels = sorted({r[0] for r in mcl.select("chem_abrv").distinct().collect() if r[0] is not None})
-        return raw.filter(F.col("parlabel").isin(labels))
     return raw.join(mcl.select(F.col("chem_abrv").alias("parlabel")).distinct(), "parlabel", "left_semi")
 
 
@@ -117,10 +119,10 @@ def exceedance_ratios(samples: DataFrame, mcl: DataFrame) -> DataFrame:
 def zscore_outliers(df: DataFrame, col: str = "mag", max_abs_z: float = ZSCORE_MAX) -> DataFrame:
     """Drop rows whose population z-score of ``col`` exceeds ``max_abs_z`` (C11; threshold is our choice).
 
-    The mean and standard deviation are one global aggregate (partial per task, one tiny final
-    merge); the two scalars come back to the driver and the filter is a plain projection.
+    NULL values have no z-score and are dropped; where all values are equal every z-score is 0. The mean
+    and the deviation are a one-row aggregate that the plan joins to every row (no job while planning).
     """
-    mu, sd = df.agg(F.avg(col), F.stddev_pop(col)).first()
-    if mu is None or not sd:
-        return df
-    return df.filter(F.abs((F.col(col) - F.lit(mu)) / F.lit(sd)) <= F.lit(max_abs_z))
+    stats = df.agg(F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))
+    z = F.when(F.col("_sd") == 0, F.lit(0.0)).otherwise((F.col(col) - F.col("_mu")) / F.col("_sd"))
+    out = df.join(F.broadcast(stats))  # a single row
+    return out.filter(F.col(col).isNotNull() & (F.abs(z) <= F.lit(max_abs_z))).drop("_mu", "_sd")

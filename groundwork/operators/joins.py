@@ -1,30 +1,17 @@
-"""Join helpers with explicit size checks."""
+"""Lookup joins.
+
+Limits, unit factors and combination lists are inline relations or small files, so Spark knows their
+size in bytes when it plans and broadcasts them under ``spark.sql.autoBroadcastJoinThreshold``; beyond
+it they are joined by shuffle. No hint and no counting job is needed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Lookup tables (limits, unit factors, combination lists) are broadcast only when they hold at most
-# this many rows; beyond it the join is left to AQE (sort-merge, or broadcast if runtime size allows).
-LOOKUP_MAX_ROWS = 100_000
-
-
-def known_rows(df: DataFrame) -> int | None:
-    """Row count recorded on tables built from literal rows (``lookups.local_table``), else None."""
-    return getattr(df, "_gw_rows", None)
-
-
-def is_small(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows: known for literal tables, otherwise checked by
-    reading at most ``max_rows + 1`` rows (the limit stops the scan early)."""
-    n = known_rows(df)
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-    return n <= max_rows
-
 
-def bounded_broadcast(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS, source: DataFrame | None = None) -> DataFrame:
-    """Mark ``df`` for broadcast only when it (or ``source``, the table it was projected from) has at
-    most ``max_rows`` rows; a larger table is returned unhinted and AQE plans the join."""
-    return F.broadcast(df) if is_small(source if source is not None else df, max_rows) else df
+def with_row_no(lookup: DataFrame, name: str) -> DataFrame:
+    """The lookup with its row's place in the table (``row_no``, NULL where it has none) as ``name``."""
+    place = F.col("row_no") if "row_no" in lookup.columns else F.lit(None)
+    return lookup.withColumn(name, place.cast("bigint"))

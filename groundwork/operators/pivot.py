@@ -18,13 +18,14 @@ def wqi_pivot(
 ) -> DataFrame:
     """(station, date) × ``label_unit`` → mean value; rows with any empty cell are dropped.
 
-    ``label_unit`` = ``parlabel || '_' || <limit unit>`` (one key per label). The pivot values are the
-    explicit ``columns`` list, so the output columns cannot drift and Spark needs no extra pass to find
-    them. ``date_grain`` (``'year'``, ``'month'``…) truncates the date first.
+    ``label_unit`` = ``parlabel || '_' || <limit unit>`` (one key per label). Each listed column is one
+    conditional mean, so the pivot is a single aggregate with map-side combine. ``date_grain``
+    (``'year'``, ``'month'``…) truncates the date first. The values are those of ``parval``: pass
+    converted samples (``enrich_samples(..., keep_units=True)``), or means mix units.
     """
     date = F.col("logdate") if date_grain is None else F.trunc(F.col("logdate"), date_grain)
     key = F.concat(F.col("parlabel"), F.lit("_"), F.col(unit_col))
     src = df.select(F.col("wid").alias("station"), date.alias("date"), key.alias("_key"), F.col("parval"))
     src = src.filter(F.col("_key").isin(list(columns)))
-    out = src.groupBy("station", "date").pivot("_key", list(columns)).agg(F.avg("parval"))
-    return out.dropna(how="any")
+    cells = [F.avg(F.when(F.col("_key") == c, F.col("parval"))).alias(c) for c in columns]
+    return src.groupBy("station", "date").agg(*cells).dropna(how="any")

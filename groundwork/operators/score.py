@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import utm_xy
+from ..functions.geometry import rings_utm, utm_xy
 from ..functions.weights import band_weight, gmean
 from ..params import DISTANCE_BANDS, PROXIMITY_RADIUS_M, UTM_ZONE
 from .spatial import point_pairs, polygon_pairs
@@ -25,7 +25,10 @@ def wells_with_mag(locations: DataFrame, mags: DataFrame) -> DataFrame:
 
 
 def project_utm(df: DataFrame, lon: str = "longitude", lat: str = "latitude", zone: int = UTM_ZONE) -> DataFrame:
-    """Add ``x_m, y_m`` (UTM metres, GRS80/NAD83, fixed zone) from geographic columns."""
+    """Add ``x_m, y_m`` (UTM metres, GRS80/NAD83, fixed zone) from geographic columns (B20, B21);
+    of a polygon table (``rings`` in degrees) the rings are projected instead."""
+    if "rings" in df.columns:
+        return df.withColumn("rings", rings_utm("rings", zone))
     x, y = utm_xy(lon, lat, zone)
     return df.withColumn("x_m", x).withColumn("y_m", y)
 

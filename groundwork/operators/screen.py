@@ -39,27 +39,23 @@ def detects(raw: DataFrame, since: str | None = None) -> DataFrame:
     return since_filter(raw.filter(cond), since)
 
 
-def _prefilter(df, labels, since, classes, require_dtw, reuse=False):
+def _prefilter(df, labels, since, classes, require_dtw):
     f = since_filter(df, since)
     if classes:
         f = monitoring_wells(f, classes)
     if require_dtw:
         f = f.filter(F.col("dtw").isNotNull())
-    f = contaminant_filter(f, labels)
-    return reuse_once(f) if reuse else f
+    return contaminant_filter(f, labels)
 
 
-def reuse_once(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (in ``spark.checkpoint.dir``) of an input read by two branches.
-
-    A screen reads its filtered input twice — once for the per-well label counts, once for the rows it
-    returns. Without this the whole upstream plan (scan, joins, de-duplication shuffle) runs twice; with
-    it the filtered rows are written once, lineage is cut, and a lost executor re-reads files.
-    """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _of_wells(f: DataFrame, passing: DataFrame, wells: DataFrame | None, classes) -> DataFrame:
+    """Rows of the passing wells. With ``wells`` (one row per well with its class and location, which become
+    columns of the result) the class filter and the location join are made on the passing wells first, so
+    the rows themselves meet one join only, whose hot wells Spark can split."""
+    if wells is None:
+        return f.join(passing.select("wid"), "wid", "left_semi")
+    w = monitoring_wells(wells, classes) if classes else wells
+    return f.join(passing.select("wid").join(w, "wid"), "wid")
 
 
 def _label_stats(f: DataFrame) -> DataFrame:
@@ -74,14 +70,14 @@ def spec_wells(
     min_count: int = MIN_COUNT,
     require_dtw: bool = False,
     classes: Sequence[str] | None = None,
-    reuse: bool = False,
+    wells: DataFrame | None = None,
 ) -> DataFrame:
     """Strict screen (J4): after the date/class/DTW/label filters, a well passes iff it has every one of
     the ``len(labels)`` labels and each at least ``min_count`` times. Returns the filtered rows of
-    passing wells. ``reuse=True`` checkpoints the filtered input once (see ``reuse_once``)."""
-    f = _prefilter(df, labels, since, classes, require_dtw, reuse)
+    passing wells. Counts need only two of the columns, so that branch's scan is narrow."""
+    f = _prefilter(df, labels, since, classes if wells is None else None, require_dtw)
     passing = _label_stats(f).filter((F.col("n_labels") == len(labels)) & (F.col("min_n") >= min_count))
-    return f.join(passing.select("wid"), "wid", "left_semi")
+    return _of_wells(f, passing, wells, classes)
 
 
 def spec_wells_relaxed(
@@ -91,15 +87,15 @@ def spec_wells_relaxed(
     min_count: int = MIN_COUNT,
     since: str | None = None,
     classes: Sequence[str] | None = None,
-    reuse: bool = False,
+    wells: DataFrame | None = None,
 ) -> DataFrame:
     """Relaxed screen (J5): at least ``min_labels`` (default ``len(labels)/2``) distinct labels and every
     *present* label at least ``min_count`` times."""
     if min_labels is None:
         min_labels = len(labels) / 2
-    f = _prefilter(df, labels, since, classes, False, reuse)
+    f = _prefilter(df, labels, since, classes if wells is None else None, False)
     passing = _label_stats(f).filter((F.col("n_labels") >= F.lit(float(min_labels))) & (F.col("min_n") >= min_count))
-    return f.join(passing.select("wid"), "wid", "left_semi")
+    return _of_wells(f, passing, wells, classes)
 
 
 def label_bit(labels: Sequence[str], col: str | Column = "parlabel") -> Column:
@@ -118,12 +114,9 @@ def visit_masks(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("wi
     return df.groupBy(*keys).agg(F.bit_or(label_bit(labels)).alias("mask"))
 
 
-def visits_with_all(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("wid", "logdate"),
-                    reuse: bool = False) -> DataFrame:
+def visits_with_all(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = ("wid", "logdate")) -> DataFrame:
     """Rows of the visits (well, date) whose label set contains every listed label."""
     labels = list(dict.fromkeys(labels))
-    if reuse:
-        df = reuse_once(df)
-    full = (1 << len(labels)) - 1
-    passing = visit_masks(df, labels, keys).filter(F.col("mask") == F.lit(full)).select(*keys)
-    return df.join(passing, list(keys), "left_semi")
+    present = contaminant_filter(df, labels).groupBy(*keys, "parlabel").agg(F.count(F.lit(1)).alias("_n"))
+    passing = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") == len(labels))
+    return df.join(passing.select(*keys), list(keys), "left_semi")

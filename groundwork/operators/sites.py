@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import STUDY_MAX_DEPTH_M, STUDY_TOP_FRACTION
-from .clean import keep_first, union_all
+from .clean import DEFAULT_ORDER, keep_first, union_all
 from .spatial import points_in_polygons
 
 UST_COLS = ("Facility_I", "Name", "Address", "City", "County", "Zip_Code", "Latitude", "Longitude", "Open_USTs")
 
 
-def ust_union(*providers: DataFrame, order=("source_rank", "line_no")) -> DataFrame:
+def ust_union(*providers: DataFrame, order=DEFAULT_ORDER) -> DataFrame:
     """One tank record per address: the one with the most open tanks (NULL counts last), ties by
     provider order then ingest order. A NULL address is one group (F4)."""
     df = union_all(*providers)
@@ -43,9 +43,9 @@ def rank_fraction_desc(df: DataFrame, col: str, out: str = "pct_rank") -> DataFr
     """``percent_rank() over (order by col desc)`` without a global single-partition window.
 
     ``pct_rank = (rows with a larger value) / (N - 1)``. The running count runs over the histogram of
-    distinct values of ``col`` (a non-negative count), not over the rows, and the histogram is broadcast
-    back by value. Its size is provably small: k distinct counts need at least 0+1+…+(k-1) items, so
-    k <= sqrt(2 * total) + 1 (about 4,500 rows for ten million sites).
+    distinct values of ``col``, not over the rows, and is joined back by value. ``col`` is meant to be a
+    non-negative count: k distinct counts need at least 0+1+…+(k-1) items, so k <= sqrt(2 * total) + 1
+    (about 4,500 rows for ten million sites). Spark picks the join from the histogram's run-time size.
     """
     hist = df.groupBy(col).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.orderBy(F.col(col).desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -59,7 +59,7 @@ def rank_fraction_desc(df: DataFrame, col: str, out: str = "pct_rank") -> DataFr
         col,
         F.when(F.col("_n") <= 1, F.lit(0.0)).otherwise(F.col("_greater") / (F.col("_n") - 1)).alias(out),
     )
-    return df.join(F.broadcast(hist), col, "left")
+    return df.join(hist, col, "left")
 
 
 def study_area(

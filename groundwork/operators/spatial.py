@@ -12,9 +12,13 @@ be small, possibly as a single task.
 
 A (block, well) pair within the radius therefore meets in exactly one cell — no duplicates, no
 DISTINCT — and the exact distance is a filter on the joined rows. The pair count is bounded by the
-local density, never by blocks × wells. A very dense cell is a skewed join key: AQE's skew-join
-split handles it at run time, and ``salt`` can spread the point side of every cell over more tasks
-(the block side is replicated per salt).
+local density, never by blocks × wells. A very dense cell is a skewed join key: AQE splits it, because
+what follows a join groups by (polygon, point), never by the join's own cell keys, so it has an exchange
+of its own. ``salt`` can also spread the point side of every cell over more tasks (the block side is
+replicated per salt).
+
+Reductions over a candidate's polygon edges are keyed by a row number given to each point before the
+join (``_rid``), not by the caller's id: points that repeat an id, or have none, are counted one by one.
 """
 
 from __future__ import annotations
@@ -55,6 +59,10 @@ def _points_side(wells: DataFrame, well_cols: Sequence[str], id_col: str) -> Dat
     )
 
 
+def _numbered(points: DataFrame) -> DataFrame:
+    return points.withColumn("_rid", F.monotonically_increasing_id())
+
+
 def point_pairs(
     blocks: DataFrame,
     wells: DataFrame,
@@ -109,7 +117,7 @@ def polygon_pairs(
     salt: int = 1,
     well_cols: Sequence[str] = ("wid",),
     id_col: str = "wid",
-    strategy: str = "auto",
+    strategy: str = "pair",
     large_edges: int = 64,
 ) -> DataFrame:
     """Pairs of block polygons (``geoid, rings``) and wells at most ``radius`` from the polygon (0 inside).
@@ -124,7 +132,7 @@ def polygon_pairs(
       edges in the well's horizontal band. Rows grow with edges *near* wells, not edges × wells in the
       box: the strategy for large rural blocks with many vertices.
     * ``'auto'`` — blocks wider or taller than the radius, or with more than ``large_edges`` edges, go
-      the edge way, the rest the pair way (one union).
+      the edge way, the rest the pair way (one union; the well side is read by both).
     """
     cell = float(cell or radius)
     if strategy == "pair":
@@ -138,21 +146,15 @@ def polygon_pairs(
     big = ((maxx - minx) > F.lit(radius)) | ((maxy - miny) > F.lit(radius)) | (n_edges > F.lit(large_edges))
     tagged = blocks.withColumn("_big", big)
     small, large = tagged.filter(~F.col("_big")).drop("_big"), tagged.filter(F.col("_big")).drop("_big")
-    # plan only the branches that have polygons (two early-stopping probes of the polygon table), so the
-    # well side is not computed for an empty branch
-    has_small, has_large = small.limit(1).count() > 0, large.limit(1).count() > 0
-    parts = []
-    if has_small or not has_large:
-        parts.append(_polygon_pairs_by_pair(small, wells, radius, cell, salt, well_cols, id_col))
-    if has_large:
-        parts.append(_polygon_pairs_by_edge(large, wells, radius, cell, salt, well_cols, id_col))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _polygon_pairs_by_pair(small, wells, radius, cell, salt, well_cols, id_col).unionByName(
+        _polygon_pairs_by_edge(large, wells, radius, cell, salt, well_cols, id_col)
+    )
 
 
 def _polygon_pairs_by_pair(blocks, wells, radius, cell, salt, well_cols, id_col) -> DataFrame:
     r = F.lit(float(radius))
     b = _polygon_side(blocks, radius, cell, salt)
-    w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
+    w = _point_cells(_numbered(_points_side(wells, well_cols, id_col)), "_px", "_py", cell, salt, id_col)
     keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
     j = b.hint("merge").join(w, keys)
     bx = F.greatest(F.col("_minx") - F.col("_px"), F.lit(0.0), F.col("_px") - F.col("_maxx"))
@@ -160,7 +162,9 @@ def _polygon_pairs_by_pair(blocks, wells, radius, cell, salt, well_cols, id_col)
     j = j.filter(bx * bx + by * by <= r * r)
     extra = [c for c in well_cols if c not in (id_col, "x_m", "y_m")]
     e = _edge_rows(j)
-    g = e.groupBy(*keys, "geoid", id_col, *extra).agg(F.sum("_cross").alias("_cross"), F.min("_d").alias("_d"))
+    g = e.groupBy("geoid", "_rid", "_px", "_py", id_col, *extra).agg(
+        F.sum("_cross").alias("_cross"), F.min("_d").alias("_d")
+    )
     g = g.withColumn("dist", F.when(F.col("_cross") % 2 == 1, F.lit(0.0)).otherwise(F.col("_d")))
     g = g.filter(F.col("dist") <= r)
     return g.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
@@ -180,7 +184,7 @@ def _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col)
     r = F.lit(float(radius))
     extra = [c for c in well_cols if c not in (id_col, "x_m", "y_m")]
     edges = _edges_table(blocks)
-    w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
+    w = _point_cells(_numbered(_points_side(wells, well_cols, id_col)), "_px", "_py", cell, salt, id_col)
     keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
     args = (F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("_px"), F.col("_py"))
 
@@ -191,7 +195,8 @@ def _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col)
         cell, salt,
     )
     near = ge.hint("merge").join(w, keys).withColumn("_d", edge_distance(*args)).filter(F.col("_d") <= r)
-    near = near.select("geoid", id_col, *extra, F.col("_d").alias("dist"))
+    point = ["_rid", "_px", "_py", id_col, *extra]
+    near = near.select("geoid", *point, F.col("_d").alias("dist"))
 
     # inside: wells inside the block's box, ray-cast against the edges of the well's horizontal band
     minx, miny, maxx, maxy = rings_bbox("rings")
@@ -200,17 +205,17 @@ def _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col)
     inbox = bc.hint("merge").join(w, keys).filter(
         (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
         & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
-    ).select("geoid", id_col, *extra, "_px", "_py", F.floor(F.col("_py") / F.lit(cell)).alias("_band"))
+    ).select("geoid", *point, F.floor(F.col("_py") / F.lit(cell)).alias("_band"))
     banded = edges.select(
         "geoid", "ax", "ay", "bx", "by",
         F.explode(F.sequence(F.floor(F.least("ay", "by") / F.lit(cell)), F.floor(F.greatest("ay", "by") / F.lit(cell)))).alias("_band"),
     )
     crossings = inbox.join(banded, ["geoid", "_band"]).withColumn("_cross", edge_crossing(*args))
-    inside = crossings.groupBy("geoid", id_col, *extra).agg(F.sum("_cross").alias("_cross"))
-    inside = inside.filter(F.col("_cross") % 2 == 1).select("geoid", id_col, *extra, F.lit(0.0).alias("dist"))
+    inside = crossings.groupBy("geoid", *point).agg(F.sum("_cross").alias("_cross"))
+    inside = inside.filter(F.col("_cross") % 2 == 1).select("geoid", *point, F.lit(0.0).alias("dist"))
 
     both = near.unionByName(inside)
-    out = both.groupBy("geoid", id_col, *extra).agg(F.min("dist").alias("dist"))
+    out = both.groupBy("geoid", *point).agg(F.min("dist").alias("dist"))
     return out.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
 
 
@@ -222,22 +227,22 @@ def points_in_polygons(
     point_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Pairs (polygon, point) where the point lies inside the polygon (D15): bbox cells equi-join, bbox
-    test, then the even-odd ray cast as exploded edge rows summed per pair. Columns: ``geoid, <id_col>,
-    <point_cols>``."""
+    test, then the even-odd ray cast as exploded edge rows summed per (polygon, point row). Points that
+    repeat an id, or have none, give one row each. Columns: ``geoid, <id_col>, <point_cols>``."""
     cell = float(cell)
     b = _polygon_side(polygons, 0.0, cell, 1)
     extra = [c for c in point_cols if c not in (id_col, "x_m", "y_m")]
     p = points.filter(F.col("x_m").isNotNull() & F.col("y_m").isNotNull()).select(
         id_col, F.col("x_m").alias("_px"), F.col("y_m").alias("_py"), *extra
     )
-    p = _point_cells(p, "_px", "_py", cell, 1, id_col)
+    p = _point_cells(_numbered(p), "_px", "_py", cell, 1, id_col)
     j = b.hint("merge").join(p, ["cx", "cy"])
     inside_box = (
         (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
         & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
     )
     e = _edge_rows(j.filter(inside_box))
-    g = e.groupBy("cx", "cy", "geoid", id_col, *extra).agg(F.sum("_cross").alias("_cross"))
+    g = e.groupBy("geoid", "_rid", "_px", "_py", id_col, *extra).agg(F.sum("_cross").alias("_cross"))
     return g.filter(F.col("_cross") % 2 == 1).select("geoid", id_col, *extra)
 
 

@@ -66,6 +66,7 @@ def stage_counts_flagged(
     df: DataFrame,
     stages: Sequence[tuple[str, Column]],
     sid_cols: Sequence[str] = ("wid", "logdate", "parlabel"),
+    rows: Sequence[Column] | None = None,
 ) -> DataFrame:
     """Rows, distinct sample ids and distinct wells per stage from ONE pass over flagged rows.
 
@@ -73,11 +74,20 @@ def stage_counts_flagged(
     Three plain aggregates, all with map-side partial aggregation: per sample id (rows, present), per
     well (rows, sample ids, present), then the totals; a ``stack`` turns the single result row into
     one row per stage. Same output as ``stage_counts`` when the stage joins do not fan out rows.
+    With ``rows`` (how many input rows survive each stage) ``df`` already has one row per sample id.
     """
     k = len(stages)
     sid = list(sid_cols)
-    f = df.select(*sid, *[F.coalesce(c, F.lit(False)).alias(f"_s{i}") for i, (_, c) in enumerate(stages)])
-    l1 = f.groupBy(*sid).agg(
+    f = df.select(
+        *sid,
+        *[F.coalesce(c, F.lit(False)).alias(f"_s{i}") for i, (_, c) in enumerate(stages)],
+        *[n.alias(f"_r{i}") for i, n in enumerate(rows or [])],
+    )
+    l1 = f.select(
+        *sid,
+        *[F.when(F.col(f"_s{i}"), F.col(f"_r{i}")).otherwise(F.lit(0)).alias(f"r{i}") for i in range(k)],
+        *[F.col(f"_s{i}").alias(f"p{i}") for i in range(k)],
+    ) if rows else f.groupBy(*sid).agg(
         *[F.count_if(F.col(f"_s{i}")).alias(f"r{i}") for i in range(k)],
         *[F.bool_or(F.col(f"_s{i}")).alias(f"p{i}") for i in range(k)],
     )

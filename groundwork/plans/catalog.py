@@ -17,18 +17,18 @@ from ..functions.dates import parse_date_text
 from ..functions.ids import make_wid, sid_text
 from ..params import CHEMS4, CONTS11, MONITORING_CLASSES, ALL_SAMPLES_SINCE
 from ..sources import lookups, testdata as td
-from ..operators.joins import bounded_broadcast
-from ..session import ensure_checkpoint_dir
-from ..sources.manifest import source_manifest_for_areas
+from ..sources.manifest import missing_sources, source_manifest_for_areas
 
 # Test-data parameters (dates in the tables run 1995-01-01 … 2001-08-01).
 SINCE = "1996-01-01"
-FLAT_LIMIT = 25.0
+SCORE_LIMITS = [(lab, 10.0 + 3.0 * i) for i, lab in enumerate(CONTS11)]  # one limit per label
 VISIT_LABELS = ["BZ", "BZME", "EBZ"]
 VISIT_COMBO_SIZE = 3
 COMBO_SIZES = list(range(4, 12))
 RELAXED_MIN_COUNT = 3
 DTW_MIN_COUNT = 2
+FANOUT_MCL = [*lookups.TEST_MCL_ROWS, *[(a, n + " (old)", v * 2, t, u) for a, n, v, t, u in lookups.TEST_MCL_ROWS[:4]]]
+FANOUT_UNITS = [*lookups.TEST_UNIT_ROWS, ("MG/L", 500.0)]
 MCL_LEFT_ROWS = 8  # the left-join variant uses a limit table without the last three labels
 ZSCORE_MAX_TEST = 1.5  # ratios here are uniform on (1, 2]; 3 sigma would keep every row
 STUDY_TOP_FRACTION_TEST = 0.25
@@ -63,17 +63,26 @@ def _locations(spark, d):
     return op.dedup_locations(td.locations(spark, d))
 
 
-def _enriched(spark, d, dedup_after=False):
-    mcl = lookups.mcl_table(spark)
+def _enriched(spark, d, dedup_after=False, located=True, keep_units=False, mcl=None, units=None):
+    """Enriched samples; ``located=False`` leaves the location join to the caller (after its aggregate)."""
+    mcl = mcl if mcl is not None else lookups.mcl_table(spark)
+    units = units if units is not None else lookups.unit_table(spark)
     clean = op.clean_samples(op.restrict_to_listed(_raw(spark, d), mcl), order=ORDER, with_ids=False)
-    return op.enrich_samples(clean, _locations(spark, d), mcl, lookups.unit_table(spark), dedup_after=dedup_after, order=ORDER)
+    loc = _locations(spark, d) if located else None
+    return op.enrich_samples(clean, loc, mcl, units, dedup_after=dedup_after, order=ORDER, keep_units=keep_units)
+
+
+def _wells(spark, d):
+    return _locations(spark, d).select("wid", "field_pt_class", "latitude", "longitude")
+
+
+def _score_limits(spark):
+    return lookups.mcl_table(spark, [(lab, lab, v, "MCL", "UG/L") for lab, v in SCORE_LIMITS])
 
 
 def _dtw(spark, d):
-    r = td.dtw_readings(spark, d)
-    geo = r.filter(F.col("source") == "geotracker")
-    gama = r.filter(F.col("source") == "gama")
-    return op.dtw_union(geo, gama)
+    # the readings of both providers come from one table: its scan is their union
+    return op.dtw_union(td.dtw_readings(spark, d))
 
 
 def _samples_dtw(spark, d, how="left"):
@@ -88,7 +97,7 @@ def _gmean_wells(spark, d):
     """Exceedance-only geometric-mean magnitude per well, on wells with coordinates (scoring job)."""
     det = op.detects(_raw(spark, d), since=SINCE)
     clean = op.clean_samples(det, order=ORDER, with_ids=False)
-    ratios = op.exceedance_ratios(clean, lookups.flat_mcl_table(spark, CONTS11, FLAT_LIMIT))
+    ratios = op.exceedance_ratios(clean, _score_limits(spark))
     mags = op.well_magnitude(ratios, "gmean", "mag")
     return op.wells_with_mag(_locations(spark, d).select("wid", "x_m", "y_m"), mags)
 
@@ -167,22 +176,31 @@ def q_monitoring_wells(spark, d):
 
 def q_spec_wells_11(spark, d):
     """Strict screen, all eleven labels at least four times each."""
-    return _enriched_out(op.spec_wells(_enriched(spark, d), CONTS11, since=SINCE, reuse=True))
+    return _enriched_out(op.spec_wells(_enriched(spark, d, located=False), CONTS11, since=SINCE, wells=_wells(spark, d)))
 
 
 def q_spec_wells_relaxed(spark, d):
     """Relaxed screen, at least half the labels, every present label at least three times."""
-    return _enriched_out(op.spec_wells_relaxed(_enriched(spark, d), CONTS11, min_count=RELAXED_MIN_COUNT, since=SINCE, reuse=True))
+    return _enriched_out(op.spec_wells_relaxed(
+        _enriched(spark, d, located=False), CONTS11, min_count=RELAXED_MIN_COUNT, since=SINCE, wells=_wells(spark, d)
+    ))
+
+
+def _mw4(spark, d):
+    return op.spec_wells(
+        _enriched(spark, d, located=False), CHEMS4, since=SINCE, classes=MONITORING_CLASSES, wells=_wells(spark, d)
+    )
 
 
 def q_spec_wells_mw4(spark, d):
     """J4 variant: four-chemical screen on monitoring wells."""
-    return _enriched_out(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES, reuse=True))
+    return _enriched_out(_mw4(spark, d))
 
 
 def q_spec_wells_dtw(spark, d):
     """J4 variant: four-chemical screen on samples with a depth-to-water reading."""
-    df = op.spec_wells(_samples_dtw(spark, d), CHEMS4, since=SINCE, min_count=DTW_MIN_COUNT, require_dtw=True, reuse=True)
+    samples = op.attach_dtw(_enriched(spark, d, located=False), _dtw(spark, d), "left")
+    df = op.spec_wells(samples, CHEMS4, since=SINCE, min_count=DTW_MIN_COUNT, require_dtw=True, wells=_wells(spark, d))
     return df.select(*ENRICHED_COLS[:-1], r6("magnitude").alias("magnitude"), r6("dtw").alias("dtw"), "dtw_units")
 
 
@@ -212,7 +230,7 @@ def q_all_dtw(spark, d):
 
 def q_dtw_coverage(spark, d):
     """Share of screened samples and wells with a reading."""
-    spec = op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, reuse=True)
+    spec = op.spec_wells(_enriched(spark, d, located=False), CHEMS4, since=SINCE, wells=_wells(spark, d))
     return op.dtw_coverage(op.attach_dtw(spec, _dtw(spark, d), "left"))
 
 
@@ -222,38 +240,50 @@ def _mcl_samples(spark, d):
 
 def q_visits_with_all(spark, d):
     """Rows of visits holding all three BTEX-style labels."""
-    return op.visits_with_all(_mcl_samples(spark, d), VISIT_LABELS, reuse=True).select(*SAMPLE_COLS)
+    return op.visits_with_all(_mcl_samples(spark, d), VISIT_LABELS).select(*SAMPLE_COLS)
+
+
+def q_visits_at_wells(spark, d):
+    """The visits that hold all labels, with the well's class and location."""
+    visits = op.visits_with_all(_mcl_samples(spark, d), VISIT_LABELS).select("wid", "logdate").distinct()
+    return op.join_locations(visits, _wells(spark, d))
+
+
+def _visit_rows(spark, d):
+    """Complete rows of listed labels. Which label a visit holds does not depend on repeats of a sample, so
+    nothing is de-duplicated first."""
+    raw = op.require(_raw(spark, d), ["wid", "logdate", "parlabel", "parval"])
+    return op.restrict_to_listed(raw, lookups.mcl_table(spark))
 
 
 def q_visit_combo_support(spark, d):
     """Visits holding every member, for each 3-combination of the eleven labels."""
-    return op.visit_combo_support(_mcl_samples(spark, d), CONTS11, VISIT_COMBO_SIZE).select("contaminants", "n")
+    return op.visit_combo_support(_visit_rows(spark, d), CONTS11, VISIT_COMBO_SIZE).select("contaminants", "n")
 
 
 def q_visit_combo_best(spark, d):
     """Best-supported 3-combination, ties by enumeration order."""
-    return op.visit_combo_best(op.visit_combo_support(_mcl_samples(spark, d), CONTS11, VISIT_COMBO_SIZE))
+    return op.visit_combo_best(op.visit_combo_support(_visit_rows(spark, d), CONTS11, VISIT_COMBO_SIZE))
 
 
-def _combo_input(spark, d):
-    df = op.since_filter(_enriched(spark, d), SINCE)
-    df = op.monitoring_wells(df)
-    return op.contaminant_filter(df, CONTS11)
+def _combos(spark, d):
+    df = op.contaminant_filter(op.since_filter(_enriched(spark, d, located=False), SINCE), CONTS11)
+    return op.combo_stats(df, CONTS11, COMBO_SIZES, classes=MONITORING_CLASSES, wells=_wells(spark, d))
 
 
 def q_combo_stats(spark, d):
-    """Wells and samples for each of the 1,816 combinations (sizes 4–11)."""
-    return op.combo_stats(_combo_input(spark, d), CONTS11, COMBO_SIZES)
+    """Wells and samples for each of the 1,816 combinations (sizes 4–11), most wells first."""
+    return op.by_wells(_combos(spark, d))
 
 
 def q_combo_max(spark, d):
     """Per combination size, the rows holding both maxima."""
-    return op.combo_max(op.combo_stats(_combo_input(spark, d), CONTS11, COMBO_SIZES))
+    return op.combo_max(_combos(spark, d))
 
 
 def q_combo_groups(spark, d):
     """Per combination size, the maximum of every column."""
-    return op.combo_groups(op.combo_stats(_combo_input(spark, d), CONTS11, COMBO_SIZES))
+    return op.combo_groups(_combos(spark, d))
 
 
 def q_label_counts(spark, d):
@@ -274,7 +304,7 @@ def q_top_labels(spark, d):
 
 def q_class_counts(spark, d):
     """Well-class value counts of the monitoring-well screen."""
-    return op.class_counts(op.spec_wells(_enriched(spark, d), CHEMS4, since=SINCE, classes=MONITORING_CLASSES, reuse=True))
+    return op.class_counts(_mw4(spark, d))
 
 
 def q_stage_counts(spark, d):
@@ -283,12 +313,17 @@ def q_stage_counts(spark, d):
     required = F.col("wid").isNotNull() & F.col("logdate").isNotNull() & F.col("parlabel").isNotNull() & F.col("parval").isNotNull()
     # keep-first order as one struct: largest value first, then the total ingest order
     sort_key = F.struct(-F.col("parval"), *[F.col(c) for c in ORDER])
-    flagged = op.flag_first(raw, ["wid", "logdate", "parlabel"], sort_key, required)
+    # one aggregate per sample id gives all that the stages depend on: rows, whether one is kept, and its unit
+    flagged = raw.groupBy("wid", "logdate", "parlabel").agg(
+        F.count("*").alias("n"),
+        F.count_if(required).alias("_ok"),
+        F.min_by(F.when(required, F.col("units")), F.when(required, sort_key)).alias("units"),
+    )
+    flagged = flagged.withColumn("_kept", F.col("_ok") > 0)
     loc = _locations(spark, d).select("wid", F.lit(True).alias("_loc"))
     mcl = lookups.mcl_table(spark).select(F.col("chem_abrv").alias("parlabel"), F.lit(True).alias("_mcl"))
     units = lookups.unit_table(spark).select(F.col("start_unit").alias("units"), F.lit(True).alias("_unit"))
-    flagged = flagged.join(loc, "wid", "left").join(bounded_broadcast(mcl), "parlabel", "left")
-    flagged = flagged.join(bounded_broadcast(units), "units", "left")
+    flagged = flagged.join(mcl, "parlabel", "left").join(units, "units", "left").join(loc, "wid", "left")
     clean = F.col("_kept")
     in_loc = clean & F.col("_loc").isNotNull()
     in_mcl = in_loc & F.col("_mcl").isNotNull()
@@ -297,20 +332,21 @@ def q_stage_counts(spark, d):
     labels = since & F.col("parlabel").isin(CONTS11)
     stages = [("raw", F.lit(True)), ("clean", clean), ("locations", in_loc), ("mcl", in_mcl), ("units", in_units),
               ("since", since), ("labels", labels)]
-    return op.stage_counts_flagged(flagged, stages)
+    rows = [F.col("n") if name == "raw" else F.lit(1) for name, _ in stages]
+    return op.stage_counts_flagged(flagged, stages, rows=rows)
 
 
 def q_wqi_pivot(spark, d):
     """(station, year) × label_unit mean value, complete rows only."""
     cols = [f"{lab}_{u}" for lab, *_rest, u in lookups.TEST_MCL_ROWS if lab in CHEMS4]
     cols = sorted(cols)
-    p = op.wqi_pivot(op.contaminant_filter(_mcl_samples(spark, d), CHEMS4), cols, date_grain="year")
+    p = op.wqi_pivot(op.contaminant_filter(_enriched(spark, d, keep_units=True), CHEMS4), cols, date_grain="year")
     return p.select("station", "date", *[r6(F.col(f"`{c}`")).alias(c) for c in cols])
 
 
 def q_well_mag_mean(spark, d):
     """Mean magnitude per well with a location."""
-    mags = op.well_magnitude(_enriched(spark, d), "mean", "magnitude")
+    mags = op.well_magnitude(_enriched(spark, d, located=False), "mean", "magnitude")
     w = op.wells_with_mag(_locations(spark, d).select("wid"), mags)
     return w.select("wid", r6("mag").alias("mag"))
 
@@ -323,7 +359,7 @@ def q_well_mag_gmean(spark, d):
 def q_zscore_outliers(spark, d):
     """C11: exceedance ratios within the z-score cut."""
     det = op.clean_samples(op.detects(_raw(spark, d), since=SINCE), order=ORDER, with_ids=False)
-    ratios = op.exceedance_ratios(det, lookups.flat_mcl_table(spark, CONTS11, FLAT_LIMIT))
+    ratios = op.exceedance_ratios(det, _score_limits(spark))
     return op.zscore_outliers(ratios, "mag", ZSCORE_MAX_TEST).select("wid", "logdate", "parlabel", r6("mag").alias("mag"))
 
 
@@ -372,8 +408,7 @@ def q_polygon_pairs(spark, d):
 
 
 def _usts(spark, d):
-    u = td.usts(spark, d)
-    return op.ust_union(u.filter(F.col("source_rank") == 0), u.filter(F.col("source_rank") == 1))
+    return op.ust_union(td.usts(spark, d))
 
 
 def q_ust_union(spark, d):
@@ -382,7 +417,7 @@ def q_ust_union(spark, d):
 
 
 def _site_counts(spark, d):
-    return op.blockgroup_site_counts(td.blockgroups(spark, d), td.usts(spark, d), td.cleanups(spark, d))
+    return op.blockgroup_site_counts(td.blockgroups(spark, d), _usts(spark, d), td.cleanups(spark, d))
 
 
 def q_blockgroup_site_counts(spark, d):
@@ -392,11 +427,7 @@ def q_blockgroup_site_counts(spark, d):
 
 def q_study_area(spark, d):
     """Top quarter of block groups by site count, shallow water table, disadvantaged community."""
-    # The per-group counts feed both the rank histogram and the rows; checkpoint them once (reliable
-    # checkpoint in spark.checkpoint.dir) instead of running the spatial join twice.
-    ensure_checkpoint_dir(spark)
-    counts = _site_counts(spark, d).checkpoint(eager=True)
-    s = op.study_area(counts, STUDY_TOP_FRACTION_TEST, STUDY_MAX_DEPTH_TEST)
+    s = op.study_area(_site_counts(spark, d), STUDY_TOP_FRACTION_TEST, STUDY_MAX_DEPTH_TEST)
     return s.select("geoid", "sites", r6("pct_rank").alias("pct_rank"), r6("water_table_depth_m").alias("water_table_depth_m"))
 
 
@@ -406,6 +437,34 @@ def q_source_manifest(spark, d):
     return source_manifest_for_areas(areas).select("area", "dataset", "file_name")
 
 
+def q_missing_sources(spark, d):
+    """Expected files that have not landed ."""
+    areas = _raw(spark, d).select("area").distinct()
+    return missing_sources(source_manifest_for_areas(areas), td.landed_files(spark, d)).select("area", "dataset", "file_name")
+
+
+def q_load_cleanups(spark, d):
+    """Cleanup sites with planar coordinates."""
+    return td.cleanups(spark, d).select("GLOBAL_ID", "BUSINESS_NAME", "STATUS", "x_m", "y_m")
+
+
+def q_all_samples_fanout(spark, d):
+    """J3/F5 with lookups that hold a label and a unit twice: the entry that stands first wins."""
+    mcl = lookups.mcl_table(spark, FANOUT_MCL)
+    units = lookups.unit_table(spark, FANOUT_UNITS)
+    df = _enriched(spark, d, dedup_after=True, mcl=mcl, units=units)
+    return _enriched_out(op.contaminant_filter(op.since_filter(df, ALL_SAMPLES_SINCE), CONTS11))
+
+
+def q_sample_ids(spark, d):
+    """The well and sample ids as structs, over the clean samples."""
+    df = op.clean_samples(_raw(spark, d), order=ORDER)
+    return df.select(
+        F.col("gid.wid").alias("gid_wid"), F.col("gid.logdate").alias("gid_date"), F.col("sid.gid.wid").alias("sid_wid"),
+        F.col("sid.gid.logdate").alias("sid_date"), F.col("sid.parlabel").alias("sid_label"),
+    )
+
+
 def q_make_wid(spark, d):
     """WID from facility id + point name with spaces (B3, B4) over the customer table."""
     c = td.table(spark, d, "customer").select("c_custkey", "c_mktsegment")
@@ -445,8 +504,9 @@ def q_contaminant_filter(spark, d):
 
 def q_label_lists(spark, d):
     """Per-well label counter as sorted text."""
-    df = op.contaminant_filter(op.since_filter(_enriched(spark, d), SINCE), CONTS11)
-    return op.label_lists(df).select("wid", "labels", "n_labels")
+    df = op.contaminant_filter(op.since_filter(_enriched(spark, d, located=False), SINCE), CONTS11)
+    lists = op.label_lists(df).join(_wells(spark, d), "wid", "left_semi")
+    return lists.select("wid", "labels", "n_labels")
 
 
 def q_union_samples(spark, d):

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import operators as op
 from .. import sinks
 from ..params import AREAS6, CONTS11, DEFAULT_SINCE, MIN_COUNT, MONITORING_CLASSES, PROXIMITY_RADIUS_M, UTM_ZONE
-from ..operators.screen import reuse_once
 from ..sources import ingest, providers
 
 
@@ -48,10 +47,10 @@ def load_samples(spark: SparkSession, edf_root: str | None, gama_root: str | Non
     """All lab results of both providers under the two landing folders (A2–A5, H1, H2)."""
     parts = []
     if edf_root:
-        lines = ingest.land_lines(spark, edf_root)
+        lines = ingest.land_lines(spark, edf_root, areas=areas)
         parts.append(providers.edf_samples(ingest.parse_delimited(lines, providers.EDF_SAMPLE_COLS), areas))
     if gama_root:
-        lines = ingest.land_lines(spark, gama_root)
+        lines = ingest.land_lines(spark, gama_root, areas=areas)
         parts.append(providers.gama_samples(ingest.parse_delimited(lines, providers.GAMA_SAMPLE_COLS), areas))
     return op.union_all(*parts)
 
@@ -104,10 +103,10 @@ def spec_job(samples: DataFrame, labels: Sequence[str] = CONTS11, since: str = D
              classes: Sequence[str] | None = None, out: str | None = None) -> DataFrame:
     """J4 strict (or J5 relaxed) well screen, written by area."""
     if relaxed:
-        df = op.spec_wells_relaxed(samples, labels, min_count=min_count, since=since, classes=classes, reuse=True)
+        df = op.spec_wells_relaxed(samples, labels, min_count=min_count, since=since, classes=classes)
     else:
         df = op.spec_wells(samples, labels, since=since, min_count=min_count, require_dtw=require_dtw,
-                           classes=classes, reuse=True)
+                           classes=classes)
     return _out(df, out, "spec_samples", by_area=True)
 
 
@@ -124,7 +123,7 @@ def combo_job(samples: DataFrame, labels: Sequence[str] = CONTS11, sizes: Sequen
         f = op.monitoring_wells(f, classes)
     f = op.contaminant_filter(f, labels)
     g = ["area"] if by_area and "area" in f.columns else []
-    stats = _out(op.combo_stats(f, labels, sizes, min_count, g), out, "combo_stats")
+    stats = _out(op.by_wells(op.combo_stats(f, labels, sizes, min_count, g), g), out, "combo_stats")
     return {
         "stats": stats,
         "max": _out(op.combo_max(stats, g), out, "combo_max"),
@@ -135,13 +134,16 @@ def combo_job(samples: DataFrame, labels: Sequence[str] = CONTS11, sizes: Sequen
 def score_job(samples_raw: DataFrame, locations: DataFrame, blocks: DataFrame, mcl: DataFrame,
               since: str = DEFAULT_SINCE, method: str = "gmean", geometry: str = "polygon",
               radius: float = PROXIMITY_RADIUS_M, zone: int = UTM_ZONE, zscore: float | None = None,
-              out: str | None = None) -> tuple[DataFrame, DataFrame]:
+              out: str | None = None, geographic_blocks: bool = False) -> tuple[DataFrame, DataFrame]:
     """J10 + J11: detections since ``since`` → keep-max per sample → exceedance ratios (optional z-score
     cut) → per-well geometric mean → wells projected to UTM → distance-weighted block scores.
 
-    ``blocks`` carries ``geoid`` and either ``rings`` in UTM metres (``geometry='polygon'``) or
-    ``x_m, y_m`` (``'point'``). Returns (wells, scores).
+    ``blocks`` carries ``geoid`` and either ``rings`` (``geometry='polygon'``; in UTM metres, or in degrees
+    with ``geographic_blocks=True``, then projected like the wells) or ``x_m, y_m`` (``'point'``).
+    Returns (wells, scores).
     """
+    if geographic_blocks:
+        blocks = op.project_utm(blocks, zone=zone)
     det = op.clean_samples(op.detects(op.restrict_to_listed(samples_raw, mcl), since=since), with_ids=False)
     ratios = op.exceedance_ratios(det, mcl)
     if zscore is not None:
@@ -150,6 +152,9 @@ def score_job(samples_raw: DataFrame, locations: DataFrame, blocks: DataFrame, m
     wells = op.project_utm(op.wells_with_mag(locations.select("wid", "latitude", "longitude"), mags), zone=zone)
     wells = _out(wells, out, "wells")
     scores = op.block_score(blocks, wells, method, radius, geometry=geometry)
+    if out is not None:  # the layers other tools read: wells as points, blocks with their geometry
+        sinks.write_wells_layer(wells, f"{out.rstrip('/')}/wells_layer")
+        sinks.write_block_scores(scores, f"{out.rstrip('/')}/blocks_layer", blocks)
     return wells, _out(scores, out, "block_scores")
 
 
@@ -159,5 +164,5 @@ def study_area_job(blockgroups: DataFrame, usts: Sequence[DataFrame], cleanups:
     water table, disadvantaged community."""
     tanks = op.ust_union(*usts)
     counts = op.blockgroup_site_counts(blockgroups, tanks, cleanups)
-    counts = _out(counts, out, "blockgroup_site_counts") if out else reuse_once(counts)
+    counts = _out(counts, out, "blockgroup_site_counts")
     return _out(op.study_area(counts, top_fraction, max_depth), out, "study_area")

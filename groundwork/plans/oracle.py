@@ -35,6 +35,15 @@ def _mcl_values(rows) -> str:
     return f"SELECT * FROM (VALUES {vals}) AS t(chem_abrv, chem_name, comp_conc_val, comp_conc_type, units)"
 
 
+def _in_notched(s: str) -> str:
+    """Inside the square, not in its upper right quarter, not in the hole (lower and left edges belong to it)."""
+    x, y = f"({s}.x_m - bg.x_m)", f"({s}.y_m - bg.y_m)"
+    hole = f"({x} >= -0.75 * bg.half_m AND {x} < -0.25 * bg.half_m AND {y} >= -0.75 * bg.half_m AND {y} < -0.25 * bg.half_m)"
+    notch = f"({x} >= 0 AND {y} >= 0)"
+    box = f"{x} >= -bg.half_m AND {x} < bg.half_m AND {y} >= -bg.half_m AND {y} < bg.half_m"
+    return f"{box} AND NOT {notch} AND NOT {hole}"
+
+
 SINCE = f"DATE {_q(cat.SINCE)}"
 R6 = "round_even({}, 6)"
 
@@ -64,7 +73,7 @@ SELECT 'W' || CAST(c_custkey // 2 AS VARCHAR) AS wid,
             ELSE c_mktsegment END AS field_pt_class,
        CAST(32.5 AS DOUBLE) + CAST((c_custkey // 2) % 1000 AS DOUBLE) * CAST(0.002 AS DOUBLE) AS latitude,
        CAST(-119.5 AS DOUBLE) + CAST(((c_custkey // 2) * 7) % 1000 AS DOUBLE) * CAST(0.003 AS DOUBLE) AS longitude,
-       CAST(((c_custkey // 2) * 104729) % 20000 AS DOUBLE) AS x_m,
+       CAST(((c_custkey // 2) * 104729) % 20000 + ((c_custkey // 2) // 1000) * 20000 AS DOUBLE) AS x_m,
        CAST(((c_custkey // 2) * 32452843) % 20000 AS DOUBLE) AS y_m,
        c_custkey % 2 AS source_rank, c_custkey AS line_no
 FROM customer""",
@@ -75,7 +84,7 @@ SELECT * EXCLUDE (rn) FROM (
 WHERE rn = 1""",
     "mcl": _mcl_values(lookups.TEST_MCL_ROWS),
     "mcl_left": _mcl_values(lookups.TEST_MCL_ROWS[: cat.MCL_LEFT_ROWS]),
-    "flat_mcl": _mcl_values([(lab, lab, cat.FLAT_LIMIT, "MCL", "UG/L") for lab in CONTS11]),
+    "flat_mcl": _mcl_values([(lab, lab, v, "MCL", "UG/L") for lab, v in cat.SCORE_LIMITS]),
     "unit_tbl": "SELECT * FROM (VALUES "
     + ", ".join(f"({_q(u)}, CAST({c!r} AS DOUBLE))" for u, c in lookups.TEST_UNIT_ROWS)
     + ") AS t(start_unit, coef)",
@@ -95,7 +104,7 @@ FROM conv""",
     "dtw_raw": """
 SELECT 'W' || CAST(o_custkey // 2 AS VARCHAR) AS wid, CAST(o_orderdate AS DATE) AS logdate,
        o_totalprice / 1000 AS dtw, o_orderkey % 2 AS source_rank, o_orderkey AS line_no
-FROM orders WHERE o_orderstatus = 'F'""",
+FROM orders""",
     "dtw": """
 SELECT wid, logdate, dtw, 'ft' AS dtw_units FROM (
   SELECT *, row_number() OVER (PARTITION BY wid, logdate ORDER BY source_rank, line_no) AS rn
@@ -120,32 +129,34 @@ SELECT l.wid, l.x_m, l.y_m, g.mag FROM locations l JOIN (
                    ELSE exp(avg(ln(CASE WHEN mag > 0 THEN mag END))) END AS mag
   FROM ratios GROUP BY wid) g ON l.wid = g.wid""",
     "blocks_pts": """
-SELECT CAST(p_partkey AS VARCHAR) AS geoid, CAST((p_partkey * 7919) % 20000 AS DOUBLE) AS x_m,
+SELECT CAST(p_partkey AS VARCHAR) AS geoid, CAST((p_partkey * 7919) % 20000 + (p_partkey // 1000) * 20000 AS DOUBLE) AS x_m,
        CAST((p_partkey * 15485863) % 20000 AS DOUBLE) AS y_m, CAST(p_size * 10 AS DOUBLE) AS half_m
 FROM part""",
     "usts_raw": """
-SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS Facility_I, s_name AS Name, 'A' || CAST(s_suppkey % 40 AS VARCHAR) AS Address,
-       CAST(1.0 AS DOUBLE) AS Open_USTs, CAST((s_suppkey * 6007) % 20000 AS DOUBLE) AS x_m,
+SELECT 'S' || CAST(s_suppkey % 7 AS VARCHAR) AS Facility_I, s_name AS Name, 'A' || CAST(s_suppkey // 2 AS VARCHAR) AS Address,
+       CAST(1.0 AS DOUBLE) AS Open_USTs, CAST((s_suppkey * 6007) % 20000 + (s_suppkey // 1000) * 20000 AS DOUBLE) AS x_m,
        CAST((s_suppkey * 9973) % 20000 AS DOUBLE) AS y_m, 0 AS source_rank, s_suppkey AS line_no
 FROM supplier
 UNION ALL
-SELECT 'C' || CAST(c_custkey AS VARCHAR), c_name, 'A' || CAST(c_custkey % 400 AS VARCHAR),
-       CAST(floor(c_acctbal / 1000) AS DOUBLE), CAST((c_custkey * 6007) % 20000 AS DOUBLE),
+SELECT 'C' || CAST(c_custkey % 100 AS VARCHAR), c_name, 'A' || CAST(c_custkey // 3 AS VARCHAR),
+       CAST(floor(c_acctbal / 1000) AS DOUBLE), CAST((c_custkey * 6007) % 20000 + (c_custkey // 1000) * 20000 AS DOUBLE),
        CAST((c_custkey * 7789) % 20000 AS DOUBLE), 1, c_custkey
 FROM customer""",
     "cleanups_raw": """
-SELECT 'T' || CAST(o_orderkey AS VARCHAR) AS GLOBAL_ID, CAST((o_orderkey * 3001) % 20000 AS DOUBLE) AS x_m,
+SELECT CASE WHEN o_orderkey % 5 <> 0 THEN 'T' || CAST(o_orderkey % 300 AS VARCHAR) END AS GLOBAL_ID, o_orderpriority AS BUSINESS_NAME,
+       o_orderstatus AS STATUS, CAST((o_orderkey * 3001) % 20000 + (o_orderkey // 1000) * 20000 AS DOUBLE) AS x_m,
        CAST((o_orderkey * 4999) % 20000 AS DOUBLE) AS y_m
-FROM orders WHERE o_orderstatus = 'P'""",
+FROM orders""",
+    "usts_one": """
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY Address
+  ORDER BY Open_USTs DESC NULLS LAST, source_rank, line_no) AS rn FROM usts_raw) WHERE rn = 1""",
     "bg": """
 SELECT b.*, p_retailprice % 10 AS water_table_depth_m, CAST(split_part(p_brand, '#', 2) AS INTEGER) % 2 = 0 AS is_dac
 FROM blocks_pts b JOIN part ON b.geoid = CAST(p_partkey AS VARCHAR)""",
-    "site_counts": """
+    "site_counts": f"""
 SELECT bg.geoid, bg.water_table_depth_m, bg.is_dac,
-       CAST((SELECT count(*) FROM usts_raw u WHERE u.x_m >= bg.x_m - bg.half_m AND u.x_m < bg.x_m + bg.half_m
-                                            AND u.y_m >= bg.y_m - bg.half_m AND u.y_m < bg.y_m + bg.half_m) AS BIGINT) AS usts,
-       CAST((SELECT count(*) FROM cleanups_raw c WHERE c.x_m >= bg.x_m - bg.half_m AND c.x_m < bg.x_m + bg.half_m
-                                                AND c.y_m >= bg.y_m - bg.half_m AND c.y_m < bg.y_m + bg.half_m) AS BIGINT) AS cleanups
+       CAST((SELECT count(*) FROM usts_one s WHERE {_in_notched('s')}) AS BIGINT) AS usts,
+       CAST((SELECT count(*) FROM cleanups_raw s WHERE {_in_notched('s')}) AS BIGINT) AS cleanups
 FROM bg""",
     "labels": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(x)})" for i, x in enumerate(CONTS11)) + ") AS t(idx, name)",
     "combo_in": f"""
@@ -189,7 +200,8 @@ DEPS = {
     "ratios": ["det_clean", "flat_mcl"],
     "gmean_wells": ["ratios", "locations"],
     "bg": ["blocks_pts"],
-    "site_counts": ["bg", "usts_raw", "cleanups_raw"],
+    "usts_one": ["usts_raw"],
+    "site_counts": ["bg", "usts_one", "cleanups_raw"],
     "combo_in": ["enriched"],
     "combo_stats": ["combo_in", "labels"],
     "visit_labels": ["mcl_samples"],
@@ -280,11 +292,11 @@ def _wqi_sql() -> str:
         f"""
 SELECT * FROM (
   SELECT station, date, {sel} FROM (
-    SELECT wid AS station, CAST(date_trunc('year', logdate) AS DATE) AS date, parlabel || '_' || mcl_units AS k, parval
-    FROM mcl_samples WHERE parlabel IN {_in(CHEMS4)})
+    SELECT wid AS station, CAST(date_trunc('year', logdate) AS DATE) AS date, parlabel || '_' || mcl_units AS k, cparval AS parval
+    FROM conv WHERE parlabel IN {_in(CHEMS4)})
   GROUP BY station, date)
 WHERE {nn}""",
-        "mcl_samples",
+        "conv",
     )
 
 
@@ -465,6 +477,23 @@ FROM (SELECT *, usts + cleanups AS sites, percent_rank() OVER (ORDER BY usts + c
 WHERE pr <= {cat.STUDY_TOP_FRACTION_TEST!r} AND water_table_depth_m <= {cat.STUDY_MAX_DEPTH_TEST!r} AND is_dac""",
             "site_counts",
         ),
+        "visits_at_wells": sql(
+            "SELECT v.wid, v.logdate, l.field_pt_class, l.latitude, l.longitude FROM (SELECT wid, logdate FROM mcl_samples "
+            f"WHERE parlabel IN {_in(cat.VISIT_LABELS)} GROUP BY wid, logdate "
+            f"HAVING count(DISTINCT parlabel) = {len(cat.VISIT_LABELS)}) v JOIN locations l ON v.wid = l.wid",
+            "mcl_samples", "locations",
+        ),
+        "sample_ids": sql(
+            "SELECT wid AS gid_wid, logdate AS gid_date, wid AS sid_wid, logdate AS sid_date, parlabel AS sid_label FROM clean",
+            "clean",
+        ),
+        "load_cleanups": sql("SELECT GLOBAL_ID, BUSINESS_NAME, STATUS, x_m, y_m FROM cleanups_raw", "cleanups_raw"),
+        "missing_sources": sql(
+            f"SELECT m.* FROM ({_manifest_sql()}) m WHERE file_name NOT IN (SELECT ({_list(AREAS6)})[((c_custkey // 2) % 3) + 1] || "
+            "CASE WHEN c_custkey % 3 = 0 THEN 'GeoXY.zip' ELSE 'EDF.zip' END FROM customer)",
+            "raw",
+        ),
+        "all_samples_fanout": _fanout_sql(),
         "source_manifest": sql(_manifest_sql(), "raw"),
         "make_wid": """
 SELECT c_custkey,
@@ -497,6 +526,26 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(o_orderdate
     return q
 
 
+def _fanout_sql() -> str:
+    """Limits and factors that repeat a key: of the rows they make, that of the first limit, then factor."""
+    mcl = ", ".join(f"({i}, {_q(a)}, {_q(n)}, CAST({v!r} AS DOUBLE), {_q(u)})" for i, (a, n, v, _t, u) in enumerate(cat.FANOUT_MCL))
+    units = ", ".join(f"({i}, {_q(u)}, CAST({c!r} AS DOUBLE))" for i, (u, c) in enumerate(cat.FANOUT_UNITS))
+    return sql(
+        f"""
+SELECT wid, logdate, parlabel, cparval AS parval, parvq, 'UG/L' AS units, source, area, field_pt_class, latitude, longitude,
+       chem_name, v AS comp_conc_val, cparval > v AS exceedence, round_even(cparval / v - 1, 6) AS magnitude
+FROM (
+  SELECT c.*, l.field_pt_class, l.latitude, l.longitude, m.chem_name, m.v,
+         CASE WHEN c.units <> m.u THEN c.parval * f.coef ELSE c.parval END AS cparval,
+         row_number() OVER (PARTITION BY c.wid, c.logdate, c.parlabel ORDER BY m.i, f.i) AS first_entry
+  FROM clean c JOIN locations l ON c.wid = l.wid
+  JOIN (VALUES {mcl}) m(i, lab, chem_name, v, u) ON c.parlabel = m.lab
+  JOIN (VALUES {units}) f(i, start_unit, coef) ON c.units = f.start_unit)
+WHERE first_entry = 1 AND logdate >= DATE {_q(ALL_SAMPLES_SINCE)} AND parlabel IN {_in(CONTS11)}""",
+        "clean", "locations",
+    )
+
+
 def _manifest_sql() -> str:
     from ..params import EDF_SUFFIX, GAMA_DATASETS, GAMA_PREFIX, GAMA_SUFFIX, GEOXY_SUFFIX
 

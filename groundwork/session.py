@@ -7,11 +7,12 @@ unset, so a cluster's own choices (shuffle partitions, checkpoint folder, broadc
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (broadcast when a side turns out
 # small, split skewed partitions, coalesce tiny ones); UTC keeps DATE/TIMESTAMP casts stable.
@@ -125,11 +126,14 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Clusters name a shared folder there; only when it is unset (local tests) do we pick a scratch
-    folder of our own.
+    Clusters name a shared folder there. Only a local master, where driver and executor are one process,
+    falls back to a scratch folder of this machine; any other master without the setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         d = tempfile.mkdtemp(prefix="gw-ckpt-", dir=os.environ.get("GW_SCRATCH", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", d)
@@ -138,16 +142,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and reading it back.
-
-    Used where one expensive intermediate feeds several outputs; a lost executor then re-reads the
-    written files instead of recomputing the whole upstream plan.
-    """
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

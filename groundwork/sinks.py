@@ -9,11 +9,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .sources.shapes import wkb_from_rings
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: str | list[str] | None = None, sort_by: list[str] | None = None) -> None:
     """Write ``df``; ``sort_by`` orders rows inside each output file (sorted by id, as the reference's
     layers are, without a global sort: ``sortWithinPartitions`` adds no shuffle)."""
+    if partition_by:
+        # one exchange that gathers each folder's rows in few, evenly sized files (Spark splits large
+        # ones); without it every task would write a file in every folder
+        df = df.hint("rebalance", *([partition_by] if isinstance(partition_by, str) else partition_by))
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
     w = df.write.mode(mode).format(fmt)
@@ -35,6 +41,10 @@ def write_wells_layer(wells: DataFrame, path: str, mode: str = "overwrite") -> N
     write_table(wells.select(*cols), path, "parquet", mode, sort_by=["wid"])
 
 
-def write_block_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Scored blocks (K3)."""
+def write_block_scores(scores: DataFrame, path: str, blocks: DataFrame | None = None, mode: str = "overwrite") -> None:
+    """Scored blocks (K3); with ``blocks`` (``geoid, rings`` or ``geoid, x_m, y_m``) their geometry goes along,
+    polygons as WKB."""
+    if blocks is not None:
+        shape = [wkb_from_rings("rings").alias("geometry")] if "rings" in blocks.columns else ["x_m", "y_m"]
+        scores = scores.join(blocks.select("geoid", *shape), "geoid", "left")
     write_table(scores, path, "parquet", mode, sort_by=["geoid"])

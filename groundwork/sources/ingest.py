@@ -21,6 +21,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import NA_MARKERS
+from ..session import ship_package
 
 LINES_SCHEMA = T.StructType(
     [
@@ -42,6 +44,8 @@ LINES_SCHEMA = T.StructType(
 )
 
 _BATCH = 50_000
+# Names that Hadoop gives to stores, and what pyarrow or the mount calls them.
+_SCHEMES = (("s3a://", "s3://"), ("s3n://", "s3://"), ("dbfs:/", "/dbfs/"))
 
 
 def _open(path: str):
@@ -53,6 +57,9 @@ def _open(path: str):
         path = path[len("file:"):]
         while path.startswith("//"):
             path = path[1:]
+    for scheme, standard in _SCHEMES:
+        if path.startswith(scheme):
+            path = standard + path[len(scheme):]
     if "://" not in path:
         return open(path, "rb")
     from pyarrow import fs as pafs
@@ -68,6 +75,10 @@ def _unzip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows: list[tuple] = []
             try:
                 with _open(path) as fh_zip, zipfile.ZipFile(fh_zip) as zf:
+                    # every member is read through to its checksum before its first line goes out: of a
+                    # damaged file nothing but the error row may reach the data
+                    if (damaged := zf.testzip()) is not None:
+                        raise zipfile.BadZipFile(f"bad checksum in {damaged}")
                     for info in zf.infolist():
                         if info.is_dir():
                             continue
@@ -86,7 +97,8 @@ def _unzip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 if len(rows) >= _BATCH:
                                     yield pd.DataFrame(rows, columns=LINES_SCHEMA.fieldNames())
                                     rows = []
-            except (zipfile.BadZipFile, OSError, EOFError, RuntimeError) as e:
+            except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, ValueError) as e:
+                # ValueError: also what pyarrow raises for a store it does not know
                 rows.append((path, None, None, None, f"{type(e).__name__}: {e}", None))
             if rows:
                 yield pd.DataFrame(rows, columns=LINES_SCHEMA.fieldNames())
@@ -103,17 +115,21 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame
     )
 
 
-def land_lines(spark: SparkSession, root: str, glob: str = "*.zip") -> DataFrame:
+def land_lines(spark: SparkSession, root: str, glob: str = "*.zip", areas: Sequence[str] | None = None) -> DataFrame:
     """Every text line of every zip member under ``root``, with file path and 1-based line number.
 
     One zip is unpacked by one task (zips are not splittable); tasks get files packed by size; the lines
-    leave the task in bounded batches. Land once and persist (``sinks.write_table``) when
+    leave the task in bounded batches. With ``areas`` only files whose name holds one of them are opened
+    (A3). Land once and persist (``sinks.write_table``) when
     several providers/jobs read the same files.
     """
     # The listing is already partitioned by file size (whole files, packed up to
     # spark.sql.files.maxPartitionBytes per task), which balances the unzip work by bytes; a hash
     # repartition by path could stack several large zips into one task.
     files = list_files(spark, root, glob).select("path")
+    if areas is not None:
+        files = files.filter(area_from_path("path", areas).isNotNull())
+    ship_package(spark)
     return files.mapInPandas(_unzip_batches, LINES_SCHEMA)
 
 

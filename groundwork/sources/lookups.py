@@ -57,33 +57,39 @@ def local_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
     vals = ", ".join("(" + ", ".join(_literal(v, f.dataType) for v, f in zip(r, schema.fields)) + ")" for r in rows)
     df = spark.sql(f"SELECT * FROM VALUES {vals} AS t({', '.join(names)})")
-    df = df.select(*[df[n].cast(f.dataType).alias(n) for n, f in zip(names, schema.fields)])
-    df._gw_rows = len(rows)  # exact size, lets joins broadcast without a counting job
-    return df
+    return df.select(*[df[n].cast(f.dataType).alias(n) for n, f in zip(names, schema.fields)])
+
+
+ROW_NO = T.StructField("row_no", T.LongType())
+
+
+def _numbered(rows, schema: T.StructType) -> tuple[list, T.StructType]:
+    """Rows with their place in the table: which of two entries for one key stands first is part of the data."""
+    return [(*r, i) for i, r in enumerate(rows)], T.StructType([*schema.fields, ROW_NO])
 
 
 def mcl_table(spark: SparkSession, rows=None) -> DataFrame:
-    return local_table(spark, rows if rows is not None else TEST_MCL_ROWS, MCL_SCHEMA)
+    return local_table(spark, *_numbered(rows if rows is not None else TEST_MCL_ROWS, MCL_SCHEMA))
 
 
 def flat_mcl_table(spark: SparkSession, labels, limit: float, units: str = "UG/L") -> DataFrame:
     """One limit for every label (used by the exceedance-only per-well score)."""
-    return local_table(spark, [(lab, lab, float(limit), "MCL", units) for lab in labels], MCL_SCHEMA)
+    return mcl_table(spark, [(lab, lab, float(limit), "MCL", units) for lab in labels])
 
 
 def unit_table(spark: SparkSession, rows=None) -> DataFrame:
-    return local_table(spark, rows if rows is not None else TEST_UNIT_ROWS, UNIT_SCHEMA)
+    return local_table(spark, *_numbered(rows if rows is not None else TEST_UNIT_ROWS, UNIT_SCHEMA))
 
 
 def read_mcl(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     r = spark.read.format(fmt)
     if fmt == "csv":
         r = r.option("header", True).schema(MCL_SCHEMA)
-    return r.load(path).select(*MCL_SCHEMA.fieldNames())
+    return r.load(path).select(*MCL_SCHEMA.fieldNames(), F.monotonically_increasing_id().alias("row_no"))
 
 
 def read_unit_conversion(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     r = spark.read.format(fmt)
     if fmt == "csv":
         r = r.option("header", True).schema(UNIT_SCHEMA)
-    return r.load(path).select(*UNIT_SCHEMA.fieldNames())
+    return r.load(path).select(*UNIT_SCHEMA.fieldNames(), F.monotonically_increasing_id().alias("row_no"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date_text
 from ..functions.ids import make_wid, strip_spaces
-from ..params import AREAS6
+from ..functions.geometry import utm_xy
+from ..params import AREAS6, UTM_ZONE
 from .ingest import area_from_path, to_double, well_formed
 
 # Provider header columns (fixed values: the providers' published field names).
@@ -29,7 +30,9 @@ GAMA_DTW_COLS = ["WELL NUMBER", "DEPTH TO WATER", "MEASUREMENT DATE"]
 EDF_DTW_COLS = ["GLOBAL_ID", "FIELD_POINT_NAME", "DTW", "GW_MEAS_DATE"]
 GEO_UST_COLS = ["FACILITY_ID", "BUSINESS_NAME", "ADDRESS", "CITY", "ZIP", "COUNTY", "LATITUDE", "LONGITUDE"]
 USEPA_UST_COLS = ["Facility_I", "Name", "Address", "City", "County", "Zip_Code", "Latitude", "Longitude", "Open_USTs"]
+# parse with CLEANUP_FILE_COLS to get the sites' coordinates too
 CLEANUP_COLS = ["GLOBAL_ID", "BUSINESS_NAME", "STREET_NUMBER", "STREET_NAME", "CITY", "ZIP", "CASE_TYPE", "STATUS"]
+CLEANUP_FILE_COLS = [*CLEANUP_COLS, "LATITUDE", "LONGITUDE"]
 
 GEOTRACKER_RANK = 0
 GAMA_RANK = 1
@@ -114,6 +117,14 @@ def edf_dtw(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _planar(lat=None, lon=None) -> list:
+    """UTM metres (the zone of the study area) of a site's latitude and longitude."""
+    lat = to_double("LATITUDE") if lat is None else lat
+    lon = to_double("LONGITUDE") if lon is None else lon
+    x, y = utm_xy(lon, lat, UTM_ZONE)
+    return [x.alias("x_m"), y.alias("y_m")]
+
+
 def geotracker_usts(parsed: DataFrame) -> DataFrame:
     """Permitted tanks, renamed to the federal layer's names; one open tank per record."""
     df = well_formed(parsed)
@@ -127,6 +138,7 @@ def geotracker_usts(parsed: DataFrame) -> DataFrame:
         to_double("LATITUDE").alias("Latitude"),
         to_double("LONGITUDE").alias("Longitude"),
         F.lit(1.0).alias("Open_USTs"),
+        *_planar(),
         F.lit(GEOTRACKER_RANK).alias("source_rank"),
         F.col("path"),
         F.col("line_no"),
@@ -134,18 +146,25 @@ def geotracker_usts(parsed: DataFrame) -> DataFrame:
 
 
 def usepa_usts(df: DataFrame) -> DataFrame:
-    """Federal tank layer (exported to Parquet/CSV): keep only the listed columns that exist."""
+    """Federal tank layer (exported to Parquet/CSV): keep only the listed columns that exist, with planar
+    coordinates. Without a ``line_no`` of its own the layer is ordered by what its rows hold."""
     keep = [c for c in USEPA_UST_COLS if c in df.columns]
     out = df.select(*keep)
     for c in ("Latitude", "Longitude", "Open_USTs"):
         if c in out.columns:
             out = out.withColumn(c, to_double(F.col(c).cast("string")))
     extra = [F.lit(GAMA_RANK).alias("source_rank")]
+    if "Latitude" in out.columns and "Longitude" in out.columns:
+        extra += _planar(F.col("Latitude"), F.col("Longitude"))
     if "path" not in out.columns:
-        extra += [F.lit("usepa").alias("path"), F.monotonically_increasing_id().alias("line_no")]
+        extra += [F.lit("usepa").alias("path"), F.xxhash64(*keep).alias("line_no")]
     return out.select("*", *extra)
 
 
 def cleanup_sites(parsed: DataFrame) -> DataFrame:
+    """Cleanup sites with planar coordinates (NULL where the file has none)."""
     df = well_formed(parsed)
-    return df.select(*CLEANUP_COLS, "path", "line_no")
+    have = {"LATITUDE", "LONGITUDE"} <= set(df.columns)
+    nowhere = F.lit(None).cast("double")
+    planar = _planar() if have else [nowhere.alias("x_m"), nowhere.alias("y_m")]
+    return df.select(*CLEANUP_COLS, *planar, "path", "line_no")

@@ -15,10 +15,11 @@ Mapping (fixed for the tests):
   area = AREAS6[(o_custkey div 2) % 6].
 * locations    = customer: wid as above from c_custkey (two rows per well), class MACHINERY→MW,
   BUILDING→MONITORING, else the segment; planar x/y in metres; provider rank c_custkey % 2.
-* dtw          = orders with status F: depth = o_totalprice/1000, provider rank o_orderkey % 2.
+* dtw          = orders: depth = o_totalprice/1000, provider rank o_orderkey % 2.
 * blocks       = part: square of half-side p_size*10 m around a pseudo-random centre.
-* usts         = supplier (1 tank) ∪ customer (floor(c_acctbal/1000) tanks), shared address pool.
-* cleanups     = orders with status P.
+* usts         = supplier (1 tank) ∪ customer (floor(c_acctbal/1000) tanks), addresses shared by neighbouring keys.
+* cleanups     = orders; facility and site ids repeat, and some site ids are NULL.
+* block groups = notched squares with a hole (concave).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ UNIT_CYCLE = ["UG/L", "MG/L", "NG/L"]
 # Total ingest order of the sample rows (provider, then line position, then the columns that make a line unique).
 SAMPLE_ORDER = ("source_rank", "path", "line_no", "line_part", "line_supp", "line_price")
 EXTENT_M = 20000
+TILE_KEYS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
@@ -63,8 +65,13 @@ def _wid(key: str) -> Column:
     return F.concat(F.lit("W"), F.expr(f"{key} div 2").cast("string"))
 
 
-def _coord(key: Column, mult: int) -> Column:
-    return ((key * F.lit(mult)) % F.lit(EXTENT_M)).cast("double")
+def _coord(key: Column, mult: int, tile: bool = False) -> Column:
+    """A pseudo-random place in a square of ``EXTENT_M``; with ``tile`` (one axis) each thousand keys have a
+    square of their own, so the density, and pairs per row, stay the same at any scale factor."""
+    place = (key * F.lit(mult)) % F.lit(EXTENT_M)
+    if tile:
+        place = place + F.floor(key / F.lit(TILE_KEYS)) * F.lit(EXTENT_M)
+    return place.cast("double")
 
 
 def samples_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +112,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("field_pt_class"),
         (F.lit(32.5) + (k % 1000).cast("double") * F.lit(0.002)).alias("latitude"),
         (F.lit(-119.5) + ((k * 7) % 1000).cast("double") * F.lit(0.003)).alias("longitude"),
-        _coord(k, 104729).alias("x_m"),
+        _coord(k, 104729, tile=True).alias("x_m"),
         _coord(k, 32452843).alias("y_m"),
         (F.col("c_custkey") % 2).cast("int").alias("source_rank"),
         F.lit("customer").alias("path"),
@@ -114,8 +121,7 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dtw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus"], spread=True)
-    o = o.filter(F.col("o_orderstatus") == "F")
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"], spread=True)
     return o.select(
         _wid("o_custkey").alias("wid"),
         F.col("o_orderdate").cast("date").alias("logdate"),
@@ -131,7 +137,7 @@ def block_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     return p.select(
         F.col("p_partkey").cast("string").alias("geoid"),
-        _coord(F.col("p_partkey"), 7919).alias("x_m"),
+        _coord(F.col("p_partkey"), 7919, tile=True).alias("x_m"),
         _coord(F.col("p_partkey"), 15485863).alias("y_m"),
         (F.col("p_size") * 10).cast("double").alias("half_m"),
     )
@@ -143,15 +149,36 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("geoid", square_rings("x_m", "y_m", "half_m").alias("rings"))
 
 
+def notched_rings(cx: Column, cy: Column, h: Column) -> Column:
+    """A square without its upper right quarter (concave), with a square hole in the lower left quarter."""
+
+    def ring(*pts):
+        return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in (*pts, pts[0])])
+
+    q = h / 4
+    hx, hy = cx - h / 2, cy - h / 2
+    outer = ring((cx - h, cy - h), (cx + h, cy - h), (cx + h, cy), (cx, cy), (cx, cy + h), (cx - h, cy + h))
+    return F.array(outer, ring((hx - q, hy - q), (hx + q, hy - q), (hx + q, hy + q), (hx - q, hy + q)))
+
+
+def landed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of landed files: of each customer's area the lab results, of every third one the locations too."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.expr("c_custkey div 2")
+    area = _pick(AREAS6, k % 3)
+    kind = F.when(F.col("c_custkey") % 3 == 0, "GeoXY.zip").otherwise("EDF.zip")
+    return c.select(F.concat(F.lit("landing/"), area, kind).alias("path"))
+
+
 def blockgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block groups: the block squares plus water-table depth and disadvantaged-community flag (one scan)."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
-    x = _coord(F.col("p_partkey"), 7919)
+    x = _coord(F.col("p_partkey"), 7919, tile=True)
     y = _coord(F.col("p_partkey"), 15485863)
     h = (F.col("p_size") * 10).cast("double")
     return p.select(
         F.col("p_partkey").cast("string").alias("geoid"),
-        square_rings(x, y, h).alias("rings"),
+        notched_rings(x, y, h).alias("rings"),
         (F.col("p_retailprice") % 10).alias("water_table_depth_m"),
         ((F.substring_index(F.col("p_brand"), "#", -1).cast("int") % 2) == 0).alias("is_dac"),
     )
@@ -162,21 +189,21 @@ def usts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     geo = s.select(
-        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("Facility_I"),
+        F.concat(F.lit("S"), (F.col("s_suppkey") % 7).cast("string")).alias("Facility_I"),
         F.col("s_name").alias("Name"),
-        F.concat(F.lit("A"), (F.col("s_suppkey") % 40).cast("string")).alias("Address"),
+        F.concat(F.lit("A"), F.expr("s_suppkey div 2").cast("string")).alias("Address"),
         F.lit(1.0).alias("Open_USTs"),
-        _coord(F.col("s_suppkey"), 6007).alias("x_m"),
+        _coord(F.col("s_suppkey"), 6007, tile=True).alias("x_m"),
         _coord(F.col("s_suppkey"), 9973).alias("y_m"),
         F.lit(0).alias("source_rank"),
         F.col("s_suppkey").alias("line_no"),
     )
     epa = c.select(
-        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("Facility_I"),
+        F.concat(F.lit("C"), (F.col("c_custkey") % 100).cast("string")).alias("Facility_I"),
         F.col("c_name").alias("Name"),
-        F.concat(F.lit("A"), (F.col("c_custkey") % 400).cast("string")).alias("Address"),
+        F.concat(F.lit("A"), F.expr("c_custkey div 3").cast("string")).alias("Address"),
         F.floor(F.col("c_acctbal") / 1000).cast("double").alias("Open_USTs"),
-        _coord(F.col("c_custkey"), 6007).alias("x_m"),
+        _coord(F.col("c_custkey"), 6007, tile=True).alias("x_m"),
         _coord(F.col("c_custkey"), 7789).alias("y_m"),
         F.lit(1).alias("source_rank"),
         F.col("c_custkey").alias("line_no"),
@@ -186,11 +213,10 @@ def usts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cleanups(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderpriority", "o_orderstatus"])
-    o = o.filter(F.col("o_orderstatus") == "P")
     return o.select(
-        F.concat(F.lit("T"), F.col("o_orderkey").cast("string")).alias("GLOBAL_ID"),
+        F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit("T"), (F.col("o_orderkey") % 300).cast("string"))).alias("GLOBAL_ID"),
         F.col("o_orderpriority").alias("BUSINESS_NAME"),
-        F.lit("OPEN").alias("STATUS"),
-        _coord(F.col("o_orderkey"), 3001).alias("x_m"),
+        F.col("o_orderstatus").alias("STATUS"),
+        _coord(F.col("o_orderkey"), 3001, tile=True).alias("x_m"),
         _coord(F.col("o_orderkey"), 4999).alias("y_m"),
     )

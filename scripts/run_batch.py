@@ -17,6 +17,12 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def folder_exists(spark, path: str) -> bool:
+    """Whether a folder exists in whatever store its path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def main(argv: list[str] | None = None) -> dict:
     ap = argparse.ArgumentParser()
     ap.add_argument("--landing", required=True)
@@ -36,8 +42,8 @@ def main(argv: list[str] | None = None) -> dict:
     spark = SparkSession.builder.getOrCreate()
     apply_defaults(spark)
     ensure_checkpoint_dir(spark)
-    sub = {k: os.path.join(a.landing, k) for k in ("edf", "gama", "edf_xy", "gama_xy")}
-    have = {k: (v if os.path.isdir(v) else None) for k, v in sub.items()}
+    sub = {k: f"{a.landing.rstrip('/')}/{k}" for k in ("edf", "gama", "edf_xy", "gama_xy")}
+    have = {k: (v if folder_exists(spark, v) else None) for k, v in sub.items()}
     samples = jobs.load_samples(spark, have["edf"], have["gama"])
     wells = jobs.load_locations(spark, have["edf_xy"], have["gama_xy"])
     mcl, units = lookups.read_mcl(spark, a.mcl), lookups.read_unit_conversion(spark, a.units)
