@@ -48,14 +48,24 @@ def _prefilter(df, labels, since, classes, require_dtw):
     return contaminant_filter(f, labels)
 
 
+SALT = 8  # pieces of a well's rows in the join back; the other side has one row per well and piece
+
+
 def _of_wells(f: DataFrame, passing: DataFrame, wells: DataFrame | None, classes) -> DataFrame:
     """Rows of the passing wells. With ``wells`` (one row per well with its class and location, which become
     columns of the result) the class filter and the location join are made on the passing wells first, so
-    the rows themselves meet one join only, whose hot wells Spark can split."""
-    if wells is None:
-        return f.join(passing.select("wid"), "wid", "left_semi")
-    w = monitoring_wells(wells, classes) if classes else wells
-    return f.join(passing.select("wid").join(w, "wid"), "wid")
+    the rows themselves meet one join only.
+
+    That join is salted: the per-well side comes out of an aggregate on the well, and a join that used
+    its partitioning could not be split by Spark. On (well, piece) both sides have an exchange of their
+    own, and a hot well's rows go to ``SALT`` tasks, which Spark may split further.
+    """
+    passing = passing.select("wid")
+    if wells is not None:
+        passing = passing.join(monitoring_wells(wells, classes) if classes else wells, "wid")
+    passing = passing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    salted = f.withColumn("_salt", F.pmod(F.xxhash64("logdate", "parlabel"), F.lit(SALT)).cast("int"))
+    return salted.join(passing, ["wid", "_salt"], "left_semi" if wells is None else "inner").drop("_salt")
 
 
 def _label_stats(f: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def test_study_area_and_polygon_score_jobs(spark, tmp_path):
                              td.cleanups(spark, d), out=out)
     assert sa.count() > 0 and sa.filter("pct_rank > 0.25 or not is_dac or water_table_depth_m > 5").count() == 0
     loc = cat._locations(spark, d)
-    mcl = lookups.flat_mcl_table(spark, cat.CONTS11, cat.FLAT_LIMIT)
+    mcl = cat._score_limits(spark)
     # blocks in projected metres: reuse the adapter squares, wells projected from their lon/lat by the job
     wells, scores = jobs.score_job(td.samples_raw(spark, d), loc, td.blocks(spark, d), mcl, since=cat.SINCE,
                                    geometry="polygon", out=str(tmp_path / "score"))
