@@ -17,10 +17,23 @@ from groundwork.llm import decontaminate, mixing, near_dedup, quality, sharding
 from groundwork.llm.common import read, shared_table
 
 
+USED = ("doc_id", "text", "source")  # columns that the operators read
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with all other columns under names that no operator uses."""
+    return docs.select(*[F.col(c).alias(c if c in USED else f"__column_{i}") for i, c in enumerate(docs.columns)])
+
+
+def _as(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, under their own names."""
+    return out.select(*[F.col(c if c in USED else f"__column_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of the training fold, does not reject."""
-    scored = quality.score(docs, read(spark, sf_dir, "labels"))
-    return scored.where("quality_predicted = 1").select(*docs.columns)
+    scored = quality.score(_apart(docs), read(spark, sf_dir, "labels"))
+    return _as(scored.where("quality_predicted = 1"), docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,22 +44,22 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = near_dedup.near_duplicates(docs, k=5, percent=80, bands=32, rows=5)
     gone = groups.where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _as(_apart(docs).join(gone, "doc_id", "left_anti"), docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose tiles cover no benchmark item to the threshold."""
-    checked = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return checked.where(F.size("leaks") == 0).select(*docs.columns)
+    checked = decontaminate.decontaminate(_apart(docs), read(spark, sf_dir, "benchmark"))
+    return _as(checked.where(F.size("leaks") == 0), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: every document as many times as it is taken (at most twice)."""
-    return mixing.mixed_rows(docs)
+    return _as(mixing.mixed_rows(_apart(docs)), docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with their shard."""
+    """The rows with their shard (columns of the shard's names are replaced)."""
     return sharding.shard(docs)
 
 
