@@ -64,7 +64,8 @@ def test_combo_stats_matches_reference_loop(spark):
     from groundwork.params import CONTS11
     from groundwork.plans import catalog as cat
 
-    df = cat._combo_input(spark, SF001).select("wid", "parlabel")
+    df = op.monitoring_wells(op.since_filter(cat._enriched(spark, SF001), cat.SINCE))
+    df = op.contaminant_filter(df, CONTS11).select("wid", "parlabel")
     pdf = df.toPandas()
     got = {r.contaminants: (r.wells, r.samples) for r in op.combo_stats(df, CONTS11, range(4, 12)).collect()}
     assert len(got) == 1816
