@@ -1,6 +1,6 @@
 """Summarise the final (post-AQE) physical plan of each headline query as markdown.
 
-Usage: python scripts/plan_summary.py [sf_dir] > docs/PLANS.md
+Usage: PLAN_CPUS=8 python scripts/plan_summary.py [sf_dir] > docs/PLANS.md
 """
 
 from __future__ import annotations
@@ -43,17 +43,23 @@ def main() -> None:
     from groundwork.plans import catalog
     from groundwork.session import local_session
 
-    spark = local_session(8, 16)
+    spark = local_session(os.environ.get("PLAN_CPUS", "8"), 16)
     print(f"# Final physical plans (post-AQE) at `{sf_dir}`\n")
     print("Generated by `scripts/plan_summary.py`: exchanges, joins, keep-first limits, aggregates and scans")
-    print("(with pushed filters and the pruned read schema) of each headline query, after execution.\n")
-    for k in catalog.HEADLINE:
-        df = catalog.QUERIES[k](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        print(f"## {k}\n")
-        print("\n".join(summarise(plan)))
-        print()
+    print("(with pushed filters and the pruned read schema) of each headline query, after execution. The")
+    print("second part has broadcast joins off, as where no table is small enough for one.\n")
+    for title, threshold in (("Default settings", None), ("Broadcast joins off", "-1")):
+        print(f"# {title}\n")
+        if threshold:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+        for k in catalog.HEADLINE:
+            plan = catalog.QUERIES[k](spark, sf_dir)._jdf.queryExecution()
+            plan.toRdd().count()  # runs this very plan: the printed one is final
+            final = plan.executedPlan().toString().split("+- == Initial Plan ==")[0]
+            print(f"## {k}\n")
+            print("\n".join(summarise(final)))
+            print()
 
 
 if __name__ == "__main__":
