@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHE_WORDS = 1 << 20
+_CACHE_WORDS = 1 << 18
 _words: dict[bytes, int] = {}
 _STEP = 0x9E3779B97F4A7C15
 

@@ -36,7 +36,7 @@ BUCKETS = 1 << BITS
 SAMPLE = 20_000
 FEATURES = DIM + MARK_DIM + 1
 THRESHOLD = 0.7
-_CACHE_WORDS = 1 << 19
+_CACHE_WORDS = 1 << 18
 _SLICE = 1 << 18
 _SAME, _SEEN, _LINE = 0, 1, 2  # rows of the marks in the second table
 
