@@ -44,27 +44,29 @@ def load_pieces(path: str) -> dict[str, int]:
     return {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i))}
 
 
-def spelt(ch: str, ids: dict[str, int]) -> list[int]:
+def spelt(ch: str) -> list[str]:
     """Byte pieces of a character that is no piece itself."""
-    return [ids[f"<0x{b:02X}>"] for b in ch.encode("utf-8", "surrogatepass")]
+    return [f"<0x{b:02X}>" for b in ch.encode("utf-8", "surrogatepass")]
 
 
-def lattice_log10(word: str, ids: dict[str, int], logp: np.ndarray, longest: int) -> float:
-    """log10 of the summed probability of all segmentations of a word (with the word-start mark)."""
+def lattice_log10(word: str, logs: dict[str, float], longest: int) -> float:
+    """log10 of the summed probability of all segmentations of a word (with the word-start mark).
+
+    ``logs`` has the natural logarithm of each piece's probability, ``longest`` its longest piece.
+    """
     s = SPACE + word
-    n = len(s)
-    alpha = [0.0] + [-math.inf] * n
-    for end in range(1, n + 1):
+    get, alpha = logs.get, [0.0]
+    for end in range(1, len(s) + 1):
         terms = []
         for start in range(max(0, end - longest), end):
-            i = ids.get(s[start:end])
-            if i is not None:
-                terms.append(alpha[start] + logp[i])
-        if ids.get(s[end - 1]) is None:
-            terms.append(alpha[end - 1] + sum(logp[i] for i in spelt(s[end - 1], ids)))
+            lp = get(s[start:end])
+            if lp is not None:
+                terms.append(alpha[start] + lp)
+        if s[end - 1] not in logs:
+            terms.append(alpha[end - 1] + sum(logs[b] for b in spelt(s[end - 1])))
         top = max(terms)
-        alpha[end] = top + math.log(sum(math.exp(t - top) for t in terms))
-    return alpha[n] / math.log(10)
+        alpha.append(top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms])))
+    return alpha[-1] / math.log(10)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,13 +110,13 @@ def _segment(path: str):
     return run
 
 
-def _lattices(ids: dict[str, int], logp: np.ndarray):
-    longest = max(map(len, ids))
+def _lattices(logs: dict[str, float]):
+    longest = max(map(len, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [w.as_py().decode("utf-8", "replace") for w in b.column(0)]
-            lp = pa.array([lattice_log10(w, ids, logp, longest) for w in words], pa.float64())
+            lp = pa.array([lattice_log10(w, logs, longest) for w in words], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, lp], ["word", "c", "uses", "lp"])
 
     return run
@@ -191,10 +193,10 @@ def lm_scores(
     for r in pieces.groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row per vocabulary entry at most
         weight[r["piece"]] += r["n"]
     mass = sum(weight[i] for i in ids.values()) + ends + 1
-    logp = np.log(weight / mass)
+    logs = {piece: math.log(weight[i] / mass) for piece, i in ids.items()}
     end_lp = math.log10((ends + 1) / mass)
 
-    words = shared_table(in_arrow(counts, _lattices(ids, logp), "word binary, c long, uses long, lp double"), "words")
+    words = shared_table(in_arrow(counts, _lattices(logs), "word binary, c long, uses long, lp double"), "words")
     top = words.orderBy(F.desc("uses"), "word").limit(head_words).select("word", "c", "lp").toArrow()
     head = spark.sparkContext.broadcast(
         {w: (int(c > 0), math.log10(c + 1), lp) for w, c, lp in zip(*(top.column(i).to_pylist() for i in range(3)), strict=True)}
