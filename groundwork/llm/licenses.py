@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are the lines around words that license notices use; a long line gives the stretch
-around the word. Each block is compressed by zstandard once alone and once with each template as raw
+Candidate blocks are the stretches around words that license notices use, wherever lines break. Each
+block is compressed, line breaks and comment marks taken as spaces, by zstandard once alone and once with each template as raw
 dictionary. The templates are ranked by how much they shorten the block; the leading ones are then
 confirmed by exact wording: the template's words must stand in the block in order, with at most a tenth
 missing and none of its names, numbers or versions.
@@ -62,7 +62,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-_CUE = re.compile(r"licen[sc]e|copyright|permission is hereby|redistribut|public domain|creative commons|\bcc0\b", re.I)
+_CUE = re.compile(r"licen[sc]e|copyright|\bhereby\b|redistribut|public\W{1,40}domain|creative\W{1,40}commons|\bcc0\b", re.I)
+_BREAK = re.compile(r"\s*\n[\s*#/;%!>|-]*")
 _WORD = re.compile(r"[a-z0-9]+(?:[.+-][a-z0-9]+)*")
 # Words that carry no name, number or version: of these a tenth may be missing.
 _PLAIN = frozenset(
@@ -71,14 +72,16 @@ _PLAIN = frozenset(
     "person program provided published redistribute released subject software source terms that the this to under use "
     "version with without work you your".split()
 )
-BEFORE, AFTER, LINE = 300, 1500, 4000
+BEFORE, AFTER, LINE = 400, 2500, 6000
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Stretches that may hold a notice: the cue's line and the next ones up to ``AFTER`` characters, merged."""
+    """Stretches that may hold a notice: ``BEFORE`` characters ahead of a cue, in whole words, to ``AFTER`` behind it, merged."""
     out: list[tuple[int, int]] = []
     for m in _CUE.finditer(text):
-        start = text.rfind("\n", max(0, m.start() - BEFORE), m.start()) + 1 or max(0, m.start() - BEFORE)
+        start = max(0, m.start() - BEFORE)
+        while 0 < start < m.start() and text[start - 1].isalnum() and text[start].isalnum():
+            start += 1
         end = min(len(text), m.end() + AFTER)
         if out and start <= out[-1][1] and end - out[-1][0] <= LINE:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
@@ -99,10 +102,10 @@ class Templates:
 
     def ranked(self, block: str) -> list[tuple[int, int]]:
         """(bytes saved, template number), most first; ties in the order of the templates."""
-        data = block.lower().encode("utf-8", "replace")
+        data = _BREAK.sub(" ", block).lower().encode("utf-8", "replace")
         alone = len(self.plain.compress(data))
         saved = [(alone - len(c.compress(data)), k) for k, (_, _, c) in enumerate(self.all)]
-        return sorted((s for s in saved if s[0] > 0), key=lambda s: (-s[0], s[1]))
+        return sorted(saved, key=lambda s: (-s[0], s[1]))
 
 
 def wording(block: str, words: list[str]) -> tuple[int, int, list[str]] | None:

@@ -331,3 +331,14 @@ def test_license_lines_found(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     for r in QUERIES["op9_license_compression"](spark, "/root/testdata/sf0.01").collect():
         assert set(filter(None, r.licenses.split(","))) == {v for k, v in name.items() if k in docs[r.doc_id]}
+
+
+@pytest.mark.parametrize("leader", ["\n", "\n * ", "\r\n# "])
+def test_license_notices_wrapped_anywhere(leader):
+    templates = licenses.Templates(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        wraps = [" ".join(words[:i]) + leader + " ".join(words[i:]) for i in range(1, len(words))]
+        for wrapped in [*wraps, leader.join(words)]:
+            got = licenses.scan_text(f"Some title.{leader}{wrapped}{leader}More of the text.", templates)
+            assert [r["name"] for r in got] == [name], wrapped
