@@ -337,8 +337,64 @@ def test_license_lines_found(spark):
 def test_license_notices_wrapped_anywhere(leader):
     templates = licenses.Templates(licenses.TEMPLATES)
     for name, text in licenses.TEMPLATES:
-        words = text.split()
+        words = re.sub(r"\{\d+\}", "", text).split()
         wraps = [" ".join(words[:i]) + leader + " ".join(words[i:]) for i in range(1, len(words))]
         for wrapped in [*wraps, leader.join(words)]:
             got = licenses.scan_text(f"Some title.{leader}{wrapped}{leader}More of the text.", templates)
             assert [r["name"] for r in got] == [name], wrapped
+
+
+GNU = (
+    "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:\n"
+)
+CLAUSES = (
+    "{}. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer.\n{}. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+)
+ENDORSE = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+ADVERTISE = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the organization.\n"
+WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (GNU.format("program", "Affero General Public", "3"), ["AGPL-3.0"]),
+        (GNU.format("program", "Lesser General Public", "3"), ["LGPL-3.0"]),
+        (GNU.format("library", "Lesser General Public", "2.1"), ["LGPL-2.1"]),
+        (GNU.format("library", "Library General Public", "2"), ["LGPL-2.0"]),
+        (GNU.format("program", "General Public", "2"), ["GPL-2.0"]),
+        (GNU.format("program", "General Public", "3"), ["GPL-3.0"]),
+        (GNU.format("script", "General Public", "3").replace(" ", "\ndnl "), ["GPL-3.0"]),
+        (GNU.format("program", "Imaginary General Public", "3"), []),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.", ["LGPL-2.0"]),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("Licensed under the terms. " + GNU.format("program", "General Public", "3").replace("This program is ", "Foo is "), ["GPL-3.0"]),
+        (BSD + CLAUSES.format(1, 2) + "3. Neither the name of the copyright holder " + ENDORSE + WARRANTY, ["BSD-3-Clause"]),
+        (BSD + CLAUSES.format("*", "*") + "* Neither the name of Some Long Company Name, Inc. " + ENDORSE + WARRANTY, ["BSD-3-Clause"]),
+        (BSD + CLAUSES.format("a", "b") + WARRANTY, ["BSD-2-Clause"]),
+        (BSD + CLAUSES.format(1, 2) + ADVERTISE + "4. Neither the name of the copyright holder " + ENDORSE + WARRANTY, ["BSD-4-Clause"]),
+        (BSD + "1. Redistributions must be free of charge.", ["LicenseRef-BSD"]),
+        ("Released under the <a href='x'>MIT</a> License.<br>Licensed under CC BY 4.0.", ["MIT", "CC-BY-4.0"]),
+    ],
+)
+def test_license_told_from_its_relatives(text, want):
+    templates = licenses.Templates(licenses.TEMPLATES)
+    for t in (text, f"İ intro of the software.\n{text}\nMore text.", text.replace(" ", "\n * ")):
+        got = licenses.scan_text(t, templates)
+        assert [r["name"] for r in got] == want
+        for r in got:
+            assert not t[r["start"] : r["end"]].startswith(" ") and r["missing"] <= 4
+
+
+def test_license_once_in_many_blocks():
+    notice = GNU.format("program", "Affero General Public", "3")
+    text = "\n".join(f"{notice} Part {i} of the collection, copyright of nobody." for i in range(40))
+    got = licenses.scan_text(text, licenses.Templates(licenses.TEMPLATES))
+    assert [(r["name"], r["start"]) for r in got] == [("AGPL-3.0", m.start()) for m in re.finditer("This program", text)]
