@@ -57,13 +57,13 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
 class Index:
     """Window index of a block of items: word numbers, and for each window length in use sorted hashes."""
 
-    def __init__(self, items: list[tuple[int, str]], least: int):
+    def __init__(self, items: list[tuple[int | None, str]], least: int):
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.items: list[tuple[int | None, np.ndarray]] = []
         starts: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in items:
             words = words_of(text)
-            if not words:
+            if len(words) < (least if item_id is None else 1):
                 continue
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.uint64)
             starts.setdefault(min(least, len(ids)), []).append((len(self.items), ids))
@@ -148,10 +148,13 @@ def hits(text: str, index: Index, threshold: float) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    b = benchmark.where(F.col(item_col).isNotNull()).select(
-        F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text")
-    )
+def by_coverage(hit: dict) -> tuple:
+    """Order of the hits of a document: coverage descending, then item id, hits without an id last."""
+    return -hit["coverage"], hit["item_id"] is None, hit["item_id"] or 0, hit["tiles"]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
+    b = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text"))
     total = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = total // BLOCK_BYTES + 1
     for k in range(n):
@@ -170,7 +173,9 @@ def decontaminate(
     """``docs`` with ``leaks``: an array of (item_id, coverage, tiles), by coverage descending then item id.
 
     The array is empty for clean documents, among them null and empty texts. Benchmark items without an
-    id are left out, those without words match nothing; items that repeat an id are matched one by one.
+    id are matched like others and reported with a null item id, behind equal coverages; of fewer than
+    ``least`` words they are left out. Items without words match nothing; items that repeat an id, or lack
+    one, are matched one by one.
     Repeated documents are rows like others. A column ``leaks`` of the input is replaced.
     """
     spark = docs.sparkSession
@@ -185,7 +190,7 @@ def decontaminate(
             index = shared.value
             for b in batches:
                 found = [
-                    sorted(old.as_py() + hits(t.as_py() or "", index, threshold), key=lambda h: (-h["coverage"], h["item_id"]))
+                    sorted(old.as_py() + hits(t.as_py() or "", index, threshold), key=by_coverage)
                     for t, old in zip(b.column(at), b.column(last), strict=True)
                 ]
                 yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(found, _ARROW_HIT)], b.schema.names)

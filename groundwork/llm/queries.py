@@ -57,7 +57,7 @@ def op6_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
         best["item_id"].alias("best_item"),
         best["coverage"].alias("best_coverage"),
         best["tiles"].alias("best_tiles"),
-        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("items"),
+        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",", "null").alias("items"),
         (F.size("leaks") == 0).alias("kept"),
     )
 

@@ -156,6 +156,18 @@ def test_decontaminate(spark, odd, monkeypatch):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_items_without_id_are_matched(spark, tmp_path):
+    nameless, named = " ".join(f"n{i}" for i in range(12)), " ".join(f"q{i}" for i in range(9))
+    spark.createDataFrame([(None, nameless), (7, named), (None, "too short"), (None, None)], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet")
+    )
+    texts = [(1, f"before {nameless} after"), (2, f"{nameless} and {named}"), (3, f"it is too short, {nameless[:14]}"), (4, None)]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op6_benchmark_tiling"](spark, str(tmp_path)).collect()}
+    assert [got[i].kept for i in (1, 2, 3, 4)] == [False, False, True, True]
+    assert [(got[i].n_items, got[i].best_item, got[i].items) for i in (1, 2, 3)] == [(1, None, "null"), (2, 7, "7,null"), (0, None, "")]
+
+
 def test_benchmark_passages_found(spark):
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
