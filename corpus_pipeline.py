@@ -48,9 +48,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose tiles cover no benchmark item to the threshold."""
+    """Documents whose tiles cover no benchmark item of five words or more to the threshold."""
     checked = decontaminate.decontaminate(_apart(docs), read(spark, sf_dir, "benchmark"))
-    return _as(checked.where(F.size("leaks") == 0), docs)
+    return _as(checked.where(F.size(decontaminate.contaminating()) == 0), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

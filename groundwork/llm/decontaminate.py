@@ -3,7 +3,9 @@
 A document is contaminated by a benchmark item when tiles cover enough of the item. Tiles are common
 word sequences of at least ``LEAST`` words, taken longest first; each word of the item and of the document
 belongs to one tile at most, so passages in another order still count while one phrase that repeats
-does not count twice. (An item shorter than ``LEAST`` words must occur as a whole.)
+does not count twice. An item shorter than ``LEAST`` words is matched as a whole and its hits are
+reported, but it cannot be tested: an answer like "Paris" stands in many clean texts. A hit of such an
+item does not contaminate a document by itself (``contaminating``, ``untestable``).
 
 Seeds come from running Karp-Rabin hashes: the windows of the items are a hash index, the windows of a
 document are looked up in it and equal windows are compared word by word. Neighbouring seeds on one
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +35,19 @@ BLOCK_BYTES = 8 << 20
 _WORDS = re.compile(r"\w+")
 _BASE = 0x100000001B3
 HIT = T.ArrayType(
-    T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType())])
+    T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType()), T.StructField("words", T.IntegerType())])
 )
-_ARROW_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32())]))
+_ARROW_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("words", pa.int32())]))
+
+
+def contaminating(leaks: str = "leaks", least: int = LEAST) -> Column:
+    """The hits of items that contaminate by themselves: of ``least`` words or more."""
+    return F.filter(leaks, lambda x: x["words"] >= least)
+
+
+def untestable(leaks: str = "leaks", least: int = LEAST) -> Column:
+    """The hits of items too short to tell a leak from common words."""
+    return F.filter(leaks, lambda x: x["words"] < least)
 
 
 def words_of(text: str) -> list[str]:
@@ -144,7 +156,7 @@ def hits(text: str, index: Index, threshold: float) -> list[dict]:
             tiles = greedy_tiles(width, p, q, len(ids), len(item))
             coverage = sum(t[2] for t in tiles) / len(item)
             if coverage >= threshold:
-                out.append({"item_id": item_id, "coverage": coverage, "tiles": len(tiles)})
+                out.append({"item_id": item_id, "coverage": coverage, "tiles": len(tiles), "words": len(item)})
     return out
 
 
@@ -170,7 +182,9 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """``docs`` with ``leaks``: an array of (item_id, coverage, tiles), by coverage descending then item id.
+    """``docs`` with ``leaks``: an array of (item_id, coverage, tiles, words), by coverage descending then item id.
+
+    ``words`` is the item's length; ``contaminating`` picks the hits that count, ``untestable`` the others.
 
     The array is empty for clean documents, among them null and empty texts. Benchmark items without an
     id are matched like others and reported with a null item id, behind equal coverages; of fewer than

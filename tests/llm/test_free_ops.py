@@ -168,6 +168,20 @@ def test_items_without_id_are_matched(spark, tmp_path):
     assert [(got[i].n_items, got[i].best_item, got[i].items) for i in (1, 2, 3)] == [(1, None, "null"), (2, 7, "7,null"), (0, None, "")]
 
 
+def test_short_items_do_not_contaminate(spark, tmp_path):
+    items = [(1, "Paris"), (2, "it is so true"), (3, "five words are just enough")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(1, "a walk in Paris: it is so true"), (2, "five words are just enough in Paris"), (3, "clean")]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op6_benchmark_tiling"](spark, str(tmp_path)).collect()}
+    want = {1: (False, "", "1,2"), 2: (True, "3", "1"), 3: (False, "", "")}
+    assert {i: (r.contaminated, r.items, r.untestable_items) for i, r in got.items()} == want
+    import corpus_pipeline
+
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.doc_id for r in corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_benchmark_passages_found(spark):
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
