@@ -12,9 +12,11 @@ the prompt. That is an aggregate with map-side combine, so one huge conversation
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_table, shuffle_partitions
+
 HEAD, TAIL = "<|im_start|>", "<|im_end|>\n"  # fixed values: the public ChatML markers
 
 
@@ -72,20 +74,42 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+def _next_ids(t: DataFrame) -> DataFrame:
+    """``conv_id, next_id``: the next conversation that is there, null behind the last.
+
+    Two levels: within range partitions, and from the end of each to the first id of the next one, so
+    that no task sees more than its range (or one row a partition).
+    """
+    parts = shuffle_partitions(t.sparkSession)
+    ids = t.select("conv_id").distinct().repartitionByRange(parts, "conv_id")
+    ids = shared_table(ids.withColumn("range", F.spark_partition_id()), "conversation-ranges")
+    firsts = ids.groupBy("range").agg(F.min("conv_id").alias("first_id"))
+    firsts = firsts.select("range", F.lead("first_id").over(Window.orderBy("range")).alias("next_first"))
+    within = F.lead("conv_id").over(Window.partitionBy("range").orderBy("conv_id"))
+    return (
+        ids.withColumn("within", within)
+        .join(F.broadcast(firsts), "range")
+        .select("conv_id", F.coalesce("within", "next_first").alias("next_id"))
+    )
+
+
 def swapped_replies(turns: DataFrame) -> DataFrame:
     """Rejected sides for conversations that come without: the last reply is the next conversation's.
 
-    The table has no preference pairs, so the rejected side of conversation i is the conversation with
-    its last assistant turn answered by the last assistant turn of conversation i + 1 (an off-topic
-    reply; empty where there is none).
+    The table has no preference pairs, so the rejected side of a conversation is the conversation with
+    its last assistant turn answered by the last assistant turn of the next conversation by id, however
+    far that id is (an off-topic reply; empty where there is none).
     """
     t = _turns(turns)
     last = (
         t.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
     )
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"))
-    swap = last.select("conv_id", F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text")).join(
-        other, "conv_id", "left"
+    other = last.select(F.col("conv_id").alias("next_id"), F.col("last.text").alias("other"))
+    swap = (
+        last.select("conv_id", F.col("last.turn").alias("last_turn"), F.col("last.text").alias("last_text"))
+        .join(_next_ids(t), "conv_id")
+        .join(other, "next_id", "left")
+        .drop("next_id")
     )
     is_last = (F.col("role") == "assistant") & (F.col("turn") == F.col("last_turn")) & (F.col("text") == F.col("last_text"))
     return t.join(swap, "conv_id", "left").select(

@@ -168,6 +168,16 @@ def test_preference_rows(spark):
     assert chat.preference_rows(empty, chat.swapped_replies(empty)).count() == 0
 
 
+def test_swapped_replies_over_gaps(spark):
+    ids = [3, 10, 11, 500, 900, 10**12, *range(2000, 4000, 20)]
+    rows = [(i, n, role, f"{role} {i}") for i in ids for n, role in enumerate(("user", "assistant")) if (i, role) != (900, "assistant")]
+    turns = spark.createDataFrame([*rows, (None, 1, "assistant", "lost")], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.role): r.text for r in chat.swapped_replies(turns).collect()}
+    order = sorted(ids)
+    reply = {i: f"assistant {j}" if j != 900 else "" for i, j in zip(order, order[1:])} | {order[-1]: ""}
+    assert got == {(i, role): reply[i] if role == "assistant" else text for i, _, role, text in rows}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
