@@ -119,10 +119,9 @@ def exceedance_ratios(samples: DataFrame, mcl: DataFrame) -> DataFrame:
 def zscore_outliers(df: DataFrame, col: str = "mag", max_abs_z: float = ZSCORE_MAX) -> DataFrame:
     """Drop rows whose population z-score of ``col`` exceeds ``max_abs_z`` (C11; threshold is our choice).
 
-    NULL values have no z-score and are dropped; where all values are equal every z-score is 0. The mean
-    and the deviation are a one-row aggregate that the plan joins to every row (no job while planning).
+    NULL values have no z-score and are dropped; where all values are equal every z-score is 0. Mean and
+    deviation are one scalar subquery: no join, and no job while planning.
     """
-    stats = df.agg(F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd"))
-    z = F.when(F.col("_sd") == 0, F.lit(0.0)).otherwise((F.col(col) - F.col("_mu")) / F.col("_sd"))
-    out = df.join(F.broadcast(stats))  # a single row
-    return out.filter(F.col(col).isNotNull() & (F.abs(z) <= F.lit(max_abs_z))).drop("_mu", "_sd")
+    stats = df.agg(F.struct(F.avg(col).alias("mu"), F.stddev_pop(col).alias("sd"))).scalar()
+    z = F.when(stats["sd"] == 0, F.lit(0.0)).otherwise((F.col(col) - stats["mu"]) / stats["sd"])
+    return df.filter(F.col(col).isNotNull() & (F.abs(z) <= F.lit(max_abs_z)))
