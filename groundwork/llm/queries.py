@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, licenses, lm_score, mixing, near_dedup, quality, secrets, sharding
+from . import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    licenses,
+    lm_score,
+    mixing,
+    near_dedup,
+    quality,
+    secrets,
+    sharding,
+    token_files,
+)
 from .common import read
 
 
@@ -91,6 +103,12 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_rows(turns, chat.swapped_replies(turns))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.scratch_path(spark)
+    token_files.write_token_files(read(spark, sf_dir, "documents"), path)
+    return token_files.token_table(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -104,5 +122,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lattice_lm,
         op9_license_compression,
         op10_preference_format,
+        op11_token_files,
     )
 }
