@@ -10,30 +10,20 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 _SOLID = frozenset("LMNPS")
+_PLAIN = frozenset(map(chr, range(0x21, 0x7F)))
 
 
 def solid(part: str) -> bool:
     """Whether a space behind ``part`` starts a new segment."""
-    return part != "" and unicodedata.category(part[-1])[0] in _SOLID
-
-
-def segments(text: str) -> list[str]:
-    """The text cut before spaces; all but the first segment start with a space. Joined, they are the text."""
-    out, open_ = [], None
-    for i, part in enumerate(text.split(" ")):
-        piece = part if i == 0 else " " + part
-        if open_ is not None:
-            piece = open_ + piece
-        if solid(part):
-            out.append(piece)
-            open_ = None
-        else:
-            open_ = piece
-    if open_:
-        out.append(open_)
-    return out
+    return part[-1:] in _PLAIN or (part != "" and unicodedata.category(part[-1])[0] in _SOLID)
+
+
+def joinable(segment: str) -> bool:
+    """Whether the segment stays one when others stand before and behind it."""
+    return segment[:1] == " " and solid(segment)
 
 
 def byte_level_cuts(path: str) -> bool:
@@ -51,26 +41,75 @@ def byte_level_cuts(path: str) -> bool:
     )
 
 
+def byte_of_symbol() -> dict[str, int]:
+    """Byte-level BPE's symbols: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
+
+
 def piece_cuts(pieces: list[str], mark: str = "▁") -> bool:
     """Whether no piece holds the space mark behind another character."""
     return not any(mark in p.lstrip(mark) for p in pieces)
 
 
-class Cache:
-    """Values of segments met so far in this worker; emptied when ``most`` are held. Long segments are not kept."""
-
-    def __init__(self, most: int = 1 << 17, longest: int = 200):
-        self.held: dict[str, object] = {}
-        self.most, self.longest = most, longest
-
-    def values(self, parts: list[str], compute) -> list:
-        """The value of each part; ``compute`` gets the distinct missing ones as a list."""
-        got = list(map(self.held.get, parts))
-        if None in got:
-            missing = list({p for p, g in zip(parts, got, strict=True) if g is None})
-            fresh = dict(zip(missing, compute(missing), strict=True))
-            got = [fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)]
-            if len(self.held) + len(fresh) > self.most:
-                self.held.clear()
-            self.held.update((p, v) for p, v in fresh.items() if len(p) <= self.longest)
-        return got
+class Lookup:
+    """What ``compute`` says of each segment of a text; words met before in this worker are looked up.
+
+    ``compute`` gets distinct segments as a list and gives a list. At most ``most`` words of at most ``longest``
+    characters are held; the store is emptied when it is full.
+    """
+
+    def __init__(self, compute: Callable[[list[str]], list], spaced: bool, most: int = 1 << 19, longest: int = 64):
+        self.compute, self.spaced, self.most, self.longest = compute, spaced, most, longest
+        self.held: dict[str, object] = {}  # by word: the value of the word with a space in front
+
+    def __call__(self, texts: list[str]) -> list[list]:
+        """Values of the segments of each text in order; with ``spaced``, of the text with a space in front."""
+        out, words, others = [], [], []
+        for text in texts:
+            if not text:
+                out.append([])
+                continue
+            parts = text.split(" ")
+            values = list(map(self.held.get, parts))
+            if not self.spaced:
+                values[0] = None
+            merged = -1  # last part that belongs to an earlier segment
+            for i in [i for i, v in enumerate(values) if v is None]:
+                if i <= merged:
+                    continue
+                spaced = i > 0 or self.spaced
+                if spaced and solid(parts[i]):
+                    words.append((values, i, parts[i]))
+                    continue
+                merged = i
+                while merged < len(parts) - 1 and not solid(parts[merged]):
+                    merged += 1
+                others.append((values, i, " " * spaced + " ".join(parts[i : merged + 1])))
+                values[i + 1 : merged + 1] = [()] * (merged - i)
+            out.append(values)
+        new_words = list({w for *_, w in words})
+        new_others = list({s for *_, s in others})
+        computed = self.compute([" " + w for w in new_words] + new_others) if words or others else []
+        found = dict(zip(new_words, computed, strict=False))
+        for values, i, w in words:
+            values[i] = found[w]
+        other = dict(zip(new_others, computed[len(new_words) :], strict=True))
+        for values, i, s in others:
+            values[i] = other[s]
+        if len(self.held) + len(found) > self.most:
+            self.held.clear()
+        self.held.update((w, v) for w, v in found.items() if len(w) <= self.longest)
+        return [[v for v in values if v != ()] if () in values else values for values in out] if others else out
+
+
+class Whole:
+    """As ``Lookup``, every text being one segment."""
+
+    def __init__(self, compute: Callable[[list[str]], list], spaced: bool):
+        self.compute, self.front = compute, " " * spaced
+
+    def __call__(self, texts: list[str]) -> list[list]:
+        found = iter(self.compute([self.front + t for t in texts if t]))
+        return [[next(found)] if t else [] for t in texts]

@@ -18,6 +18,35 @@ _SHIFT = np.uint64(60)
 _WORD_BYTES, _ESCAPE_BYTES = 8, 4
 
 
+def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the selector of a word that starts there, the fewest bytes per id, and how many ids it takes."""
+    n = len(ids)
+    rows = -(-n // block)
+    square = np.zeros(rows * block, dtype=np.uint32)
+    square[:n] = ids
+    square = square.reshape(rows, block)
+    left = np.minimum(block, n - block * np.arange(rows))[:, None] - np.arange(block, dtype=np.int64)
+    best = np.full((rows, block), np.inf, dtype=np.float32)
+    choice = np.zeros((rows, block), dtype=np.int8)
+    before = np.zeros((rows, block + int(COUNTS[0])), dtype=np.int32)
+    for s, (count, mark) in enumerate(zip(COUNTS.tolist(), _MARKS.tolist(), strict=True)):
+        if mark < 1 << 32:
+            np.cumsum(square >= mark, axis=1, out=before[:, 1 : block + 1])
+            before[:, block + 1 :] = before[:, block : block + 1]
+            cost = (before[:, count : count + block] - before[:, :block]).astype(np.float32)
+            cost *= _ESCAPE_BYTES
+            cost += _WORD_BYTES
+        else:
+            cost = np.full((rows, block), _WORD_BYTES, dtype=np.float32)
+        cost[:-1] *= 1 / np.minimum(count, block - np.arange(block)).astype(np.float32)
+        cost[-1] /= np.clip(left[-1], 1, count)
+        less = cost < best
+        np.copyto(best, cost, where=less)
+        np.copyto(choice, np.int8(s), where=less)
+    choice = choice.ravel()[:n]
+    return choice, np.minimum(COUNTS[choice], left.ravel()[:n])
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``words, escapes, word offsets, escape offsets`` of unsigned 32-bit ids; offsets have one entry a block.
 
@@ -28,23 +57,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     if n == 0:
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), np.empty(0, np.uint32), none, none
-    place = np.arange(n)
-    left = np.minimum((place // block + 1) * block, n) - place  # ids up to the end of the block
-    best = np.full(n, np.inf, dtype=np.float32)
-    choice = np.zeros(n, dtype=np.int8)
-    wide = ids.astype(np.uint64)
-    for s, (count, mark) in enumerate(zip(COUNTS.tolist(), _MARKS, strict=True)):
-        taken = np.minimum(left, count)
-        before = np.concatenate([[0], np.cumsum(wide >= mark)])
-        cost = ((_WORD_BYTES + _ESCAPE_BYTES * (before[place + taken] - before[:-1])) / taken).astype(np.float32)
-        less = cost < best
-        best[less], choice[less] = cost[less], s
-    step = np.minimum(COUNTS[choice], left).tolist()
+    choice, step = _choices(ids, block)
+    step = step.tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)
         i += step[i]
     starts = np.array(starts, dtype=np.int64)
+    wide = ids.astype(np.uint64)
     selectors = choice[starts].astype(np.int64)
     ends = np.append(starts[1:], n)
 

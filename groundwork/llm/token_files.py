@@ -38,7 +38,7 @@ from groundwork.session import ensure_checkpoint_dir
 
 from . import simple8b
 from .common import in_arrow, shared_table, text_or_empty
-from .segments import Cache, byte_level_cuts, segments
+from .segments import Lookup, Whole, byte_level_cuts, byte_of_symbol, joinable
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END = "\nS8BEND\n"
@@ -49,26 +49,54 @@ RECORDS = 32
 
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file, without special tokens; stretches met before are looked up."""
+    """Ids of texts by a ``tokenizers`` file, without special tokens, as 32-bit little-endian numbers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = byte_level_cuts(path)
-        self.cache = Cache()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, dtype="<u4").tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+        if byte_level_cuts(path):
+            symbols = byte_of_symbol()
+            vocabulary = self.tokenizer.get_vocab()
+            self.length = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # of each id, in bytes
+            for token, i in vocabulary.items():
+                self.length[i] = len(token) if all(c in symbols for c in token) else len(token.encode())
+            self.of = Lookup(self._segments, spaced=False)
+        else:
+            self.of = Whole(self._texts, spaced=False)
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+
+    def _segments(self, parts: list[str]) -> list[bytes]:
+        """Segments that stand between others are encoded as one text and cut apart by their bytes."""
+        inner = [i for i, p in enumerate(parts) if joinable(p)]
+        out: list[bytes] = [b""] * len(parts)
+        if inner:
+            ids = np.frombuffer(self._texts(["".join([parts[i] for i in inner])])[0], dtype="<u4")
+            ends = np.cumsum([len(parts[i].encode()) for i in inner])
+            cuts = (4 * np.searchsorted(np.cumsum(self.length[ids]), ends, "right")).tolist()
+            raw, start = ids.tobytes(), 0
+            for i, stop in zip(inner, cuts, strict=True):
+                out[i], start = raw[start:stop], stop
+        outer = [i for i, p in enumerate(parts) if not joinable(p)]
+        for i, ids in zip(outer, self._texts([parts[i] for i in outer]), strict=True):
+            out[i] = ids
+        return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [segments(t) for t in texts] if self.cut else [[t] if t else [] for t in texts]
-        known = iter(self.cache.values([s for parts in cut for s in parts], self._encode))
-        return [np.frombuffer(b"".join([next(known) for _ in parts]), dtype="<u4") for parts in cut]
+        return [np.frombuffer(b"".join(parts), dtype="<u4") for parts in self.of(texts)]
+
+
+_encoders: dict[str, Encoder] = {}  # a worker serves many tasks
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _units(a: np.ndarray) -> bytes:
@@ -138,7 +166,7 @@ def records(content: bytes) -> Iterator[Record]:
 
 def _packed(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, number = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, shard, number = encoder(path), TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
         for batch in batches:
             for i in range(0, len(batch), 256):

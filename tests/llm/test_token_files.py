@@ -45,13 +45,26 @@ def test_codec_is_compact_and_escapes_pay():
     assert len(escapes) == 60 and len(words) * 8 < len(ids) * 0.6  # 15 to 20 ids a word in spite of the wide ones
 
 
-def test_segments_change_no_tokens(plain, spark):
+def test_lookups_change_no_tokens(plain, spark):
     texts = [t for _, t in ODD if t] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text]
+    texts += ["", " ", "a", " a", "a ", "a  b", "\n", "x \n y", "x\t y", "  ", "a\u3000 b", "it 's", "<|endoftext|> <|endoftext|>", "a\x1f b"]
     assert segments.byte_level_cuts(token_files.TOKENIZER)
-    encode = token_files.Encoder(token_files.TOKENIZER)
-    for t, ids in zip(texts, encode(texts), strict=True):
-        assert "".join(segments.segments(t)) == t
-        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids
+    encode, whole = token_files.Encoder(token_files.TOKENIZER), [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in encode(texts)] == whole
+    assert [i.tolist() for i in encode(texts)] == whole  # all looked up
+    encode.of.most = 3
+    assert [i.tolist() for t in texts for i in encode([t])] == whole  # emptied time and again
+    encode.of = segments.Whole(encode._texts, spaced=False)
+    assert [i.tolist() for i in encode(texts)] == whole
+
+
+def test_segments_join_to_the_text():
+    texts = ["", " ", "a  b c", "\n x y\n z ", "a b"]
+    for spaced in (False, True):
+        of = segments.Lookup(lambda parts: parts, spaced)
+        want = [" " * (spaced and t != "") + t for t in texts]
+        assert ["".join(v if " " in v or not i and not spaced else v for i, v in enumerate(p)) for p in of(texts)] == want
+    assert of(["a  b c"]) == [[" a", "  b", " c"]]
 
 
 def brute(plain, rows):
