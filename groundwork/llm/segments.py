@@ -66,42 +66,46 @@ class Lookup:
 
     def __call__(self, texts: list[str]) -> list[list]:
         """Values of the segments of each text in order; with ``spaced``, of the text with a space in front."""
-        out, words, others = [], [], []
+        out, words, odd, shortened = [], [], [], []
+        get = self.held.get
         for text in texts:
-            if not text:
-                out.append([])
+            parts = text.split(" ") if text else []
+            values = list(map(get, parts))
+            out.append(values)
+            if parts and not self.spaced:
+                values[0] = None  # no space in front
+            if None not in values:
                 continue
-            parts = text.split(" ")
-            values = list(map(self.held.get, parts))
-            if not self.spaced:
-                values[0] = None
-            merged = -1  # last part that belongs to an earlier segment
+            behind = 0  # first part behind the segment at hand
             for i in [i for i, v in enumerate(values) if v is None]:
-                if i <= merged:
+                if i < behind:
                     continue
-                spaced = i > 0 or self.spaced
-                if spaced and solid(parts[i]):
+                if solid(parts[i]) and (i or self.spaced):
                     words.append((values, i, parts[i]))
                     continue
-                merged = i
-                while merged < len(parts) - 1 and not solid(parts[merged]):
-                    merged += 1
-                others.append((values, i, " " * spaced + " ".join(parts[i : merged + 1])))
-                values[i + 1 : merged + 1] = [()] * (merged - i)
-            out.append(values)
-        new_words = list({w for *_, w in words})
-        new_others = list({s for *_, s in others})
-        computed = self.compute([" " + w for w in new_words] + new_others) if words or others else []
-        found = dict(zip(new_words, computed, strict=False))
+                behind = i + 1  # white space at a part's end joins the next part
+                while behind < len(parts) and not solid(parts[behind - 1]):
+                    behind += 1
+                odd.append((values, i, " " * (i > 0 or self.spaced) + " ".join(parts[i:behind])))
+                if behind > i + 1:
+                    values[i + 1 : behind] = [()] * (behind - i - 1)
+                    shortened.append(values)
+        new = list({w for *_, w in words})
+        found = dict(zip(new, self.compute([" " + w for w in new]), strict=True))
         for values, i, w in words:
             values[i] = found[w]
-        other = dict(zip(new_others, computed[len(new_words) :], strict=True))
-        for values, i, s in others:
-            values[i] = other[s]
+        new = list({s for *_, s in odd} - {""})
+        other = dict(zip(new, self.compute(new), strict=True))
+        for values, i, s in odd:
+            values[i] = other.get(s, ())
+            if not s:
+                shortened.append(values)
+        for values in shortened:
+            values[:] = [v for v in values if v != ()]
         if len(self.held) + len(found) > self.most:
             self.held.clear()
         self.held.update((w, v) for w, v in found.items() if len(w) <= self.longest)
-        return [[v for v in values if v != ()] if () in values else values for values in out] if others else out
+        return out
 
 
 class Whole:

@@ -16,6 +16,8 @@ WIDTHS = 60 // COUNTS
 _MARKS = (np.uint64(1) << WIDTHS.astype(np.uint64)) - np.uint64(1)
 _SHIFT = np.uint64(60)
 _WORD_BYTES, _ESCAPE_BYTES = 8, 4
+_RARE = 1 - 1 / 16  # a selector that escapes a larger share of the ids at hand is not tried
+_AT_ONCE = 32
 
 
 def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +33,10 @@ def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     before = np.zeros((rows, block + int(COUNTS[0])), dtype=np.int32)
     for s, (count, mark) in enumerate(zip(COUNTS.tolist(), _MARKS.tolist(), strict=True)):
         if mark < 1 << 32:
-            np.cumsum(square >= mark, axis=1, out=before[:, 1 : block + 1])
+            escaped = square >= mark
+            if escaped.sum() > _RARE * n:
+                continue
+            np.cumsum(escaped, axis=1, out=before[:, 1 : block + 1])
             before[:, block + 1 :] = before[:, block : block + 1]
             cost = (before[:, count : count + block] - before[:, :block]).astype(np.float32)
             cost *= _ESCAPE_BYTES
@@ -50,14 +55,17 @@ def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``words, escapes, word offsets, escape offsets`` of unsigned 32-bit ids; offsets have one entry a block.
 
-    At every place the selector with the fewest bytes per id is taken, its escapes counted in.
+    At every place the selector with the fewest bytes per id is taken, its escapes counted in (of those that hold
+    more than a sixteenth of the ids).
     """
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     n = len(ids)
     if n == 0:
         none = np.empty(0, np.int64)
         return np.empty(0, np.uint64), np.empty(0, np.uint32), none, none
-    choice, step = _choices(ids, block)
+    few = _AT_ONCE * block  # blocks at a time, so that the work stays in the processor's cache
+    chosen = [_choices(ids[i : i + few], block) for i in range(0, n, few)]
+    choice, step = (np.concatenate(x) for x in zip(*chosen, strict=True))
     step = step.tolist()
     starts, i = [], 0
     while i < n:
