@@ -13,11 +13,13 @@ from . import (
     exact_dedup,
     licenses,
     lm_score,
+    merkle,
     mixing,
     near_dedup,
     quality,
     secrets,
     sharding,
+    token_align,
     token_files,
 )
 from .common import read
@@ -109,6 +111,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_table(spark, path)
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = merkle.manifest(read(spark, sf_dir, "documents"), checked={"text": merkle.without_newlines()})
+    proof = merkle.proof_digest(F.col("path")).alias("proof_sha256")
+    return m.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -123,5 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_license_compression,
         op10_preference_format,
         op11_token_files,
+        op12_token_align,
+        op13_merkle_manifest,
     )
 }
