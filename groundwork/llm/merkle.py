@@ -173,7 +173,7 @@ def manifest(
     )
     rows = numbered(shared_table(rows, "leaves"), ["source", "id", "hash"], "source")
     rows = shared_table(rows, "ranked")
-    sources = numbered(rows.where("rank = 0").select("source", "n"), ["source"]).select("source", F.col("rank").alias("tree"))
+    sources = numbered(rows.where("rank = 0").select("source"), ["source"]).select("source", F.col("rank").alias("tree"))
     sources = shared_table(sources, "sources")
     of = sources.select(F.col("source").alias("name"), "tree")
     leaves = rows.join(of, rows["source"].eqNullSafe(of["name"])).select("tree", "n", "rank", "hash", "id", "copy")

@@ -94,9 +94,73 @@ SELECT conv_id, part, turn, role, '<|im_start|>' || role || chr(10) || text || '
 FROM p
 """
 
+_VALUE = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_FIELDS = [_VALUE.format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+_COPY = _VALUE.format("(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END)")
+
+OP13 = f"""
+WITH RECURSIVE
+bits AS (
+  SELECT i AS byte, 0 AS k, i AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT byte, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT byte, c FROM bits WHERE k = 8),
+crc AS (
+  SELECT DISTINCT doc_id, 1 AS pos, 4294967295::BIGINT AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos + 1, xor(crc.c >> 8, t.c)
+  FROM crc JOIN crc_table t ON t.byte = xor(crc.c, ascii(substr(doc_id::VARCHAR, pos, 1))) & 255
+  WHERE pos <= length(doc_id::VARCHAR)),
+even AS (SELECT doc_id, xor(c, 4294967295) % 2 = 0 AS even FROM crc WHERE pos = length(doc_id::VARCHAR) + 1),
+d AS (
+  SELECT row_number() OVER () AS rid, documents.*, coalesce(even, false) AS even
+  FROM documents LEFT JOIN even ON documents.doc_id = even.doc_id),
+l AS (
+  SELECT rid, doc_id, source, sha256({" || ".join([*_FIELDS, _VALUE.format("text")])}) AS leaf,
+         sha256({" || ".join([*_FIELDS, _COPY])}) AS copy FROM d),
+o AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS n FROM l),
+nodes AS (
+  SELECT tree, 0 AS lvl, place AS idx, n, leaf AS hash FROM o
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM nodes WHERE n > 1 GROUP BY tree, lvl, n, idx // 3),
+subroots AS (SELECT tree, hash FROM nodes WHERE n = 1),
+above AS (
+  SELECT 0 AS lvl, tree AS idx, count(*) OVER () AS n, hash FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM above WHERE n > 1 GROUP BY lvl, n, idx // 3),
+everything AS (
+  SELECT tree, lvl, idx, n, hash FROM nodes UNION ALL SELECT -1, lvl, idx, n, hash FROM above),
+sides AS (
+  SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lft,
+         coalesce(string_agg(b.hash, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rgt
+  FROM everything a JOIN everything b ON a.tree = b.tree AND a.lvl = b.lvl AND a.idx // 3 = b.idx // 3
+  WHERE a.n > 1 GROUP BY a.tree, a.lvl, a.idx),
+way AS (
+  SELECT rid, s.lvl, lft, rgt FROM o JOIN sides s ON s.tree = o.tree AND s.idx = o.place // pow(3, s.lvl)::BIGINT
+  UNION ALL
+  SELECT rid, 1000 + s.lvl, lft, rgt FROM o JOIN sides s ON s.tree = -1 AND s.idx = o.tree // pow(3, s.lvl)::BIGINT),
+steps AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS k FROM way),
+fold AS (
+  SELECT rid, 0::BIGINT AS k, copy AS h FROM o
+  UNION ALL
+  SELECT fold.rid, fold.k + 1, sha256(lft || h || rgt) FROM fold JOIN steps ON steps.rid = fold.rid AND steps.k = fold.k + 1),
+proofs AS (SELECT rid, max(k) AS k, sha256(string_agg(lft || rgt, '' ORDER BY k)) AS proof FROM steps GROUP BY rid)
+SELECT doc_id, leaf, subroots.hash AS subroot, top.hash AS root, coalesce(proof, sha256('')) AS proof_sha256,
+       h AS folded_root, h = top.hash AS verified
+FROM o JOIN subroots ON subroots.tree = o.tree JOIN (SELECT hash FROM above WHERE n = 1) top ON true
+LEFT JOIN proofs ON proofs.rid = o.rid
+JOIN fold ON fold.rid = o.rid AND fold.k = coalesce(proofs.k, 0)
+"""
+
 ORACLE: dict[str, str] = {
     "op3_exact_dedup": OP3,
     "op4_source_mixing": OP4,
     "op5_extendible_sharding": OP5,
     "op10_preference_format": OP10,
+    "op13_merkle_manifest": OP13,
 }
