@@ -10,7 +10,8 @@ rows of 5: below 1e-5).
 
 How candidates are checked without listing all pairs of a bucket:
 
-1. Documents with equal sets are one class (aggregate with map-side combine); only its smallest id goes on.
+1. Rows with equal sets are one class (aggregate with map-side combine); it goes on as a node made of its smallest
+   id and a hash of the set, so that an id with several texts is several nodes.
 2. Star: in each bucket every member is compared with the bucket's smallest id. That is linear in the
    bucket, and one large group of close copies ends here as one component.
 3. Rest: a bucket that still has several components may hide links between two members that are not its
@@ -68,8 +69,8 @@ def _signatures(k: int, bands: int, rows: int):
             ends = np.cumsum([0] + [bands if n else 0 for n in sizes]).astype(np.int32)
             values = np.concatenate(flat).view(np.int64) if flat else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, values)],
-                ["id", "n", "set_key", "bands"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, values), *batch.columns[2:]],
+                ["id", "n", "set_key", "bands", *batch.schema.names[2:]],
             )
 
     return run
@@ -79,14 +80,17 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [hashing.shingle_set(t.as_py(), k) for t in batch.column(1)]
+            keys = pa.array([hashing.xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, values)], ["id", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), keys, pa.ListArray.from_arrays(ends, values)], ["id", "set_key", "items"]
+            )
 
     return run
 
 
-def block_links(ids: list[int], sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
+def block_links(ids: list, sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple]:
     """A spanning forest of the links among the sets: exact intersections as a product of 0/1 matrices."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
@@ -132,6 +136,7 @@ def near_duplicates(
     rows: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
+    text_key: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_shingles, component_id, kept``.
 
@@ -139,29 +144,30 @@ def near_duplicates(
     ``component_id`` is the smallest id reachable over links and ``kept`` says that it is the row's own.
     Words are runs of other characters than ASCII white space, with A-Z lowered; a text of fewer than
     ``k`` words is one shingle. Null, empty and blank texts have no shingles and are linked with nothing.
-    Rows that repeat an id are one document and share its component. A row with a null id cannot be
-    referred to: it has a null component and is kept. Other columns are not read; ids are integers.
+    Rows that repeat an id are judged one by one: each has the component of its own set, so a text that nothing else
+    resembles is kept whatever else has its id. A row with a null id cannot be
+    referred to: it has a null component and is kept. With ``text_key`` the result also has the 128-bit
+    ``set_key`` of each row's set and its ``text_hash`` (SHA-256 of the text as it stands). Other columns are not read; ids
+    are integers.
     """
-    spark = docs.sparkSession
     ids = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).cast("binary").alias("text"))
-    signed = shared_table(
-        in_arrow(ids, _signatures(k, bands, rows), "id long, n long, set_key binary, bands array<long>"), "signatures"
-    )
-    classes = shared_table(
-        signed.where("n > 0 AND id IS NOT NULL")
-        .groupBy("set_key")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")),
-        "classes",
-    )
+    rows_of = ids.withColumn("text_hash", F.sha2("text", 256)) if text_key else ids
+    kinds = "id long, n long, set_key binary, bands array<long>" + (", text_hash string" if text_key else "")
+    signed = shared_table(in_arrow(rows_of, _signatures(k, bands, rows), kinds), "signatures")
+    classes = signed.where("n > 0 AND id IS NOT NULL").groupBy("set_key")
+    classes = classes.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    node = F.struct("id", F.xxhash64("set_key").alias("key"))
+    classes = shared_table(classes.select(node.alias("rep"), "set_key", "n", "bands"), "classes")
     members = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(
         F.min(F.struct("rep", "n")).alias("centre"),
         F.count("*").alias("size"),
         F.bit_xor(F.xxhash64("rep")).alias("mark"),
     )
-    crowds = shared_table(
-        members.join(buckets.where("size > 1"), "bucket").select("bucket", "rep", "n", "centre", "size", "mark"), "crowds"
-    )
+    # one more key than the aggregate's, so that the join has an exchange of its own and a large bucket is split
+    apart = F.crc32(F.col("bucket").cast("string").cast("binary"))
+    met = members.withColumn("apart", apart).join(buckets.where("size > 1").withColumn("apart", apart), ["bucket", "apart"])
+    crowds = shared_table(met.select("bucket", "rep", "n", "centre", "size", "mark"), "crowds")
     pairs = shared_table(
         crowds.where(
             (F.col("rep") != F.col("centre.rep"))
@@ -171,12 +177,16 @@ def near_duplicates(
         .distinct(),
         "pairs",
     )
-    wanted = crowds.select(F.col("rep").alias("id")).distinct()
-    sets = shared_table(in_arrow(ids.join(wanted, "id", "left_semi"), _sets(k), "id long, items array<long>"), "sets")
+    wanted = shared_table(crowds.select("rep").distinct(), "wanted")
+    found = in_arrow(
+        ids.join(wanted.select("rep.id").distinct(), "id", "left_semi"), _sets(k), "id long, set_key binary, items array<long>"
+    )
+    sets = found.select(node.alias("rep"), "items").join(wanted, "rep", "left_semi")
+    sets = shared_table(sets.dropDuplicates(["rep"]), "sets")
 
     def confirmed(p: DataFrame) -> DataFrame:
-        x = p.join(sets.select(F.col("id").alias("rep"), F.col("items").alias("x")), "rep")
-        x = x.join(sets.select(F.col("id").alias("centre"), F.col("items").alias("y")), "centre")
+        x = p.join(sets.select("rep", F.col("items").alias("x")), "rep")
+        x = x.join(sets.select(F.col("rep").alias("centre"), F.col("items").alias("y")), "centre")
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
         return x.where(100 * both >= percent * union).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
@@ -205,26 +215,31 @@ def near_duplicates(
         rest.withColumn("blocks", blocks)
         .withColumn("slot", slot)
         .select("bucket", "rep", F.explode(others).alias("at"))
-        .select("bucket", "at.i", "at.j", F.col("rep").alias("id"))
-        .join(sets, "id")
+        .select("bucket", "at.i", "at.j", "rep")
+        .join(sets, "rep")
+        .select("bucket", "i", "j", "rep.id", "rep.key", "items")
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(frame["id"].tolist(), [np.asarray(s) for s in frame["items"]], percent, 100)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        nodes = list(zip(frame["id"].tolist(), frame["key"].tolist(), strict=True))
+        found = block_links(nodes, [np.asarray(s) for s in frame["items"]], percent, 100)
+        return pd.DataFrame([(*x, *y) for x, y in found], columns=["ai", "ak", "bi", "bk"], dtype="int64")
 
-    more = shared_table(dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "more")
+    more = dealt.groupBy("bucket", "i", "j").applyInPandas(compare, "ai long, ak long, bi long, bk long")
+    end = lambda i, k: F.struct(F.col(i).alias("id"), F.col(k).alias("key"))
+    more = shared_table(more.select(end("ai", "ak").alias("a"), end("bi", "bk").alias("b")).distinct(), "more")
     if not more.isEmpty():
         stars = shared_table(components(links.unionByName(more)), "components")
 
     of_class = classes.join(stars.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component")
+        "set_key", F.coalesce("component", "rep")["id"].alias("component")
     )
-    out = signed.select("id", "n", "set_key").join(of_class, "set_key", "left")
+    out = signed.drop("bands").join(shared_table(of_class, "of-class"), "set_key", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         (F.col("id").isNull() | (component == F.col("id"))).alias("kept"),
+        *(["set_key", "text_hash"] if text_key else []),
     )

@@ -74,26 +74,20 @@ class Lookup:
             out.append(values)
             if parts and not self.spaced:
                 values[0] = None  # no space in front
-            if None not in values:
-                continue
-            behind = 0  # first part behind the segment at hand
-            for i in [i for i, v in enumerate(values) if v is None]:
-                if i < behind:
-                    continue
-                if solid(parts[i]) and (i or self.spaced):
-                    words.append((values, i, parts[i]))
-                    continue
-                behind = i + 1  # white space at a part's end joins the next part
-                while behind < len(parts) and not solid(parts[behind - 1]):
-                    behind += 1
-                odd.append((values, i, " " * (i > 0 or self.spaced) + " ".join(parts[i:behind])))
-                if behind > i + 1:
-                    values[i + 1 : behind] = [()] * (behind - i - 1)
-                    shortened.append(values)
-        new = list({w for *_, w in words})
+            missing = [i for i, v in enumerate(values) if v is None]
+            loose = [i for i in missing if not solid(parts[i])]
+            if missing and not self.spaced and missing[0] == 0 and not loose:
+                odd.append((values, 0, parts[0]))
+                del missing[0]
+            elif loose:
+                missing = self._joined(parts, values, missing, odd, shortened)
+            if missing:
+                words.append((values, missing, [parts[i] for i in missing]))
+        new = list({w for *_, ws in words for w in ws})
         found = dict(zip(new, self.compute([" " + w for w in new]), strict=True))
-        for values, i, w in words:
-            values[i] = found[w]
+        for values, places, ws in words:
+            for i, w in zip(places, ws, strict=True):
+                values[i] = found[w]
         new = list({s for *_, s in odd} - {""})
         other = dict(zip(new, self.compute(new), strict=True))
         for values, i, s in odd:
@@ -108,6 +102,25 @@ class Lookup:
         return out
 
 
+    def _joined(self, parts: list[str], values: list, missing: list[int], odd: list, shortened: list) -> list[int]:
+        """Parts that end in white space joined to the next one, noted in ``odd``; the missing words that remain."""
+        words, behind = [], 0
+        for i in missing:
+            if i < behind:
+                continue
+            if solid(parts[i]) and (i or self.spaced):
+                words.append(i)
+                continue
+            behind = i + 1
+            while behind < len(parts) and not solid(parts[behind - 1]):
+                behind += 1
+            odd.append((values, i, " " * (i > 0 or self.spaced) + " ".join(parts[i:behind])))
+            if behind > i + 1:
+                values[i + 1 : behind] = [()] * (behind - i - 1)
+                shortened.append(values)
+        return words
+
+
 class Whole:
     """As ``Lookup``, every text being one segment."""
 

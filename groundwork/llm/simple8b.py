@@ -16,7 +16,7 @@ WIDTHS = 60 // COUNTS
 _MARKS = (np.uint64(1) << WIDTHS.astype(np.uint64)) - np.uint64(1)
 _SHIFT = np.uint64(60)
 _WORD_BYTES, _ESCAPE_BYTES = 8, 4
-_RARE = 1 - 1 / 16  # a selector that escapes a larger share of the ids at hand is not tried
+_RARE = 3 / 4  # a selector that escapes a larger share of the ids at hand is not tried
 _AT_ONCE = 32
 
 
@@ -56,7 +56,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     """``words, escapes, word offsets, escape offsets`` of unsigned 32-bit ids; offsets have one entry a block.
 
     At every place the selector with the fewest bytes per id is taken, its escapes counted in (of those that hold
-    more than a sixteenth of the ids).
+    a quarter of the ids or more).
     """
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     n = len(ids)

@@ -22,6 +22,7 @@ shuffle, with the same result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 from collections.abc import Iterator
@@ -190,6 +191,7 @@ def linked(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _rows(byte_level: str, pieces: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents, row = aligner(byte_level, pieces).documents, TaskContext.get().partitionId() << 33
+        gc.disable()  # nothing here makes cycles, and the collector would go through the store of segments again and again
         for batch in batches:
             for i in range(0, len(batch), 256):
                 part = batch.slice(i, 256)
@@ -212,6 +214,7 @@ def _rows(byte_level: str, pieces: str):
                      pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)],
                     ["row", "id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
                 )
+        gc.enable()
 
     return run
 

@@ -23,6 +23,8 @@ def corpus(spark, tmp_path_factory):
     rng = random.Random(4)
     base = docs.where("doc_id = 3").first().text.split()[:200]
     odd = [(900, None, None, None), (901, "", "en", "src0"), (902, " \n", None, None), (903, None, "de", "src1"), (904, None, "de", "src1"), (904, None, "de", "src1")]
+    # an id with a copy of another text and with a text of its own, which must not go with the copy
+    odd += [(905, docs.where("doc_id = 7").first().text, "en", "src0"), (905, docs.where("doc_id = 8").first().text.replace("e", "o"), "en", "src0")]
     odd += [(910 + i, " ".join(base[:100] + [f"edit{rng.random()}"] + base[101:]), "en", "hot") for i in range(5)]
     odd += [(930, docs.where("doc_id = 5").first().text + "\n" + bench[0], "en", "hot"), (None, docs.where("doc_id = 6").first().text, "en", "hot")]
     extra = spark.createDataFrame([(i, t, lang, s, 0) for i, t, lang, s in odd], docs.schema)
@@ -69,7 +71,7 @@ def check_quality(spark, corpus, docs, got):
 def check_near_dedup(spark, corpus, docs, got):
     plain = [(r.doc_id, r.text) for r in docs.collect()]
     component = brute_components([x for x in plain if x[0] is not None], 5, 80)
-    want = collections.Counter((i, t) for i, t in plain if i is None or component[i] == i)
+    want = collections.Counter((i, t) for i, t in plain if i is None or component[i, t] == i)
     assert rows(got.select("doc_id", "text")) == want and len(want) < len(set(plain))
 
 
