@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm import decontaminate, mixing, near_dedup, quality, sharding
-from groundwork.llm.common import read, shared_table
+from groundwork.llm.common import read, shared_table, text_or_empty
 
 
 USED = ("doc_id", "text", "source")  # columns that the operators read
@@ -39,12 +39,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest id.
 
-    Only the ids that go are joined with the documents. Rows that repeat the kept id all stay: they are
-    one document to this stage. Rows without an id stay.
+    Rows are judged one by one, so a text that nothing resembles stays whatever else has its id: what goes is named by id and
+    hash of the text. Rows that repeat the kept id and resemble each other all stay. Rows without an id stay.
     """
-    groups = near_dedup.near_duplicates(docs, k=5, percent=80, bands=32, rows=5)
-    gone = groups.where("NOT kept").select("doc_id").distinct()
-    return _as(_apart(docs).join(gone, "doc_id", "left_anti"), docs)
+    groups = near_dedup.near_duplicates(docs, k=5, percent=80, bands=32, rows=5, text_key=True)
+    gone = groups.where("NOT kept").select("doc_id", "text_hash").distinct()
+    text_hash = F.sha2(text_or_empty("text").cast("binary"), 256)
+    return _as(_apart(docs).withColumn("text_hash", text_hash).join(gone, ["doc_id", "text_hash"], "left_anti"), docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

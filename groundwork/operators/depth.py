@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import DTW_UNITS, MONITORING_CLASSES
 from .clean import DEFAULT_ORDER, DTW_REQUIRED, keep_first, require, union_all
+from .joins import splittable_join
 
 
 def dtw_union(*providers: DataFrame, order: Sequence[str] = DEFAULT_ORDER, units: str = DTW_UNITS) -> DataFrame:
@@ -23,7 +24,7 @@ def dtw_union(*providers: DataFrame, order: Sequence[str] = DEFAULT_ORDER, units
 def attach_dtw(samples: DataFrame, dtw: DataFrame, how: str = "left") -> DataFrame:
     """Join readings to samples on the visit (well, date) — left (J6) or inner."""
     d = dtw.select("wid", "logdate", "dtw", "dtw_units")
-    return samples.join(d, ["wid", "logdate"], how)
+    return splittable_join(samples, d, ["wid", "logdate"], how)
 
 
 def all_dtw(samples_dtw: DataFrame, labels: Sequence[str], classes: Sequence[str] = MONITORING_CLASSES,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import TARGET_UNIT, ZSCORE_MAX
 from .clean import DEFAULT_ORDER, keep_first
-from .joins import with_row_no
+from .joins import splittable_join, with_row_no
 
 LOCATION_COLS = ("wid", "field_pt_class", "latitude", "longitude")
 
@@ -19,12 +19,13 @@ def join_locations(samples: DataFrame, locations: DataFrame, how: str = "inner",
     """Attach the (de-duplicated) well location to every sample.
 
     ``locations`` has one row per well and grows with the data, so no broadcast hint: AQE turns the
-    sort-merge join into a broadcast join at run time when the well table is small. A skewed well's
-    partition is split only if nothing above the join groups by the well without an exchange of its own:
-    per-well results are aggregated first and joined afterwards (see ``score.wells_with_mag``).
+    sort-merge join into a broadcast join at run time when the well table is small, and splits the partition
+    of a well that holds many samples otherwise (``splittable_join``), provided that nothing above the join groups by
+    the well without an exchange of its own: per-well results are aggregated first and joined afterwards (see
+    ``score.wells_with_mag``).
     """
     loc = locations.select(*[c for c in cols if c in locations.columns])
-    return samples.join(loc, "wid", how)
+    return splittable_join(samples, loc, "wid", how)
 
 
 def join_mcl(samples: DataFrame, mcl: DataFrame, how: str = "inner") -> DataFrame:

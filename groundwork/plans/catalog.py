@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import operators as op
 from ..functions.dates import parse_date_text
 from ..functions.ids import make_wid, sid_text
+from ..operators.joins import splittable_join
 from ..params import CHEMS4, CONTS11, MONITORING_CLASSES, ALL_SAMPLES_SINCE
 from ..sources import lookups, testdata as td
 from ..sources.manifest import missing_sources, source_manifest_for_areas
@@ -323,7 +324,8 @@ def q_stage_counts(spark, d):
     loc = _locations(spark, d).select("wid", F.lit(True).alias("_loc"))
     mcl = lookups.mcl_table(spark).select(F.col("chem_abrv").alias("parlabel"), F.lit(True).alias("_mcl"))
     units = lookups.unit_table(spark).select(F.col("start_unit").alias("units"), F.lit(True).alias("_unit"))
-    flagged = flagged.join(mcl, "parlabel", "left").join(units, "units", "left").join(loc, "wid", "left")
+    flagged = flagged.join(mcl, "parlabel", "left").join(units, "units", "left")
+    flagged = splittable_join(flagged, loc, "wid", "left")
     clean = F.col("_kept")
     in_loc = clean & F.col("_loc").isNotNull()
     in_mcl = in_loc & F.col("_mcl").isNotNull()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import operators as op
 from .. import sinks
 from ..params import AREAS6, CONTS11, DEFAULT_SINCE, MIN_COUNT, MONITORING_CLASSES, PROXIMITY_RADIUS_M, UTM_ZONE
-from ..sources import ingest, providers
+from ..sources import ingest, providers, zips
 
 
 def _out(df: DataFrame, out: str | None, name: str, by_area: bool = False) -> DataFrame:
@@ -47,31 +47,34 @@ def load_samples(spark: SparkSession, edf_root: str | None, gama_root: str | Non
     """All lab results of both providers under the two landing folders (A2–A5, H1, H2)."""
     parts = []
     if edf_root:
-        lines = ingest.land_lines(spark, edf_root, areas=areas)
+        lines = zips.land_records(spark, edf_root, areas=areas)
         parts.append(providers.edf_samples(ingest.parse_delimited(lines, providers.EDF_SAMPLE_COLS), areas))
     if gama_root:
-        lines = ingest.land_lines(spark, gama_root, areas=areas)
+        lines = zips.land_records(spark, gama_root, areas=areas)
         parts.append(providers.gama_samples(ingest.parse_delimited(lines, providers.GAMA_SAMPLE_COLS), areas))
     return op.union_all(*parts)
 
 
 def load_locations(spark: SparkSession, edf_xy_root: str | None, gama_xy_root: str | None,
-                   normalize_wid: bool = False) -> DataFrame:
-    """Well locations of both providers, one row per well, first provider first."""
+                   normalize_wid: bool = False, areas: Sequence[str] | None = None) -> DataFrame:
+    """Well locations of both providers, one row per well, first provider first.
+
+    With ``areas`` the first provider's files are picked by area, as the batch picks them by county; the second
+    provider has one file for all."""
     parts = []
     if edf_xy_root:
-        lines = ingest.land_lines(spark, edf_xy_root)
+        lines = zips.land_records(spark, edf_xy_root, areas=areas)
         parts.append(providers.edf_locations(ingest.parse_delimited(lines, providers.EDF_LOCATION_COLS)))
     if gama_xy_root:
-        lines = ingest.land_lines(spark, gama_xy_root)
+        lines = zips.land_records(spark, gama_xy_root)
         parts.append(providers.gama_locations(ingest.parse_delimited(lines, providers.GAMA_LOCATION_COLS)))
     return op.dedup_locations(op.union_all(*parts), normalize_wid=normalize_wid)
 
 
 def load_dtw(spark: SparkSession, elevation_root: str) -> DataFrame:
     """Depth-to-water readings of both providers from one folder (``*Geo*.zip`` / ``*gama*.zip``)."""
-    geo = ingest.parse_delimited(ingest.land_lines(spark, elevation_root, "*Geo*.zip"), providers.EDF_DTW_COLS)
-    gama = ingest.parse_delimited(ingest.land_lines(spark, elevation_root, "*gama*.zip"), providers.GAMA_DTW_COLS)
+    geo = ingest.parse_delimited(zips.land_records(spark, elevation_root, "*Geo*.zip"), providers.EDF_DTW_COLS)
+    gama = ingest.parse_delimited(zips.land_records(spark, elevation_root, "*gama*.zip"), providers.GAMA_DTW_COLS)
     return op.dtw_union(providers.edf_dtw(geo), providers.gama_dtw(gama))
 
 

@@ -156,6 +156,24 @@ def unquote(c: Column) -> Column:
     return F.when(wrapped, inner).otherwise(c)
 
 
+# A field of a quoted record: quotes that open it hold separators and line breaks; possessive, so that long
+# fields are matched without backtracking.
+_QUOTED_FIELD = r'(?:^|{sep})((?:"[^"]*+(?:""[^"]*+)*+"[^{sep}]*+)|[^{sep}]*+)'
+
+
+def split_record(record: Column, sep: str) -> Column:
+    """Fields of a record in which quoted fields may hold the separator; quotes are taken off as ``unquote`` does,
+    text behind a closing quote stays."""
+    fields = F.regexp_extract_all(record, F.lit(_QUOTED_FIELD.format(sep=re.escape(sep))), F.lit(1))
+    opened = r'^"([^"]*+(?:""[^"]*+)*+)"([\s\S]*)$'
+
+    def bare(f: Column) -> Column:
+        inner = F.replace(F.regexp_extract(f, opened, 1), F.lit('""'), F.lit('"'))
+        return F.when(f.startswith('"'), F.concat(inner, F.regexp_extract(f, opened, 2))).otherwise(f)
+
+    return F.transform(fields, bare)
+
+
 def na_to_null(c: Column, markers: Sequence[str] = NA_MARKERS) -> Column:
     """pandas' default missing-value markers (``''``, ``NA``, ``N/A``, ``null``, ``NaN`` …) → NULL."""
     return F.when(c.isin(list(markers)), F.lit(None).cast("string")).otherwise(c)
@@ -187,12 +205,17 @@ def parse_delimited(lines: DataFrame, columns: Sequence[str], sep: str = "\t",
         body = ok.join(file_headers(ok), ["path", "member"], "inner").filter(F.col("line_no") > F.col("_hdr_line"))
     # header names: no byte-order mark, no quotes (plain string ops, stays in generated code)
     hdr = F.split(F.regexp_replace(F.regexp_replace(F.col("_hdr_text"), "^\ufeff", ""), '"', ""), pattern, -1)
-    body = body.withColumn("_hdr", hdr).withColumn("_f", F.split(F.col("line"), pattern, -1))
+    fields = F.split(F.col("line"), pattern, -1)
+    # records say how their file is quoted; plain lines have each field unwrapped by itself
+    quoting = "quoted" in body.columns
+    if quoting:
+        fields = F.when(F.col("quoted") & F.contains("line", F.lit('"')), split_record(F.col("line"), sep)).otherwise(fields)
+    body = body.withColumn("_hdr", hdr).withColumn("_f", fields)
     out = [F.col("path"), F.col("member"), F.col("line_no")]
     for name in columns:
         pos = F.array_position(F.col("_hdr"), F.lit(name))
         val = F.when(pos > 0, F.try_element_at(F.col("_f"), pos.cast("int")))
-        out.append(na_to_null(unquote(val), markers).alias(name))
+        out.append(na_to_null(val if quoting else unquote(val), markers).alias(name))
     out += [F.size("_f").alias("_n_fields"), F.size("_hdr").alias("_n_header")]
     return body.select(*out)
 

@@ -109,6 +109,24 @@ def test_hot_well_never_meets_an_aggregate_above_its_join(spark):
         assert "skew=true" in _final_plan(spec.select("wid", "logdate", "parlabel", "magnitude"))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_well_is_split_in_the_join_with_deduplicated_locations(spark, how):
+    samples = spark.range(0, 50_000, 1, 8).select(
+        F.when(F.col("id") % 4 > 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("wid"),
+        F.col("id").cast("string").alias("parlabel"),
+    )
+    raw = spark.range(0, 400, 1, 4).select(
+        F.when(F.col("id") % 2 > 0, "hot").otherwise(F.concat(F.lit("w"), F.col("id") % 50)).alias("wid"),
+        F.lit("MW").alias("field_pt_class"), F.col("id").cast("double").alias("latitude"), F.lit(1.0).alias("longitude"),
+        F.lit(0).alias("source_rank"), F.lit("p").alias("path"), F.col("id").alias("line_no"),
+    )
+    with conf(spark, **SKEW):
+        joined = op.join_locations(samples, op.dedup_locations(raw), how)
+        assert "skew=true" in _final_plan(joined)
+        assert joined.count() == (50_000 if how == "left" else samples.join(raw, "wid", "left_semi").count())
+        assert joined.columns == ["wid", "parlabel", "field_pt_class", "latitude", "longitude"]
+
+
 def _zip(path, name, text):
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(name, text)
