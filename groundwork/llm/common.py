@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from groundwork.session import ensure_checkpoint_dir, ship_package
 
@@ -14,8 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the workers."""
+    """``mapInArrow`` with this package at hand on the workers, whatever the columns are called."""
     ship_package(df.sparkSession)
+    if isinstance(schema, T.StructType) and any("." in c or "`" in c for c in df.columns):  # Spark would resolve these as paths
+        plain = {c: f"__column_{i}" if "." in c or "`" in c else c for i, c in enumerate(df.columns)}
+        inner = T.StructType([T.StructField(plain.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+        return df.toDF(*plain.values()).mapInArrow(function, inner).toDF(*schema.names)
     return df.mapInArrow(function, schema)
 
 

@@ -12,7 +12,8 @@ document are looked up in it and equal windows are compared word by word. Neighb
 diagonal are a maximal match.
 
 The benchmark is the small side: it is cut by hash into blocks of about ``BLOCK_BYTES`` of text, each of
-which is broadcast in turn. The documents stream through all blocks in one scan and are never
+which is broadcast in turn; at most ``BLOCKS_LIVE`` indexes are live at a time, after which the documents are written with
+what was found so far. The documents stream through these blocks in one scan and are never
 shuffled, so a passage that a third of them share costs no more than any other.
 """
 
@@ -26,18 +27,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import in_arrow, text_or_empty
+from .common import in_arrow, shared_table, text_or_empty
 
 LEAST = 5
 COVERAGE = 0.6
 BLOCK_BYTES = 8 << 20
+BLOCKS_LIVE = 4
 _WORDS = re.compile(r"\w+")
 _BASE = 0x100000001B3
-HIT = T.ArrayType(
-    T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType()), T.StructField("words", T.IntegerType())])
-)
-_ARROW_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int32()), ("words", pa.int32())]))
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def hit_type(kind: T.DataType) -> T.ArrayType:
+    """Type of the hits of items whose ids are of ``kind``."""
+    fields = [("item_id", kind), ("coverage", T.DoubleType()), ("tiles", T.IntegerType()), ("words", T.IntegerType())]
+    return T.ArrayType(T.StructType([T.StructField(*f) for f in fields]))
 
 
 def contaminating(leaks: str = "leaks", least: int = LEAST) -> Column:
@@ -56,14 +62,19 @@ def words_of(text: str) -> list[str]:
 
 
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
-    """Karp-Rabin hash of every window of ``width`` word numbers (modulo 2**64)."""
+    """Karp-Rabin hash of every window of ``width`` word numbers (modulo 2**64).
+
+    It runs along the words: a window's hash is the difference of two running sums, whose terms carry the base's
+    inverse powers, brought to the window's place.
+    """
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(width):
-        out = out * np.uint64(_BASE) + ids[j : j + n]
-    return out
+    powers = np.repeat(np.array([[_INVERSE], [_BASE]], dtype=np.uint64), len(ids), axis=1)
+    powers[:, 0] = 1
+    down, up = np.cumprod(powers, axis=1, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * down, dtype=np.uint64)])
+    return (sums[width:] - sums[:-width]) * up[width - 1 :]
 
 
 class Index:
@@ -86,31 +97,50 @@ class Index:
             at = np.concatenate([np.arange(len(ids) - width + 1) for _, ids in group])
             item = np.repeat([k for k, _ in group], [len(ids) - width + 1 for _, ids in group])
             order = np.argsort(h, kind="stable")
-            self.windows[width] = (h[order], item[order], at[order])
+            self.windows[width] = (h[order], order, item, at)  # hashes in order, and where each lies item by item
+        self.lengths = np.array([len(ids) for _, ids in self.items], dtype=np.int64)
+
+    def seeds(self, ids: np.ndarray, threshold: float = 0.0) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+        """Per item: window length, and the places of equal windows in the document and in the item.
 
-    def seeds(self, ids: np.ndarray) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-        """Per item: window length, and the places of equal windows in the document and in the item."""
+        Only items that the windows found can cover to ``threshold`` are listed: each window of an item is looked up
+        once, however often the document holds it, so a phrase that many items share costs one entry per item.
+        """
         out = {}
-        for width, (hashes, item, at) in self.windows.items():
+        for width, (hashes, order, item, at) in self.windows.items():
             h = rolling(ids, width)
             if not len(h):
                 continue
-            known = np.convolve(ids == 0, np.ones(width, int), "valid") == 0
-            places = np.flatnonzero(known)
-            lo, hi = np.searchsorted(hashes, h[places]), np.searchsorted(hashes, h[places], side="right")
+            places = np.flatnonzero(np.convolve(ids == 0, np.ones(width, int), "valid") == 0)
+            places = places[np.argsort(h[places], kind="stable")]
+            met = h[places]
+            kinds = met[np.append(True, met[1:] != met[:-1])] if len(met) else met
+            lo, hi = np.searchsorted(hashes, kinds), np.searchsorted(hashes, kinds, side="right")
             count = hi - lo
-            p = np.repeat(places, count)
-            if not len(p):
+            w = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            if not len(w):
                 continue
-            w = np.repeat(lo, count) + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
-            for k in np.unique(item[w]).tolist():
-                own = item[w] == k
-                pk, qk = p[own], at[w[own]]
+            entries = np.sort(order[w])  # windows of the items that the document holds, item by item
+            k, q = item[entries], at[entries]
+            first = np.append(True, k[1:] != k[:-1])
+            # words that these windows cover: each adds what lies behind the one before
+            fresh = np.where(first, width, np.minimum(width, np.diff(q, prepend=0)))
+            starts = np.flatnonzero(first)
+            covered = np.add.reduceat(fresh, starts)
+            stops = np.append(starts[1:], len(k))
+            for i in np.flatnonzero(covered / self.lengths[k[starts]] >= threshold).tolist():
+                one, own = int(k[starts[i]]), q[starts[i] : stops[i]]
+                words = self.items[one][1]
+                wanted = rolling(words, width)[own]
+                a, b = np.searchsorted(met, wanted), np.searchsorted(met, wanted, side="right")
+                n = b - a
+                pk = places[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                qk = np.repeat(own, n)
                 same = np.ones(len(pk), bool)
                 for j in range(width):
-                    same &= ids[pk + j] == self.items[k][1][qk + j]
+                    same &= ids[pk + j] == words[qk + j]
                 if same.any():
-                    out[k] = (width, pk[same], qk[same])
+                    out[one] = (width, pk[same], qk[same])
         return out
 
 
@@ -147,7 +177,7 @@ def hits(text: str, index: Index, threshold: float) -> list[dict]:
     get = index.vocabulary.get
     ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.uint64)
     out = []
-    for k, (width, p, q) in index.seeds(ids).items():
+    for k, (width, p, q) in index.seeds(ids, threshold).items():
         item_id, item = index.items[k]
         reach = np.zeros(len(item), bool)  # no tiling covers more than all seeds together
         for j in range(width):
@@ -162,11 +192,11 @@ def hits(text: str, index: Index, threshold: float) -> list[dict]:
 
 def by_coverage(hit: dict) -> tuple:
     """Order of the hits of a document: coverage descending, then item id, hits without an id last."""
-    return -hit["coverage"], hit["item_id"] is None, hit["item_id"] or 0, hit["tiles"]
+    return -hit["coverage"], hit["item_id"] is None, hit["item_id"] if hit["item_id"] is not None else 0, hit["tiles"]
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, str]]]:
-    b = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text"))
+    b = benchmark.select(F.col(item_col).alias("item"), text_or_empty(text_col).alias("text"))
     total = b.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = total // BLOCK_BYTES + 1
     for k in range(n):
@@ -190,14 +220,21 @@ def decontaminate(
     id are matched like others and reported with a null item id, behind equal coverages; of fewer than
     ``least`` words they are left out. Items without words match nothing; items that repeat an id, or lack
     one, are matched one by one.
-    Repeated documents are rows like others. A column ``leaks`` of the input is replaced.
+    Item ids are of any type and keep it. Repeated documents are rows like others. A column ``leaks`` (in any case) of the input is replaced.
     """
     spark = docs.sparkSession
-    docs = docs.select(*[c for c in docs.columns if c != "leaks"])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "leaks"])
     at, last = docs.columns.index(text_col), len(docs.columns)
-    out = docs.withColumn("leaks", F.array().cast(HIT))
-    schema = T.StructType([*docs.schema.fields, T.StructField("leaks", HIT)])
+    hit = hit_type(benchmark.schema[item_col].dataType)
+    arrow_hit = to_arrow_type(hit)
+    out = docs.withColumn("leaks", F.array().cast(hit))
+    schema = T.StructType([*docs.schema.fields, T.StructField("leaks", hit)])
+    live = []
     for items in _blocks(benchmark, item_col, item_text_col):
+        if len(live) == BLOCKS_LIVE:  # what the blocks so far found is written, and their indexes go
+            out = shared_table(out, "leaks")
+            while live:
+                live.pop().unpersist()
         shared = spark.sparkContext.broadcast(Index(items, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -207,7 +244,8 @@ def decontaminate(
                     sorted(old.as_py() + hits(t.as_py() or "", index, threshold), key=by_coverage)
                     for t, old in zip(b.column(at), b.column(last), strict=True)
                 ]
-                yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(found, _ARROW_HIT)], b.schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(found, arrow_hit)], b.schema.names)
 
+        live.append(shared)
         out = in_arrow(out, run, schema)
     return out

@@ -63,18 +63,18 @@ def mix(
     """``docs`` with its columns (or only those of ``carry``) and ``mix_size, mix_source_size, mix_target, mix_copies`` (0..max_repeats).
 
     Sizes are words; a null text has none and gets no copies, as nothing of it can be taken. A null
-    source is a source of its own, the last. Null ids and repeated rows are ordinary items; equal sort
-    keys are ordered by id text and size, and items that tie in everything are interchangeable. Reruns
-    agree: the order comes from ids and ``seed`` alone. Columns of these four names are replaced.
+    source is a source of its own, the last. Null ids and repeated rows are ordinary items; rows that
+    share an id, or have none, are spread by their texts, and items that tie in both are interchangeable. Reruns
+    agree: the order comes from ids, texts and ``seed`` alone. Columns of these four names, in any case, are replaced.
     """
     spark = docs.sparkSession
     added = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    cols = [c for c in (docs.columns if carry is None else carry) if c not in added]
+    cols = [f"`{c}`" for c in (docs.columns if carry is None else carry) if c.lower() not in added]
     rows = docs.select(
         F.struct(*cols).alias("doc"),  # the input's columns stay apart from the names used below
         F.col(source_col).alias("source"),
         word_count(text_or_empty(text_col)).alias("mix_size"),
-        F.md5(F.concat(F.lit(seed + ":"), id_text(id_col))).alias("__key"),
+        F.md5(F.concat(F.lit(seed + ":"), id_text(id_col), F.lit(":"), F.md5(text_or_empty(text_col).cast("binary")))).alias("__key"),
     ).withColumn("__u", F.conv(F.substring("__key", 1, 13), 16, 10).cast("long"))
     small = shared_table(rows.select("source", "mix_size", "__key", "__u"), "sizes")
     sizes = small.groupBy("source").agg(F.count("*").alias("rows"), F.sum("mix_size").alias("source_size"))
@@ -148,5 +148,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as it is taken."""
     m = mix(docs, **options)
     return m.where("mix_copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(
-        *docs.columns
+        *[f"`{c}`" for c in docs.columns]
     )

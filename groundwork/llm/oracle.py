@@ -16,7 +16,7 @@ FROM d JOIN g ON d.norm = g.norm
 OP4 = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS ord
@@ -49,7 +49,7 @@ FROM q LEFT JOIN k ON q.doc_id = k.doc_id
 
 OP5 = f"""
 WITH d AS (
-  SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h,
+  SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h,
          octet_length(encode(coalesce(text, '')))::BIGINT AS bytes FROM documents),
 p AS (SELECT doc_id, bytes, depth, h >> ({BITS} - depth)::INT AS prefix FROM d, range(0, {BITS} + 1) r(depth)),
 s AS (SELECT depth, prefix, count(*) AS shard_rows, sum(bytes)::BIGINT AS shard_bytes FROM p GROUP BY ALL),

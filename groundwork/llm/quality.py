@@ -59,7 +59,7 @@ _RUNS = re.compile(rb"([aA9])\1+")
 
 def shape(word: bytes) -> bytes:
     """Runs of upper case, lower case (with all non-ASCII letters) and digits as one A, a, 9; the rest as it is."""
-    return _RUNS.sub(rb"\1", word.translate(_KINDS))[:12]
+    return _RUNS.sub(rb"\1", word.translate(_KINDS))
 
 
 _codes: dict[bytes, int] = {}
@@ -279,7 +279,7 @@ def score(
     score is 1, so nothing is rejected unseen. Columns of these three names are replaced.
     """
     added = ("quality_held_out", "quality_score", "quality_predicted")
-    docs = docs.select(*[c for c in docs.columns if c not in added])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
     vectors, net = train(docs, labels, sample, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast((vectors, net))
     at = docs.columns.index(text_col)

@@ -1,6 +1,6 @@
 """Sharding by extendible hashing.
 
-A row's address is the leading bits of a 60-bit hash of its key. The directory starts with one bucket
+A row's address is the leading bits of a 60-bit hash of its key and text. The directory starts with one bucket
 and splits, bit by bit, only those buckets whose bytes exceed the limit; the leaves are the shards.
 Because a bucket's bytes only shrink with depth, a row's shard is the shallowest prefix that fits.
 
@@ -24,9 +24,10 @@ SHARD_BYTES = 16 << 20
 BROADCAST_SHARDS = 100_000  # about 5 MB; a larger directory is joined by shuffle
 
 
-def key_hash(key_col: str) -> Column:
-    """60 bits of MD5 of the key as text (null: empty)."""
-    return F.conv(F.substring(F.md5(id_text(key_col)), 1, 15), 16, 10).cast("long")
+def key_hash(key_col: str, text_col: str) -> Column:
+    """60 bits of MD5 of the key as text (null: empty) and the text's own MD5, which parts rows that share a key."""
+    key = F.concat(id_text(key_col), F.lit(":"), F.md5(text_or_empty(text_col).cast("binary")))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def _prefix(h: Column, depth: Column) -> Column:
@@ -73,15 +74,15 @@ def shard(
 ) -> DataFrame:
     """``docs`` (its columns, or only those of ``carry``) with ``shard`` (the prefix bits, 'all' at depth 0), ``shard_depth, shard_rows, shard_bytes, shard_fits``.
 
-    Bytes are the UTF-8 bytes of the text (null: 0). Rows with equal keys, null keys among them, share an
-    address; where such rows alone exceed the limit, or one text does, the shard cannot be split further
-    and ``shard_fits`` is false. An empty table has no shards. Columns of these names are replaced.
+    Bytes are the UTF-8 bytes of the text (null: 0). Rows that share a key, or have none, are parted by their
+    texts; only rows equal in both share an address. Where such rows alone exceed the limit, or one text does, the shard cannot be split further
+    and ``shard_fits`` is false. An empty table has no shards. Columns of these names, in any case, are replaced.
     """
     added = ("shard", "shard_depth", "shard_rows", "shard_bytes", "shard_fits")
-    cols = [c for c in (docs.columns if carry is None else carry) if c not in added]
-    rows = docs.select(F.struct(*cols).alias("doc"), key_hash(key_col).alias("__h"))
+    cols = [f"`{c}`" for c in (docs.columns if carry is None else carry) if c.lower() not in added]
+    rows = docs.select(F.struct(*cols).alias("doc"), key_hash(key_col, text_col).alias("__h"))
     sizes = docs.select(
-        key_hash(key_col).alias("h"), F.octet_length(text_or_empty(text_col)).cast("long").alias("bytes")
+        key_hash(key_col, text_col).alias("h"), F.octet_length(text_or_empty(text_col)).cast("long").alias("bytes")
     )
     d = directory(shared_table(sizes, "sizes"), limit)
     depths = [r[0] for r in d.select("depth").distinct().collect()] or [0]  # at most 61 numbers
@@ -98,7 +99,7 @@ def shard(
     if d.count() <= BROADCAST_SHARDS:
         joined = located(rows, True)
     else:  # find the place of each address first, so that texts move once
-        places = located(docs.select(key_hash(key_col).alias("__h")).distinct(), False)
+        places = located(docs.select(key_hash(key_col, text_col).alias("__h")).distinct(), False)
         joined = rows.join(places, "__h")
     bits = F.when(F.col("depth") == 0, F.lit("all")).otherwise(
         F.substring(F.lpad(F.bin("prefix"), BITS, "0"), -F.col("depth"), F.col("depth"))

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontaminate, graph, hashing, licenses, lm_score, near_dedup, quality, secrets
+from groundwork.llm import decontaminate, graph, hashing, licenses, lm_score, mixing, near_dedup, quality, secrets, sharding
 from groundwork.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,11 @@ def test_neighbour_sums():
     assert met.tolist() == [1, 2, 3, 7, 9] and (sums == want[met]).all()
 
 
+def test_whole_shapes_count():
+    a, b = b"a-" * 20 + b"1", b"a-" * 20 + b"B"
+    assert quality.shape(a) != quality.shape(b) and len(quality.shape(a)) == len(a)
+
+
 def test_quality_held_out_accuracy(spark):
     got = {r.doc_id: r for r in QUERIES["op1_quality_classifier"](spark, "/root/testdata/sf0.01").collect()}
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
@@ -157,6 +163,50 @@ def test_decontaminate(spark, odd, monkeypatch):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_shared_preamble_is_not_listed_for_every_item():
+    rng = random.Random(6)
+    preamble = [f"p{i}" for i in range(12)]
+    items = [(i, " ".join(preamble + [f"i{rng.randrange(10**6)}" for _ in range(48)])) for i in range(10_000)]
+    index = decontaminate.Index(items, decontaminate.LEAST)
+    doc = " ".join((preamble + ["x"]) * 50)
+    start = time.process_time()
+    assert decontaminate.hits(doc, index, decontaminate.COVERAGE) == []
+    assert time.process_time() - start < 0.5  # 0.05 s on an idle machine; listing every pair took minutes
+    found = decontaminate.hits(doc + " " + items[77][1], index, decontaminate.COVERAGE)
+    assert [(h["item_id"], h["coverage"]) for h in found] == [(77, 1.0)]
+
+
+def test_rolling_runs():
+    ids = np.random.default_rng(1).integers(0, 1 << 40, 200).astype(np.uint64)
+    for width in (1, 5, 200, 201):
+        want = [sum(int(x) * pow(decontaminate._BASE, width - 1 - j, 1 << 64) for j, x in enumerate(ids[i : i + width])) % (1 << 64) for i in range(len(ids) - width + 1)]
+        assert decontaminate.rolling(ids, width).tolist() == want
+
+
+def test_text_ids_and_column_names(spark, tmp_path):
+    words = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([("mmlu-1", words), (None, words)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, words, "a", 2), (2, "clean", "b", 3)], "doc_id long, text string, Leaks string, `a.b` int")
+    out = decontaminate.decontaminate(docs, bench)
+    assert out.columns == ["doc_id", "text", "a.b", "leaks"]
+    assert [[h.item_id for h in r.leaks] for r in out.orderBy("doc_id").collect()] == [["mmlu-1", None], []]
+
+
+@pytest.mark.parametrize("name", ["Shard", "MIX_SIZE", "Quality_Score", "a.b", "Leaks", "row"])
+def test_any_column_name(spark, name):
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words, "s", "x"), (2, "two words", "t", "y")], f"doc_id long, text string, source string, `{name}` string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    kept = lambda added: 0 if name.lower() in added else 1
+    for out, added in (
+        (sharding.shard(docs), ["shard", "shard_depth", "shard_rows", "shard_bytes", "shard_fits"]),
+        (mixing.mix(docs), ["mix_size", "mix_source_size", "mix_target", "mix_copies"]),
+        (quality.score(docs, labels), ["quality_score", "quality_held_out", "quality_predicted"]),
+    ):
+        assert len(out.columns) == 3 + kept(added) + len(added) and out.count() == 2
+    assert mixing.mixed_rows(docs.drop("mix_size")).count() > 0
+
+
 def test_items_without_id_are_matched(spark, tmp_path):
     nameless, named = " ".join(f"n{i}" for i in range(12)), " ".join(f"q{i}" for i in range(9))
     spark.createDataFrame([(None, nameless), (7, named), (None, "too short"), (None, None)], "item_id long, text string").write.parquet(

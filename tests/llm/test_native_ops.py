@@ -97,8 +97,9 @@ def test_mixed_rows(odd):
     assert out.columns == odd.columns and out.count() == copies
 
 
-def bits(key):
-    return int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:15], 16)
+def bits(row):
+    text = hashlib.md5((row.text or "").encode()).hexdigest()
+    return int(hashlib.md5(f"{'' if row.doc_id is None else row.doc_id}:{text}".encode()).hexdigest()[:15], 16)
 
 
 def brute_shard(rows, limit):
@@ -109,12 +110,12 @@ def brute_shard(rows, limit):
         if not members:
             return
         if size <= limit or depth == sharding.BITS:
-            name = format(bits(members[0].doc_id) >> (sharding.BITS - depth), f"0{depth}b") if depth else "all"
+            name = format(bits(members[0]) >> (sharding.BITS - depth), f"0{depth}b") if depth else "all"
             for r in members:
                 out.setdefault((r.doc_id, r.text), []).append((name, depth, len(members), size, size <= limit))
             return
         for b in (0, 1):
-            split([r for r in members if bits(r.doc_id) >> (sharding.BITS - depth - 1) & 1 == b], depth + 1)
+            split([r for r in members if bits(r) >> (sharding.BITS - depth - 1) & 1 == b], depth + 1)
 
     split(rows, 0)
     return out
@@ -189,3 +190,9 @@ def test_query_against_sql(spark, name):
     assert sorted(df.columns) == sorted(columns)
     got = [tuple(r) for r in df.select(*columns).collect()]
     assert sorted(got, key=repr) == sorted(map(tuple, want), key=repr)
+
+
+def test_rows_without_id_are_parted_by_their_texts(spark):
+    rows = [(None if i % 2 else 7, f"{i:02d}" + "x" * 248) for i in range(80)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), limit=500).collect()
+    assert all(r.shard_fits and r.shard_bytes <= 500 for r in out) and len({r.shard for r in out}) >= 40
