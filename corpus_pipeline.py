@@ -22,7 +22,7 @@ USED = ("doc_id", "text", "source")  # columns that the operators read
 
 def _apart(docs: DataFrame) -> DataFrame:
     """``docs`` with all other columns under names that no operator uses."""
-    return docs.select(*[F.col(c).alias(c if c in USED else f"__column_{i}") for i, c in enumerate(docs.columns)])
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in USED else f"__column_{i}") for i, c in enumerate(docs.columns)])
 
 
 def _as(out: DataFrame, docs: DataFrame) -> DataFrame:
