@@ -26,4 +26,4 @@ from .screen import (
 )
 from .sites import blockgroup_site_counts, rank_fraction_desc, study_area, ust_union
 from .spatial import point_pairs, points_in_polygons, polygon_pairs, proximity_pairs
-from .stats import class_counts, label_counts, label_lists, label_percent, stage_counts, stage_counts_flagged, top_labels
+from .stats import StageCounts, class_counts, label_counts, label_lists, label_percent, stage_counts, stage_counts_flagged, top_labels

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -118,3 +118,28 @@ def label_lists(df: DataFrame, keys: Sequence[str] = ("wid",), col: str = "parla
         F.array_join(F.transform("_e", lambda e: F.concat(e["k"], F.lit(":"), e["v"].cast("string"))), ",").alias("labels"),
         F.size("_e").alias("n_labels"),
     )
+
+
+class StageCounts:
+    """Rows per stage, counted on the way while a job writes its result: no second read.
+
+    ``mark`` the table at each stage and use what it returns; after the job's action ``rows`` has the counts. A stage
+    whose table the plan reads twice is counted twice, so mark stages of a plan that reads them once.
+    """
+
+    def __init__(self) -> None:
+        self._stages: dict[str, Observation] = {}
+
+    def mark(self, df: DataFrame, stage: str, **metrics: Column) -> DataFrame:
+        """``df`` with its rows counted as ``stage``; ``metrics`` are further aggregates to take along."""
+        self._stages[stage] = Observation(stage)
+        return df.observe(
+            self._stages[stage], F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in metrics.items()]
+        )
+
+    def metrics(self) -> dict[str, dict]:
+        """What each stage counted, in the order of marking; waits for the action."""
+        return {stage: dict(o.get) for stage, o in self._stages.items()}
+
+    def rows(self) -> dict[str, int]:
+        return {stage: m["rows"] for stage, m in self.metrics().items()}

@@ -83,13 +83,19 @@ def load_dtw(spark: SparkSession, elevation_root: str) -> DataFrame:
 
 def clean_enrich_job(samples_raw: DataFrame, locations: DataFrame, mcl: DataFrame, units: DataFrame,
                      out: str | None = None, dedup_after: bool = False, since: str | None = None,
-                     labels: Sequence[str] | None = None) -> DataFrame:
-    """J1 + J2 (+ J3 when ``dedup_after``/``since``/``labels`` are given): clean, enrich, write by area."""
-    clean = op.clean_samples(op.restrict_to_listed(samples_raw, mcl), with_ids=False)
-    df = op.enrich_samples(clean, locations, mcl, units, dedup_after=dedup_after)
+                     labels: Sequence[str] | None = None, counts: op.StageCounts | None = None) -> DataFrame:
+    """J1 + J2 (+ J3 when ``dedup_after``/``since``/``labels`` are given): clean, enrich, write by area.
+
+    ``counts`` takes the rows of each stage along while the result is written (``raw, listed, clean, enriched,
+    result``)."""
+    mark = counts.mark if counts is not None else (lambda df, stage: df)
+    listed = mark(op.restrict_to_listed(mark(samples_raw, "raw"), mcl), "listed")
+    clean = mark(op.clean_samples(listed, with_ids=False), "clean")
+    df = mark(op.enrich_samples(clean, locations, mcl, units, dedup_after=dedup_after), "enriched")
     df = op.since_filter(df, since)
     if labels:
         df = op.contaminant_filter(df, labels)
+    df = mark(df, "result")
     return _out(df, out, "samples_enriched", by_area=True)
 
 

@@ -7,8 +7,12 @@ plain columns (projected metres) instead of shapefiles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .session import ensure_checkpoint_dir
 from .sources.shapes import wkb_from_rings
 
 
@@ -30,6 +34,31 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.save(path)
 
 
+def write_ordered(df: DataFrame, path: str, order_by: list[str], index: str | None = None, fmt: str = "parquet",
+                  mode: str = "overwrite", descending: bool = False) -> None:
+    """Write ``df`` in one global order over all its files, with a running number from 0 as ``index``.
+
+    Rows are range-partitioned and sorted, and files are named in the order of the ranges. For the index the ordered rows
+    are first written to the shared scratch folder with their place inside their range, so that ranges and places are
+    settled; the ranges' counts (one row per range) then give each its start. Rows that tie in ``order_by`` stand in any order.
+    """
+    spark = df.sparkSession
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in order_by]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    w = lambda d: d.write.mode(mode).format(fmt).options(**({"header": True} if fmt == "csv" else {})).save(path)
+    if index is None:
+        return w(placed)
+    scratch = f"{ensure_checkpoint_dir(spark).rstrip('/')}/groundwork-ordered/{uuid.uuid4().hex}"
+    placed = placed.withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(scratch)
+    at = spark.read.schema(placed.schema).parquet(scratch).withColumn("_range", F.shiftright("_at", 33))
+    ranges = at.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = ranges.select("_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = at.join(starts, "_range").select((F.col("_at") + F.col("_shift")).alias(index), *df.columns)
+    w(numbered.repartitionByRange(index).sortWithinPartitions(index))
+
+
 def write_by_area(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Per-area result files (K1): one directory per area value."""
     write_table(df, path, fmt, mode, partition_by="area")

@@ -12,10 +12,12 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package
+
 RINGS_TYPE = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 
 _POLYGON, _MULTIPOLYGON = 3, 6
@@ -92,11 +94,19 @@ def _rings_to_wkb(col: pd.Series) -> pd.Series:
     return col.map(lambda r: None if r is None else rings_to_wkb_py([[{"x": p["x"], "y": p["y"]} for p in ring] for ring in r]))
 
 
+def _shipped() -> None:
+    """The workers need this package, wherever the driver was started."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship_package(spark)
+
+
 def rings_from_wkb(c: str | Column) -> Column:
     """``rings`` column from a WKB binary column (Polygon / MultiPolygon)."""
+    _shipped()
     return _wkb_to_rings(F.col(c) if isinstance(c, str) else c)
 
 
 def wkb_from_rings(c: str | Column) -> Column:
     """WKB Polygon binary column from ``rings`` (for layers other tools read)."""
+    _shipped()
     return _rings_to_wkb(F.col(c) if isinstance(c, str) else c)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import ship_package
 from ..sources.ingest import LINES_SCHEMA, _unzip_batches
 
 # The binaryFile source's fixed schema (a streaming source must be given it).
@@ -66,6 +67,7 @@ def land_stream(
             .parquet(bronze_path)
         )
 
+    ship_package(spark)
     w = (
         new_files_stream(spark, landing_root, glob, max_files_per_trigger)
         .writeStream.foreachBatch(write_batch)

@@ -35,6 +35,7 @@ def main(argv: list[str] | None = None) -> dict:
 
     from pyspark.sql import SparkSession
 
+    from groundwork.operators import StageCounts
     from groundwork.plans import jobs
     from groundwork.session import apply_defaults, ensure_checkpoint_dir
     from groundwork.sources import lookups
@@ -47,8 +48,9 @@ def main(argv: list[str] | None = None) -> dict:
     samples = jobs.load_samples(spark, have["edf"], have["gama"])
     wells = jobs.load_locations(spark, have["edf_xy"], have["gama_xy"])
     mcl, units = lookups.read_mcl(spark, a.mcl), lookups.read_unit_conversion(spark, a.units)
-    enriched = jobs.clean_enrich_job(samples, wells, mcl, units, out=a.out)
-    summary = {"samples_enriched": enriched.count()}
+    counts = StageCounts()
+    enriched = jobs.clean_enrich_job(samples, wells, mcl, units, out=a.out, counts=counts)
+    summary = {"stages": counts.rows(), "samples_enriched": counts.rows()["result"]}  # counted while writing
     if a.elevation:
         joined, _ = jobs.dtw_job(enriched, jobs.load_dtw(spark, a.elevation), out=a.out)
         summary["samples_dtw"] = joined.count()
