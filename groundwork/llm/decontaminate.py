@@ -61,6 +61,19 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
+_held = np.ones((2, 1), dtype=np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base's inverse and of the base; kept for the next text."""
+    global _held
+    if _held.shape[1] < n:
+        steps = np.repeat(np.array([[_INVERSE], [_BASE]], dtype=np.uint64), 2 * n, axis=1)
+        steps[:, 0] = 1
+        _held = np.cumprod(steps, axis=1, dtype=np.uint64)
+    return _held[:, :n]
+
+
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     """Karp-Rabin hash of every window of ``width`` word numbers (modulo 2**64).
 
@@ -70,9 +83,7 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     n = len(ids) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    powers = np.repeat(np.array([[_INVERSE], [_BASE]], dtype=np.uint64), len(ids), axis=1)
-    powers[:, 0] = 1
-    down, up = np.cumprod(powers, axis=1, dtype=np.uint64)
+    down, up = _powers(len(ids))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids * down, dtype=np.uint64)])
     return (sums[width:] - sums[:-width]) * up[width - 1 :]
 
