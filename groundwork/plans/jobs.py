@@ -39,6 +39,11 @@ def _out(df: DataFrame, out: str | None, name: str, by_area: bool = False) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _landed(spark: SparkSession, root: str, glob: str = "*.zip", areas: Sequence[str] | None = None) -> DataFrame:
+    """Records of the undamaged archives under a folder: of an archive with a damaged member nothing gets in."""
+    return zips.whole_archives(zips.land_records(spark, root, glob, areas))
+
+
 # --- loaders ---------------------------------------------------------------------------------------
 
 
@@ -47,10 +52,10 @@ def load_samples(spark: SparkSession, edf_root: str | None, gama_root: str | Non
     """All lab results of both providers under the two landing folders (A2–A5, H1, H2)."""
     parts = []
     if edf_root:
-        lines = zips.land_records(spark, edf_root, areas=areas)
+        lines = _landed(spark, edf_root, areas=areas)
         parts.append(providers.edf_samples(ingest.parse_delimited(lines, providers.EDF_SAMPLE_COLS), areas))
     if gama_root:
-        lines = zips.land_records(spark, gama_root, areas=areas)
+        lines = _landed(spark, gama_root, areas=areas)
         parts.append(providers.gama_samples(ingest.parse_delimited(lines, providers.GAMA_SAMPLE_COLS), areas))
     return op.union_all(*parts)
 
@@ -63,18 +68,18 @@ def load_locations(spark: SparkSession, edf_xy_root: str | None, gama_xy_root: s
     provider has one file for all."""
     parts = []
     if edf_xy_root:
-        lines = zips.land_records(spark, edf_xy_root, areas=areas)
+        lines = _landed(spark, edf_xy_root, areas=areas)
         parts.append(providers.edf_locations(ingest.parse_delimited(lines, providers.EDF_LOCATION_COLS)))
     if gama_xy_root:
-        lines = zips.land_records(spark, gama_xy_root)
+        lines = _landed(spark, gama_xy_root)
         parts.append(providers.gama_locations(ingest.parse_delimited(lines, providers.GAMA_LOCATION_COLS)))
     return op.dedup_locations(op.union_all(*parts), normalize_wid=normalize_wid)
 
 
 def load_dtw(spark: SparkSession, elevation_root: str) -> DataFrame:
     """Depth-to-water readings of both providers from one folder (``*Geo*.zip`` / ``*gama*.zip``)."""
-    geo = ingest.parse_delimited(zips.land_records(spark, elevation_root, "*Geo*.zip"), providers.EDF_DTW_COLS)
-    gama = ingest.parse_delimited(zips.land_records(spark, elevation_root, "*gama*.zip"), providers.GAMA_DTW_COLS)
+    geo = ingest.parse_delimited(_landed(spark, elevation_root, "*Geo*.zip"), providers.EDF_DTW_COLS)
+    gama = ingest.parse_delimited(_landed(spark, elevation_root, "*gama*.zip"), providers.GAMA_DTW_COLS)
     return op.dtw_union(providers.edf_dtw(geo), providers.gama_dtw(gama))
 
 
