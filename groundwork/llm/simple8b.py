@@ -34,7 +34,8 @@ def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     for s, (count, mark) in enumerate(zip(COUNTS.tolist(), _MARKS.tolist(), strict=True)):
         if mark < 1 << 32:
             escaped = square >= mark
-            if escaped.sum() > _RARE * n:
+            rare = int(np.count_nonzero(escaped))
+            if rare > _RARE * n:
                 continue
             np.cumsum(escaped, axis=1, out=before[:, 1 : block + 1])
             before[:, block + 1 :] = before[:, block : block + 1]
@@ -48,6 +49,8 @@ def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
         less = cost < best
         np.copyto(best, cost, where=less)
         np.copyto(choice, np.int8(s), where=less)
+        if mark >= 1 << 32 or not rare:  # wider slots hold fewer ids at the same cost a word
+            break
     choice = choice.ravel()[:n]
     return choice, np.minimum(COUNTS[choice], left.ravel()[:n])
 

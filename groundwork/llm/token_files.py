@@ -209,44 +209,48 @@ def write_token_files(
     ).text(path)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
-            for r in records(content.as_py()):
-                ids = r.ids().astype("<u4")
-                ends = r.ends.tolist()
-                starts = [0, *ends[:-1]]
-                n = len(ends)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r.shard] * n, pa.int64()),
-                        pa.array([r.number] * n, pa.int64()),
+def _documents(with_ids: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                for r in records(content.as_py()):
+                    raw = memoryview(r.ids().astype("<u4", copy=False)).cast("B")
+                    ends = (4 * r.ends).tolist()
+                    parts = [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+                    n_tokens = np.diff(r.ends, prepend=0)
+                    columns = [
+                        pa.array([r.shard] * len(ends), pa.int64()),
+                        pa.array([r.number] * len(ends), pa.int64()),
                         pa.array(r.doc_ids, pa.int64(), mask=~r.present),
-                        pa.array(starts, pa.int64()),
-                        pa.array(np.diff(r.ends, prepend=0), pa.int64()),
-                        pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)], pa.int64()),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    ],
-                    ["shard", "number", "id", "at", "n_tokens", "ids_crc32", "ids"],
-                )
+                        pa.array(r.ends - n_tokens, pa.int64()),
+                        pa.array(n_tokens, pa.int64()),
+                        pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                    ]
+                    if with_ids:
+                        columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, _COLUMNS[: len(columns)])
+
+    return run
 
 
-_READ = "shard long, number long, id long, at long, n_tokens long, ids_crc32 long, ids binary"
+_COLUMNS = ["shard", "number", "id", "at", "n_tokens", "ids_crc32", "ids"]
+_READ = "shard long, number long, id long, at long, n_tokens long, ids_crc32 long"
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """One row per document of the files: ``shard, number, id, at, n_tokens, ids_crc32, ids``.
 
     ``shard, number`` are its record, ``at`` is its place there, ``ids`` are 32-bit little-endian numbers
-    and ``ids_crc32`` is their unsigned CRC. A damaged record raises an error.
+    and ``ids_crc32`` is their unsigned CRC; without ``with_ids`` that last column is left out. All ids are
+    decoded either way. A damaged record raises an error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return in_arrow(files, _documents, _READ)
+    return in_arrow(files, _documents(with_ids), _READ + ", ids binary" * with_ids)
 
 
 def token_table(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """``id_col, start, n_tokens, ids_crc32`` of every document in the files; ``start`` counts all ids before it."""
-    read = shared_table(read_documents(spark, path).drop("ids"), "token-table")
+    read = shared_table(read_documents(spark, path, with_ids=False), "token-table")
     totals = read.groupBy("shard", "number").agg(F.sum("n_tokens").alias("n"))
     before = Window.unboundedPreceding
     along = Window.partitionBy("shard").orderBy("number").rowsBetween(before, -1)
