@@ -17,8 +17,12 @@ what follows a join groups by (polygon, point), never by the join's own cell key
 of its own. ``salt`` can also spread the point side of every cell over more tasks (the block side is
 replicated per salt).
 
-Reductions over a candidate's polygon edges are keyed by a row number given to each point before the
-join (``_rid``), not by the caller's id: points that repeat an id, or have none, are counted one by one.
+Polygons come with the cells they cover (``coverage``): a point in an inside cell needs no edge, and cells that
+a polygon's box holds but the polygon does not reach are not joined at all.
+
+Reductions over a candidate's polygon edges are keyed by the point's whole content. Equal points meet an edge as
+often as they occur, so that number is found along the way (``_n``) and the result is repeated: points that repeat
+an id, or have none, are counted one by one, and a retried task finds the same keys again. ``geoid`` is unique.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import edge_crossing, edge_distance, rings_bbox, rings_edges
 from ..params import PROXIMITY_RADIUS_M
+from .coverage import coverage_cells, polygon_coverage
 
 
 def _cell_range(lo: Column, hi: Column, cell: float) -> Column:
@@ -59,8 +64,14 @@ def _points_side(wells: DataFrame, well_cols: Sequence[str], id_col: str) -> Dat
     )
 
 
-def _numbered(points: DataFrame) -> DataFrame:
-    return points.withColumn("_rid", F.monotonically_increasing_id())
+_RUN = 4096
+
+
+def _repeated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every row ``_n`` times; in runs, so that no long array is made."""
+    runs = df.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / _RUN))))
+    length = F.least(F.lit(_RUN).cast("bigint"), F.col("_n") - F.col("_run") * _RUN)
+    return runs.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), length))).select(*columns)
 
 
 def point_pairs(
@@ -91,24 +102,27 @@ def point_pairs(
     return j.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
 
 
-def _polygon_side(polygons: DataFrame, grow: float, cell: float, salt: int) -> DataFrame:
-    """Polygons with bbox and edge list, exploded to every grid cell of the bbox grown by ``grow``."""
-    minx, miny, maxx, maxy = rings_bbox("rings")
-    b = polygons.select(
-        "geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"),
-        rings_edges("rings").alias("_edges"),
-    )
-    g = F.lit(float(grow))
-    return _explode_cells(b, F.col("_minx") - g, F.col("_miny") - g, F.col("_maxx") + g, F.col("_maxy") + g, cell, salt)
+def _salted(cells: DataFrame, salt: int) -> DataFrame:
+    return cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))) if salt > 1 else cells
 
 
 def _edge_rows(j: DataFrame) -> DataFrame:
     """One row per (candidate pair, polygon edge): crossing flag and distance, plain codegen arithmetic."""
-    e = j.withColumn("_e", F.explode("_edges")).drop("_edges")
+    e = j.withColumn("_m", F.size("_edges")).withColumn("_e", F.explode("_edges")).drop("_edges")
     args = (F.col("_e.ax"), F.col("_e.ay"), F.col("_e.bx"), F.col("_e.by"), F.col("_px"), F.col("_py"))
     return e.withColumn("_cross", edge_crossing(*args)).withColumn("_d", edge_distance(*args)).drop("_e")
 
 
+def _by_pair(edge_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (polygon, point content): copies of the point ``_n``, edges crossed by one of them, least distance."""
+    g = edge_rows.groupBy(*keys).agg(
+        F.bool_or("_in").alias("_in"), F.sum("_cross").alias("_cross"), F.min("_d").alias("_d"),
+        F.count(F.lit(1)).alias("_rows"), F.max("_m").alias("_m"),
+    )
+    g = g.withColumn("_n", F.call_function("div", "_rows", F.col("_m").cast("bigint")))
+    return g.withColumn("_cross", F.call_function("div", "_cross", "_n")).drop("_rows", "_m")
+
+
 def polygon_pairs(
     blocks: DataFrame,
     wells: DataFrame,
@@ -153,70 +167,74 @@ def polygon_pairs(
 
 def _polygon_pairs_by_pair(blocks, wells, radius, cell, salt, well_cols, id_col) -> DataFrame:
     r = F.lit(float(radius))
-    b = _polygon_side(blocks, radius, cell, salt)
-    w = _point_cells(_numbered(_points_side(wells, well_cols, id_col)), "_px", "_py", cell, salt, id_col)
+    b = _salted(coverage_cells(blocks, cell, float(radius)), salt)
+    w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
     keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
     j = b.hint("merge").join(w, keys)
     bx = F.greatest(F.col("_minx") - F.col("_px"), F.lit(0.0), F.col("_px") - F.col("_maxx"))
     by = F.greatest(F.col("_miny") - F.col("_py"), F.lit(0.0), F.col("_py") - F.col("_maxy"))
     j = j.filter(bx * bx + by * by <= r * r)
     extra = [c for c in well_cols if c not in (id_col, "x_m", "y_m")]
-    e = _edge_rows(j)
-    g = e.groupBy("geoid", "_rid", "_px", "_py", id_col, *extra).agg(
-        F.sum("_cross").alias("_cross"), F.min("_d").alias("_d")
-    )
-    g = g.withColumn("dist", F.when(F.col("_cross") % 2 == 1, F.lit(0.0)).otherwise(F.col("_d")))
-    g = g.filter(F.col("dist") <= r)
-    return g.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
+    g = _by_pair(_edge_rows(j), ["geoid", "_px", "_py", id_col, *extra])
+    g = g.withColumn("dist", F.when(F.col("_in") | (F.col("_cross") % 2 == 1), F.lit(0.0)).otherwise(F.col("_d")))
+    return _repeated(g.filter(F.col("dist") <= r), ["geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist"])
 
 
 def _edges_table(blocks: DataFrame) -> DataFrame:
-    """One row per polygon edge: ``geoid, ax, ay, bx, by`` plus the polygon's bounding box."""
-    minx, miny, maxx, maxy = rings_bbox("rings")
-    b = blocks.select(
-        "geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"),
-        F.explode(rings_edges("rings")).alias("_e"),
-    )
-    return b.select("geoid", "_minx", "_miny", "_maxx", "_maxy", *[F.col(f"_e.{c}").alias(c) for c in ("ax", "ay", "bx", "by")])
+    """One row per polygon edge: ``geoid, _ei`` (its number), ``ax, ay, bx, by``."""
+    b = blocks.select("geoid", F.posexplode(rings_edges("rings")).alias("_ei", "_e"))
+    return b.select("geoid", "_ei", *[F.col(f"_e.{c}").alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 def _polygon_pairs_by_edge(blocks, wells, radius, cell, salt, well_cols, id_col) -> DataFrame:
     r = F.lit(float(radius))
     extra = [c for c in well_cols if c not in (id_col, "x_m", "y_m")]
     edges = _edges_table(blocks)
-    w = _point_cells(_numbered(_points_side(wells, well_cols, id_col)), "_px", "_py", cell, salt, id_col)
+    w = _point_cells(_points_side(wells, well_cols, id_col), "_px", "_py", cell, salt, id_col)
     keys = ["cx", "cy"] + (["salt"] if salt > 1 else [])
     args = (F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("_px"), F.col("_py"))
 
     # distance: edges gridded over their own box grown by the radius
     ge = _explode_cells(
-        edges.select("geoid", "ax", "ay", "bx", "by"),
+        edges,
         F.least("ax", "bx") - r, F.least("ay", "by") - r, F.greatest("ax", "bx") + r, F.greatest("ay", "by") + r,
         cell, salt,
     )
     near = ge.hint("merge").join(w, keys).withColumn("_d", edge_distance(*args)).filter(F.col("_d") <= r)
-    point = ["_rid", "_px", "_py", id_col, *extra]
-    near = near.select("geoid", *point, F.col("_d").alias("dist"))
-
-    # inside: wells inside the block's box, ray-cast against the edges of the well's horizontal band
-    minx, miny, maxx, maxy = rings_bbox("rings")
-    boxes = blocks.select("geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"))
-    bc = _explode_cells(boxes, F.col("_minx"), F.col("_miny"), F.col("_maxx"), F.col("_maxy"), cell, salt)
-    inbox = bc.hint("merge").join(w, keys).filter(
-        (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
-        & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
-    ).select("geoid", *point, F.floor(F.col("_py") / F.lit(cell)).alias("_band"))
+    point = ["_px", "_py", id_col, *extra]
+    none = F.lit(0).alias("_cross")
+    near = near.select("geoid", *point, F.lit("near").alias("_kind"), "_ei", F.col("_d").alias("dist"), none)
+
+    # inside: wells of inside cells; those of boundary cells ray-cast against the edges of their horizontal band
+    cover = polygon_coverage(blocks, cell).drop("_edges")
+    cells = cover.select("geoid", F.explode("_inside").alias("_c"), F.lit(True).alias("_in")).unionByName(
+        cover.select("geoid", F.explode("_near").alias("_c"), F.lit(False).alias("_in"))
+    )
+    cells = _salted(cells.select("geoid", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"), "_in"), salt)
+    met = cells.hint("merge").join(w, keys)
+    within = met.filter(F.col("_in")).select(
+        "geoid", *point, F.lit("within").alias("_kind"), F.lit(-1).alias("_ei"), F.lit(0.0).alias("dist"), none
+    )
+    inbox = met.filter(~F.col("_in")).select("geoid", *point, F.floor(F.col("_py") / F.lit(cell)).alias("_band"))
     banded = edges.select(
-        "geoid", "ax", "ay", "bx", "by",
+        "*",
         F.explode(F.sequence(F.floor(F.least("ay", "by") / F.lit(cell)), F.floor(F.greatest("ay", "by") / F.lit(cell)))).alias("_band"),
     )
-    crossings = inbox.join(banded, ["geoid", "_band"]).withColumn("_cross", edge_crossing(*args))
-    inside = crossings.groupBy("geoid", *point).agg(F.sum("_cross").alias("_cross"))
-    inside = inside.filter(F.col("_cross") % 2 == 1).select("geoid", *point, F.lit(0.0).alias("dist"))
+    crossings = inbox.join(banded, ["geoid", "_band"]).select(
+        "geoid", *point, F.lit("band").alias("_kind"), "_ei", F.lit(None).cast("double").alias("dist"), edge_crossing(*args).alias("_cross")
+    )
 
-    both = near.unionByName(inside)
-    out = both.groupBy("geoid", *point).agg(F.min("dist").alias("dist"))
-    return out.select("geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist")
+    # an edge meets every copy of a point once in each part, so copies are counted by edge and merged
+    rows = near.unionByName(within).unionByName(crossings)
+    by_edge = rows.groupBy("geoid", *point, "_kind", "_ei").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("dist").alias("dist"), F.max("_cross").alias("_cross")
+    )
+    out = by_edge.groupBy("geoid", *point).agg(
+        F.max("_n").alias("_n"), F.min("dist").alias("dist"), F.sum("_cross").alias("_cross")
+    )
+    out = out.withColumn("dist", F.when(F.col("_cross") % 2 == 1, F.lit(0.0)).otherwise(F.col("dist")))
+    out = out.filter(F.col("dist").isNotNull())
+    return _repeated(out, ["geoid", *[c for c in well_cols if c not in ("x_m", "y_m")], "dist"])
 
 
 def points_in_polygons(
@@ -226,24 +244,20 @@ def points_in_polygons(
     cell: float = 1000.0,
     point_cols: Sequence[str] = (),
 ) -> DataFrame:
-    """Pairs (polygon, point) where the point lies inside the polygon (D15): bbox cells equi-join, bbox
-    test, then the even-odd ray cast as exploded edge rows summed per (polygon, point row). Points that
-    repeat an id, or have none, give one row each. Columns: ``geoid, <id_col>, <point_cols>``."""
+    """Pairs (polygon, point) where the point lies inside the polygon (D15): equi-join on covered cells; points of
+    inside cells are done, those of boundary cells take the even-odd ray cast as exploded edge rows summed per
+    (polygon, point). Points that repeat an id, or have none, give one row each.
+    Columns: ``geoid, <id_col>, <point_cols>``."""
     cell = float(cell)
-    b = _polygon_side(polygons, 0.0, cell, 1)
     extra = [c for c in point_cols if c not in (id_col, "x_m", "y_m")]
-    p = points.filter(F.col("x_m").isNotNull() & F.col("y_m").isNotNull()).select(
-        id_col, F.col("x_m").alias("_px"), F.col("y_m").alias("_py"), *extra
-    )
-    p = _point_cells(_numbered(p), "_px", "_py", cell, 1, id_col)
-    j = b.hint("merge").join(p, ["cx", "cy"])
+    p = _point_cells(_points_side(points, (id_col, *extra), id_col), "_px", "_py", cell, 1, id_col)
+    j = coverage_cells(polygons, cell).hint("merge").join(p, ["cx", "cy"])
     inside_box = (
         (F.col("_px") >= F.col("_minx")) & (F.col("_px") <= F.col("_maxx"))
         & (F.col("_py") >= F.col("_miny")) & (F.col("_py") <= F.col("_maxy"))
     )
-    e = _edge_rows(j.filter(inside_box))
-    g = e.groupBy("geoid", "_rid", "_px", "_py", id_col, *extra).agg(F.sum("_cross").alias("_cross"))
-    return g.filter(F.col("_cross") % 2 == 1).select("geoid", id_col, *extra)
+    g = _by_pair(_edge_rows(j.filter(inside_box)), ["geoid", "_px", "_py", id_col, *extra])
+    return _repeated(g.filter(F.col("_in") | (F.col("_cross") % 2 == 1)), ["geoid", id_col, *extra])
 
 
 def proximity_pairs(
