@@ -15,6 +15,7 @@ from .enrich import (
 )
 from .pivot import wqi_pivot
 from .score import block_score, project_utm, weighted_pairs, well_magnitude, wells_with_mag
+from .ranks import percent_rank_by_ranges
 from .screen import (
     contaminant_filter,
     detects,

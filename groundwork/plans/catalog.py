@@ -433,6 +433,12 @@ def q_study_area(spark, d):
     return s.select("geoid", "sites", r6("pct_rank").alias("pct_rank"), r6("water_table_depth_m").alias("water_table_depth_m"))
 
 
+def q_value_rank(spark, d):
+    """Percent rank of every raw result by its value, largest first."""
+    r = op.percent_rank_by_ranges(_raw(spark, d).select("wid", "logdate", "parlabel", "parval"), "parval")
+    return r.select("wid", "logdate", "parlabel", r6("parval").alias("parval"), r6("pct_rank").alias("pct_rank"))
+
+
 def q_source_manifest(spark, d):
     """Expected provider files per area present in the samples."""
     areas = _raw(spark, d).select("area").distinct()

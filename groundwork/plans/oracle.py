@@ -325,6 +325,11 @@ def oracle_sql() -> dict[str, str]:
             " || ' ' || coalesce(parlabel, 'nan') AS sid FROM clean",
             "clean",
         ),
+        "value_rank": sql(
+            "SELECT wid, logdate, parlabel, round_even(parval, 6) AS parval, "
+            "round_even(percent_rank() OVER (ORDER BY parval DESC NULLS LAST), 6) AS pct_rank FROM raw",
+            "raw",
+        ),
         "load_detects": sql(f"SELECT {SAMPLE_COLS} FROM det", "det"),
         "head_per_group": sql(
             f"SELECT {SAMPLE_COLS} FROM (SELECT *, row_number() OVER (PARTITION BY wid, logdate ORDER BY source_rank, "
