@@ -11,7 +11,8 @@ away than asked for, so it never meets the polygon. Only boundary cells carry th
   as a whole.
 
 Pieces are grown by a small part of a cell against rounding, which only moves cells to the boundary list. A
-polygon with a ring that is not closed has no even cuts: all cells of its grown box are boundary cells.
+polygon with a ring that is not closed has no even cuts, and one no larger than a cell holds none: all cells of
+their grown boxes are boundary cells.
 """
 
 from __future__ import annotations
@@ -88,7 +89,9 @@ def polygon_coverage(polygons: DataFrame, cell: float, grow: float = 0.0) -> Dat
         "geoid", minx.alias("_minx"), miny.alias("_miny"), maxx.alias("_maxx"), maxy.alias("_maxy"),
         rings_edges("rings").alias("_edges"),
     ).filter(F.col("_minx").isNotNull())
-    p = p.withColumn("_cuts", F.array_sort(F.flatten(F.transform("_edges", lambda e: _row_cuts(e, cell)))))
+    small = (F.col("_maxx") - F.col("_minx") <= F.lit(cell)) & (F.col("_maxy") - F.col("_miny") <= F.lit(cell))
+    cuts = F.array_sort(F.flatten(F.transform("_edges", lambda e: _row_cuts(e, cell))))
+    p = p.withColumn("_cuts", F.when(~small, cuts).otherwise(F.array().cast("array<struct<cy:bigint,x:double>>")))
     pairs = F.transform("_cuts", lambda a, i: F.when(i % 2 == 0, F.struct(a.alias("a"), F.get("_cuts", i + 1).alias("b"))))
     p = p.withColumn("_spans", F.filter(pairs, lambda s: s.isNotNull()))
     p = p.withColumn("_open", F.exists("_spans", lambda s: ~s["a"]["cy"].eqNullSafe(s["b"]["cy"])))
@@ -100,7 +103,8 @@ def polygon_coverage(polygons: DataFrame, cell: float, grow: float = 0.0) -> Dat
 
     touched = F.flatten(F.transform("_edges", lambda e: _edge_cells(e, cell, 0.0)))
     spanned = F.array_except(F.flatten(F.transform("_spans", span_cells)), touched)
-    p = p.withColumn("_inside", F.when(F.col("_open"), F.array().cast(_CELLS)).otherwise(spanned))
+    p = p.withColumn("_boxed", small | F.col("_open"))
+    p = p.withColumn("_inside", F.when(F.col("_boxed"), F.array().cast(_CELLS)).otherwise(spanned))
     near = F.flatten(F.transform("_edges", lambda e: _edge_cells(e, cell, float(grow))))
     box = F.flatten(
         F.transform(
@@ -110,8 +114,8 @@ def polygon_coverage(polygons: DataFrame, cell: float, grow: float = 0.0) -> Dat
             ),
         )
     )
-    near = F.when(F.col("_open"), box).otherwise(F.array_except(near, F.col("_inside")))
-    return p.withColumn("_near", near).drop("_cuts", "_spans", "_open")
+    near = F.when(F.col("_boxed"), box).otherwise(F.array_except(near, F.col("_inside")))
+    return p.withColumn("_near", near).drop("_cuts", "_spans", "_open", "_boxed")
 
 
 def coverage_cells(polygons: DataFrame, cell: float, grow: float = 0.0) -> DataFrame:
