@@ -13,6 +13,7 @@ from .enrich import (
     restrict_to_listed,
     zscore_outliers,
 )
+from .levelwise import frequent_combos, label_sets
 from .pivot import wqi_pivot
 from .score import block_score, project_utm, weighted_pairs, well_magnitude, wells_with_mag
 from .ranks import percent_rank_by_ranges

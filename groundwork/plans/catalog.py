@@ -25,6 +25,8 @@ SINCE = "1996-01-01"
 SCORE_LIMITS = [(lab, 10.0 + 3.0 * i) for i, lab in enumerate(CONTS11)]  # one limit per label
 VISIT_LABELS = ["BZ", "BZME", "EBZ"]
 VISIT_COMBO_SIZE = 3
+FREQUENT_MIN_WELLS = 5
+FREQUENT_MIN_COUNT = 8  # rows of a label; few wells have as many, so supports fall off by level
 COMBO_SIZES = list(range(4, 12))
 RELAXED_MIN_COUNT = 3
 DTW_MIN_COUNT = 2
@@ -287,6 +289,13 @@ def q_combo_groups(spark, d):
     return op.combo_groups(_combos(spark, d))
 
 
+def q_frequent_combos(spark, d):
+    """E13/D12 level by level: combinations of any number of the listed labels that enough wells hold, no list of combinations made."""
+    df = op.since_filter(_enriched(spark, d, located=False), SINCE)
+    found = op.frequent_combos(op.label_sets(df, min_count=FREQUENT_MIN_COUNT), FREQUENT_MIN_WELLS)
+    return found.select("contaminants", F.col("units").alias("wells"), "samples", "c_num")
+
+
 def q_label_counts(spark, d):
     """Rows per label among the eleven labels."""
     return op.label_counts(op.contaminant_filter(_clean(spark, d), CONTS11))

@@ -422,6 +422,17 @@ FROM (SELECT count(*) AS samples, count(d.dtw) AS samples_dtw, count(DISTINCT s.
             "FROM combo_stats GROUP BY c_num",
             "combo_stats",
         ),
+        "frequent_combos": sql(
+            f"""
+SELECT '[' || (SELECT string_agg('''' || name || '''', ', ' ORDER BY name) FROM labels WHERE (c.i >> idx) & 1 = 1) || ']' AS contaminants,
+       CAST(count(*) AS BIGINT) AS wells, CAST(sum(w.tot) AS BIGINT) AS samples, CAST(bit_count(c.i) AS BIGINT) AS c_num
+FROM range(1, {1 << len(CONTS11)}) c(i)
+JOIN (SELECT wid, sum(CASE WHEN n >= {cat.FREQUENT_MIN_COUNT} THEN (CAST(1 AS BIGINT) << idx) ELSE 0 END) AS mask, sum(n) AS tot
+      FROM (SELECT wid, parlabel, count(*) AS n FROM enriched WHERE logdate >= {SINCE} GROUP BY wid, parlabel) wl
+      JOIN labels ON wl.parlabel = labels.name GROUP BY wid) w ON (w.mask & c.i) = c.i
+GROUP BY c.i HAVING count(*) >= {cat.FREQUENT_MIN_WELLS}""",
+            "enriched", "labels",
+        ),
         "label_counts": sql(f"SELECT parlabel, count(*) AS n FROM clean WHERE parlabel IN {_in(CONTS11)} GROUP BY parlabel", "clean"),
         "label_percent": sql(
             "SELECT parlabel, n, round_even(CAST(n AS DOUBLE) * 100.0 / sum(n) OVER (), 4) AS percent "
