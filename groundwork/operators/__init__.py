@@ -1,5 +1,6 @@
 """DataFrame -> DataFrame operators (usable with ``df.transform``)."""
 
+from .adaptive import adaptive_point_pairs
 from .clean import clean_samples, dedup_locations, flag_first, head_per_group, keep_first, require, union_all
 from .combos import by_wells, combinations_table, combo_groups, combo_max, combo_stats, visit_combo_best, visit_combo_support
 from .depth import all_dtw, attach_dtw, dtw_coverage, dtw_union

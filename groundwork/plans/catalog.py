@@ -25,6 +25,7 @@ SINCE = "1996-01-01"
 SCORE_LIMITS = [(lab, 10.0 + 3.0 * i) for i, lab in enumerate(CONTS11)]  # one limit per label
 VISIT_LABELS = ["BZ", "BZME", "EBZ"]
 VISIT_COMBO_SIZE = 3
+ADAPTIVE_LIMIT_TEST = 8  # rows of an uncut cell, so that the test tables' cells are cut
 FREQUENT_MIN_WELLS = 5
 FREQUENT_MIN_COUNT = 8  # rows of a label; few wells have as many, so supports fall off by level
 COMBO_SIZES = list(range(4, 12))
@@ -386,6 +387,12 @@ def q_proximity_pairs(spark, d):
     return op.point_pairs(td.block_points(spark, d), _locations(spark, d)).select("geoid", "wid", r6("dist").alias("dist"))
 
 
+def q_proximity_pairs_adaptive(spark, d):
+    """D11 on cells that follow the data: the same pairs, dense cells cut."""
+    p = op.adaptive_point_pairs(td.block_points(spark, d), _locations(spark, d), limit=ADAPTIVE_LIMIT_TEST)
+    return p.select("geoid", "wid", r6("dist").alias("dist"))
+
+
 def q_proximity_weight(spark, d):
     """Distance-band weight of every (block, well) pair."""
     p = op.point_pairs(td.block_points(spark, d), _locations(spark, d))

@@ -468,6 +468,10 @@ GROUP BY c.i HAVING count(*) >= {cat.FREQUENT_MIN_WELLS}""",
             f"SELECT b.geoid, w.wid, round_even({DIST_PT}, 6) AS dist FROM blocks_pts b, locations w WHERE {DIST_PT} <= 1000",
             "blocks_pts", "locations",
         ),
+        "proximity_pairs_adaptive": sql(
+            f"SELECT b.geoid, w.wid, round_even({DIST_PT}, 6) AS dist FROM blocks_pts b, locations w WHERE {DIST_PT} <= 1000",
+            "blocks_pts", "locations",
+        ),
         "proximity_weight": sql(
             f"SELECT geoid, wid, {WEIGHT} AS weight FROM (SELECT b.geoid, w.wid, {DIST_PT} AS dist "
             f"FROM blocks_pts b, locations w WHERE {DIST_PT} <= 1000)",
