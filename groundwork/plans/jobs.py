@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import operators as op
 from .. import sinks
-from ..params import AREAS6, CONTS11, DEFAULT_SINCE, MIN_COUNT, MONITORING_CLASSES, PROXIMITY_RADIUS_M, UTM_ZONE
+from ..params import AREAS6, CONTS11, DEFAULT_SINCE, MIN_COUNT, MONITORING_CLASSES, PROXIMITY_RADIUS_M, UTM_ZONE, WQI_COLUMNS
 from ..sources import ingest, providers, zips
 
 
@@ -145,6 +145,28 @@ def combo_job(samples: DataFrame, labels: Sequence[str] = CONTS11, sizes: Sequen
     }
 
 
+def frequent_combo_job(samples: DataFrame, min_wells: int, labels: Sequence[str] | None = None, sizes: Sequence[int] | None = None,
+                       since: str = DEFAULT_SINCE, classes: Sequence[str] | None = MONITORING_CLASSES,
+                       min_count: int = MIN_COUNT, by_area: bool = True, out: str | None = None) -> DataFrame:
+    """J8 without a list of combinations: those of any number of labels that ``min_wells`` wells (of an area) hold."""
+    f = op.since_filter(samples, since)
+    if classes:
+        f = op.monitoring_wells(f, classes)
+    g = ["area"] if by_area and "area" in f.columns else []
+    if g:
+        f = f.filter(f["area"].isNotNull())
+    found = op.frequent_combos(op.label_sets(f, ["wid"], labels, min_count, g), min_wells, sizes, g)
+    return _out(found, out, "frequent_combos")
+
+
+def pivot_job(samples_raw: DataFrame, locations: DataFrame, mcl: DataFrame, units: DataFrame,
+              columns: Sequence[str] = WQI_COLUMNS, date_grain: str | None = None, out: str | None = None) -> DataFrame:
+    """Complete (station, date) rows of mean converted values, one column per label and limit unit."""
+    clean = op.clean_samples(op.restrict_to_listed(samples_raw, mcl), with_ids=False)
+    converted = op.enrich_samples(clean, locations, mcl, units, keep_units=True)
+    return _out(op.wqi_pivot(converted, columns, date_grain), out, "wqi_pivot")
+
+
 def score_job(samples_raw: DataFrame, locations: DataFrame, blocks: DataFrame, mcl: DataFrame,
               since: str = DEFAULT_SINCE, method: str = "gmean", geometry: str = "polygon",
               radius: float = PROXIMITY_RADIUS_M, zone: int = UTM_ZONE, zscore: float | None = None,

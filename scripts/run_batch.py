@@ -1,10 +1,16 @@
 """Run the county batch end to end: landed provider zips → enriched samples → screens → combinations.
 
     python scripts/run_batch.py --landing DIR --mcl mcl.csv --units units.csv --out DIR
-        [--since 2012-01-01] [--elevation DIR]
+        [--since 2012-01-01] [--elevation DIR] [--frequent WELLS] [--pivot [COLUMN ...]] [--pivot-grain year]
+        [--blocks PARQUET [--degrees]] [--blockgroups PARQUET --tanks PARQUET [PARQUET ...] --cleanups PARQUET]
 
 Expected layout under --landing: edf/ gama/ edf_xy/ gama_xy/ (zips, any depth). Every output is a
-Parquet table under --out (samples partitioned by area).
+Parquet table under --out (samples partitioned by area). Steps after the combinations run where their inputs are named:
+
+* ``--frequent``: combinations of all labels that so many wells of an area hold;
+* ``--pivot``: water-quality pivot (the default columns, or those named, like ``BZ_UG/L``);
+* ``--blocks`` (``geoid`` and ``rings`` or ``x_m, y_m``; ``--degrees``: rings in longitude and latitude): block scores;
+* ``--blockgroups``, ``--tanks`` (one table per provider, the first preferred), ``--cleanups``: study area.
 """
 
 from __future__ import annotations
@@ -31,11 +37,23 @@ def main(argv: list[str] | None = None) -> dict:
     ap.add_argument("--out", required=True)
     ap.add_argument("--since", default="2012-01-01")
     ap.add_argument("--elevation", default=None)
+    ap.add_argument("--frequent", type=int, default=None)
+    ap.add_argument("--pivot", nargs="*", default=None)
+    ap.add_argument("--pivot-grain", default=None)
+    ap.add_argument("--blocks", default=None)
+    ap.add_argument("--degrees", action="store_true")
+    ap.add_argument("--blockgroups", default=None)
+    ap.add_argument("--tanks", nargs="+", default=None)
+    ap.add_argument("--cleanups", default=None)
     a = ap.parse_args(argv)
+    study = (a.blockgroups, a.tanks, a.cleanups)
+    if any(study) and not all(study):
+        ap.error("--blockgroups, --tanks and --cleanups belong together")
 
     from pyspark.sql import SparkSession
 
     from groundwork.operators import StageCounts
+    from groundwork.params import WQI_COLUMNS
     from groundwork.plans import jobs
     from groundwork.session import apply_defaults, ensure_checkpoint_dir
     from groundwork.sources import lookups
@@ -56,6 +74,21 @@ def main(argv: list[str] | None = None) -> dict:
         summary["samples_dtw"] = joined.count()
     summary["spec_samples"] = jobs.spec_job(enriched, since=a.since, out=a.out).count()
     summary["combo_stats"] = jobs.combo_job(enriched, since=a.since, out=a.out)["stats"].count()
+    if a.frequent is not None:
+        summary["frequent_combos"] = jobs.frequent_combo_job(enriched, a.frequent, since=a.since, out=a.out).count()
+    if a.pivot is not None:
+        columns = a.pivot or WQI_COLUMNS
+        summary["wqi_pivot"] = jobs.pivot_job(samples, wells, mcl, units, columns, a.pivot_grain, out=a.out).count()
+    if a.blocks:
+        blocks = spark.read.parquet(a.blocks)
+        geometry = "polygon" if "rings" in blocks.columns else "point"
+        _, scores = jobs.score_job(samples, wells, blocks, mcl, since=a.since, geometry=geometry, out=a.out,
+                                   geographic_blocks=a.degrees)
+        summary["block_scores"] = scores.count()
+    if a.blockgroups:
+        tanks = [spark.read.parquet(t) for t in a.tanks]
+        area = jobs.study_area_job(spark.read.parquet(a.blockgroups), tanks, spark.read.parquet(a.cleanups), out=a.out)
+        summary["study_area"] = area.count()
     print(json.dumps(summary))
     return summary
 

@@ -133,3 +133,32 @@ def test_run_batch_script(spark, land, tmp_path):
                   "--out", str(tmp_path / "out"), "--since", "2015-01-01", "--elevation", str(land / "elevation")])
     assert s["samples_enriched"] == 10  # BZ and BZME rows of T1-MW1 (8), T2 (1), G1 (1)
     assert s["combo_stats"] >= 1
+
+
+def test_run_batch_later_steps(spark, land, tmp_path):
+    import importlib.util
+
+    from groundwork.sources import testdata as td
+
+    d, p = "/root/testdata/sf0.001", {}
+    u = td.usts(spark, d)
+    blocks = spark.createDataFrame([("near", 297000.0, 3786000.0), ("far", 0.0, 0.0)], "geoid string, x_m double, y_m double")
+    tables = {"blocks": blocks, "bg": td.blockgroups(spark, d), "t0": u.filter("source_rank = 0"), "t1": u.filter("source_rank = 1"),
+              "cl": td.cleanups(spark, d)}
+    for name, df in tables.items():
+        p[name] = str(tmp_path / name)
+        df.write.parquet(p[name])
+    spec = importlib.util.spec_from_file_location("run_batch", os.path.join(os.path.dirname(__file__), "..", "scripts", "run_batch.py"))
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    (tmp_path / "mcl.csv").write_text("chem_abrv,chem_name,comp_conc_val,comp_conc_type,units\nBZ,Benzene,1.0,MCL,UG/L\nBZME,Toluene,150,MCL,UG/L\n")
+    (tmp_path / "units.csv").write_text("start_unit,coef\nUG/L,1\nMG/L,1000\n")
+    base = ["--landing", str(land), "--mcl", str(tmp_path / "mcl.csv"), "--units", str(tmp_path / "units.csv"), "--out", str(tmp_path / "out")]
+    s = mod.main([*base, "--since", "2015-01-01", "--frequent", "1", "--pivot", "BZ_UG/L", "BZME_UG/L", "--blocks", p["blocks"],
+                  "--blockgroups", p["bg"], "--tanks", p["t0"], p["t1"], "--cleanups", p["cl"]])
+    assert s["frequent_combos"] == 3  # BZ, BZME and both, four times each at T1-MW1
+    assert s["wqi_pivot"] == 4 and s["block_scores"] == 2 and s["study_area"] > 0
+    for name in ("frequent_combos", "wqi_pivot", "block_scores", "study_area"):
+        assert spark.read.parquet(str(tmp_path / "out" / name)).count() == s[name]
+    with pytest.raises(SystemExit):
+        mod.main([*base, "--tanks", p["t0"]])
