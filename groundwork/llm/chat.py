@@ -15,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundwork.operators.joins import splittable_join
+
 from .common import shared_table, shuffle_partitions
 
 HEAD, TAIL = "<|im_start|>", "<|im_end|>\n"  # fixed values: the public ChatML markers
+PAIR_TURNS, PAIR_BYTES = 4096, 16 << 20  # what one pair record may hold
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -52,7 +55,7 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
         .groupBy("conv_id")
         .agg(F.min("turn").alias("split"))
     )
-    b = balance.join(splits, "conv_id", "left")
+    b = splittable_join(balance, splits, "conv_id", "left")
     shared = F.col("split").isNull() | (F.col("turn") < F.col("split"))
     parts = F.when(shared, F.array(F.struct(F.lit("prompt").alias("part"), F.col("in_chosen").alias("copies")))).otherwise(
         F.filter(
@@ -74,6 +77,34 @@ def preference_rows(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+def preference_pairs(rows: DataFrame, max_turns: int = PAIR_TURNS, max_bytes: int = PAIR_BYTES) -> DataFrame:
+    """One record per conversation of ``preference_rows``: ``conv_id, n_turns, n_bytes, whole, prompt, prompt_sha256, chosen,
+    chosen_trained, rejected, rejected_trained``.
+
+    ``prompt`` is the rendered prompt; ``chosen`` and ``rejected`` are the completions' rendered turns in order, ``*_trained``
+    their loss masks, turn by turn. Repeated turns are repeated. A conversation of more than ``max_turns`` turns or
+    ``max_bytes`` bytes is too long for one row: its record says ``whole`` false and has null parts, and its rows are the
+    result. Counts are taken first, so such a conversation is never gathered. An empty part is ``''`` or an empty array.
+    """
+    n, size = F.sum("copies"), F.sum(F.col("copies") * F.octet_length("rendered"))
+    sizes = rows.groupBy("conv_id").agg(n.alias("n_turns"), size.alias("n_bytes"))
+    sizes = sizes.withColumn("whole", (F.col("n_turns") <= max_turns) & (F.col("n_bytes") <= max_bytes))
+    small = splittable_join(rows, sizes.where("whole").select("conv_id"), "conv_id")
+    turn = F.struct("turn", "role", "rendered", "trained", "copies")
+    part = {p: F.sort_array(F.collect_list(F.when(F.col("part") == p, turn))) for p in ("prompt", "chosen", "rejected")}
+    got = small.groupBy("conv_id").agg(*[a.alias(f"_{p}") for p, a in part.items()])
+
+    def field(p: str, name: str) -> Column:
+        return F.flatten(F.transform(f"_{p}", lambda x: F.array_repeat(x[name], x["copies"].cast("int"))))
+
+    prompt = F.array_join(field("prompt", "rendered"), "")
+    completions = [
+        c for p in ("chosen", "rejected") for c in (field(p, "rendered").alias(p), field(p, "trained").alias(f"{p}_trained"))
+    ]
+    got = got.select("conv_id", prompt.alias("prompt"), F.sha2(prompt.cast("binary"), 256).alias("prompt_sha256"), *completions)
+    return splittable_join(sizes, got, "conv_id", "left")
+
+
 def _next_ids(t: DataFrame) -> DataFrame:
     """``conv_id, next_id``: the next conversation that is there, null behind the last.
 
@@ -112,7 +143,7 @@ def swapped_replies(turns: DataFrame) -> DataFrame:
         .drop("next_id")
     )
     is_last = (F.col("role") == "assistant") & (F.col("turn") == F.col("last_turn")) & (F.col("text") == F.col("last_text"))
-    return t.join(swap, "conv_id", "left").select(
+    return splittable_join(t, swap, "conv_id", "left").select(
         "conv_id",
         "turn",
         "role",

@@ -72,7 +72,10 @@ z AS (
 l AS (
   SELECT t.conv_id, last_turn, max(text) AS last_text FROM t JOIN z ON t.conv_id = z.conv_id AND turn = last_turn
   WHERE role = 'assistant' GROUP BY ALL),
-w AS (SELECT l.*, coalesce(n.last_text, '') AS other FROM l LEFT JOIN l n ON n.conv_id = l.conv_id + 1),
+n AS (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS next_id FROM (SELECT DISTINCT conv_id FROM t)),
+w AS (
+  SELECT l.*, coalesce(o.last_text, '') AS other
+  FROM l JOIN n ON n.conv_id = l.conv_id LEFT JOIN l o ON o.conv_id = n.next_id),
 b AS (
   SELECT t.conv_id, turn, role, text, 'c' AS side FROM t
   UNION ALL

@@ -192,12 +192,30 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))
 
 
-def _loss(z: np.ndarray, y: np.ndarray) -> float:
-    return float(np.mean(np.logaddexp(0, z) - y * z))
+def temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least cross-entropy, with targets drawn in by one row of each kind (Platt's), so that it is
+    finite also where the logits part the labels without an error. Logits that rank the labels the wrong way, or are
+    all zero, keep 1."""
+    positive = float(y.sum())
+    target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
+
+    def slope(inverse: float) -> float:  # of the loss, by 1 / temperature; it only rises
+        return float(np.mean(z * (1 / (1 + np.exp(-np.clip(inverse * z, -60, 60))) - target)))
+
+    if not np.any(z) or slope(0.0) >= 0:
+        return 1.0
+    low, high = 0.0, 1.0
+    while slope(high) < 0:
+        low, high = high, high * 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if slope(middle) < 0 else (low, middle)
+    return 1 / high
 
 
 def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed: int = 7) -> Network:
-    """Two layers by Adam on four fifths of the rows; the last fifth chooses the temperature."""
+    """Two layers by Adam on four fifths of the rows; the last fifth chooses the temperature (with under 50 rows: all rows do
+    both, as a fifth would be too few)."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     fit_rows, cal = (order, order) if len(y) < 50 else np.split(order, [len(y) * 4 // 5])
@@ -228,7 +246,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed:
                 p -= 0.003 * (m1 / (1 - 0.9**step)) / (np.sqrt(v1 / (1 - 0.999**step)) + 1e-8)
     net.w1, net.b1, net.w2, net.b2 = params[0], params[1], params[2], float(params[3][0])
     z = net.logits(x[cal])
-    net.temperature = min(np.geomspace(0.25, 8, 121), key=lambda q: _loss(z / q, y[cal]))
+    net.temperature = temperature(z, y[cal])
     return net
 
 
@@ -242,7 +260,8 @@ def train(
 ) -> tuple[np.ndarray, Network | float]:
     """Word vectors of ``docs`` and the network. Without labelled rows of both kinds: a constant score.
 
-    At most ``sample`` labelled rows of the training fold are used, those with the smallest id hashes.
+    At most ``sample`` labelled rows of the training fold are used, those with the smallest id hashes; of rows that repeat
+    such an id, the text with the smallest hash is the labelled one.
     """
     vectors = word_vectors(docs, text_col)
     chosen = (
@@ -260,6 +279,8 @@ def train(
 
     # the chosen rows are at most `sample` small ones, so they may be broadcast
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "__id")
+    # one text for each chosen label, whatever number of rows repeats its id: at most `sample` rows are brought to the driver
+    rows = rows.groupBy("__id", "__label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     got = in_arrow(rows.select(F.col("__label").alias("y"), "text"), run, "y int, x array<double>")
     got = sorted(got.toArrow().to_pylist(), key=lambda r: (r["x"], r["y"]))
     y = np.array([r["y"] for r in got], dtype=int)

@@ -62,6 +62,28 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([r.predicted == q for r, q in held]) > 0.93
 
 
+def test_temperature_is_the_best_one_and_finite():
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 4, 4000)
+    for scale in (0.02, 0.5, 3.0, 40.0):  # labels drawn at a known temperature, far beyond any grid, too
+        y = (rng.random(4000) < 1 / (1 + np.exp(-np.clip(z / scale, -60, 60)))).astype(int)
+        assert scale < 0.1 or abs(np.log(quality.temperature(z, y) / scale)) < 0.35
+    y = (z > 0).astype(int)  # parted without an error
+    assert 0 < quality.temperature(z, y) < 0.25
+    assert quality.temperature(np.zeros(4), np.array([0, 1, 0, 1])) == 1.0 == quality.temperature(z, 1 - y)
+
+
+def test_labelled_id_of_many_rows_lends_one_row(spark, monkeypatch):
+    rows = [(1, f"plain words number {i}") for i in range(300)] + [(i, f"other text {i}") for i in (4, 5, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 4, 5, 7, 8)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.append(len(y)))
+    quality.train(docs, labels)
+    folds = [i for i in (1, 4, 5, 7, 8) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen == [len(folds)] and len({i % 2 for i in folds}) == 2
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 0), (5, 0), (None, 1), (6, None)], "doc_id long, quality int")
     out = quality.score(odd, labels)

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from groundwork.llm import chat, exact_dedup, mixing, sharding
 from groundwork.llm.oracle import ORACLE
@@ -169,6 +170,63 @@ def test_preference_rows(spark):
     assert chat.preference_rows(empty, chat.swapped_replies(empty)).count() == 0
 
 
+def test_preference_pairs(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    chosen = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "good"), (1, 2, "user", "bye"), (1, 2, "user", "bye"),
+        (2, 0, "user", "same"), (2, 1, "assistant", "same"), (3, 0, "user", "alone"),
+        *[(4, i, "user", f"t{i}") for i in range(12)],
+    ]
+    rejected = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (2, 0, "user", "same"), (2, 1, "assistant", "same"),
+        *[(4, i, "user", f"t{i}") for i in range(12)],
+    ]
+    rows = chat.preference_rows(spark.createDataFrame(chosen, schema), spark.createDataFrame(rejected, schema))
+
+    def turn(role, text):
+        return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+
+    got = {r.conv_id: r for r in chat.preference_pairs(rows, max_turns=10).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    one = got[1]
+    assert (one.n_turns, one.whole, one.prompt) == (5, True, turn("user", "hi"))
+    assert one.chosen == [turn("assistant", "good"), turn("user", "bye"), turn("user", "bye")] and one.chosen_trained == [True, False, False]
+    assert one.rejected == [turn("assistant", "bad")] and one.rejected_trained == [True]
+    assert one.prompt_sha256 == hashlib.sha256(one.prompt.encode()).hexdigest()
+    assert got[2].prompt == turn("user", "same") + turn("assistant", "same") and got[2].chosen == got[2].rejected == []
+    assert got[3].prompt == "" and got[3].chosen == [turn("user", "alone")] and got[3].rejected == []
+    assert not got[4].whole and got[4].n_turns == 12 and got[4].prompt is None and got[4].chosen is None
+    assert chat.preference_pairs(rows, max_bytes=60).where("whole").select("conv_id").collect() == [(3,)]
+    assert chat.preference_pairs(rows.limit(0)).count() == 0
+
+
+def test_hot_conversation_joins_can_be_split(spark, tmp_path):
+    """Three quarters of the turns in one conversation: both joins read partitions that Spark split."""
+    path = str(tmp_path / "turns")
+    turns = spark.range(60_000).select(
+        F.when(F.col("id") % 4 > 0, F.lit(7)).otherwise(F.col("id")).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    turns.repartition(8).write.parquet(path)
+    want = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        t = spark.read.parquet(path)
+        other = t.select("conv_id", "turn", "role", F.concat("text", F.lit("x")).alias("text"))
+        for df in (chat.swapped_replies(t), chat.preference_rows(t, other)):
+            df.collect()
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_swapped_replies_over_gaps(spark):
     ids = [3, 10, 11, 500, 900, 10**12, *range(2000, 4000, 20)]
     rows = [(i, n, role, f"{role} {i}") for i in ids for n, role in enumerate(("user", "assistant")) if (i, role) != (900, "assistant")]
