@@ -21,7 +21,8 @@ How candidates are checked without listing all pairs of a bucket:
    none is capped.
 
 Components are those of all confirmed links. Shingle sets are computed again for candidates only, so
-the sets of all documents are never stored.
+the sets of all documents are never stored; the candidates' texts are sifted out where they are read, by a bitmap of
+their ids, and not exchanged.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import in_arrow, shared_table, text_or_empty
+from .common import in_arrow, shared_table, sifted, text_or_empty
 from .graph import components
 
 BLOCK = 512
@@ -173,23 +174,25 @@ def near_duplicates(
             (F.col("rep") != F.col("centre.rep"))
             & (100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n"))
         )
-        .select("rep", F.col("centre.rep").alias("centre"))
+        .select(F.col("rep").alias("a"), F.col("centre.rep").alias("b"))
         .distinct(),
         "pairs",
     )
     wanted = shared_table(crowds.select("rep").distinct(), "wanted")
-    found = in_arrow(
-        ids.join(wanted.select("rep.id").distinct(), "id", "left_semi"), _sets(k), "id long, set_key binary, items array<long>"
-    )
-    sets = found.select(node.alias("rep"), "items").join(wanted, "rep", "left_semi")
-    sets = shared_table(sets.dropDuplicates(["rep"]), "sets")
+    candidates = sifted(ids, wanted.select("rep.id"), "id")
+    found = in_arrow(candidates, _sets(k), "id long, set_key binary, items array<long>")
+    # one exchange by both columns serves the join and the duplicates
+    sets = found.select("id", F.xxhash64("set_key").alias("key"), "items")
+    sets = sets.join(wanted.select("rep.id", "rep.key"), ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    sets = shared_table(sets.select(F.struct("id", "key").alias("rep"), "items"), "sets")
 
     def confirmed(p: DataFrame) -> DataFrame:
-        x = p.join(sets.select("rep", F.col("items").alias("x")), "rep")
-        x = x.join(sets.select(F.col("rep").alias("centre"), F.col("items").alias("y")), "centre")
+        # both sides rename the same columns, so that Spark exchanges the sets once
+        x = p.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
+        x = x.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         union = F.size("x") + F.size("y") - both
-        return x.where(100 * both >= percent * union).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+        return x.where(100 * both >= percent * union).select("a", "b")
 
     links = shared_table(confirmed(pairs).distinct(), "stars")
     stars = shared_table(components(links), "components")

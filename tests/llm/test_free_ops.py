@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundwork.llm import decontaminate, graph, hashing, licenses, lm_score, mixing, near_dedup, quality, secrets, sharding
+from groundwork.llm import common, decontaminate, graph, hashing, licenses, lm_score, mixing, near_dedup, quality, secrets, sharding
 from groundwork.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -318,6 +318,35 @@ def test_near_duplicates(spark, odd, monkeypatch, k, percent, rows):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_sifted_loses_no_wanted_row(spark):
+    df = spark.createDataFrame([(i if i % 50 else None, f"t{i}") for i in range(-4000, 4000)] + [(7, "again")], "id long, text string")
+    for ids in ([], [7], list(range(-4000, 4000, 3)), [2**62, 5, 5]):
+        wanted = spark.createDataFrame([(i,) for i in ids], "id long")
+        for most in (1 << 28, 1 << 15):
+            out = common.sifted(df, wanted, "id", most)
+            got, exact = {tuple(r) for r in out.collect()}, {tuple(r) for r in df.collect() if r.id in set(ids)}
+            assert out.columns == df.columns and exact <= got and len(got) <= len(exact) + 800
+
+
+def test_near_duplicates_exchange_no_texts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join([*words[i : i + 60], f"x{i // 2}"])) for i in range(40)] + [(900, "quite alone here")], "doc_id long, text string")
+    plans, write = {}, near_dedup.shared_table
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "shared_table", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more rows than are broadcast
+    try:
+        near_dedup.near_duplicates(docs, k=3, percent=85, bands=32, rows=6).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.findall(r"hashpartitioning\(id#\d+L?, \d+\)", plans["sets"])  # texts would meet the candidates by id alone
+    assert len(re.findall(r"Exchange hashpartitioning\(id#\d+L?, key#\d+L?, ", plans["sets"])) == 2  # sets and candidates
+
+
 def test_near_duplicate_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = brute_components(docs, 3, 85)
