@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable
+from itertools import islice
 
 _SOLID = frozenset("LMNPS")
 _PLAIN = frozenset(map(chr, range(0x21, 0x7F)))
@@ -57,33 +58,37 @@ class Lookup:
     """What ``compute`` says of each segment of a text; words met before in this worker are looked up.
 
     ``compute`` gets distinct segments as a list and gives a list. At most ``most`` words of at most ``longest``
-    characters are held; the store is emptied when it is full.
+    characters are held. When the store is full, words that were met again since the last time stay, up to half of it
+    (every fourth text is looked at for them); the others, most of which no text holds twice, are dropped.
     """
 
     def __init__(self, compute: Callable[[list[str]], list], spaced: bool, most: int = 1 << 19, longest: int = 64):
         self.compute, self.spaced, self.most, self.longest = compute, spaced, most, longest
         self.held: dict[str, object] = {}  # by word: the value of the word with a space in front
+        self.again: set[str] = set()  # held words met again
 
     def __call__(self, texts: list[str]) -> list[list]:
         """Values of the segments of each text in order; with ``spaced``, of the text with a space in front."""
         out, words, odd, shortened = [], [], [], []
-        get = self.held.get
-        for text in texts:
+        get, known = self.held.get, self.held.keys()
+        for k, text in enumerate(texts):
             parts = text.split(" ") if text else []
             values = list(map(get, parts))
             out.append(values)
+            if k % 4 == 0 and len(self.again) < self.most // 2:
+                self.again |= known & set(parts)
             if parts and not self.spaced:
                 values[0] = None  # no space in front
             missing = [i for i, v in enumerate(values) if v is None]
-            loose = [i for i in missing if not solid(parts[i])]
+            loose = [i for i in missing if parts[i][-1:] not in _PLAIN and not solid(parts[i])]
             if missing and not self.spaced and missing[0] == 0 and not loose:
                 odd.append((values, 0, parts[0]))
                 del missing[0]
             elif loose:
-                missing = self._joined(parts, values, missing, odd, shortened)
+                missing = self._joined(parts, values, missing, loose, odd, shortened)
             if missing:
                 words.append((values, missing, [parts[i] for i in missing]))
-        new = list({w for *_, ws in words for w in ws})
+        new = list(set().union(*[ws for *_, ws in words]))
         found = dict(zip(new, self.compute([" " + w for w in new]), strict=True))
         for values, places, ws in words:
             for i, w in zip(places, ws, strict=True):
@@ -97,28 +102,29 @@ class Lookup:
         for values in shortened:
             values[:] = [v for v in values if v != ()]
         if len(self.held) + len(found) > self.most:
-            self.held.clear()
-        self.held.update((w, v) for w, v in found.items() if len(w) <= self.longest)
+            self.held = {w: self.held[w] for w in islice(self.again, self.most // 2)}
+            self.again = set()
+        self.held.update(found)
+        for w in [w for w in found if len(w) > self.longest]:
+            del self.held[w]
         return out
 
 
-    def _joined(self, parts: list[str], values: list, missing: list[int], odd: list, shortened: list) -> list[int]:
-        """Parts that end in white space joined to the next one, noted in ``odd``; the missing words that remain."""
-        words, behind = [], 0
-        for i in missing:
+    def _joined(self, parts: list[str], values: list, missing: list[int], loose: list[int], odd: list, shortened: list) -> list[int]:
+        """Parts that end in white space (``loose``) joined to the next one, noted in ``odd``; the missing words that remain."""
+        joined, behind = set(), 0
+        for i in loose if self.spaced or loose[0] == 0 else [0, *loose]:
             if i < behind:
                 continue
-            if solid(parts[i]) and (i or self.spaced):
-                words.append(i)
-                continue
             behind = i + 1
             while behind < len(parts) and not solid(parts[behind - 1]):
                 behind += 1
             odd.append((values, i, " " * (i > 0 or self.spaced) + " ".join(parts[i:behind])))
+            joined.update(range(i, behind))
             if behind > i + 1:
                 values[i + 1 : behind] = [()] * (behind - i - 1)
                 shortened.append(values)
-        return words
+        return [i for i in missing if i not in joined]
 
 
 class Whole:

@@ -26,6 +26,7 @@ import gc
 import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from .segments import Lookup, Whole, byte_level_cuts, byte_of_symbol, joinable,
 BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BROADCAST_PAIRS = 1_000_000  # about 80 MB
-_CHUNK = 256
+_CHUNK = 512
 SPACE = "▁"
 _PAIR = 32  # an id pair is one number: A's id above B's 32 bits
 
@@ -88,16 +89,23 @@ class Aligner:
         ]
         self.length_a = np.array([len(x) for x in self.bytes_a], dtype=np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
+        # ids as text, each inside and at the end of its side of a group
+        self.text = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"]
+        self.text += [f"{i}{mark}" for i in range(len(self.bytes_b)) for mark in ",;"]
         if byte_level_cuts(byte_level) and piece_cuts(names):
-            self.of = Lookup(self._segments, spaced=True, most=1 << 18)
+            self.of = Lookup(self._segments, spaced=True, most=1 << 19)
         else:
             self.of = Whole(lambda parts: [self.align([p])[0] for p in parts], spaced=True)
 
     def _segments(self, parts: list[str]) -> list[tuple]:
         """Segments that stand between others are aligned many at a time."""
-        inner = [i for i, p in enumerate(parts) if joinable(p)]
-        chunks = [inner[i : i + _CHUNK] for i in range(0, len(inner), _CHUNK)]
-        chunks += [[i] for i, p in enumerate(parts) if not joinable(p)]
+        inner, chunks = [], []
+        for i, p in enumerate(parts):
+            if joinable(p):
+                inner.append(i)
+            else:
+                chunks.append([i])
+        chunks += [inner[i : i + _CHUNK] for i in range(0, len(inner), _CHUNK)]
         out: list = [None] * len(parts)
         for chunk in chunks:
             if [parts[i] for i in chunk] == [" "]:  # a text's last space; B makes nothing of an empty text
@@ -108,46 +116,56 @@ class Aligner:
         return out
 
     def align(self, parts: list[str]) -> list[tuple]:
-        """For segments that make up one text with a space in front: ``(fits, n_a, n_b, n_groups, groups, pairs)`` each.
+        """For segments that make up one text with a space in front: ``(n_a, groups, pairs)`` each.
 
-        ``groups`` is text; ``pairs`` are the linked id pairs, A's id in the upper half, one 64-bit number a link.
+        ``groups`` is text, empty where a tokenizer changes the segment; ``pairs`` are the linked id pairs, A's id in the
+        upper half, one 64-bit number a link. Segments that stand with a changed one are halved until it stands alone.
         """
         text = "".join(parts)
         raw = text.encode()
         encoding = self.a.encode(text, add_special_tokens=False)
         proto = self.b.encode(text[1:], return_type="proto").pieces
-        ids_a, ids_b = encoding.ids, [p.id for p in proto]
-        if b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
-            return [(False, 0, 0, 0, "", b"")] if len(parts) == 1 else [self.align([p])[0] for p in parts]
-        spans_a = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-        if len(raw) != len(text):  # characters to bytes
+        ids_a = encoding.ids
+        ids_b, begin_b, stop_b = zip(*[(p.id, p.begin, p.end) for p in proto], strict=True) if len(proto) else ((), (), ())
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            half = len(parts) // 2
+            return self.align(parts[:half]) + self.align(parts[half:]) if half else [(0, "", b"")]
+        spans_a = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids_a)).reshape(-1, 2)
+        wide = len(raw) != len(text)
+        if wide:  # characters to bytes
             code = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
             width = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
             spans_a = np.concatenate([[0], np.cumsum(width)])[spans_a]
-        spans_b = np.array([(p.begin, p.end) for p in proto], np.int64).reshape(-1, 2)
+        spans_b = np.array([begin_b, stop_b], np.int64).T
         ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         end_a = coarse_and_refined(spans_a, self.length_a[ids_a], 0)
         end_b = coarse_and_refined(spans_b, self.length_b[ids_b], 1)
-        cuts, groups = grouped(ids_a.tolist(), end_a, ids_b.tolist(), end_b)
+        last_a, last_b, place_a, place_b = grouped(end_a, end_b)
+        which = np.empty(len(ids_a) + len(ids_b), np.int64)
+        which[place_a] = 2 * ids_a + last_a
+        which[place_b] = 2 * (len(self.bytes_a) + ids_b) + last_b
+        tokens = list(map(self.text.__getitem__, which.tolist()))
         at_a, at_b = linked(end_a, end_b)
         pairs = (ids_a[at_a] << _PAIR | ids_b[at_b]).astype("<i8").tobytes()
 
-        ends = np.cumsum([len(p.encode()) for p in parts])
+        ends = np.cumsum([len(p.encode()) for p in parts] if wide else [len(p) for p in parts])
         stop_a = np.searchsorted(end_a, ends, "right")
-        stops = (stop_a, np.searchsorted(end_b, ends, "right"), np.searchsorted(cuts, ends, "right"), np.searchsorted(at_a, stop_a))
-        out, a, b, g, k = [], 0, 0, 0, 0
-        for a1, b1, g1, k1 in zip(*(x.tolist() for x in stops), strict=True):
-            out.append((True, a1 - a, b1 - b, g1 - g, ";".join(groups[g:g1]), pairs[8 * k : 8 * k1]))
-            a, b, g, k = a1, b1, g1, k1
+        stops = (stop_a, stop_a + np.searchsorted(end_b, ends, "right"), 8 * np.searchsorted(at_a, stop_a))
+        out, a, t, k = [], 0, 0, 0
+        for a1, t1, k1 in zip(*(x.tolist() for x in stops), strict=True):
+            out.append((a1 - a, "".join(tokens[t:t1])[:-1], pairs[k:k1]))
+            a, t, k = a1, t1, k1
         return out
 
     def documents(self, texts: list[str]) -> Iterator[tuple]:
         """For each text, null or empty or not: ``(n_a, n_b, n_groups, groups, pairs, times)``, distinct pairs ascending."""
         for got in self.of(texts):
-            fits, n_a, n_b, n_groups, groups, pairs = zip(*got, strict=True) if got else ((False,), *[()] * 5)
-            if all(fits):
+            n_a, groups, pairs = zip(*got, strict=True) if got else ((), ("",), ())
+            if all(groups):
                 distinct, times = np.unique(np.frombuffer(b"".join(pairs), dtype="<i8"), return_counts=True)
-                yield sum(n_a), sum(n_b), sum(n_groups), ";".join(groups), distinct, times
+                text, n = ";".join(groups), sum(n_a)
+                n_groups = text.count(";") + 1
+                yield n, text.count(",") + 2 * n_groups - n, n_groups, text, distinct, times
             else:
                 yield 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -161,18 +179,16 @@ def aligner(byte_level: str, pieces: str) -> Aligner:
     return _aligners[byte_level, pieces]
 
 
-def grouped(ids_a: list[int], end_a: np.ndarray, ids_b: list[int], end_b: np.ndarray) -> tuple[np.ndarray, list[str]]:
-    """Offsets where tokens of both sides end, and the group before each as text."""
+def grouped(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups end where tokens of both sides end. Whether each token of A, and of B, is its side's last in a group, and its
+    place when groups are written one after the other, A's tokens before B's."""
     cuts = np.intersect1d(end_a, end_b)
-    stop_a, stop_b = np.searchsorted(end_a, cuts, "right").tolist(), np.searchsorted(end_b, cuts, "right").tolist()
-    text, i, j = [], 0, 0
-    for p, q in zip(stop_a, stop_b, strict=True):
-        if p - i == 1 and q - j == 1:
-            text.append(f"{ids_a[i]}|{ids_b[j]}")
-        else:
-            text.append(",".join(map(str, ids_a[i:p])) + "|" + ",".join(map(str, ids_b[j:q])))
-        i, j = p, q
-    return cuts, text
+    stop_a, stop_b = np.searchsorted(end_a, cuts, "right"), np.searchsorted(end_b, cuts, "right")
+    last_a, last_b = np.zeros(len(end_a), bool), np.zeros(len(end_b), bool)
+    last_a[stop_a - 1] = last_b[stop_b - 1] = True
+    many_a, many_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    place_a = np.arange(len(end_a)) + np.repeat(stop_b - many_b, many_a)
+    return last_a, last_b, place_a, np.arange(len(end_b)) + np.repeat(stop_a, many_b)
 
 
 def linked(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

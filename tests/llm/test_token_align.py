@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from groundwork.llm import token_align
+from groundwork.llm import segments, token_align
 from groundwork.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -105,6 +105,25 @@ def test_lookups_change_nothing(spark):
         assert x[:4] == y[:4] and (x[4] == y[4]).all() and (x[5] == y[5]).all()
 
 
+def test_a_full_store_keeps_words_met_again():
+    asked, often = [], [f"c{i}" for i in range(16)]
+    of = segments.Lookup(lambda parts: asked.extend(parts) or parts, spaced=True, most=64)
+    for i in range(100):
+        words = often + [f"r{i}x{j}" for j in range(8)]
+        assert of([" ".join(words)]) == [[" " + w for w in words]] and len(of.held) <= 64
+    assert [asked.count(" " + w) for w in often] == [1] * 16 and len(asked) == 816
+
+
+def test_a_changed_segment_is_found_by_halving():
+    aligner, calls = token_align.Aligner(token_align.BYTE_LEVEL, token_align.PIECES), []
+    align = aligner.align
+    aligner.align = lambda parts: calls.append(len(parts)) or align(parts)
+    words = [f"w{i}" for i in range(token_align._CHUNK)]
+    words[77] = "x\u2581y"
+    (odd,), (plain,) = aligner.documents([" ".join(words)]), aligner.documents([" ".join(words[78:])])
+    assert odd[:4] == (0, 0, 0, "") and plain[0] > 300 and len(calls) < 30
+
+
 @pytest.mark.parametrize("spans, lengths, lead, want", [
     ([(0, 3), (3, 4)], [3, 1], 0, [3, 4]),
     ([(0, 0), (0, 3), (3, 3), (3, 3), (3, 6)], [1, 3, 1, 1, 1], 1, [1, 4, 5, 6, 7]),  # byte fallback, the space in front added
