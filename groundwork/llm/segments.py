@@ -58,12 +58,12 @@ class Lookup:
     """What ``compute`` says of each segment of a text; words met before in this worker are looked up.
 
     ``compute`` gets distinct segments as a list and gives a list. At most ``most`` words of at most ``longest``
-    characters are held. When the store is full, words that were met again since the last time stay, up to half of it
-    (every fourth text is looked at for them); the others, most of which no text holds twice, are dropped.
+    characters are held; the store is emptied when it is full. With ``keep``, words that were met again since the last time
+    stay then, up to half of it (every fourth text is looked at for them): fewer to compute, for more memory.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], spaced: bool, most: int = 1 << 19, longest: int = 64):
-        self.compute, self.spaced, self.most, self.longest = compute, spaced, most, longest
+    def __init__(self, compute: Callable[[list[str]], list], spaced: bool, most: int = 1 << 19, longest: int = 64, keep: bool = False):
+        self.compute, self.spaced, self.most, self.longest, self.keep = compute, spaced, most, longest, keep
         self.held: dict[str, object] = {}  # by word: the value of the word with a space in front
         self.again: set[str] = set()  # held words met again
 
@@ -75,7 +75,7 @@ class Lookup:
             parts = text.split(" ") if text else []
             values = list(map(get, parts))
             out.append(values)
-            if k % 4 == 0 and len(self.again) < self.most // 2:
+            if self.keep and k % 4 == 0 and len(self.again) < self.most // 2:
                 self.again |= known & set(parts)
             if parts and not self.spaced:
                 values[0] = None  # no space in front

@@ -55,6 +55,18 @@ def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return choice, np.minimum(COUNTS[choice], left.ravel()[:n])
 
 
+def _starts(step: np.ndarray, block: int) -> np.ndarray:
+    """Places where words start, from how many ids a word takes at each place: all blocks at once, a word further each time."""
+    at = np.arange(0, len(step), block)
+    stop, start = np.append(at[1:], len(step)), np.zeros(len(step), dtype=bool)
+    while len(at):
+        start[at] = True
+        at = at + step[at]
+        inside = at < stop
+        at, stop = at[inside], stop[inside]
+    return np.flatnonzero(start)
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """``words, escapes, word offsets, escape offsets`` of unsigned 32-bit ids; offsets have one entry a block.
 
@@ -69,12 +81,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     few = _AT_ONCE * block  # blocks at a time, so that the work stays in the processor's cache
     chosen = [_choices(ids[i : i + few], block) for i in range(0, n, few)]
     choice, step = (np.concatenate(x) for x in zip(*chosen, strict=True))
-    step = step.tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i += step[i]
-    starts = np.array(starts, dtype=np.int64)
+    starts = _starts(step, block)
     wide = ids.astype(np.uint64)
     selectors = choice[starts].astype(np.int64)
     ends = np.append(starts[1:], n)

@@ -93,7 +93,7 @@ class Aligner:
         self.text = [f"{i}{mark}" for i in range(len(self.bytes_a)) for mark in ",|"]
         self.text += [f"{i}{mark}" for i in range(len(self.bytes_b)) for mark in ",;"]
         if byte_level_cuts(byte_level) and piece_cuts(names):
-            self.of = Lookup(self._segments, spaced=True, most=1 << 19)
+            self.of = Lookup(self._segments, spaced=True, most=1 << 19, keep=True)
         else:
             self.of = Whole(lambda parts: [self.align([p])[0] for p in parts], spaced=True)
 

@@ -72,16 +72,19 @@ class Encoder:
 
     def _segments(self, parts: list[str]) -> list[bytes]:
         """Segments that stand between others are encoded as one text and cut apart by their bytes."""
-        inner = [i for i, p in enumerate(parts) if joinable(p)]
+        inner, outer = [], []
+        for i, p in enumerate(parts):
+            (inner if joinable(p) else outer).append(i)
         out: list[bytes] = [b""] * len(parts)
         if inner:
-            ids = np.frombuffer(self._texts(["".join([parts[i] for i in inner])])[0], dtype="<u4")
-            ends = np.cumsum([len(parts[i].encode()) for i in inner])
+            words = [parts[i] for i in inner]
+            text = "".join(words)
+            ids = np.frombuffer(self._texts([text])[0], dtype="<u4")
+            ends = np.cumsum(list(map(len, words if text.isascii() else map(str.encode, words))))
             cuts = (4 * np.searchsorted(np.cumsum(self.length[ids]), ends, "right")).tolist()
             raw, start = ids.tobytes(), 0
             for i, stop in zip(inner, cuts, strict=True):
                 out[i], start = raw[start:stop], stop
-        outer = [i for i, p in enumerate(parts) if not joinable(p)]
         for i, ids in zip(outer, self._texts([parts[i] for i in outer]), strict=True):
             out[i] = ids
         return out

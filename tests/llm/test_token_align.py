@@ -107,7 +107,7 @@ def test_lookups_change_nothing(spark):
 
 def test_a_full_store_keeps_words_met_again():
     asked, often = [], [f"c{i}" for i in range(16)]
-    of = segments.Lookup(lambda parts: asked.extend(parts) or parts, spaced=True, most=64)
+    of = segments.Lookup(lambda parts: asked.extend(parts) or parts, spaced=True, most=64, keep=True)
     for i in range(100):
         words = often + [f"r{i}x{j}" for j in range(8)]
         assert of([" ".join(words)]) == [[" " + w for w in words]] and len(of.held) <= 64
