@@ -14,12 +14,31 @@ BLOCK = 1024
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 WIDTHS = 60 // COUNTS
 _MARKS = (np.uint64(1) << WIDTHS.astype(np.uint64)) - np.uint64(1)
+_LARGEST = np.minimum(_MARKS - np.uint64(1), np.uint64((1 << 32) - 1)).astype(np.uint32)  # id that is no escape
 _SHIFT = np.uint64(60)
 _WORD_BYTES, _ESCAPE_BYTES = 8, 4
 _RARE = 3 / 4  # a selector that escapes a larger share of the ids at hand is not tried
 _AT_ONCE = 32
 
 
+def _window(flags: np.ndarray, count: int) -> np.ndarray:
+    """How many of the ``count`` flags from every place on are set, along the rows; the places behind the last hold none."""
+    total, width, behind = None, 1, 0
+    part = flags.view(np.uint8)
+    while True:
+        if count & width:
+            if total is None:
+                total = part.copy()
+            else:
+                total[:, : max(0, total.shape[1] - behind)] += part[:, behind:]
+            behind += width
+        if 2 * width > count:
+            return total
+        twice = part.copy()
+        twice[:, :-width] += part[:, width:]
+        part, width = twice, 2 * width
+
+
 def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """For every place the selector of a word that starts there, the fewest bytes per id, and how many ids it takes."""
     n = len(ids)
@@ -30,25 +49,21 @@ def _choices(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     left = np.minimum(block, n - block * np.arange(rows))[:, None] - np.arange(block, dtype=np.int64)
     best = np.full((rows, block), np.inf, dtype=np.float32)
     choice = np.zeros((rows, block), dtype=np.int8)
-    before = np.zeros((rows, block + int(COUNTS[0])), dtype=np.int32)
     for s, (count, mark) in enumerate(zip(COUNTS.tolist(), _MARKS.tolist(), strict=True)):
         if mark < 1 << 32:
             escaped = square >= mark
             rare = int(np.count_nonzero(escaped))
             if rare > _RARE * n:
                 continue
-            np.cumsum(escaped, axis=1, out=before[:, 1 : block + 1])
-            before[:, block + 1 :] = before[:, block : block + 1]
-            cost = (before[:, count : count + block] - before[:, :block]).astype(np.float32)
+            cost = _window(escaped, count).astype(np.float32)
             cost *= _ESCAPE_BYTES
             cost += _WORD_BYTES
         else:
             cost = np.full((rows, block), _WORD_BYTES, dtype=np.float32)
         cost[:-1] *= 1 / np.minimum(count, block - np.arange(block)).astype(np.float32)
         cost[-1] /= np.clip(left[-1], 1, count)
-        less = cost < best
-        np.copyto(best, cost, where=less)
-        np.copyto(choice, np.int8(s), where=less)
+        np.maximum(choice, (cost < best).view(np.int8) * np.int8(s), out=choice)  # selectors are tried in ascending order
+        np.minimum(best, cost, out=best)
         if mark >= 1 << 32 or not rare:  # wider slots hold fewer ids at the same cost a word
             break
     choice = choice.ravel()[:n]
@@ -82,7 +97,8 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     chosen = [_choices(ids[i : i + few], block) for i in range(0, n, few)]
     choice, step = (np.concatenate(x) for x in zip(*chosen, strict=True))
     starts = _starts(step, block)
-    wide = ids.astype(np.uint64)
+    wide = np.zeros(n + int(COUNTS[0]), dtype=np.uint64)
+    wide[:n] = ids
     selectors = choice[starts].astype(np.int64)
     ends = np.append(starts[1:], n)
 
@@ -90,10 +106,14 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     for s, (count, width, mark) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist(), _MARKS, strict=True)):
         at = np.flatnonzero(selectors == s)
         if len(at):
-            source = starts[at, None] + np.arange(count)
-            values = np.where(source < ends[at, None], np.minimum(wide[np.minimum(source, n - 1)], mark), np.uint64(0))
-            words[at] |= np.bitwise_or.reduce(values << (np.arange(count) * width).astype(np.uint64), axis=1)
-    escaped = wide >= np.repeat(_MARKS[selectors], ends - starts)
+            first, size, word = starts[at], ends[at] - starts[at], words[at]
+            short = np.flatnonzero(size < count)  # a block ends in them
+            for k in range(count):
+                values = np.minimum(wide[first + k], mark)
+                values[short[size[short] <= k]] = 0
+                word |= values << np.uint64(k * width)
+            words[at] = word
+    escaped = ids > np.repeat(_LARGEST[selectors], ends - starts)
     firsts = np.arange(0, n, block)
     before = np.concatenate([[0], np.cumsum(escaped)])
     return words, ids[escaped], np.searchsorted(starts, firsts), before[firsts]
@@ -118,16 +138,18 @@ def decode(
     owner = np.searchsorted(offsets, np.arange(len(words)), side="right") - 1  # block of each word
     starts = owner * block + before - before[offsets][owner]
     stops = np.minimum((owner + 1) * block, total)
-    out = np.empty(total, dtype=np.uint32)
-    escaped = np.zeros(total, dtype=bool)
+    out = np.empty(total + 1, dtype=np.uint32)  # empty slots go to the last place
+    escaped = np.zeros(total + 1, dtype=bool)
     for s, (count, width, mark) in enumerate(zip(COUNTS.tolist(), WIDTHS.tolist(), _MARKS, strict=True)):
         at = np.flatnonzero(selectors == s)
         if len(at):
-            values = (words[at, None] >> (np.arange(count) * width).astype(np.uint64)) & mark
-            target = starts[at, None] + np.arange(count)
-            real = target < stops[at, None]
-            out[target[real]] = values[real]
-            escaped[target[real]] = values[real] == mark
+            first, size, word = starts[at], stops[at] - starts[at], words[at]
+            short = np.flatnonzero(size < count)
+            for k in range(count):
+                values, target = word >> np.uint64(k * width) & mark, first + k
+                target[short[size[short] <= k]] = total
+                out[target], escaped[target] = values, values == mark
+    out, escaped = out[:total], escaped[:total]
     out[escaped] = escapes
     return out
 

@@ -15,7 +15,7 @@ A file is a run of records, everything in little-endian 64-bit units. A record h
 Shards and numbers in shard ascend with the documents, so sorting records by both gives the global order.
 
 Plan: one range exchange of the texts by (id, hash of the text), so that rows that share an id or have none
-spread too; each task sorts externally, tokenises in batches and closes a record at ``RECORD_IDS`` ids.
+spread too; each task sorts externally, tokenises steps of ``STEP`` bytes of text and closes a record at ``RECORD_IDS`` ids.
 Files end after ``RECORDS`` records, whatever the partition's size. Reading is one task per few files;
 places in the whole run come from record totals in two levels (along a shard, then over the shards, of
 which there are as many as partitions). A lost executor repeats its tasks; no state is kept elsewhere.
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from groundwork.session import ensure_checkpoint_dir
 
 from . import simple8b
 from .common import in_arrow, shared_table, text_or_empty
-from .segments import Lookup, Whole, byte_level_cuts, byte_of_symbol, joinable
+from .segments import Pieces, Whole, byte_level_cuts, byte_of_symbol, joined_pieces
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END = "\nS8BEND\n"
@@ -46,6 +47,8 @@ MAGIC = int.from_bytes(b"S8BIDS01", "little")
 HEADER = 8
 RECORD_IDS = 1 << 18
 RECORDS = 32
+STEP = 1 << 23  # bytes of text that are encoded at a time
+TOGETHER = 2000  # distinct pieces that are encoded as one text
 
 
 class Encoder:
@@ -56,13 +59,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if byte_level_cuts(path):
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if byte_level_cuts(path) and not any(c.isspace() for t in added for c in t):
             symbols = byte_of_symbol()
             vocabulary = self.tokenizer.get_vocab()
             self.length = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # of each id, in bytes
             for token, i in vocabulary.items():
                 self.length[i] = len(token) if all(c in symbols for c in token) else len(token.encode())
-            self.of = Lookup(self._segments, spaced=False)
+            self.of = Pieces(self._pieces, added)
         else:
             self.of = Whole(self._texts, spaced=False)
 
@@ -70,27 +74,46 @@ class Encoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-    def _segments(self, parts: list[str]) -> list[bytes]:
-        """Segments that stand between others are encoded as one text and cut apart by their bytes."""
-        inner, outer = [], []
-        for i, p in enumerate(parts):
-            (inner if joinable(p) else outer).append(i)
-        out: list[bytes] = [b""] * len(parts)
-        if inner:
-            words = [parts[i] for i in inner]
-            text = "".join(words)
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has. Pieces that may follow one another are encoded as texts of many and cut apart by their bytes."""
+        counts = np.zeros(len(pieces), np.int64)
+        inner, joined, front = joined_pieces(pieces)
+        sizes = pc.binary_length(joined).to_numpy()
+        found = []
+        for i in range(0, len(inner), TOGETHER):
+            size = sizes[i : i + TOGETHER]
+            text = pc.binary_join(pa.array([joined.slice(i, TOGETHER)], pa.list_(pa.binary())), b"")[0].as_py().decode()
             ids = np.frombuffer(self._texts([text])[0], dtype="<u4")
-            ends = np.cumsum(list(map(len, words if text.isascii() else map(str.encode, words))))
-            cuts = (4 * np.searchsorted(np.cumsum(self.length[ids]), ends, "right")).tolist()
-            raw, start = ids.tobytes(), 0
-            for i, stop in zip(inner, cuts, strict=True):
-                out[i], start = raw[start:stop], stop
-        for i, ids in zip(outer, self._texts([parts[i] for i in outer]), strict=True):
-            out[i] = ids
-        return out
+            ends, stops = np.cumsum(self.length[ids]), np.cumsum(size)
+            start = np.searchsorted(ends, stops - size + front[i : i + TOGETHER], "right")
+            stop = np.searchsorted(ends, stops, "right")
+            counts[inner[i : i + TOGETHER]] = stop - start
+            steps = np.zeros(len(ids) + 1, np.int64)
+            steps[start] += 1
+            steps[stop] -= 1
+            found.append(ids[np.cumsum(steps[:-1]) > 0])
+        outer = np.setdiff1d(np.arange(len(pieces)), inner)
+        alone = [np.frombuffer(b, dtype="<u4") for b in self._texts(pieces.take(pa.array(outer)).cast(pa.string()).to_pylist())]
+        counts[outer] = [len(a) for a in alone]
+        if not len(outer):
+            return np.concatenate([np.empty(0, np.uint32), *found]), counts
+        ids = np.empty(counts.sum(), np.uint32)
+        of_inner = np.ones(len(pieces), bool)
+        of_inner[outer] = False
+        of_inner = np.repeat(of_inner, counts)
+        ids[of_inner], ids[~of_inner] = np.concatenate([np.empty(0, np.uint32), *found]), np.concatenate(alone)
+        return ids, counts
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (Arrow strings without nulls), one text after another, and where each text's ids end."""
+        if isinstance(self.of, Pieces):
+            return self.of(texts.cast(pa.string()))
+        parts = [b"".join(p) for p in self.of(texts.to_pylist())]
+        return np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b"".join(parts), dtype="<u4") for parts in self.of(texts)]
+        ids, ends = self.flat(pa.array(texts, pa.string()).fill_null(""))
+        return np.split(ids, ends)[:-1]
 
 
 _encoders: dict[str, Encoder] = {}  # a worker serves many tasks
@@ -167,20 +190,45 @@ def records(content: bytes) -> Iterator[Record]:
         at = r.next
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """The rows of ``batches`` anew, as many at a time as hold about ``STEP`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            before = int(ends[at - 1]) if at else 0
+            stop = min(int(np.searchsorted(ends, before + STEP - size)) + 1, len(batch))
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1]) - before
+            at = stop
+            if size >= STEP:
+                yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+                held, size = [], 0
+    if held:
+        yield tuple(pa.concat_arrays([b.column(i) for b in held]) for i in (0, 1))
+
+
 def _packed(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, number = encoder(path), TaskContext.get().partitionId(), 0
         doc_ids, ids, held = [], [], 0
-        for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                for d, t in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
-                    doc_ids.append(d)
-                    ids.append(np.append(t, np.uint32(end_id)))
-                    held += len(t) + 1
-                    if held >= RECORD_IDS:
-                        yield pa.RecordBatch.from_arrays([pa.array([pack_record(shard, number, doc_ids, ids)])], ["record"])
-                        doc_ids, ids, held, number = [], [], 0, number + 1
+        for ds, texts in _steps(batches):
+            flat, ends = encode.flat(texts)
+            sizes = np.diff(ends, prepend=0) + 1  # with the end id
+            closed, ds, at = np.cumsum(sizes), ds.to_pylist(), 0
+            while at < len(ends):
+                before = int(closed[at - 1]) if at else 0
+                stop = min(int(np.searchsorted(closed, before + RECORD_IDS - held)) + 1, len(ends))
+                start = before - at
+                part = np.insert(flat[start : ends[stop - 1]], ends[at:stop] - start, np.uint32(end_id))
+                doc_ids += ds[at:stop]
+                ids += np.split(part, closed[at : stop - 1] - before)
+                held += len(part)
+                at = stop
+                if held >= RECORD_IDS:
+                    yield pa.RecordBatch.from_arrays([pa.array([pack_record(shard, number, doc_ids, ids)])], ["record"])
+                    doc_ids, ids, held, number = [], [], 0, number + 1
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([pack_record(shard, number, doc_ids, ids)])], ["record"])
 

@@ -3,8 +3,10 @@
 import os
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,6 +60,49 @@ def test_lookups_change_no_tokens(plain, spark):
     assert [i.tolist() for i in encode(texts)] == whole
 
 
+ATOMS = [*" \n\t\r'.,!(09azAZ\x00\x1f\x7f\x85\xa0é×\u0301\u3000中。\u0663²\U0001f9ff\U0001d400\ufeff", "'s", "'re", "'S", "<|endoftext|>", "\n\n", " \n", "don't", "<|", "|>"]
+
+
+@pytest.mark.parametrize("most, longest", [(1 << 19, 64), (20, 3), (0, 64)])
+def test_pieces_change_no_tokens(plain, most, longest):
+    rng = np.random.default_rng(most + longest)
+    texts = ["".join(ATOMS[i] for i in rng.integers(0, len(ATOMS), rng.integers(0, 12))) for _ in range(4000)]
+    texts += ["".join(p) for n in range(5) for p in product([" ", "\n", "'", ".", "a", "1", "é", "'s"], repeat=n)]
+    encode, whole = token_files.Encoder(token_files.TOKENIZER), [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    encode.of.most, encode.of.longest = most, longest
+    for i in range(0, 2 * len(texts), 500):
+        part = [j % len(texts) for j in range(i, i + 500)]
+        assert [g.tolist() for g in encode([texts[j] for j in part])] == [whole[j] for j in part]
+        assert len(encode.of.held) <= most
+
+
+def test_a_known_word_is_looked_up_whatever_stands_around_it():
+    encode, asked = token_files.Encoder(token_files.TOKENIZER), []
+    compute = encode.of.compute
+    encode.of.compute = lambda pieces: (asked.extend(pieces.to_pylist()), compute(pieces))[1]
+    encode(["an an oddwordx, or (this) one.\nOddwordy 12 it's"])
+    asked.clear()
+    encode(["an oddwordx. an oddwordx an oddwordx,\nOddwordy one, or it's 12 (this).\nOddwordy"])
+    assert asked == [b")."]
+
+
+def test_met_again_pieces_stay_when_the_store_is_full():
+    encode = token_files.Encoder(token_files.TOKENIZER)
+    encode.of.most = 10
+    encode(["often word" + " often" * 3])
+    encode([" ".join(f"{a}{b}x" for a in "abcd" for b in "efgh")])
+    assert encode.of.held.to_pylist() == [b" often"]
+
+
+def test_steps_keep_every_row_in_order(monkeypatch):
+    monkeypatch.setattr(token_files, "STEP", 10)
+    rows = [(i, "x" * (i * 7 % 23)) for i in range(100)]
+    batches = [pa.RecordBatch.from_pylist([{"id": d, "text": t} for d, t in rows[i : i + 13]], pa.schema([("id", pa.int64()), ("text", pa.string())])) for i in range(0, 100, 13)]
+    steps = [list(zip(ds.to_pylist(), ts.to_pylist(), strict=True)) for ds, ts in token_files._steps(iter(batches))]
+    assert [r for s in steps for r in s] == rows
+    assert all(sum(len(t) for _, t in s[:-1]) < 10 for s in steps) and all(sum(len(t) for _, t in s) >= 10 for s in steps[:-1])
+
+
 def test_segments_join_to_the_text():
     texts = ["", " ", "a  b c", "\n x y\n z ", "a b"]
     for spaced in (False, True):
